@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import licenses, mixing, near_dups, pii, sharding
+from sessionscope.llm import bpe, fingerprints, licenses, mixing, near_dups, neighbours, pii, sharding, toxicity, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +33,26 @@ def op3_odd_sketch_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"), config=near_dups.NearDupConfig(shingle=2))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, config = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), toxicity.ToxicityConfig()
+    model = toxicity.fit(docs, labels, config=config)
+    scored = toxicity.score_toxicity(docs, model)
+    predicted = F.when(F.col("score") >= config.threshold, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_read(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
 def op8_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.hash_threshold_mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,4 +62,14 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_pii, op3_odd_sketch_dups, op8_hash_mix, op9_licenses)}
+def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_kd_shards, op2_pii, op3_odd_sketch_dups, op4_toxicity, op5_fingerprints, op6_bpe, op7_url_templates, op8_hash_mix, op9_licenses, op10_ivf_pq)
+}
+
+ORACLES: dict[str, str] = {}
