@@ -632,7 +632,7 @@ def stream_live_sessions(spark, sf_dir):
     source, out, check = (_folder(spark, n) for n in ("arrivals-in", "live-out", "live-check"))
     rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
-    job = live.live_sessions(stream, reference, 1.0, 21_600).writeStream.format("parquet").option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start(out)
+    job = live.live_sessions(stream, reference, 1.0, 21_600, state_ttl=None).writeStream.format("parquet").option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start(out)
     job.awaitTermination()
     found = spark.read.schema(live.LIVE).parquet(out).where("information_score is not null")
     return found.select("event_seq", *KEY, "n_events", *_r("information_score"), "anomalous", "alert_change")

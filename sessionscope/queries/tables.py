@@ -41,7 +41,8 @@ REQ = f"req as (select {', '.join(_request_columns('varchar'))} from events)"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_request_columns("string"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_request_columns("string"))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ cells as (select a.url_group, b.status_category, coalesce(c.n, 0) as n, a.n as u
 ent as (select (select sum(-p * log2(p)) from url_p) as h_url, (select sum(-p * log2(p)) from kind_p) as h_status, (select sum(-p_joint * log2(p_joint)) from cells) as h_pair,
    (select sum(url_n / n_events * -p_cond * log2(p_cond)) from cells, tot where url_n > 0) as h_given),
 ref as (select h_url + h_given as reference from ent),
-bits as (select x.*, -log2((coalesce(a.n, 0) + 0.5) / (n_events + 0.5 * n_u)) as url_bits, -log2((coalesce(c.n, 0) + 0.5) / (coalesce(a.n, 0) + 0.5 * n_s)) as status_bits,
+bits as (select x.*, -log2((coalesce(a.n, 0) + 0.5) / (tot.n_events + 0.5 * n_u)) as url_bits, -log2((coalesce(c.n, 0) + 0.5) / (coalesce(a.n, 0) + 0.5 * n_s)) as status_bits,
    a.u is null as unknown_url, b.s is null as unknown_status
    from sess x cross join tot left join urls a on a.u = x.url_group left join kinds b on b.s = x.status_category left join pairs c on c.u = x.url_group and c.s = x.status_category),
 scores as (select split, session_ip, session_no, min(ts) as start_time, max(ts) as end_time, cast(count(*) as integer) as n_events, -sum(url_bits + status_bits) as log_probability, avg(url_bits + status_bits) as information_score,

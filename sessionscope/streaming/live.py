@@ -79,7 +79,8 @@ def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout
     """A stream of scored requests (url_bits, status_bits) as a stream of session scores and alert changes, in order of arrival.
 
     A session ends when its client's next request comes over ``timeout_seconds`` after the last one seen; late requests never
-    split. Idle clients' state goes after ``state_ttl``.
+    split. Idle clients' state goes after ``state_ttl``; give None for a run over what is there now (availableNow), which would
+    otherwise wait for the clock.
     """
     step = _advance(reference, threshold, timeout_seconds)
     ttl_ms = int(pd.Timedelta(state_ttl).total_seconds() * 1000) if state_ttl else None

@@ -27,7 +27,7 @@ def test_stream_equals_batch_twin(spark, tmp_path):
     for part in range(4):  # four files, a trigger each, in order of arrival
         df.where((F.col("event_seq") >= part * 100) & (F.col("event_seq") < part * 100 + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    job = live.live_sessions(stream, 2.5, 0.8, 60).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+    job = live.live_sessions(stream, 2.5, 0.8, 60, state_ttl=None).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
     job.awaitTermination()
     out = spark.read.schema(live.LIVE).parquet(str(tmp_path / "out"))
     key = lambda r: (r.event_seq, r.session_ip, r.session_no, r.n_events, round(r.information_score, 9), r.anomalous, r.alert_change)
