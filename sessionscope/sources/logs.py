@@ -26,9 +26,9 @@ def read_log_lines(spark: SparkSession, folder: str, log_type: str, glob: str |
 
 
 def list_log_files(spark: SparkSession, folder: str, log_type: str) -> DataFrame:
-    """(log_type, file_name), empty files too; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", log_glob(log_type)).load(folder)
-    return files.select(F.lit(log_type).alias("log_type"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    """(log_type, file_name), empty files too: the listing that the reader keeps anyway; contents aren't read."""
+    files = spark.read.option("pathGlobFilter", log_glob(log_type)).text(folder).inputFiles()
+    return spark.createDataFrame([(log_type, f.rsplit("/", 1)[-1]) for f in files], "log_type string, file_name string")
 
 
 def read_events(spark: SparkSession, path: str, required: tuple[str, ...], fmt: str = "parquet") -> DataFrame:
