@@ -4,14 +4,18 @@
 2. A node has ``bands x rows`` MinHash samples, kept as band keys and as an odd sketch: each (sample number,
    value) flips one bit of a small bitmap. The population count of two sketches' XOR tells how many samples
    differ, and is precise where few do, so candidates are turned down without touching their sets.
-3. Nodes that share a band key form a bucket. Round one compares each only with the bucket's smallest node.
-   Confirmed links are joined into components; round two then compares, bucket by bucket, only nodes that are
-   not yet in one component. A bucket whose nodes are all one component makes no pairs, so a large group of
-   near copies costs its size and not its square, and no link that could join two components is left out.
-4. Pairs that the sketches pass are confirmed by exact Jaccard similarity of the full sets.
+3. Nodes that share a band key form a bucket. In the first rounds every node of a bucket is compared with one pivot
+   only, another one in each bucket and round. Confirmed links are joined into components. The last round then
+   compares, bucket by bucket, all nodes that are not in one component yet. A bucket whose nodes are all one
+   component makes no pairs, so a large group of near copies costs its size and not its square, and no link that
+   could join two components is left out.
+4. A second parity bitmap is folded from the full set. Its XOR count never exceeds the number of shingles that two
+   sets don't share, so turning down pairs by it loses nothing; it is sharp for short texts, where few samples
+   differ by chance, and the sample sketch for long ones.
+5. Pairs that pass are confirmed by exact Jaccard similarity of the full sets.
 
 At similarity 0.8 a pair shares none of 48 bands of 6 with probability (1 - 0.8^6)^48 = 5e-7; sketches reject a pair
-at the threshold when their estimate is over ``slack`` too low, about six standard deviations.
+at the threshold when their estimate is over ``slack`` too low, nearly five standard deviations.
 """
 
 from __future__ import annotations
@@ -38,7 +42,9 @@ class NearDupConfig:
     bands: int = 48
     rows: int = 6
     sketch_bits: int = 512
-    slack: float = 0.22
+    parity_bits: int = 1024
+    slack: float = 0.18
+    pivot_rounds: int = 3
     seed: int = 7
 
     @property
@@ -78,14 +84,29 @@ def band_keys(samples: np.ndarray, config: NearDupConfig) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _parity(owner: np.ndarray, values: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bitmaps of ``n`` owners as 64-bit words: every value flips one bit of its owner's."""
+    bit = (values % np.uint64(bits)).astype(np.intp)
+    flips = np.bincount(owner * bits + bit, minlength=n * bits) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def odd_sketches(samples: np.ndarray, config: NearDupConfig) -> np.ndarray:
-    """Parity bitmaps as 64-bit words, a row a set."""
+    """Parity bitmaps of the samples, each told apart by its number."""
     n, k = samples.shape
     salted = mix64(samples + np.arange(k, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    bit = (salted % np.uint64(config.sketch_bits)).astype(np.intp)
-    flips = np.bincount((np.arange(n)[:, None] * config.sketch_bits + bit).ravel(), minlength=n * config.sketch_bits) & 1
-    packed = np.packbits(flips.astype(np.uint8).reshape(n, config.sketch_bits), axis=1, bitorder="little")
-    return packed.view(np.int64)
+    return _parity(np.repeat(np.arange(n), k), salted.ravel(), n, config.sketch_bits)
+
+
+def set_parities(sets: list[np.ndarray], config: NearDupConfig) -> np.ndarray:
+    """Parity bitmaps of whole sets, a part of the sets at a time."""
+    out, at = [], 0
+    while at < len(sets):
+        part = sets[at : at + 256]
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        out.append(_parity(owner, mix64(np.concatenate(part) + np.uint64(0x632BE59BD9B4E019)), len(part), config.parity_bits))
+        at += 256
+    return np.concatenate(out)
 
 
 def _lists(a: np.ndarray) -> pa.Array:
@@ -94,7 +115,7 @@ def _lists(a: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfig) -> DataFrame:
-    """(id, n, set_key, bands, sketch) of every row; the last three are null where the set is empty."""
+    """(id, n, set_key, bands, sketch, parity) of every row; the last four are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -109,20 +130,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfi
                 if full:
                     for i in full:
                         keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                    samples = minhash([sets[i] for i in full], config)
+                    there = [sets[i] for i in full]
+                    samples = minhash(there, config)
                     take = np.full(len(sets), -1)
                     take[full] = np.arange(len(full))
                     index = pa.array(take, mask=take < 0)
-                    bands = [_lists(x).take(index) for x in (band_keys(samples, config), odd_sketches(samples, config))]
+                    bands = [_lists(x).take(index) for x in (band_keys(samples, config), odd_sketches(samples, config), set_parities(there, config))]
                 else:
-                    bands = [pa.nulls(len(sets), pa.list_(pa.int64()))] * 2
+                    bands = [pa.nulls(len(sets), pa.list_(pa.int64()))] * 3
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *bands],
-                    names=["id", "n", "set_key", "bands", "sketch"],
+                    names=["id", "n", "set_key", "bands", "sketch", "parity"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, set_key binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, config: NearDupConfig) -> DataFrame:
@@ -147,8 +169,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, c
     return sets
 
 
-def _xor_bits(words: int, a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(words)), F.lit(0))
+def _xor_count(a: str, b: str, name: str, words: int) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{name}{i}").bitwiseXOR(F.col(f"{b}.{name}{i}"))) for i in range(words)), F.lit(0))
+
+
+def _may_link(a: str, b: str, config: NearDupConfig) -> Column:
+    """Whether sizes and full parities allow the threshold and sample sketches come near it; a, b: aliases with n, s0..., p0..."""
+    n, m, p = F.col(f"{a}.n"), F.col(f"{b}.n"), config.percent
+    sizes = F.lit(100) * F.least(n, m) >= F.lit(p) * F.greatest(n, m)
+    whole = F.lit(100 + p) * _xor_count(a, b, "p", config.parity_bits // 64) <= F.lit(100 - p) * (n + m)
+    return sizes & whole & (_xor_count(a, b, "s", config.sketch_bits // 64) <= config.most_bits())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -159,6 +189,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> Data
     return both.where(F.lit(100) * F.col("common") >= F.lit(config.percent) * (F.size("x") + F.size("y") - F.col("common"))).select("u", "v")
 
 
+def _joined(label: DataFrame, pairs: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """``label`` (node, comp) with the components that confirmed pairs of nodes bring together."""
+    cu = label.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
+    cv = label.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+    links = _confirmed(pairs, sets, config).join(cu, "u").join(cv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    merged = connected_components(links).select(F.col("node").alias("comp"), "root")
+    return stage(label.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "dup-labels")
+
+
+def _open_buckets(buckets: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """(key, node, comp, pivot) of the buckets whose nodes are in several components. The pivot depends on key and turn:
+    the node that is least after its id's bits are flipped by a hash of both."""
+    placed = buckets.join(label, "node")
+    flip = F.xxhash64("key", F.lit(turn))
+    best = placed.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(flip)).alias("best"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    best = best.where("low <> high").select("key", F.col("best").bitwiseXOR(flip).alias("pivot"))
+    return placed.join(best, "key").select("key", "node", "comp", "pivot")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: NearDupConfig = NearDupConfig()) -> DataFrame:  # noqa: B008
     """One row for every row of ``docs``: id, ``n_shingles``, ``component_id`` (least id of its component), ``kept`` (id = component_id).
 
@@ -166,40 +215,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     larger than any other; a component of null ids only has a null component_id and keeps all. Repeated
     rows are copies of each other. Empty tables give empty results. Other columns play no part.
     """
-    words = config.sketch_bits // 64
     sig = stage(signatures(docs, id_col, text_col, config), "dup-signatures")
-    by_set = sig.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    by_set = sig.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity")])
     nodes = stage(by_set.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
-    sketches = nodes.select("node", *[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(words)])
+    word = lambda c, name, bits: [F.element_at(c, i + 1).alias(f"{name}{i}") for i in range(bits // 64)]
+    sketches = nodes.select("node", "n", *word("sketch", "s", config.sketch_bits), *word("parity", "p", config.parity_bits))
 
     in_band = nodes.select("node", F.explode("bands").alias("key"))
-    shared = in_band.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
+    shared = in_band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = stage(in_band.join(shared, "key"), "dup-buckets")
-
-    wanted = nodes.select("node", "id", "set_key").join(buckets.select("node").distinct(), "node", "left_semi")
+    label = stage(buckets.select("node").distinct().withColumn("comp", F.col("node")), "dup-labels")
+    wanted = nodes.select("node", "id", "set_key").join(label.select("node"), "node", "left_semi")
     sets = stage(_full_sets(docs, wanted, id_col, text_col, config).dropDuplicates(["node"]), "dup-sets")
 
-    most = config.most_bits()
-    stars = buckets.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    near = stars.alias("p").join(sketches.alias("a"), F.col("p.u") == F.col("a.node")).join(sketches.alias("b"), (F.col("p.v") == F.col("b.node")) & (_xor_bits(words, "a", "b") <= most))
-    first = connected_components(_confirmed(near.select("p.u", "p.v"), sets, config))
-    first = stage(first, "dup-first")
+    for turn in range(config.pivot_rounds):
+        pivot_comp = label.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
+        stars = _open_buckets(buckets, label, turn).join(pivot_comp, "pivot").where("comp <> main")
+        stars = stars.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+        near = stars.alias("p").join(sketches.alias("a"), F.col("p.u") == F.col("a.node")).join(sketches.alias("b"), (F.col("p.v") == F.col("b.node")) & _may_link("a", "b", config))
+        label = _joined(label, near.select("p.u", "p.v"), sets, config)
 
-    label = nodes.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
-    placed = buckets.join(label.join(sketches, "node"), "node").join(label.select(F.col("node").alias("pivot"), F.col("comp").alias("main")), "pivot")
-    placed = stage(placed.select("key", "node", "comp", "main", *[f"s{i}" for i in range(words)]), "dup-placed")
-    strays = placed.where("comp <> main")
+    pivot_comp = label.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
+    placed = _open_buckets(buckets, label, config.pivot_rounds).join(pivot_comp, "pivot").join(sketches, "node").drop("pivot")
+    placed = stage(placed, "dup-open")
     open_pair = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    across = strays.alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & open_pair & (_xor_bits(words, "a", "b") <= most))
+    across = placed.where("comp <> main").alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & open_pair & _may_link("a", "b", config))
     pairs = across.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    comp = label.withColumnRenamed("node", "n1")
-    links = _confirmed(pairs, sets, config).join(comp.select(F.col("n1").alias("u"), F.col("comp").alias("cu")), "u").join(comp.select(F.col("n1").alias("v"), F.col("comp").alias("cv")), "v")
-    second = connected_components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("comp"), F.col("root").alias("root2"))
-
-    final = label.join(second, "comp", "left").select("node", F.coalesce("root2", "comp").alias("root"))
-    member = nodes.select("node", "id", "set_key").join(final, "node")
-    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_key = member.join(least, "root").select(F.col("set_key").alias("k"), "component_id")
+    label = _joined(label, pairs, sets, config)
+
+    final = nodes.select("node", "id", "set_key").join(label, "node", "left").withColumn("root", F.coalesce("comp", "node"))
+    least = final.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_key = final.join(least, "root").select(F.col("set_key").alias("k"), "component_id")
     out = sig.select("id", "n", "set_key").join(by_key, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -85,6 +85,8 @@ def test_odd_sketch_estimates_high_similarity():
     differ = -config.sketch_bits / 2 * np.log(1 - 2 * bits / config.sketch_bits)
     assert abs(1 - differ / (2 * config.samples) - 900 / 1100) < 0.12
     assert bits <= config.most_bits()
+    a, b = near_dups.set_parities([np.unique(base), np.unique(other)], config)
+    assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= 200
 
 
 def test_components(spark):
