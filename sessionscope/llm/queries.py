@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.llm import bpe, fingerprints, licenses, mixing, near_dups, neighbours, pii, sharding, toxicity, url_filters
+from sessionscope.llm.oracles import ORACLES  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,5 +72,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_kd_shards, op2_pii, op3_odd_sketch_dups, op4_toxicity, op5_fingerprints, op6_bpe, op7_url_templates, op8_hash_mix, op9_licenses, op10_ivf_pq)
 }
-
-ORACLES: dict[str, str] = {}
