@@ -68,16 +68,26 @@ def write_tables(spark, sf_dir):
     return spark.read.parquet(path).groupBy("parse_status").agg(F.count("*").alias("n"), F.countDistinct("raw_line").alias("lines"))
 
 
-@query(f"with {t.PARSED} select * from parsed")
+@query(f"with {t.PARSED} select * from parsed", "parse_log_lines")
 def parse_lines(spark, sf_dir):
     return parse_log_lines(t.log_lines(spark, sf_dir), "routes")
 
 
-@query(f"with {t.PARSED} select 'routes' as log_type, count(*) filter (parse_status = 'ok') as ok_rows, count(*) filter (parse_status <> 'ok') as bad_rows from parsed")
+@query(f"with {t.PARSED} select 'routes' as log_type, count(*) filter (parse_status = 'ok') as ok_rows, count(*) filter (parse_status <> 'ok') as bad_rows from parsed", "parse_summary")
 def parse_counts(spark, sf_dir):
     return parse_summary(parse_log_lines(t.log_lines(spark, sf_dir), "routes").withColumn("log_type", F.lit("routes")))
 
 
+@query(f"with {t.PARSED} select event_seq, parse_status from parsed")
+def parse_status(spark, sf_dir):
+    return parse_log_lines(t.log_lines(spark, sf_dir), "routes").select("event_seq", "parse_status")
+
+
+@query(f"with {t.PARSED} select event_seq, \"timestamp\" from parsed where parse_status = 'malformed_line'")
+def fallback_timestamp(spark, sf_dir):
+    return parse_log_lines(t.log_lines(spark, sf_dir), "routes").where("parse_status = 'malformed_line'").select("event_seq", "timestamp")
+
+
 _PAGE_URI = "concat(regexp_replace(url, '[?#].*$', ''), '/', cast(page_id as {t}), '0000/', case when page_id % 3 = 0 then '{{ref}}' when page_id % 3 = 1 then '550E8400-e29b-41d4-a716-446655440000' else 'A b' end, '?q=', cast(page_id as {t}))"
 
 
@@ -100,9 +110,14 @@ def url_group(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", routes.url_group(routes.normalize_uri(F.col("uri"))).alias("url_group"))
 
 
-@query(f"with {t.PREP} select event_seq, status_class, status_category from prep")
-def status_classes(spark, sf_dir):
-    return t.prepared(spark, sf_dir).select("event_seq", "status_class", "status_category")
+@query(f"with {t.PREP} select event_seq, status_class from prep")
+def status_class(spark, sf_dir):
+    return t.requests(spark, sf_dir).select("event_seq", routes.status_class(F.col("status")).alias("status_class"))
+
+
+@query(f"with {t.PREP} select event_seq, status_category from prep")
+def status_category(spark, sf_dir):
+    return t.requests(spark, sf_dir).select("event_seq", routes.status_category(F.col("status")).alias("status_category"))
 
 
 _STATE = """concat('{"status_category":"', status_category, '","url_group":"', url_group, '"}')"""
@@ -440,6 +455,35 @@ def fusion_calibration(spark, sf_dir):
     return _row(spark, aep_mean=f.aep_mean, aep_sd=f.aep_sd, density_mean=f.density_mean, density_sd=f.density_sd, warning=f.warning, critical=f.critical)
 
 
+@query(f"with {t.DETECT} select round(density_threshold, 6) as density_threshold from dlim")
+def kde_threshold(spark, sf_dir):
+    return _row(spark, density_threshold=_detector(spark, sf_dir)[0].density_threshold)
+
+
+@query(f"with {t.DETECT} select round(am, 6) as aep_mean, round(asd, 6) as aep_sd, round(dm, 6) as density_mean, round(dsd, 6) as density_sd from cal")
+def component_stats(spark, sf_dir):
+    f = _detector(spark, sf_dir)[0].fusion
+    return _row(spark, aep_mean=f.aep_mean, aep_sd=f.aep_sd, density_mean=f.density_mean, density_sd=f.density_sd)
+
+
+@query(f"with {t.DETECT} select round(warning, 6) as warning, round(critical, 6) as critical from cuts")
+def fusion_thresholds(spark, sf_dir):
+    f = _detector(spark, sf_dir)[0].fusion
+    return _row(spark, warning=f.warning, critical=f.critical)
+
+
+@query(f"with {t.DETECT} select session_ip, session_no, round(hybrid_score, 6) as hybrid_score from report where mode = 'hybrid'")
+def fusion_score(spark, sf_dir):
+    d, test = _detector(spark, sf_dir)
+    return jobs.detect(test, d).where("mode = 'hybrid'").select(*KEY, *_r("hybrid_score"))
+
+
+@query(f"with {t.DETECT} select session_ip, session_no, sev as severity from report where mode = 'hybrid'")
+def severity(spark, sf_dir):
+    d, test = _detector(spark, sf_dir)
+    return jobs.detect(test, d).where("mode = 'hybrid'").select(*KEY, "severity")
+
+
 @query(
     f"""with {t.DETECT} select session_ip, session_no, mode, round(mode_score, 6) as mode_score, anomalous, severity,
     case when not anomalous then '' else concat_ws('; ', case when mode in ('aep', 'hybrid') and aep_anomalous then '{scoring.REASON_AEP}' end, case when mode in ('density', 'hybrid') and density_anomalous then '{scoring.REASON_DENSITY}' end,
@@ -602,6 +646,15 @@ def rank_experiments(spark, sf_dir):
     return reports.rank_experiments(history, "aep", "f1").select("seq", "score", "model_dir", "model_created_at", "parameters")
 
 
+@query(f"with {t.HISTORY} select seq, type, model_dir, dataset from hist")
+def experiment_history(spark, sf_dir):
+    path = _folder(spark, "history")
+    rows = t.history(spark, sf_dir).select("type", "timestamp", "model_dir", "model_created_at", "dataset", "parameters", "result")
+    for kind in ("build", "evaluation"):  # two appends
+        logs.append_history(rows.where(F.col("type") == kind), path)
+    return logs.read_history(spark, path).select(F.col("timestamp").cast("long").alias("seq"), "type", "model_dir", "dataset")
+
+
 # ---- live monitor: batch twins, and the stream itself
 
 _LIVE = f"""{t.MODEL},

@@ -12,7 +12,7 @@ import __spark_entry__
 from sessionscope.queries import session_queries
 
 TABLES = ("events", "orders", "pages", "documents", "labels", "conversations")
-SAMPLE = ("parse_lines", "normalize_uri", "upgrade_states", "session_control", "sliced_sessions", "fixed_count_windows", "window_records", "joint_probabilities", "score_sessions", "entropy_rate", "score_report", "roc_auc", "rank_experiments", "stream_live_sessions", "acknowledge_alerts")
+SAMPLE = ("parse_log_lines", "normalize_uri", "upgrade_states", "session_control", "sliced_sessions", "fixed_count_windows", "window_records", "joint_probabilities", "score_sessions", "entropy_rate", "score_report", "roc_auc", "rank_experiments", "stream_live_sessions", "acknowledge_alerts")
 
 
 def plain(v):
