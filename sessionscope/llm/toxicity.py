@@ -30,10 +30,11 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 SYMBOLS = 28  # boundary, a to z, any other letter
 OTHER = SYMBOLS - 1
 SELF_COST, SWAP_COST, DROP_COST, KEEP_PAIR_COST = 0.0, 0.7, 2.5, 1.0
+MOST_EVIDENCE = 12.0  # a document's weights beyond this add nothing
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Tokens with a character that stands for another, or with a letter three times in a row.
-HIDDEN = re.compile(r"\S*(?:[^\W\d_][0-9@$!|+(€£¡*]|[0-9@$!|+(€£¡*][^\W\d_]|([^\W\d_])\1\1)\S*")
+#: What a hidden token has: a character beside a letter that may stand for another, or a letter three times in a row.
+HIDDEN = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*]|[0-9@$!|+(€£¡*][^\W\d_]|([^\W\d_])\1\1")
 #: Three or more single characters set apart by one space or mark each.
 SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ ._*\-][^\W_]){2,}(?![^\s.,;:!?])")
 MARKS_BEHIND = re.compile(r"([^\w\s])\1*[.,;:!?]*$")
@@ -120,35 +121,42 @@ def restore(token: str, costs: list) -> str:
 
 
 class Restorer:
-    """Distinct words of texts with hidden ones restored; remembers decoded tokens up to a fixed number."""
+    """Distinct words of texts with hidden ones restored; remembers tokens up to a fixed number."""
 
-    limit = 100_000
+    limit = 300_000
 
     def __init__(self, costs: list):
         self.costs = costs
-        self.memo: dict[str, str] = {}
-
-    def decoded(self, token: str) -> str:
-        word = self.memo.get(token)
-        if word is None:
-            word = restore(token, self.costs)
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            if len(token) < 64:
-                self.memo[token] = word
-        return word
+        self.memo: dict[str, tuple[str, ...]] = {}
+
+    def token_words(self, token: str) -> tuple[str, ...]:
+        """Words that a lower-case token without spaces holds, as written and, if it hides something, restored."""
+        if token.isalpha() and not HIDDEN.search(token):
+            return (token,)
+        found = set(WORDS.findall(token))
+        if HIDDEN.search(token):
+            core = MARKS_BEHIND.sub("", token)
+            if not ("@" in core.strip("@") and "." in core or "://" in core):  # an address hides nothing
+                found.update(restore(x, self.costs) for x in {token.strip(".,;:?\"'"), core} if x and HIDDEN.search(x))
+        found.discard("")
+        return tuple(found)
+
+    def spaced_words(self, low: str) -> list[str]:
+        """Words restored from single characters set apart."""
+        return [w for m in SPACED.finditer(low) if (w := restore(re.sub(r"[ ._*\-]", "", m[0]), self.costs))]
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        found = set(WORDS.findall(low))
-        for token in {m[0] for m in HIDDEN.finditer(low)}:
-            core = MARKS_BEHIND.sub("", token)
-            if "@" in core.strip("@") and "." in core or "://" in core:
-                continue  # an address
-            found.update({self.decoded(x) for x in {token.strip(".,;:?\"'"), core} if x and not x.isalpha() or re.search(r"(.)\1\1", x)})
-        for m in SPACED.finditer(low):
-            found.add(self.decoded(re.sub(r"[ ._*\-]", "", m[0])))
-        found.discard("")
+        found = set(self.spaced_words(low))
+        for token in set(low.split()):
+            ws = self.memo.get(token)
+            if ws is None:
+                ws = self.token_words(token)
+                if len(self.memo) >= self.limit:
+                    self.memo.clear()
+                if len(token) < 64:
+                    self.memo[token] = ws
+            found.update(ws)
         return found
 
 
@@ -199,7 +207,7 @@ def fit_weights(rows: Iterable[tuple[set[str], int]], model: ToxicityModel, conf
     cached = {w: model.word_weight(w) for w in memo}
     x = np.array([sum(cached[w] for w in ws) for ws, _ in rows])
     y = np.array([label for _, label in rows], float)
-    x = np.minimum(x, 12.0)
+    x = np.minimum(x, MOST_EVIDENCE)
     a, b = 1.0, -2.0
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
@@ -236,26 +244,44 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return model
 
 
+class Scorer:
+    """Scores of texts; remembers for tokens up to a fixed number which of their words carry weight, most often none."""
+
+    limit = 500_000
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self.restorer = Restorer(model.costs)
+        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
+
+    def _weighted(self, words: Iterable[str]) -> tuple[tuple[str, float], ...]:
+        return tuple((w, x) for w in words if (x := self.model.word_weight(w)) > 0)
+
+    def __call__(self, raw: bytes | None) -> float:
+        low = (raw or b"").decode("utf-8", errors="replace").lower()
+        hits = dict(self._weighted(self.restorer.spaced_words(low)))
+        memo = self.memo
+        for token in set(low.split()):
+            found = memo.get(token)
+            if found is None:
+                found = self._weighted(self.restorer.token_words(token))
+                if len(memo) >= self.limit:
+                    memo.clear()
+                if len(token) < 64:
+                    memo[token] = found
+            if found:
+                hits.update(found)
+        return self.model.score(min(sum(sorted(hits.values())), MOST_EVIDENCE))
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row's whole text, 0 to 1. Null and empty texts have no evidence and get the lowest score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a trigram table and the features of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        restorer = Restorer(m.costs)
-        weights: dict[str, float] = {}
+        score = Scorer(shared.value)
         for b in batches:
-            scores = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                evidence = 0.0
-                for w in restorer.words((t or b"").decode("utf-8", errors="replace")):
-                    x = weights.get(w)
-                    if x is None:
-                        if len(weights) > 300_000:
-                            weights.clear()
-                        x = weights[w] = m.word_weight(w)
-                    evidence += x
-                scores.append(m.score(min(evidence, 12.0)))
+            scores = [score(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -269,11 +295,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        restorer = Restorer(m.costs)
+        score = Scorer(shared.value)
         for b in batches:
-            texts = [(t or b"").decode("utf-8", errors="replace") for t in b.column(at).cast(pa.binary()).to_pylist()]
-            evidence = [sum(map(m.word_weight, restorer.words(t))) for t in texts]
-            yield b.filter(pa.array([m.score(min(e, 12.0)) < config.threshold for e in evidence]))
+            yield b.filter(pa.array([score(t) < config.threshold for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
