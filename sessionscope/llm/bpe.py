@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 # Fixed value: the word pattern of byte-level BPE, with Unicode white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_RANK = np.iinfo(np.int64).max
+Entry = tuple[tuple[int, ...], str, bytes]  # of a word: ids, the same comma-joined, the bytes they decode to
 
 
 def _byte_characters() -> list[str]:
@@ -97,7 +98,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts; remembers short words up to a fixed number."""
+    """Encodes texts; remembers short words up to a fixed number, with their ids as text and the bytes that these decode to."""
 
     limit = 300_000
 
@@ -105,7 +106,7 @@ class Encoder:
         self.vocab = vocab
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocab.specials, key=len, reverse=True)))) if vocab.specials else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str | int, Entry] = {}
 
     def _words(self, text: str) -> list[str | int]:
         """Words, and ids of special strings in their places."""
@@ -118,31 +119,37 @@ class Encoder:
             end = m.end()
         return out + self.find(text[end:])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _entry(self, ids: list[int]) -> Entry:
+        return tuple(ids), ",".join(map(str, ids)), b"".join([self.vocab.token_bytes[i] for i in ids])
+
+    def entries(self, texts: list[str]) -> list[list[Entry]]:
+        """Of each text its words' entries, in order."""
         cut = [self._words(t) for t in texts]
         if len(self.memo) > self.limit:
             self.memo.clear()
         memo = self.memo
         new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in memo]
-        once: dict[str | int, tuple[int, ...]] = {}
-        strings = [w for w in new if isinstance(w, str)]
-        for w in new:
-            if not isinstance(w, str):
-                once[w] = (w,)
+        memo.update((w, self._entry([w])) for w in new if isinstance(w, int))
+        words = [w for w in new if isinstance(w, str)]
+        long: list[str] = []
         at = 0
-        while at < len(strings):  # batches of bounded size; a longer word is a batch of its own
+        while at < len(words):  # batches of bounded size; a longer word is a batch of its own
             end, size = at, 0
-            while end < len(strings) and (end == at or size + len(strings[end]) <= 1 << 18):
-                size += len(strings[end])
+            while end < len(words) and (end == at or size + len(words[end]) <= 1 << 18):
+                size += len(words[end])
                 end += 1
-            for w, ids in zip(strings[at:end], merge_words([w.encode() for w in strings[at:end]], self.vocab), strict=True):
-                (memo if len(w) < 64 else once)[w] = tuple(ids.tolist())
+            for w, ids in zip(words[at:end], merge_words([w.encode() for w in words[at:end]], self.vocab), strict=True):
+                memo[w] = self._entry(ids.tolist())
+                if len(w) >= 64:
+                    long.append(w)
             at = end
-        if once:
-            look = lambda w: once[w] if w in once else memo[w]
-        else:
-            look = memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, ws)), np.int32) for ws in cut]
+        out = [[memo[w] for w in ws] for ws in cut]
+        for w in long:
+            del memo[w]
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.fromiter(chain.from_iterable([e[0] for e in es]), np.int32) for es in self.entries(texts)]
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -204,11 +211,13 @@ def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab.value)
         for b in _pieces(batches):
-            ids = encoder.encode(_texts(b.column(1)))
-            listed = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-            back = [hashlib.sha256(vocab.value.decode(x).encode()).hexdigest() for x in ids]
+            found = encoder.entries(_texts(b.column(1)))
+            lists = [",".join([e[1] for e in es]) for es in found]
+            texts = [b"".join([e[2] for e in es]).decode("utf-8", errors="replace") for es in found]
+            numbers = [x.count(",") + 1 if x else 0 for x in lists]
+            digests = [[hashlib.sha256(x.encode()).hexdigest() for x in xs] for xs in (lists, texts)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(listed, pa.string()), pa.array(back, pa.string())],
+                [b.column(0), pa.array(numbers, pa.int64()), *[pa.array(x, pa.string()) for x in digests]],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
