@@ -35,6 +35,7 @@ class AnnConfig:
     target_recall: float = 0.97
     tuning_queries: int = 100
     rerank: int = 200
+    margins: float = 4.0
     block_rows: int = 16_384
     query_rows: int = 2048
     rounds: int = 8
@@ -58,12 +59,14 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class AnnIndex:
-    """Centroids, codebooks (one a group of dimensions), where the groups are cut, and how many cells a query probes."""
+    """Centroids, codebooks (one a group of dimensions), where the groups are cut, how many cells a query probes, and the
+    standard error of approximate scores."""
 
     centres: np.ndarray
     books: list[np.ndarray]
     cuts: list[tuple[int, int]]
     probes: int
+    error: float = 0.0
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = _nearest(x, self.centres)
@@ -94,6 +97,7 @@ def fit_index(x: np.ndarray, config: AnnConfig) -> AnnIndex:
     q = rng.choice(len(x), min(config.tuning_queries, len(x)), replace=False)
     scores = x[q] @ x.T
     scores[np.arange(len(q)), q] = -np.inf
+    index.error = float((index.approximate(x[q], *index.assign(x)) - x[q] @ x.T).std())
     k = min(config.k, len(x) - 1)
     if k > 0:
         best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
@@ -203,9 +207,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, id_col: str =
             for i in range(len(part)):
                 pick = np.flatnonzero(rough[i] > -np.inf)
                 if len(pick) > config.rerank:
-                    edge = -np.partition(-rough[i], config.rerank - 1)[config.rerank - 1]
-                    above = np.flatnonzero(rough[i] > edge)
-                    pick = np.concatenate([above, np.flatnonzero(rough[i] == edge)[: config.rerank - len(above)]])  # ties: smaller ids
+                    best_first = -np.partition(-rough[i], [config.k - 1, config.rerank - 1])
+                    pick = np.flatnonzero(rough[i] >= min(best_first[config.rerank - 1], best_first[config.k - 1] - config.margins * ix.error))
                 exact = (x[pick] * part[i]).sum(axis=1)
                 best = np.lexsort((ids[pick], -exact))[: config.k]
                 found.append(ids[pick][best])

@@ -303,3 +303,15 @@ def test_neighbours_blocks_ties_and_bad_vectors(spark):
     few = df.where("vec_id in (300, 301, 302)")
     assert len(neighbours.nearest_neighbours(few, few.where("vec_id = 300")).collect()) == 2
     assert neighbours.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_neighbours_of_one_tight_cluster(spark):
+    """Vectors that the codes can't tell apart are all reranked."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * 1e-3).tolist() if i % 2 else rng.normal(size=16).tolist()) for i in range(3000)]
+    rows = [(i, (centre + rng.normal(size=16) * 1e-3).tolist()) if i % 20 == 0 else (i, v) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = brute_neighbours(rows)
+    got = gathered(neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0"), config=neighbours.AnnConfig(sample=1000, cells=32, rerank=40)))
+    assert set(got) == set(want) and recall_of(got, want) >= 0.95
