@@ -7,7 +7,7 @@ all documents. The restored words are scored with weights learnt from labelled d
 
 * Trigram counts: every document, in one pass with partial sums; a table of 28^3 counts.
 * Weights: a bounded sample of labelled training rows (``sample``, by hash of the id). Features are whole
-  restored words, their prefixes and inner five-grams, kept where they are significantly commoner in toxic rows.
+  restored words, and stems (prefixes, inner five-grams) of other words, kept where they are significantly commoner in toxic rows.
 * Scores: a logistic curve over the sum of the weights of a document's distinct restored words.
 """
 
@@ -45,7 +45,9 @@ class ToxicityConfig:
     sample: int = 5000  # labelled rows used for the weights
     threshold: float = 0.7
     min_toxic_rows: int = 8
-    min_weight: float = 2.0  # of a feature: log odds less two standard errors
+    min_weight: float = 2.0  # of a word: log odds less two standard errors
+    min_stem_weight: float = 2.5
+    min_stem_words: int = 4  # different words of toxic rows that a stem is seen in
     smoothing: float = 0.3  # of the trigram model
 
 
@@ -163,9 +165,9 @@ class Restorer:
 # ---- weights and scores
 
 
-def features(word: str) -> set[str]:
-    """The word, its prefixes of three to six letters, and its inner five-grams."""
-    return {"=" + word} | {"^" + word[:n] for n in range(3, min(7, len(word) + 1))} | {word[i : i + 5] for i in range(1, len(word) - 4)}
+def grams(word: str) -> set[str]:
+    """Prefixes of three to six letters and inner five-grams: what words of one stem share."""
+    return {"^" + word[:n] for n in range(3, min(7, len(word)))} | {word[i : i + 5] for i in range(1, len(word) - 4)}
 
 
 @dataclass
@@ -176,34 +178,54 @@ class ToxicityModel:
     offset: float = -3.0
 
     def word_weight(self, word: str) -> float:
-        return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
+        own = self.weights.get("=" + word)
+        return own if own is not None else max((self.weights[f] for f in grams(word) if f in self.weights), default=0.0)
 
     def score(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.offset))))
 
 
+def _weights(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least_rows: int, least_weight: float) -> dict[str, float]:
+    """Log odds of being in a toxic row less two standard errors, for what reaches both bounds."""
+    out = {}
+    for f, t in toxic.items():
+        if t >= least_rows:
+            c = clean.get(f, 0)
+            odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
+            weight = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+            if weight >= least_weight:
+                out[f] = weight
+    return out
+
+
 def fit_weights(rows: Iterable[tuple[set[str], int]], model: ToxicityModel, config: ToxicityConfig) -> None:
-    """Weights and the logistic curve, from (words, label) of the sample. Without both classes: no weights, all scores low."""
+    """Weights and the logistic curve, from (words, label) of the sample. Without both classes: no weights, all scores low.
+
+    Whole words come first. Stems are then counted over the other words only, so that what merely begins like a
+    known word weighs nothing, and need several different words behind them.
+    """
     rows = list(rows)
-    toxic, clean, memo = Counter(), Counter(), {}
-    for ws, y in rows:
-        grams: set[str] = set()
-        for w in ws:
-            if w not in memo:
-                memo[w] = features(w)
-            grams |= memo[w]
-        (toxic if y else clean).update(grams)
     n_toxic = sum(y for _, y in rows)
     n_clean = len(rows) - n_toxic
     if not n_toxic or not n_clean:
         return
-    for f, t in toxic.items():
-        if t >= config.min_toxic_rows:
-            c = clean.get(f, 0)
-            odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
-            weight = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-            if weight >= config.min_weight:
-                model.weights[f] = weight
+    toxic, clean = Counter(), Counter()
+    for ws, y in rows:
+        (toxic if y else clean).update(ws)
+    whole = _weights(toxic, clean, n_toxic, n_clean, config.min_toxic_rows, config.min_weight)
+    memo: dict[str, set[str]] = {}
+    stem_toxic, stem_clean, behind = Counter(), Counter(), Counter()
+    for ws, y in rows:
+        stems: set[str] = set()
+        for w in ws:
+            if w not in memo:
+                memo[w] = set() if w in whole else grams(w)
+                if toxic.get(w):
+                    behind.update(memo[w])
+            stems |= memo[w]
+        (stem_toxic if y else stem_clean).update(stems)
+    stems = _weights(stem_toxic, stem_clean, n_toxic, n_clean, config.min_toxic_rows, config.min_stem_weight)
+    model.weights = {"=" + w: x for w, x in whole.items()} | {f: x for f, x in stems.items() if behind[f] >= config.min_stem_words}
     cached = {w: model.word_weight(w) for w in memo}
     x = np.array([sum(cached[w] for w in ws) for ws, _ in rows])
     y = np.array([label for _, label in rows], float)
