@@ -65,3 +65,31 @@ def test_monitor_from_files(spark, tmp_path):
     job = live.run_monitor(live.stream_log_lines(spark, str(tmp_path / "logs")), lambda e: e, sink, paths, names, str(tmp_path / "check"), once=True)
     job.awaitTermination()
     assert seen == [(["/a"], ["excluded_route", "excluded_route", "invalid_timestamp", "malformed_line"])]
+
+
+def test_monitor_job(spark, tmp_path):
+    from sessionscope.config import SessionConfig
+    from sessionscope.jobs import detector as jobs
+    from sessionscope.jobs.monitor import start_monitor
+
+    rng = random.Random(4)
+    rows = [(i, f"c{i % 6}", T0 + dt.timedelta(seconds=20 * i), rng.choice(["a.x", "a.x", "a.y", "b.z"]), rng.choice(["success", "success", "not_found"])) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_seq bigint, ip string, ts timestamp, url_group string, status_category string")
+    config = SessionConfig(timeout_seconds=1000, min_events=2)
+    # clients rest now and then, so that there are several sessions
+    events = events.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") + F.floor(F.col("event_seq") / 40) * 5000))
+    model = jobs.build(events.where("event_seq < 450"), events.where("event_seq >= 450"), config)
+    line = '[2026-10-07 10:00:{:02d}] local.INFO: Route request completed. {{"method":"GET","route_name":"","uri":"{}","status":{},"ip":"9.9.9.9"}}'
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/routes-1.log").write_text("\n".join([line.format(i, f"/probe/{i}", 500) for i in range(5)] + ["broken"]) + "\n")
+    paths, names = spark.createDataFrame([("/health",)], "path string"), spark.createDataFrame([("gone",)], "route_name string")
+    for q in start_monitor(spark, str(tmp_path / "logs"), model, str(tmp_path / "out"), paths, names, once=True):
+        q.awaitTermination()
+    got = spark.read.schema(live.LIVE).parquet(str(tmp_path / "out/live")).orderBy("event_seq").collect()
+    assert [r.n_events for r in got] == [1, 2, 3, 4, 5] and [r.alert_change for r in got] == ["inserted"] + ["updated"] * 4
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "out/quarantine")).collect()] == ["malformed_line"]
+    try:
+        start_monitor(spark, str(tmp_path), model, str(tmp_path), paths, names, timeout_seconds=60)
+        raise AssertionError("a differing timeout must be refused")
+    except ValueError:
+        pass
