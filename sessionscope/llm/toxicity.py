@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -185,51 +184,54 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.offset))))
 
 
-def _weights(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least_rows: int, least_weight: float) -> dict[str, float]:
-    """Log odds of being in a toxic row less two standard errors, for what reaches both bounds."""
-    out = {}
-    for f, t in toxic.items():
-        if t >= least_rows:
-            c = clean.get(f, 0)
-            odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
-            weight = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-            if weight >= least_weight:
-                out[f] = weight
-    return out
+def _weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_rows: int) -> np.ndarray:
+    """Log odds of being in a toxic row less two standard errors; no weight under ``least_rows``."""
+    odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n_clean - clean + 0.5))
+    return np.where(toxic >= least_rows, odds - 2 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), -np.inf)
 
 
-def fit_weights(rows: Iterable[tuple[set[str], int]], model: ToxicityModel, config: ToxicityConfig) -> None:
-    """Weights and the logistic curve, from (words, label) of the sample. Without both classes: no weights, all scores low.
+def fit_weights(rows: Iterable[tuple[Iterable[str], int]], model: ToxicityModel, config: ToxicityConfig) -> None:
+    """Weights and the logistic curve, from (distinct words, label) of the sample. Without both classes: no weights, all scores low.
 
     Whole words come first. Stems are then counted over the other words only, so that what merely begins like a
-    known word weighs nothing, and need several different words behind them.
+    known word weighs nothing, and need several different words behind them. Words and stems are held as numbers.
     """
-    rows = list(rows)
-    n_toxic = sum(y for _, y in rows)
-    n_clean = len(rows) - n_toxic
+    number: dict[str, int] = {}
+    bags, labels = [], []
+    for ws, label in rows:
+        bags.append(np.array([number.setdefault(w, len(number)) for w in ws], np.int32))
+        labels.append(label)
+    y = np.array(labels, float)
+    n_toxic = int(y.sum())
+    n_clean = len(y) - n_toxic
     if not n_toxic or not n_clean:
         return
-    toxic, clean = Counter(), Counter()
-    for ws, y in rows:
-        (toxic if y else clean).update(ws)
-    whole = _weights(toxic, clean, n_toxic, n_clean, config.min_toxic_rows, config.min_weight)
-    memo: dict[str, set[str]] = {}
-    stem_toxic, stem_clean, behind = Counter(), Counter(), Counter()
-    for ws, y in rows:
-        stems: set[str] = set()
-        for w in ws:
-            if w not in memo:
-                memo[w] = set() if w in whole else grams(w)
-                if toxic.get(w):
-                    behind.update(memo[w])
-            stems |= memo[w]
-        (stem_toxic if y else stem_clean).update(stems)
-    stems = _weights(stem_toxic, stem_clean, n_toxic, n_clean, config.min_toxic_rows, config.min_stem_weight)
-    model.weights = {"=" + w: x for w, x in whole.items()} | {f: x for f, x in stems.items() if behind[f] >= config.min_stem_words}
-    cached = {w: model.word_weight(w) for w in memo}
-    x = np.array([sum(cached[w] for w in ws) for ws, _ in rows])
-    y = np.array([label for _, label in rows], float)
-    x = np.minimum(x, MOST_EVIDENCE)
+    vocabulary = list(number)
+
+    def counts(sets: list[np.ndarray], size: int) -> list[np.ndarray]:
+        """How many toxic and how many clean rows hold each number."""
+        return [np.bincount(np.concatenate([b for b, label in zip(sets, labels, strict=True) if label == k]), minlength=size) for k in (1, 0)]
+
+    toxic, clean = counts(bags, len(vocabulary))
+    weight = _weights(toxic, clean, n_toxic, n_clean, config.min_toxic_rows)
+    whole = weight >= config.min_weight
+    model.weights = {"=" + vocabulary[i]: float(weight[i]) for i in np.flatnonzero(whole)}
+    # stems of the toxic rows' words; of other words only what is among these
+    stem: dict[str, int] = {}
+    stems_of = [np.array([stem.setdefault(g, len(stem)) for g in grams(w)] if toxic[i] and not whole[i] else (), np.int32) for i, w in enumerate(vocabulary)]
+    behind = np.bincount(np.concatenate(stems_of), minlength=len(stem))
+    for i, w in enumerate(vocabulary):
+        if not toxic[i]:
+            stems_of[i] = np.array([stem[g] for g in grams(w) if g in stem], np.int32)
+    if stem:
+        none = np.empty(0, np.int32)
+        toxic, clean = counts([np.unique(np.concatenate([none, *[stems_of[i] for i in b]])) for b in bags], len(stem))
+        weight = _weights(toxic, clean, n_toxic, n_clean, config.min_toxic_rows)
+        good = (weight >= config.min_stem_weight) & (behind >= config.min_stem_words)
+        names = list(stem)
+        model.weights |= {names[i]: float(weight[i]) for i in np.flatnonzero(good)}
+    of_word = np.array([model.word_weight(w) for w in vocabulary])
+    x = np.minimum([of_word[b].sum() for b in bags], MOST_EVIDENCE)
     a, b = 1.0, -2.0
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
@@ -262,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), b.column(1)], names=["words", "y"])
 
     rows = texts.select("text", "y").mapInArrow(run, "words array<string>, y int").toLocalIterator()
-    fit_weights(((set(r["words"]), int(r["y"] > 0)) for r in rows), model, config)
+    fit_weights(((r["words"], int(r["y"] > 0)) for r in rows), model, config)
     return model
 
 
