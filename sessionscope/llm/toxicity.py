@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.operators.staging import stage
+
 # Letters that a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 
@@ -184,54 +186,59 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.offset))))
 
 
-def _weights(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_rows: int) -> np.ndarray:
-    """Log odds of being in a toxic row less two standard errors; no weight under ``least_rows``."""
-    odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (n_clean - clean + 0.5))
-    return np.where(toxic >= least_rows, odds - 2 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), -np.inf)
+def _weights(counts: list, n_toxic: int, n_clean: int, least: float) -> dict[str, float]:
+    """Log odds of being in a toxic row less two standard errors, of the features (f, toxic, clean) that reach ``least``."""
+    out = {}
+    for r in counts:
+        t, c = r["toxic"], r["clean"]
+        odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((c + 0.5) / (n_clean - c + 0.5))
+        weight = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if weight >= least:
+            out[r["f"]] = weight
+    return out
+
+
+def _row_counts(features: DataFrame, least_toxic: int) -> DataFrame:
+    """(f, toxic, clean): in how many rows of each label a feature stands; ``features`` has arrays of distinct ones. Rare ones are left out."""
+    counted = features.select("y", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), (F.count("*") - F.sum("y")).alias("clean"))
+    return counted.where(F.col("toxic") >= least_toxic)
 
 
-def fit_weights(rows: Iterable[tuple[Iterable[str], int]], model: ToxicityModel, config: ToxicityConfig) -> None:
-    """Weights and the logistic curve, from (distinct words, label) of the sample. Without both classes: no weights, all scores low.
+def fit_weights(sample: DataFrame, model: ToxicityModel, config: ToxicityConfig) -> None:
+    """Weights and the logistic curve, from rows (words, y): distinct words, label 0 or 1. Without both classes: no weights, all scores low.
 
     Whole words come first. Stems are then counted over the other words only, so that what merely begins like a
-    known word weighs nothing, and need several different words behind them. Words and stems are held as numbers.
+    known word weighs nothing, and need several different words behind them. Spark counts; the driver sees the
+    features of ``min_toxic_rows`` rows or more, and a number a row for the curve.
     """
-    number: dict[str, int] = {}
-    bags, labels = [], []
-    for ws, label in rows:
-        bags.append(np.array([number.setdefault(w, len(number)) for w in ws], np.int32))
-        labels.append(label)
-    y = np.array(labels, float)
-    n_toxic = int(y.sum())
-    n_clean = len(y) - n_toxic
+    r = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
+    n_toxic = int(r["t"] or 0)
+    n_clean = r["n"] - n_toxic
     if not n_toxic or not n_clean:
         return
-    vocabulary = list(number)
-
-    def counts(sets: list[np.ndarray], size: int) -> list[np.ndarray]:
-        """How many toxic and how many clean rows hold each number."""
-        return [np.bincount(np.concatenate([b for b, label in zip(sets, labels, strict=True) if label == k]), minlength=size) for k in (1, 0)]
-
-    toxic, clean = counts(bags, len(vocabulary))
-    weight = _weights(toxic, clean, n_toxic, n_clean, config.min_toxic_rows)
-    whole = weight >= config.min_weight
-    model.weights = {"=" + vocabulary[i]: float(weight[i]) for i in np.flatnonzero(whole)}
-    # stems of the toxic rows' words; of other words only what is among these
-    stem: dict[str, int] = {}
-    stems_of = [np.array([stem.setdefault(g, len(stem)) for g in grams(w)] if toxic[i] and not whole[i] else (), np.int32) for i, w in enumerate(vocabulary)]
-    behind = np.bincount(np.concatenate(stems_of), minlength=len(stem))
-    for i, w in enumerate(vocabulary):
-        if not toxic[i]:
-            stems_of[i] = np.array([stem[g] for g in grams(w) if g in stem], np.int32)
-    if stem:
-        none = np.empty(0, np.int32)
-        toxic, clean = counts([np.unique(np.concatenate([none, *[stems_of[i] for i in b]])) for b in bags], len(stem))
-        weight = _weights(toxic, clean, n_toxic, n_clean, config.min_toxic_rows)
-        good = (weight >= config.min_stem_weight) & (behind >= config.min_stem_words)
-        names = list(stem)
-        model.weights |= {names[i]: float(weight[i]) for i in np.flatnonzero(good)}
-    of_word = np.array([model.word_weight(w) for w in vocabulary])
-    x = np.minimum([of_word[b].sum() for b in bags], MOST_EVIDENCE)
+    words = _row_counts(sample.withColumnRenamed("words", "fs"), config.min_toxic_rows)
+    whole = _weights(words.collect(), n_toxic, n_clean, config.min_weight)
+
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted(set().union(*[grams(w) for w in ws if w not in whole])) for ws in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), b.column(1)], names=["fs", "y"])
+
+    stem_counts = _row_counts(sample.select("words", "y").mapInArrow(stems, "fs array<string>, y int"), config.min_toxic_rows)
+    single = sample.where("y = 1").select(F.explode("words").alias("w")).distinct().select(F.array("w").alias("words"), F.lit(1).alias("y"))
+    behind = single.mapInArrow(stems, "fs array<string>, y int").select(F.explode("fs").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    behind = behind.where(F.col("n") >= config.min_stem_words)
+    kept = stem_counts.join(behind, F.col("f") == F.col("g"), "left_semi").collect()
+    model.weights = {"=" + w: x for w, x in whole.items()} | _weights(kept, n_toxic, n_clean, config.min_stem_weight)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [sum(map(model.word_weight, ws)) for ws in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64()), b.column(1)], names=["x", "y"])
+
+    points = sample.select("words", "y").mapInArrow(evidence, "x double, y int").collect()  # config.sample rows at most
+    x = np.minimum([p["x"] for p in points], MOST_EVIDENCE)
+    y = np.array([p["y"] for p in points], float)
     a, b = 1.0, -2.0
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
@@ -263,8 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             sets = [sorted(restorer.words(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), b.column(1)], names=["words", "y"])
 
-    rows = texts.select("text", "y").mapInArrow(run, "words array<string>, y int").toLocalIterator()
-    fit_weights(((r["words"], int(r["y"] > 0)) for r in rows), model, config)
+    rows = texts.select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
+    fit_weights(stage(rows.mapInArrow(run, "words array<string>, y int"), "toxicity-sample"), model, config)
     return model
 
 
