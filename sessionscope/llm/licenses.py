@@ -1,7 +1,9 @@
 """License notices by phrases and by an exact set-similarity join with license templates.
 
-A text is cut into blocks: its lines, long lines in overlapping windows. A block meets a template when it
-holds at least ``theta`` of the template's distinct words (containment). The join is exact: the words of all
+A text is cut into blocks: its lines, long lines in overlapping windows, and, for notices that are wrapped over
+lines, the words of the whole text in half-overlapping windows of twice a template's words (wider ones would meet
+short templates by words that only happen to stand in one text). A block meets a template when it holds at least
+``theta`` of the template's distinct words (containment). The join is exact: the words of all
 templates are ordered by how many documents hold them, rarest first; a block that shares none of a template's
 ``prefix`` rarest words can't reach the overlap (prefix filter), nor can one with too few words (length filter),
 nor one whose first shared word stands too late in either order (positional filter). Only what is left is
@@ -64,10 +66,13 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), BREAK, " "))
 
 
+def _template_words(config: LicenseConfig) -> list[list[str]]:
+    return [re.sub(BREAK, " ", t.translate(str.maketrans(UPPER, LOWER))).split() for _, t in config.templates]
+
+
 def _template_sets(config: LicenseConfig) -> list[tuple[int, str, list[str]]]:
     """Number, label and distinct words of each template."""
-    words = [re.sub(BREAK, " ", t.translate(str.maketrans(UPPER, LOWER))).split() for _, t in config.templates]
-    return [(i, label, list(dict.fromkeys(w))) for i, ((label, _), w) in enumerate(zip(config.templates, words, strict=True))]
+    return [(i, label, list(dict.fromkeys(w))) for i, ((label, _), w) in enumerate(zip(config.templates, _template_words(config), strict=True))]
 
 
 def _n_words(plain: Column) -> Column:
@@ -116,6 +121,12 @@ def blocks(text: Column, window: int) -> Column:
     return F.flatten(F.transform(lines, cut))
 
 
+def _best_window(words: Column, wanted: Column, step: Column) -> Column:
+    """The most of the wanted words that one window of ``2 * step`` words holds; every run of ``step`` words is in a window."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - step, F.lit(1)), step)
+    return F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(wanted, F.slice(words, s, 2 * step)))))
+
+
 def license_matches(docs: DataFrame, *, text_col: str = "text", config: LicenseConfig = LicenseConfig()) -> DataFrame:  # noqa: B008
     """Documents (``__key`` and the best containment of each label met). Needs a column ``__key``.
 
@@ -127,8 +138,9 @@ def license_matches(docs: DataFrame, *, text_col: str = "text", config: LicenseC
     ordered = [(i, label, sorted(words, key=rank.__getitem__)) for i, label, words in sets]
     need = {i: math.ceil(config.theta * len(words) - 1e-9) for i, _, words in ordered}
     prefix = {i: words[: len(words) - need[i] + 1] for i, _, words in ordered}
-    entries = [(w, i, label, " ".join(words), p, need[i]) for i, label, words in ordered for p, w in enumerate(prefix[i])]
-    table = literal_rows(spark, entries, "word string, template int, label string, words string, p int, need int")
+    length = [len(words) for words in _template_words(config)]
+    entries = [(w, i, label, " ".join(words), p, need[i], len(prefix[i]), length[i]) for i, label, words in ordered for p, w in enumerate(prefix[i])]
+    table = literal_rows(spark, entries, "word string, template int, label string, words string, p int, need int, n_prefix int, length int")
     table = table.withColumn("words", F.split("words", " "))
     every = F.array(*[F.lit(w) for w in rank])  # in the global order
     rare = F.array(*[F.lit(w) for w in sorted({w for ws in prefix.values() for w in ws}, key=rank.__getitem__)])
@@ -136,18 +148,27 @@ def license_matches(docs: DataFrame, *, text_col: str = "text", config: LicenseC
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hopeful = docs.select("__key", text.alias("t")).where(F.arrays_overlap(F.split(plain_words(F.col("t")), " "), rare))
     cut = hopeful.select("__key", F.explode(blocks(F.col("t"), config.window)).alias("block"))
+    met = _join_templates(cut, table, every, rare).withColumn("overlap", F.size(F.array_intersect("tokens", "words"))).where("overlap >= need")
+    # the whole text as one block finds the templates whose words it holds at all; windows of it decide, once a template
+    whole = _join_templates(hopeful.select("__key", F.split(plain_words(F.col("t")), " ").alias("block")), table, every, rare)
+    whole = whole.where(F.get(F.array_intersect(F.slice("words", 1, F.col("n_prefix")), "tokens"), F.lit(0)) == F.col("word"))
+    whole = whole.where(F.size(F.array_intersect("tokens", "words")) >= F.col("need"))
+    wrapped = whole.withColumn("overlap", _best_window(F.col("block"), F.col("words"), F.col("length"))).where("overlap >= need")
+    found = met.select("__key", "label", "overlap", "words").unionByName(wrapped.select("__key", "label", "overlap", "words"))
+    return found.groupBy("__key", "label").agg(F.max(F.col("overlap") / F.size("words")).alias("containment"))
+
+
+def _join_templates(cut: DataFrame, table: DataFrame, every: Column, rare: Column) -> DataFrame:
+    """Blocks with each template that the prefix, length and positional filters leave, a row a shared prefix word."""
     # a block's words that count, in the global order; the others can't be in a template
-    tokens = cut.select("__key", F.array_intersect(every, F.col("block")).alias("tokens")).where(F.size("tokens") > 0)
-    probes = tokens.select("__key", "tokens", F.posexplode(F.array_intersect("tokens", rare)).alias("_", "word")).drop("_")
+    tokens = cut.withColumn("tokens", F.array_intersect(every, F.col("block"))).where(F.size("tokens") > 0)
+    probes = tokens.select("__key", "block", "tokens", F.posexplode(F.array_intersect("tokens", rare)).alias("_", "word")).drop("_")
     q = F.array_position("tokens", F.col("word")).cast("int") - 1
-    met = (
+    return (
         probes.join(F.broadcast(table), "word")
         .where(F.size("tokens") >= F.col("need"))
         .where(1 + F.least(F.size("words") - F.col("p") - 1, F.size("tokens") - q - 1) + F.least(F.col("p"), q) >= F.col("need"))
-        .withColumn("overlap", F.size(F.array_intersect("tokens", "words")))
-        .where("overlap >= need")
     )
-    return met.groupBy("__key", "label").agg(F.max(F.col("overlap") / F.size("words")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", config: LicenseConfig = LicenseConfig()) -> DataFrame:  # noqa: B008

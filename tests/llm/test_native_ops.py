@@ -232,3 +232,26 @@ def test_licenses_awkward(spark):
     assert len(rows) == len(awkward_rows())
     check_licenses(rows, {r[0]: r[1] for r in awkward_rows()})
     assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"),
+    ("isc", "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that"),
+    ("lgpl", "it under the terms of the GNU Lesser\nGeneral Public License as published by the Free\nSoftware Foundation"),
+    ("agpl", "it under the terms of the GNU\nAffero General Public License as published by the\nFree Software Foundation"),
+    ("mpl-2.0", "This Source Code Form is subject to the\nterms of the Mozilla Public\nLicense, v. 2.0."),
+]
+
+
+def test_licenses_wrapped_notices(spark):
+    """At the start, and behind words that move the notice to any place in the windows; none from words that are far apart."""
+    rows = [(f"{i} {n}", "filler\n" * n + text + "\nmore filler" * 50) for i, (_, text) in enumerate(WRAPPED) for n in (0, 7, 19, 20, 33, 140)]
+    far = "\nfar off and away\n".join("Released under the MIT License".split())
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([*rows, ("far", far)], "doc_id string, text string")).collect()}
+    assert len(got) == len(rows) + 1
+    for i, (label, _) in enumerate(WRAPPED):
+        for n in (0, 7, 19, 20, 33, 140):
+            assert label in got[f"{i} {n}"].labels.split(","), (label, n)
+            assert got[f"{i} {n}"].score == 1.0
+    assert (got["far"].labels, got["far"].score) == ("", 0.0)
