@@ -361,10 +361,10 @@ sc as (select p.*, case when prev is null then (a.n_first + 0.5) / (ns + 0.5 * k
 
 
 def _markov(spark, sf_dir):
+    """The model of all conversations, and all of them to be scored, every seventh turn replaced by another role."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("state_id"))
-    train, test = c.where("conv_id % 5 <> 0"), c.where("conv_id % 5 = 0")
-    test = test.withColumn("state_id", F.when(F.col("pos") % 7 == 6, "tool").otherwise(F.col("state_id")))
-    return markov.fit_markov(train, 0.5, ("conv_id",)), test
+    scored = c.withColumn("state_id", F.when(F.col("pos") % 7 == 6, "tool").otherwise(F.col("state_id")))
+    return markov.fit_markov(c, 0.5, ("conv_id",)), scored
 
 
 @query(f"with {_CONV} select state, round((n_first + 0.5) / (ns + 0.5 * k), 6) as p_initial from st, k")

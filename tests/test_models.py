@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.config import SessionConfig
 from sessionscope.operators import categorical, density, evaluate, markov, reports, scoring, thresholds
+from sessionscope.queries.session_queries import QUERIES
 
 
 def sequences(spark, *words):
@@ -170,3 +172,32 @@ def test_config_is_checked():
     for bad in ({"mode": "x"}, {"smoothing": 0}, {"state_fields": ()}, {"training_ratio": 0.9}, {"bandwidth": "x"}, {"bandwidth": -1.0}, {"aep_quantile": 2}, {"warning_quantile": 0.999}, {"timeout_seconds": 0}, {"alpha": 2}, {"epsilon": 0}):
         with pytest.raises(ValueError):
             SessionConfig(**bad)
+
+
+def test_markov_queries_take_every_conversation(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    roles, scored = defaultdict(list), defaultdict(list)
+    for r in rows:
+        roles[r.conv_id].append(r.role)
+        scored[r.conv_id].append("tool" if r.turn % 7 == 6 else r.role)
+    first = Counter(x[0] for x in roles.values())
+    steps = Counter(p for x in roles.values() for p in zip(x, x[1:]))  # noqa: B905
+    total = Counter()
+    for (a, _), n in steps.items():
+        total[a] += n
+    known = {r.role for r in rows}
+    k = len(known | {"__UNK__"})
+    p_first = lambda s: (first[s] + 0.5) / (len(roles) + 0.5 * k)
+    p_step = lambda a, b: (steps[a, b] + 0.5) / (total[a] + 0.5 * k)
+    assert {(r.from_state, r.to_state): r.n for r in QUERIES["transition_probabilities"](spark, sf_dir).collect()} == steps
+    initial = {r.state: r.p_initial for r in QUERIES["initial_probabilities"](spark, sf_dir).collect()}
+    assert initial == pytest.approx({s: p_first(s) for s in known | {"__UNK__"}}, abs=1e-6)
+    got = {r.conv_id: r for r in QUERIES["score_sequences"](spark, sf_dir).collect()}
+    assert set(got) == set(roles)
+    least = Counter(r.conv_id for r in QUERIES["least_probable_transitions"](spark, sf_dir).collect())
+    for c, raw in scored.items():
+        states = [s if s in known else "__UNK__" for s in raw]
+        bits = math.log2(p_first(states[0])) + sum(math.log2(p_step(a, b)) for a, b in zip(states, states[1:]))  # noqa: B905
+        assert (got[c].n_events, got[c].n_unknown_states) == (len(raw), states.count("__UNK__"))
+        assert got[c].log_probability == pytest.approx(bits, abs=1e-5)
+        assert least[c] == min(5, len(raw) - 1)
