@@ -12,6 +12,7 @@ All counting runs on one row per host and path skeleton, not per page. Everythin
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,6 @@ VARIABLE = r"\A(?:[0-9]+(?:\.[a-z0-9]+)?|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(?:-[0-9]
 
 @dataclass(frozen=True)
 class TemplateConfig:
-    depth: int = 4  # levels of the tree; what lies deeper shares the template of its level
     fan_out: int = 12  # different children from which a level may be variable
     distinct_share: float = 0.3  # of different children among the pages of their parent
     z: float = 1.96
@@ -68,16 +68,21 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return out
 
 
-def skeleton(path: Column, depth: int) -> Column:
-    """The first segments of a path, those that look variable as wildcards; '' behind the last of a short path."""
-    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, depth)
+def skeleton(path: Column) -> Column:
+    """The segments of a path, those that look variable as wildcards."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
     return F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
 def grow_templates(skeletons: DataFrame, config: TemplateConfig) -> DataFrame:
-    """(host, segments, good, bad, n) -> the same with ``template``, level by level."""
+    """(host, segments, good, bad, n) -> the same with ``template``, level by level down to the longest path.
+
+    A path takes part up to the level behind its last segment, where it is a child of its own (''), and is set aside then.
+    """
     state = skeletons.withColumn("template", F.lit(""))
-    for level in range(config.depth):
+    levels = skeletons.agg(F.max(F.size("segments"))).first()[0] or 0
+    ended = []
+    for level in range(levels):
         segment = F.when(F.size("segments") > level, F.get("segments", F.lit(level))).otherwise(F.lit(""))
         now = state.withColumn("segment", segment)
         children = now.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
@@ -94,7 +99,9 @@ def grow_templates(skeletons: DataFrame, config: TemplateConfig) -> DataFrame:
         moves = both.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), to.alias("step"))
         joined = now.join(moves, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("segment") == F.col("s")))
         state = stage(joined.select("host", "segments", "n", "good", "bad", F.concat("template", "step").alias("template")), "url-templates")
-    return state
+        ended.append(state.where(F.size("segments") <= level))
+        state = state.where(F.size("segments") > level)
+    return reduce(DataFrame.unionByName, ended, state.select("host", "segments", "n", "good", "bad", "template"))
 
 
 def judge_urls(
@@ -116,7 +123,7 @@ def judge_urls(
     """
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("id"), F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"))
-    base = base.withColumn("segments", skeleton(F.col("path"), config.depth))
+    base = base.withColumn("segments", skeleton(F.col("path")))
     known = labels.where(F.col(label_id).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(label_id).alias("lid")).agg(F.max(good_col).alias("g"))
     labelled = base.select("id", "host", "segments").join(known, F.col("id") == F.col("lid"), "left")
     skeletons = labelled.groupBy("host", "segments").agg(

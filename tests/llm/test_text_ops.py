@@ -248,6 +248,16 @@ def test_urls_reject_a_bad_branch(spark):
     assert {got[1000 + i].template for i in range(60)} == {"/*/~"}
 
 
+def test_urls_reject_a_deep_branch(spark):
+    rows = [(i, f"http://h.com/a/b/c/d/e/{['good', 'spam', 'fine'][i % 3]}/{i}.html") for i in range(300)] + [(900, "http://h.com/a/b/c"), (901, "http://h.com/")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 1), 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    got = {r.page_id: r for r in url_filters.judge_urls(pages, labels).collect()}
+    assert len(got) == len(rows)
+    assert {got[i].verdict for i in range(1, 300, 3)} == {"block"} and all(got[i].template.endswith("/spam/*") for i in range(1, 300, 3))
+    assert {r.verdict for i, r in got.items() if i % 3 != 1 or i > 300} == {"allow"}
+
+
 # ---- neighbours
 
 
