@@ -3,14 +3,17 @@
 Texts are cut into words by the vocabulary's pattern (special strings first). Words that an executor's memo
 doesn't hold are encoded together: the symbols of all of them lie in one flat array, and in every round each
 word merges its lowest-ranked adjacent pair, which is found by binary search over the sorted pair keys. Words
-that have no pair left leave the array. The vocabulary is read once on the driver and has a fixed size.
+that have no pair left leave the array. A long word (unspaced script, encoded data) has too many rounds for that: it is an
+array of its own, in which places wait by rank and only those beside a merge are looked up again. The vocabulary is
+read once on the driver and has a fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -20,10 +23,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionscope.llm.memo import Memo
+from sessionscope.operators.arrow import map_batches
+
 # Fixed value: the word pattern of byte-level BPE, with Unicode white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_RANK = np.iinfo(np.int64).max
-Entry = tuple[tuple[int, ...], str, bytes]  # of a word: ids, the same comma-joined, the bytes they decode to
 
 
 def _byte_characters() -> list[str]:
@@ -97,16 +102,84 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
     return out
 
 
-class Encoder:
-    """Encodes texts; remembers short words up to a fixed number, with their ids as text and the bytes that these decode to."""
+class _Queue:
+    """Places of pairs by rank: the lowest rank's places come out together, in order."""
+
+    def __init__(self) -> None:
+        self.places: dict[int, list[np.ndarray]] = {}
+        self.ranks: list[int] = []
+
+    def add(self, rank: np.ndarray, place: np.ndarray) -> None:
+        known = rank != NO_RANK
+        rank, place = rank[known], place[known]
+        order = np.argsort(rank, kind="stable")
+        rank, place = rank[order], place[order]
+        cuts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else rank[:0]
+        for r, part in zip(rank[cuts].tolist(), np.split(place, cuts[1:]), strict=bool(len(cuts))):
+            if r not in self.places:
+                self.places[r] = []
+                heapq.heappush(self.ranks, r)
+            self.places[r].append(part)
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        r = heapq.heappop(self.ranks)
+        return r, np.unique(np.concatenate(self.places.pop(r)))
+
+
+def merge_long_word(word: bytes, vocab: Vocabulary) -> np.ndarray:
+    """Token ids of one long word. A round merges the lowest-ranked pair wherever it stands, and only pairs beside a
+    merge get a new rank, so the work follows the word's length and the vocabulary's, not their product."""
+    n = len(word)
+    symbols = np.append(vocab.byte_ids[np.frombuffer(word, np.uint8)], -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # neighbours that are left; n stands for the end
+    last = len(vocab.pair_keys) - 1
+
+    def lookup(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and row of the pair that starts at each place."""
+        right = symbols[after[place]]
+        keys = symbols[place] << 32 | right
+        at = np.minimum(np.searchsorted(vocab.pair_keys, keys), last)
+        return np.where((vocab.pair_keys[at] == keys) & (right >= 0), vocab.pair_ranks[at], NO_RANK), at
+
+    queue = _Queue()
+    everywhere = np.arange(n)
+    queue.add(lookup(everywhere)[0], everywhere)
+    while queue.ranks:
+        r, place = queue.pop()
+        place = place[symbols[place] >= 0]
+        rank, at = lookup(place)
+        place, at = place[rank == r], at[rank == r]
+        if not len(place):
+            continue
+        # equal symbols in a row: of overlapping pairs every second one counts, from the left
+        chained = np.append(False, after[place[:-1]] == place[1:])
+        start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(place))))
+        chosen = (np.arange(len(place)) - start) % 2 == 0
+        place, at = place[chosen], at[chosen]
+        gone = after[place]
+        symbols[place] = vocab.pair_ids[at]
+        symbols[gone] = -1
+        after[place] = after[gone]
+        inside = after[place] < n
+        before[after[place][inside]] = place[inside]
+        left = before[place]
+        beside = np.unique(np.concatenate([place, left[left >= 0]]))
+        queue.add(lookup(beside)[0], beside)
+    return symbols[symbols >= 0].astype(np.int32)
 
-    limit = 300_000
 
-    def __init__(self, vocab: Vocabulary):
+LONG_WORD = 1024  # bytes from which a word is merged by itself
+
+
+class Encoder:
+    """Encodes texts; remembers short words up to a fixed number of bytes: ``make`` gives what is kept of a word's ids."""
+
+    def __init__(self, vocab: Vocabulary, make: Callable[[np.ndarray], bytes | tuple[str, bytes]] = np.ndarray.tobytes):
         self.vocab = vocab
+        self.make = make
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocab.specials, key=len, reverse=True)))) if vocab.specials else None
-        self.memo: dict[str | int, Entry] = {}
+        self.memo = Memo()
 
     def _words(self, text: str) -> list[str | int]:
         """Words, and ids of special strings in their places."""
@@ -119,37 +192,39 @@ class Encoder:
             end = m.end()
         return out + self.find(text[end:])
 
-    def _entry(self, ids: list[int]) -> Entry:
-        return tuple(ids), ",".join(map(str, ids)), b"".join([self.vocab.token_bytes[i] for i in ids])
-
-    def entries(self, texts: list[str]) -> list[list[Entry]]:
-        """Of each text its words' entries, in order."""
+    def _merged(self, words: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """Words with their ids, a bounded number of bytes at a time."""
+        short: list[tuple[str, bytes]] = []
+        held = 0
+        for w in words:
+            raw = w.encode()
+            if len(raw) >= LONG_WORD:
+                yield w, merge_long_word(raw, self.vocab)
+                continue
+            short.append((w, raw))
+            held += len(raw)
+            if held > 1 << 18:
+                yield from zip([w for w, _ in short], merge_words([r for _, r in short], self.vocab), strict=True)
+                short, held = [], 0
+        if short:
+            yield from zip([w for w, _ in short], merge_words([r for _, r in short], self.vocab), strict=True)
+
+    def entries(self, texts: list[str]) -> list[list]:
+        """Of each text what is kept of its words, in order."""
         cut = [self._words(t) for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo = self.memo
-        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in memo]
-        memo.update((w, self._entry([w])) for w in new if isinstance(w, int))
-        words = [w for w in new if isinstance(w, str)]
-        long: list[str] = []
-        at = 0
-        while at < len(words):  # batches of bounded size; a longer word is a batch of its own
-            end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) <= 1 << 18):
-                size += len(words[end])
-                end += 1
-            for w, ids in zip(words[at:end], merge_words([w.encode() for w in words[at:end]], self.vocab), strict=True):
-                memo[w] = self._entry(ids.tolist())
-                if len(w) >= 64:
-                    long.append(w)
-            at = end
-        out = [[memo[w] for w in ws] for ws in cut]
-        for w in long:
-            del memo[w]
+        known = self.memo
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in known]
+        fresh = {w: self.make(np.array([w], np.int32)) for w in new if isinstance(w, int)}
+        fresh.update((w, self.make(ids)) for w, ids in self._merged([w for w in new if isinstance(w, str)]))
+        out = [[known[w] if w in known else fresh[w] for w in ws] for ws in cut]
+        for w, made in fresh.items():
+            if isinstance(w, int) or len(w) < 64:
+                known.keep(w, made, 400)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.fromiter(chain.from_iterable([e[0] for e in es]), np.int32) for es in self.entries(texts)]
+        """Ids of each text, where words keep the bytes of their ids."""
+        return [np.frombuffer(b"".join(es), np.int32) for es in self.entries(texts)]
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -186,8 +261,8 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), _lists(ids)], names=["id", "n_tokens", "token_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, token_ids array<int>")
-    return made.withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(texts, run, f"id {kind}, n_tokens bigint, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -200,8 +275,8 @@ def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    made = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
-    return made.withColumnRenamed("id", id_col)
+    ids = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return map_batches(ids, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,11 +284,18 @@ def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", te
     vocab = _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value)
+        token_bytes = vocab.value.token_bytes
+
+        def make(ids: np.ndarray) -> tuple[str, bytes]:
+            """The ids comma-joined, and the bytes that they decode to."""
+            own = ids.tolist()
+            return ",".join(map(str, own)), b"".join([token_bytes[i] for i in own])
+
+        encoder = Encoder(vocab.value, make)
         for b in _pieces(batches):
             found = encoder.entries(_texts(b.column(1)))
-            lists = [",".join([e[1] for e in es]) for es in found]
-            texts = [b"".join([e[2] for e in es]).decode("utf-8", errors="replace") for es in found]
+            lists = [",".join([e[0] for e in es]) for es in found]
+            texts = [b"".join([e[1] for e in es]).decode("utf-8", errors="replace") for es in found]
             numbers = [x.count(",") + 1 if x else 0 for x in lists]
             digests = [[hashlib.sha256(x.encode()).hexdigest() for x in xs] for xs in (lists, texts)]
             yield pa.RecordBatch.from_arrays(
@@ -222,5 +304,5 @@ def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", te
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return made.withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(texts, run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

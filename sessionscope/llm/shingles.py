@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from sessionscope.llm.memo import Memo
+
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -15,17 +17,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a fixed number of words."""
-
-    limit = 400_000
+class WordHashes(Memo):
+    """64-bit hashes of words, remembered up to a fixed number of bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:
-            self[word] = h
+            self.keep(word, h, len(word))
         return h
 
 

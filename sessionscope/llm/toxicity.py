@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.llm.memo import Memo
+from sessionscope.operators.arrow import map_batches
 from sessionscope.operators.staging import stage
 
 # Letters that a character may stand for.
@@ -80,7 +82,7 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "n"])
 
-    counts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).mapInArrow(run, "g int, n bigint")
+    counts = map_batches(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), run, "g int, n bigint")
     rows = counts.groupBy("g").agg(F.sum("n").alias("n")).collect()  # 28^3 rows at most
     out = np.zeros(SYMBOLS**3, np.float64)
     for r in rows:
@@ -124,13 +126,11 @@ def restore(token: str, costs: list) -> str:
 
 
 class Restorer:
-    """Distinct words of texts with hidden ones restored; remembers tokens up to a fixed number."""
-
-    limit = 300_000
+    """Distinct words of texts with hidden ones restored; remembers tokens up to a fixed number of bytes."""
 
     def __init__(self, costs: list):
         self.costs = costs
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo = Memo()
 
     def token_words(self, token: str) -> tuple[str, ...]:
         """Words that a lower-case token without spaces holds, as written and, if it hides something, restored."""
@@ -155,10 +155,8 @@ class Restorer:
             ws = self.memo.get(token)
             if ws is None:
                 ws = self.token_words(token)
-                if len(self.memo) >= self.limit:
-                    self.memo.clear()
                 if len(token) < 64:
-                    self.memo[token] = ws
+                    self.memo.keep(token, ws, 4 * len(token) + 100 * len(ws))
             found.update(ws)
         return found
 
@@ -271,19 +269,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), b.column(1)], names=["words", "y"])
 
     rows = texts.select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
-    fit_weights(stage(rows.mapInArrow(run, "words array<string>, y int"), "toxicity-sample"), model, config)
+    fit_weights(stage(map_batches(rows, run, "words array<string>, y int"), "toxicity-sample"), model, config)
     return model
 
 
 class Scorer:
-    """Scores of texts; remembers for tokens up to a fixed number which of their words carry weight, most often none."""
-
-    limit = 500_000
+    """Scores of texts; remembers, up to a fixed number of bytes, which words of a token carry weight, most often none."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.restorer = Restorer(model.costs)
-        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.memo = Memo()
 
     def _weighted(self, words: Iterable[str]) -> tuple[tuple[str, float], ...]:
         return tuple((w, x) for w in words if (x := self.model.word_weight(w)) > 0)
@@ -296,10 +292,8 @@ class Scorer:
             found = memo.get(token)
             if found is None:
                 found = self._weighted(self.restorer.token_words(token))
-                if len(memo) >= self.limit:
-                    memo.clear()
                 if len(token) < 64:
-                    memo[token] = found
+                    memo.keep(token, found, 2 * len(token) + 200 * len(found))
             if found:
                 hits.update(found)
         return self.model.score(min(sum(sorted(hits.values())), MOST_EVIDENCE))
@@ -316,8 +310,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
-    return made.withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(texts, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", config: ToxicityConfig = ToxicityConfig()) -> DataFrame:  # noqa: B008
@@ -330,4 +324,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text",
         for b in batches:
             yield b.filter(pa.array([score(t) < config.threshold for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
