@@ -8,20 +8,21 @@
    only, another one in each bucket and round. Confirmed links are joined into components. The last round then
    compares, bucket by bucket, all nodes that are not in one component yet. A bucket whose nodes are all one
    component makes no pairs, so a large group of near copies costs its size and not its square, and no link that
-   could join two components is left out.
+   could join two components is left out. A large bucket is cut by set size (sets that may link are in the same or
+   neighbouring steps of the length window) and then into tiles of at most ``tile`` by ``tile`` nodes, so no task holds a bucket.
 4. A second parity bitmap is folded from the full set. Its XOR count never exceeds the number of shingles that two
    sets don't share, so turning down pairs by it loses nothing; it is sharp for short texts, where few samples
    differ by chance, and the sample sketch for long ones.
 5. Pairs that pass are confirmed by exact Jaccard similarity of the full sets.
 
 At similarity 0.8 a pair shares none of 48 bands of 6 with probability (1 - 0.8^6)^48 = 5e-7; sketches reject a pair
-at the threshold when their estimate is over ``slack`` too low, nearly five standard deviations.
+at the threshold when their estimate is over ``slack`` too low, about six standard deviations.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.llm.components import connected_components
 from sessionscope.llm.shingles import WordHashes, mix64, shingle_set
+from sessionscope.operators.arrow import map_batches
 from sessionscope.operators.staging import stage
 
 
@@ -43,8 +45,9 @@ class NearDupConfig:
     rows: int = 6
     sketch_bits: int = 512
     parity_bits: int = 1024
-    slack: float = 0.18
+    slack: float = 0.22
     pivot_rounds: int = 3
+    tile: int = 4096  # nodes of a bucket that one task compares with as many others
     seed: int = 7
 
     @property
@@ -115,14 +118,14 @@ def _lists(a: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfig) -> DataFrame:
-    """(id, n, set_key, bands, sketch, parity) of every row; the last four are null where the set is empty."""
+    """(id, digest, n, set_key, bands, sketch, parity) of every row; the last four are null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                texts = batch.column(2).cast(pa.binary()).to_pylist()
                 sets = [shingle_set(t or b"", config.shingle, hashes) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list[bytes | None] = [None] * len(sets)
@@ -139,12 +142,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfi
                 else:
                     bands = [pa.nulls(len(sets), pa.list_(pa.int64()))] * 3
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *bands],
-                    names=["id", "n", "set_key", "bands", "sketch", "parity"],
+                    [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *bands],
+                    names=["id", "digest", "n", "set_key", "bands", "sketch", "parity"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n bigint, set_key binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
+    texts = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(texts, run, f"id {kind}, digest string, n bigint, set_key binary, bands array<bigint>, sketch array<bigint>, parity array<bigint>")
+
+
+def text_digest(text: Column) -> Column:
+    """What tells texts of one id apart; a null text has none."""
+    return F.md5(text.cast("string").cast("binary"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, config: NearDupConfig) -> DataFrame:
@@ -165,8 +174,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, c
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(wanted.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")))
-    sets = joined.select("node", "set_key", "text").mapInArrow(run, "node bigint, items array<bigint>")
-    return sets
+    return map_batches(joined.select("node", "set_key", "text"), run, "node bigint, items array<bigint>")
 
 
 def _xor_count(a: str, b: str, name: str, words: int) -> Column:
@@ -208,15 +216,39 @@ def _open_buckets(buckets: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     return placed.join(best, "key").select("key", "node", "comp", "pivot")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: NearDupConfig = NearDupConfig()) -> DataFrame:  # noqa: B008
-    """One row for every row of ``docs``: id, ``n_shingles``, ``component_id`` (least id of its component), ``kept`` (id = component_id).
+def _tiled(placed: DataFrame, config: NearDupConfig) -> tuple[DataFrame, DataFrame]:
+    """(outsiders, all) of the open buckets with ``step`` and ``cell``, the keys beside ``key`` that pairs must agree on.
 
-    Texts without words, null texts too, have no shingles and are linked with nothing. A null id counts as
-    larger than any other; a component of null ids only has a null component_id and keeps all. Repeated
-    rows are copies of each other. Empty tables give empty results. Other columns play no part.
+    Small buckets have one step and one cell. In a large one, ``step`` counts the length window: sets within it are at most a
+    step apart, so an outsider goes to its own step and both beside it. Where a step still holds more than ``tile`` nodes,
+    outsiders and all are each dealt by hash into parts, and a pair of parts is a cell. Every pair of an outsider and another
+    node in the window meets once.
     """
+    width = 1.0001 * math.log(100 / config.percent)  # a little wider, for logarithms are rounded
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > config.tile).select(F.col("key").alias("k"))
+    marked = placed.join(sizes, F.col("key") == F.col("k"), "left").withColumn("large", F.col("k").isNotNull()).drop("k")
+    marked = stage(marked.withColumn("step", F.when(F.col("large"), F.floor(F.log("n") / width)).otherwise(0)), "dup-open")
+    outsiders = marked.where("comp <> main")
+    around = F.when(F.col("large"), F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step"))
+    outsiders = outsiders.withColumn("step", F.explode(around))
+    parts = lambda df, name: df.where("large").groupBy("key", "step").agg(F.ceil(F.count("*") / config.tile).cast("int").alias(name))
+    grid = stage(parts(marked, "across").join(parts(outsiders, "down"), ["key", "step"]), "dup-tiles")
+    grid = grid.select(F.col("key").alias("k"), F.col("step").alias("s"), "across", "down")
+
+    def dealt(df: DataFrame, own: str, other: str, cell: Callable[[Column, Column], Column]) -> DataFrame:
+        sized = df.join(grid, (F.col("key") == F.col("k")) & (F.col("step") == F.col("s")), "left").drop("k", "s").na.fill(1, ["across", "down"])
+        mine = F.pmod(F.xxhash64("node", F.lit(own)), F.col(own))
+        copies = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return copies.withColumn("cell", cell(mine, F.col("o"))).drop("o", "across", "down", "large")
+
+    return dealt(outsiders, "down", "across", lambda mine, o: mine * F.col("across") + o), dealt(marked, "across", "down", lambda mine, o: o * F.col("across") + mine)
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfig) -> DataFrame:
+    """(id, digest, n, rep) of every row; ``rep`` (none, id, digest) is the least row of its component, null where the set is empty."""
     sig = stage(signatures(docs, id_col, text_col, config), "dup-signatures")
-    by_set = sig.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity")])
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "digest")  # null ids come last
+    by_set = sig.where("n > 0").groupBy("set_key").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("bands", "sketch", "parity")])
     nodes = stage(by_set.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
     word = lambda c, name, bits: [F.element_at(c, i + 1).alias(f"{name}{i}") for i in range(bits // 64)]
     sketches = nodes.select("node", "n", *word("sketch", "s", config.sketch_bits), *word("parity", "p", config.parity_bits))
@@ -225,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = in_band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = stage(in_band.join(shared, "key"), "dup-buckets")
     label = stage(buckets.select("node").distinct().withColumn("comp", F.col("node")), "dup-labels")
-    wanted = nodes.select("node", "id", "set_key").join(label.select("node"), "node", "left_semi")
+    wanted = nodes.select("node", F.col("rep.id").alias("id"), "set_key").join(label.select("node"), "node", "left_semi")
     sets = stage(_full_sets(docs, wanted, id_col, text_col, config).dropDuplicates(["node"]), "dup-sets")
 
     for turn in range(config.pivot_rounds):
@@ -237,22 +269,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     pivot_comp = label.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
     placed = _open_buckets(buckets, label, config.pivot_rounds).join(pivot_comp, "pivot").join(sketches, "node").drop("pivot")
-    placed = stage(placed, "dup-open")
+    outsiders, everyone = _tiled(stage(placed, "dup-placed"), config)
     open_pair = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    across = placed.where("comp <> main").alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & open_pair & _may_link("a", "b", config))
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.cell") == F.col("b.cell"))
+    across = outsiders.alias("a").join(everyone.alias("b"), met & open_pair & _may_link("a", "b", config))
     pairs = across.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     label = _joined(label, pairs, sets, config)
 
-    final = nodes.select("node", "id", "set_key").join(label, "node", "left").withColumn("root", F.coalesce("comp", "node"))
-    least = final.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_key = final.join(least, "root").select(F.col("set_key").alias("k"), "component_id")
-    out = sig.select("id", "n", "set_key").join(by_key, F.col("set_key") == F.col("k"), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    final = stage(nodes.select("node", "rep", "set_key").join(label, "node", "left").select("rep", "set_key", F.coalesce("comp", "node").alias("root")), "dup-roots")
+    # a table of its own, so that the join below can split a root with many texts over several tasks
+    least = stage(final.groupBy("root").agg(F.min("rep").alias("least")), "dup-least")
+    by_key = final.join(least, "root").select(F.col("set_key").alias("k"), "least")
+    return sig.join(by_key, F.col("set_key") == F.col("k"), "left").select("id", "digest", "n", F.col("least").alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: NearDupConfig = NearDupConfig()) -> DataFrame:  # noqa: B008
+    """One row for every row of ``docs``: id, ``n_shingles``, ``component_id`` (least id of its component), ``kept`` (id = component_id).
+
+    Texts without words, null texts too, have no shingles and are linked with nothing. A null id counts as
+    larger than any other; a component of null ids only has a null component_id and keeps all. Repeated
+    rows are copies of each other. Empty tables give empty results. Other columns play no part.
+    """
+    component = F.when(F.col("n") > 0, F.col("rep.id")).otherwise(F.col("id"))
+    return _judged(docs, id_col, text_col, config).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", config: NearDupConfig = NearDupConfig()) -> DataFrame:  # noqa: B008
-    """The documents that ``near_duplicates`` keeps, all columns. Of repeated rows (one id, one text) one stays."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, config=config).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").withColumn("__text", F.md5(F.col(text_col).cast("binary")))
+    """One document of each component, all columns: the one of the least id, and of several texts of that id the one of the
+    least digest. Texts without words stay. Of repeated rows (one id, one text) one stays."""
+    judged = _judged(docs, id_col, text_col, config)
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    kept = judged.where((F.col("n") == 0) | (F.col("rep") == own)).select(F.col("id").alias("__kept"), F.col("digest").alias("__of")).distinct()
+    marked = docs.withColumn("__text", text_digest(F.col(text_col)))
+    chosen = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")) & F.col("__text").eqNullSafe(F.col("__of")), "left_semi")
     return chosen.dropDuplicates([id_col, "__text"]).drop("__text")

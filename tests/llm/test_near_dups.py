@@ -64,6 +64,31 @@ def test_chains_and_groups_of_near_copies(spark):
         assert got(near_dups.near_duplicates(df, config=NearDupConfig(shingle=k))) == brute(rows, k)
 
 
+def test_boilerplate_buckets_are_tiled(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    common = [rng.choice(vocab) for _ in range(60)]
+    rows = []
+    for i in range(1200):  # similarities from 0.5 to 0.75 and around the threshold, sizes over several steps of the window
+        words = list(common[: rng.choice((30, 45, 60))])
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = [rng.choice(vocab) for _ in range(rng.choice((3, 5, 8, 20)))]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows, 2)
+    assert len({c for _, _, c in want}) < 1200
+    assert got(near_dups.near_duplicates(df, config=NearDupConfig(shingle=2, tile=40, pivot_rounds=1))) == want
+
+
+def test_one_id_with_several_texts(spark):
+    """What stays is told by id and text, so a repeated id brings no duplicate back."""
+    w, other = "a b c d e f g", "one two three four five six"
+    df = spark.createDataFrame([(3, w), (5, other), (5, w), (6, "h i j k"), (6, "h i j  k"), (7, None), (7, "")], "doc_id bigint, text string")
+    left = sorted(((r.doc_id, r.text) for r in near_dups.drop_near_duplicates(df).collect()), key=str)
+    assert [x for x in left if x[0] != 6] == [(3, w), (5, other), (7, ""), (7, None)]
+    assert len([x for x in left if x[0] == 6]) == 1
+
+
 def test_awkward(spark):
     rows = [(r[0], r[1]) for r in awkward_rows()]
     assert got(near_dups.near_duplicates(awkward(spark), config=NearDupConfig(shingle=2))) == brute(rows, 2)
