@@ -27,7 +27,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_read(spark, sf_dir, "documents")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["rank"] < len(pii.BASE_KINDS))
     counts = [_count_of(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+    score = F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0))  # of the surest span
+    digests = [F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans")]
+    return found.select("doc_id", *counts, *digests, F.size("pii").cast("long").alias("n_spans"), score.alias("score"))
 
 
 def op3_odd_sketch_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
