@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.operators.staging import literal_rows
+from sessionscope.operators.arrow import map_batches
+from sessionscope.operators.staging import literal_rows, stage
 
 BUCKETS = 256
 WINDOW = 5
@@ -89,66 +91,82 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string())], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fingerprint string")
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    made = map_batches(made, run, f"id {kind}, fingerprint string")
     return made.withColumnRenamed("id", id_col)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(zone, guard, id, text), dealt and sorted so that in each partition every row is followed by the next document.
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) dealt by range and sorted so that inside a partition every row is followed by its next document.
 
-    Next means by descending id, null ids last, rows of one id by their text's MD5, and after the last the first. Ids are cut into
-    zones at approximate quantiles, one shuffle moves each text once, and the first row of each zone also goes, as a
-    guard, to the end of the zone before it.
+    Next means by descending id, null ids last, rows of one id by their text's MD5. Copies of one row are dealt by their
+    place in the scan, so that one repeated row doesn't fill a partition.
     """
-    spark = docs.sparkSession
-    zones = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("tie"))
-    at = F.array(*[F.lit((i + 1) / zones) for i in range(zones - 1)]) if zones > 1 else F.array(F.lit(1.0))
-    bounds = docs.agg(F.percentile_approx(id_col, at, F.lit(20 * zones)).alias("b")).first()["b"] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    zone = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("id"))) + 1)
-    rows = rows.withColumn("zone", zone)
-    # the first of each zone: a row a zone, at most as many as shuffle partitions plus one
-    order = F.struct(F.col("id").isNotNull().alias("has"), "id", "tie")
-    firsts = sorted((r["zone"], r["f"]) for r in rows.groupBy("zone").agg(F.max(order).alias("f")).collect())
-    guards = [(firsts[i][1]["id"], firsts[i][1]["tie"], firsts[(i + 1) % len(firsts)][0]) for i in range(len(firsts))]
-    kind = docs.schema[id_col].dataType.simpleString()
-    table = literal_rows(spark, guards, f"gid {kind}, gtie string, before int")
-    marked = rows.join(F.broadcast(table), F.col("id").eqNullSafe(F.col("gid")) & (F.col("tie") == F.col("gtie")), "left")
-    places = F.array_compact(F.array(F.struct(F.col("zone").alias("z"), F.lit(False).alias("g")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("z"), F.lit(True).alias("g")))))
-    dealt = marked.select("id", "text", "tie", F.explode(places).alias("p")).select(F.col("p.z").alias("zone"), F.col("p.g").alias("guard"), "id", "text", "tie")
-    return dealt.repartition(zones, "zone").sortWithinPartitions("zone", "guard", F.col("id").desc_nulls_last(), F.col("tie").desc()).drop("tie")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("id").desc_nulls_last(), F.col("tie").desc(), F.col("place")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+
+
+_COMPARED = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _compared(text: str, digest: str, following: str, next_digest: str) -> tuple:
+    changed = edited(text, following).encode()
+    other = fingerprint(changed)
+    return len(text), hashlib.sha256(changed).hexdigest(), digest, other, likeness(digest, other), likeness(digest, next_digest)
 
 
 def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of every text and of its edited form, and how like they and the next document's are.
 
     Returns id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``. Null texts count
-    as empty; an only document is its own next one; repeated rows are each other's. Empty tables give empty results.
+    as empty; the last document's next one is the first, an only document is its own; repeated rows are each other's. Ids are of
+    any type that has an order. Empty tables give empty results.
+
+    One shuffle deals the texts by range. A partition compares its rows with each other and keeps its first and last
+    text as rows of their own, at most two a partition, which are then joined over the borders.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # zone, id, text, digest
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                out: list[tuple] = []
-                for zone, guard, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                    if guard and (before is None or before[0] != zone):
-                        continue  # a second copy of a guard
-                    digest = fingerprint(raw)
-                    text = raw.decode("utf-8", errors="replace")
-                    if before is not None and before[0] == zone:
-                        _, last_key, last_text, last_digest = before
-                        changed = edited(last_text, text).encode()
-                        other = fingerprint(changed)
-                        out.append((last_key, len(last_text), hashlib.sha256(changed).hexdigest(), last_digest, other, likeness(last_digest, other), likeness(last_digest, digest)))
-                    before = None if guard else (zone, key, text, digest)
-                kinds = [b.column(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        part = TaskContext.get().partitionId()
+        first: tuple | None = None  # id, text, digest
+        last: tuple | None = None
+        id_type: pa.DataType | None = None
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", *[c.split()[0] for c in _COMPARED.split(", ")], "part", "side", "text"])
+
+        for b in batches:
+            id_type = b.column(0).type
+            out: list[tuple] = []
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                now = (key, raw.decode("utf-8", errors="replace"), fingerprint(raw))
+                if last is None:
+                    first = now
+                else:
+                    out.append((last[0], *_compared(last[1], last[2], now[1], now[2]), part, None, None))
+                last = now
+            yield made(out)
+        if first is not None and last is not None:
+            yield made([(x[0], None, None, x[2], None, None, None, part, side, x[1]) for x, side in ((first, "first"), (last, "last"))])
+
+    schema = f"id {kind}, {_COMPARED}, part int, side string, text string"
+    found = stage(map_batches(in_order(docs, id_col, text_col), run, schema), "fingerprint-pairs")
+    inside = found.where("side is null").drop("part", "side", "text")
+    parts = [r["part"] for r in found.where("side = 'first'").select("part").orderBy("part").collect()]  # a number a partition
+    following = literal_rows(docs.sparkSession, [(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, behind int")
+    firsts = found.where("side = 'first'").select(F.col("part").alias("behind"), F.col("text").alias("t"), F.col("fingerprint").alias("f"))
+    borders = found.where("side = 'last'").join(following, "part").join(firsts, "behind").select("id", "text", "fingerprint", "t", "f")
+
+    def over_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r["id"], *_compared(r["text"], r["fingerprint"], r["t"], r["f"])) for r in b.to_pylist()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [b.column(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", *[c.split()[0] for c in _COMPARED.split(", ")]])
+
+    return inside.unionByName(map_batches(borders, over_borders, f"id {kind}, {_COMPARED}")).withColumnRenamed("id", id_col)
