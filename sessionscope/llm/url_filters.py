@@ -6,6 +6,9 @@ shares don't differ significantly from the rest of their siblings are merged int
 templates. A template is rejected when the smoothed share of good pages among its labelled ones, drawn
 towards its host's and then the whole table's share, is under ``min_purity``.
 
+In a template '/*' is a wildcard and '/~' the merged branch; a segment's own name that begins with '*', '~' or a backslash has a
+backslash before it.
+
 All counting runs on one row per host and path skeleton, not per page. Everything is a column expression.
 """
 
@@ -69,9 +72,9 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
 
 
 def skeleton(path: Column) -> Column:
-    """The segments of a path, those that look variable as wildcards."""
+    """The segments of a path: '*' for those that look variable, the others' names, marked where one reads like a wildcard."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    return F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).when(s.rlike(r"\A[*~\\]"), F.concat(F.lit("\\"), s)).otherwise(s))
 
 
 def grow_templates(skeletons: DataFrame, config: TemplateConfig) -> DataFrame:
