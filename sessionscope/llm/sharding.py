@@ -8,7 +8,8 @@ to take their size and are never shuffled.
 A cut is found without sorting: bytes are summed into ``bins`` equal ranges of the composite key
 (coordinate, hash of the row), and only the range that holds the quantile is summed again, finer. The
 hash part splits rows that share a coordinate, so a value that holds a third of all rows is cut like
-any other.
+any other. It begins with a hash of the text, so copies with the same metadata lie side by side and stay in one shard
+unless a cut falls among them, which only the size of their group can make likely.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from sessionscope.operators.staging import literal_rows, stage
 
 AXIS = 1 << 30  # positions along a dimension
-FINE = 1 << 32  # positions of the hash below a coordinate
+FINE = 1 << 32  # positions of the hash below a coordinate: half its bits tell the text, half the row
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,7 @@ def kd_tree_shards(
     empty), ``shard`` from 0, and ``slot``, gapless from 0 within a shard. Each cut misses its share by at
     most ``tolerance`` of a shard or one row. A null in a dimension lies at its own place (numbers: at 0).
     Rows are told apart by id, text and dimensions; rows equal in all of these fall on one side of every
-    cut. An empty table gives an empty result. Other columns of ``docs`` play no part.
+    cut. Copies (equal texts, equal dimensions) share a shard but where a cut falls among them. An empty table gives an empty result. Other columns of ``docs`` play no part.
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give either shards or target_bytes")
@@ -138,7 +139,10 @@ def kd_tree_shards(
     total = root["bytes"] or 0
     shards = shards or max(1, round(total / target_bytes))
     coords = F.array(*[_coordinate(i, d, root[f"lo{i}"] if i in numbers else None, root[f"hi{i}"] if i in numbers else None) for i, d in enumerate(dimensions)])
-    fine = F.pmod(F.xxhash64("id", "crc", "size", *[f"d{i}" for i in range(len(dims))]), F.lit(FINE)).cast("long")
+    half = 1 << 16
+    of_text = F.pmod(F.xxhash64("crc", "size"), F.lit(half))
+    of_row = F.pmod(F.xxhash64("id", "crc", "size", *[f"d{i}" for i in range(len(dims))]), F.lit(FINE // half))
+    fine = (of_text * (FINE // half) + of_row).cast("long")
     rows = meta.select("id", "size", "crc", coords.alias("coords"), fine.alias("fine"), F.lit(0).alias("node"))
 
     nodes = {0: (0, shards)}  # node: first shard, number of shards
