@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionscope.llm import licenses, mixing, pii, queries, sharding
 from tests.llm.data import SCHEMA, awkward, awkward_rows, empty
@@ -48,6 +50,59 @@ def test_shards_split_a_hot_value_evenly(spark):
     assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 6
 
 
+def plain_tree(rows, shards):
+    """Rows (size, coords, fine) to shards: sort by the key of the widest dimension and cut where the bytes come nearest the share."""
+    out, extent = {}, None
+
+    def split(members, first, k):
+        nonlocal extent
+        if k == 1 or not members:
+            out.update((m, first) for m in members)
+            return
+        spread = [(max(rows[m][1][d] for m in members), min(rows[m][1][d] for m in members)) for d in range(3)]
+        extent = extent or [max(1, h - lo) for h, lo in spread]
+        dim = max(range(3), key=lambda d: ((spread[d][0] - spread[d][1]) / extent[d], -d))
+        ordered = sorted(members, key=lambda m: rows[m][1][dim] * sharding.FINE + rows[m][2])
+        goal = sum(rows[m][0] for m in members) * (k // 2) / k
+        sums = [0]
+        for m in ordered:
+            sums.append(sums[-1] + rows[m][0])
+        at = min(range(len(sums)), key=lambda i: abs(sums[i] - goal))
+        split(ordered[:at], first, k // 2)
+        split(ordered[at:], first + k // 2, k - k // 2)
+
+    split(list(rows), 0, shards)
+    return out
+
+
+def test_shards_are_the_plain_tree(spark, sf_dir):
+    """The cuts found by ever finer ranges are those of sorting, but for rows within the tolerance of a cut."""
+    docs = documents(spark, sf_dir)
+    lo, hi = docs.agg(F.min("n_chars"), F.max("n_chars")).first()
+    at = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32("text").alias("crc"), F.col("source").alias("d0"), F.col("lang").alias("d1"), F.col("n_chars").cast("double").alias("d2"))
+    coords = F.array(*[sharding._coordinate(i, d, float(lo), float(hi)) for i, d in enumerate(sharding.DOCUMENT_DIMENSIONS)])
+    fine = F.pmod(F.xxhash64("crc", "size"), F.lit(1 << 16)) * 65536 + F.pmod(F.xxhash64("doc_id", "crc", "size", "d0", "d1", "d2"), F.lit(1 << 16))
+    rows = {r.doc_id: (r.size, r.coords, r.fine) for r in at.select("doc_id", "size", coords.alias("coords"), fine.alias("fine")).collect()}
+    want = plain_tree(rows, 24)
+    got = {r.doc_id: r.shard for r in sharding.kd_tree_shards(docs, shards=24, tolerance=0.0).collect()}
+    assert got == want
+
+
+def test_shards_keep_copies_together(spark):
+    rows = [(i, f"text number {i // 5} " * 5, "en", "a", 80) for i in range(4000)]
+    found = {r.doc_id: r.shard for r in sharding.kd_tree_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()}
+    split = sum(len({found[5 * g + i] for i in range(5)}) > 1 for g in range(800))
+    assert split <= 7  # a group a cut
+
+
+def test_shards_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", i) for i in range(200)], SCHEMA)
+    placed = sharding.kd_tree_shards(docs, shards=4)
+    sharding.write_shards(docs, placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r.doc_id, r.text, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id, f"text {r.doc_id}", r.shard, r.slot) for r in placed.collect())
+
+
 def test_shards_awkward_and_empty(spark):
     check_shards(sharding.kd_tree_shards(awkward(spark), shards=3).collect(), awkward_rows(), 3, 1.0)
     assert sharding.kd_tree_shards(empty(spark), shards=24).count() == 0
@@ -125,6 +180,34 @@ def test_pii_redaction(spark):
     assert rows[4] is None and rows[5] == "" and rows[7] == "one"
 
 
+def test_pii_secrets(spark):
+    hexes, mixed = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "q8Zr2Kx0Lm5Vb7Nc3Ty"
+    texts = {
+        1: f'erti token = "{hexes}" theaouor',
+        2: f"password: {mixed}",
+        3: f"commit {hexes} of the tree, and the key to it",
+        4: "token = " + "a" * 40 + " and secret = thereisnodigithereatall",
+        5: "AKIA" + "ABCDEFGH12345678" + " and -----BEGIN RSA PRIVATE KEY-----",
+        6: f"a bearer {mixed}, x@y.zz, the access key is {hexes}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    by = {r.doc_id: [(s["kind"], texts[r.doc_id][s["start"] : s["end"]]) for s in r.pii] for r in pii.find_pii(df).collect()}
+    assert by[1] == [("secret", hexes)] and by[2] == [("secret", mixed)] and by[3] == by[4] == []
+    assert [k for k, _ in by[5]] == ["key", "key"]
+    assert by[6] == [("secret", mixed), ("email", "x@y.zz"), ("secret", hexes)]
+    assert {r.doc_id: r.text for r in pii.redact(pii.find_pii(df)).collect()}[1] == 'erti token = "[SECRET]" theaouor'
+
+
+def test_pii_of_many_matches(spark):
+    """Positions, context and redaction of a text with 100,000 addresses, in time that follows its length."""
+    text = " ".join(f"é{i}@x{i % 7}.example" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    check_pii(pii.find_pii(df).collect(), {1: text})
+    assert pii.redact(pii.find_pii(df)).first().text == " ".join(["é[EMAIL]"] * 100_000)
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("text", ["1.2.3.4.5.6.7.8", "a@b.c%d@e.f.g", "5 6  7-8", "+1 (((((((", "+12 34567890123", "+1+2+3 444 555 6666", "12-34 56  4111111111111111 2", "4111-1111-1111-1111-4111-1111", "000255.0.0.1", "@a.b", "a@b..c", "x@-.-"])
 def test_pii_edge_texts(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +55,27 @@ def test_bpe_random_texts(encoder, library):
     same(encoder, library, ["".join(rng.choice("abcde") for _ in range(20_000))])
 
 
+def test_bpe_long_words(encoder, library):
+    """Runs without a break: random letters, one letter, encoded data, unspaced script."""
+    rng = random.Random(12)
+    began = time.time()
+    texts = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(1_000_000)), "a" * 300_001, "xy" * 100_000 + "x", "".join(rng.choice("日本語漢字仮名") for _ in range(50_000))]
+    texts += ["".join(rng.choice("ABCDEFGHabcdefgh") for _ in range(n)) for n in (1023, 1024, 1025, 5000)]
+    same(encoder, library, texts)
+    assert time.time() - began < 60
+
+
+def test_bpe_memo_is_bounded(library):
+    from sessionscope.llm.memo import Memo
+
+    small = bpe.Encoder(bpe.Vocabulary.load(BPE_PATH))
+    small.memo = Memo(10_000)
+    rng = random.Random(13)
+    for _ in range(20):
+        same(small, library, ["".join(rng.choice("abcde ") for _ in range(2000))])
+        assert small.memo.held < 10_000 + 700 and len(small.memo) < 100
+
+
 def test_bpe_documents(spark, sf_dir, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op6_bpe(spark, sf_dir).collect()
@@ -120,6 +143,21 @@ def test_fingerprints_awkward(spark):
     assert {r.fingerprint for r in fingerprints.fingerprints(awkward(spark)).where("doc_id in (4, 5)").collect()} == {fingerprints.fingerprint(b"")}
 
 
+def test_fingerprints_of_string_ids_and_repeated_rows(spark):
+    docs = [(f"k{i % 40:02d}", f"text {i % 7} " * (i % 11)) for i in range(200)] + [("hot", "the same text " * 9)] * 300 + [(None, "last")]
+    check_keyed(fingerprints.compare_with_edits(spark.createDataFrame(docs, "doc_id string, text string").repartition(7)).collect(), docs)
+
+
+def check_keyed(rows, docs):
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or "", hashlib.md5(d[1].encode()).hexdigest()), reverse=True)
+    want = []
+    for i, (key, text) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        edit = fingerprints.edited(text, following)
+        want.append((key or "", len(text), sha(edit), *[fingerprints.fingerprint(x.encode()) for x in (text, edit)]))
+    assert sorted((r.doc_id or "", r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in rows) == sorted(want)
+
+
 # ---- toxicity
 
 
@@ -193,6 +231,45 @@ def test_toxicity_model_is_plain_viterbi():
     assert toxicity.restore("a1b0", costs) == min(paths, key=lambda p: cost(*p))[0]
 
 
+def test_toxicity_weights_and_scores_are_plain_counts(spark):
+    """Weights from counting rows one by one, the curve from its own condition, scores from a document's distinct words."""
+    import math
+
+    rows, config = corpus(spark), toxicity.ToxicityConfig()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    used = [(set(t.split()), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    n = [sum(y == k for _, y in used) for k in (0, 1)]
+
+    def weight(t, c):
+        return math.log((t + 0.5) / (n[1] - t + 0.5)) - math.log((c + 0.5) / (n[0] - c + 0.5)) - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+
+    def counted(sets):
+        out = {}
+        for fs, y in sets:
+            for f in fs:
+                out.setdefault(f, [0, 0])[y] += 1
+        return {f: weight(t, c) for f, (c, t) in out.items() if t >= config.min_toxic_rows}
+
+    whole = {w: x for w, x in counted(used).items() if x >= config.min_weight}
+    stems = lambda ws: {g for w in ws if w not in whole for g in toxicity.grams(w)}
+    behind = {}
+    for w in {w for ws, y in used if y for w in ws if w not in whole}:
+        for g in toxicity.grams(w):
+            behind[g] = behind.get(g, 0) + 1
+    parts = {g: x for g, x in counted([(stems(ws), y) for ws, y in used]).items() if x >= config.min_stem_weight and behind.get(g, 0) >= config.min_stem_words}
+    want = {"=" + w: x for w, x in whole.items()} | parts
+    assert set(model.weights) == set(want) and all(abs(model.weights[f] - x) < 1e-12 for f, x in want.items()) and len(whole) >= 3
+
+    def evidence(ws):
+        return min(sum(whole[w] if w in whole else max((parts[g] for g in toxicity.grams(w) if g in parts), default=0.0) for w in ws), toxicity.MOST_EVIDENCE)
+
+    p = [(1 / (1 + math.exp(-model.slope * evidence(ws) - model.offset)), evidence(ws), y) for ws, y in used]
+    assert abs(sum((q - y) * x for q, x, y in p) + 0.5 * model.slope) < 1e-3 and abs(sum(q - y for q, _, y in p) + 0.05 * model.offset) < 1e-3
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(abs(score[i] - 1 / (1 + math.exp(-model.slope * evidence(set(t.split())) - model.offset))) < 1e-9 for i, t, _ in rows)
+
+
 # ---- URLs
 
 
@@ -258,6 +335,95 @@ def test_urls_reject_a_deep_branch(spark):
     assert {r.verdict for i, r in got.items() if i % 3 != 1 or i > 300} == {"allow"}
 
 
+def plain_templates(pages, labels, config):
+    """Template and purity of every page, one page at a time."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    good = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            good[i] = max(good.get(i, q), q)
+    segments, template = {}, {}
+    for i, url in pages:
+        host, path = split_url(url)
+        names = [s for s in path.split("/") if s]
+        names = ["*" if re.search(url_filters.VARIABLE.replace("\\z", r"\Z"), s, re.S) else "\\" + s if s[0] in "*~\\" else s for s in names]
+        segments[i], template[i] = (host, names), ""
+    for level in range(max(len(s) for _, s in segments.values())):
+        live = [i for i in segments if len(segments[i][1]) > level or level == 0 or len(segments[i][1]) == level]
+        groups = defaultdict(list)
+        for i in live:
+            host, names = segments[i]
+            groups[host, template[i]].append((i, names[level] if level < len(names) else ""))
+        for members in groups.values():
+            n, bad, known = Counter(), Counter(), Counter()
+            for i, s in members:
+                n[s] += 1
+                if i in good:
+                    known[s] += 1
+                    bad[s] += good[i] <= 0
+            total, all_bad, all_known = sum(n.values()), sum(bad.values()), sum(known.values())
+            variable = len(n) >= config.fan_out and len(n) >= config.distinct_share * total
+            share = (all_bad + 0.5) / (all_known + 1)
+            for i, s in members:
+                others = all_known - known[s]
+                alone = False
+                if known[s] and others:
+                    gap = abs(bad[s] / known[s] - (all_bad - bad[s]) / others)
+                    alone = gap > config.z * math.sqrt(share * (1 - share) * (1 / known[s] + 1 / others))
+                template[i] += "" if s == "" else "/*" if s == "*" or variable else "/" + s if alone else "/~"
+    tally, by_host = defaultdict(Counter), defaultdict(Counter)
+    for i, (host, _) in segments.items():
+        if i in good:
+            tally[host, template[i]]["good" if good[i] > 0 else "bad"] += 1
+            by_host[host]["good" if good[i] > 0 else "bad"] += 1
+    g, b = (sum(c[k] for c in by_host.values()) for k in ("good", "bad"))
+    top = min(1.0, (g + 1) / (g + b + 1))
+    out = {}
+    for i, (host, _) in segments.items():
+        h, t = by_host[host], tally[host, template[i]]
+        share = (h["good"] + config.pull * top) / (h["good"] + h["bad"] + config.pull)
+        out[i] = template[i], (t["good"] + config.pull * share) / (t["good"] + t["bad"] + config.pull)
+    return out
+
+
+def check_templates(rows, pages, labels):
+    config = url_filters.TemplateConfig()
+    want = plain_templates(pages, labels, config)
+    for r in rows:
+        template, purity = want[r.page_id]
+        assert r.template == template and abs(r.purity - purity) < 1e-9, (r, template, purity)
+        if r.rule is None:
+            assert r.verdict == ("block" if purity < config.min_purity else "allow")
+    return {r.verdict for r in rows if r.rule is None}
+
+
+def test_urls_templates_against_plain_python(spark, sf_dir):
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    check_templates(queries_judged(spark, pages, labels), pages, labels)
+    rng = random.Random(21)
+    hosts, words = ["a.b", "c.d", "e.f"], ["news", "spam", "x", "*", "~", "\\", "de", "12", "77", "ab12cd34ef"]
+    pages = [(i, f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(words) if rng.random() < 0.9 else f"w{rng.randrange(30)}" for _ in range(rng.randrange(7)))) for i in range(1500)]
+    labels = [(i, int(("spam" in u or "/*" in u) == (rng.random() < 0.1))) for i, u in pages if rng.random() < 0.7]
+    assert check_templates(queries_judged(spark, pages, labels), pages, labels) == {"allow", "block"}
+
+
+def queries_judged(spark, pages, labels):
+    return url_filters.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+
+
+def test_urls_tell_names_from_wildcards(spark):
+    """Pages under a literal '*' are bad, those under numbers good."""
+    pages = [(i, f"http://h.com/{'*' if i % 2 else i}/x") for i in range(40)] + [(100 + i, f"http://g.com/{'~' if i % 2 else 'n' + str(i % 4)}/x") for i in range(80)]
+    labels = [(i, 1 - i % 2) for i in range(40)] + [(100 + i, 1 - i % 2) for i in range(80)]
+    got = queries_judged(spark, pages, labels)
+    check_templates(got, pages, labels)
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
+
+
 # ---- neighbours
 
 
@@ -306,7 +472,7 @@ def test_neighbours_blocks_ties_and_bad_vectors(spark):
     rows += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0] * 7 + [None]), (None, [1.0] * 8), (1080, [1.0] * 3), (1100, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as block", "2 as cell", "3 as id")
     want = brute_neighbours([r for r in rows if r[1] is None or len(r[1]) == 8])
-    config = neighbours.AnnConfig(sample=300, cells=16, block_rows=64, query_rows=8, rerank=40)
+    config = neighbours.AnnConfig(sample=300, most_cells=16, block_bytes=64 * 64, query_bytes=8 * 64, rerank=40)
     got = gathered(neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0"), config=config))
     assert set(got) == set(want) and recall_of(got, want) >= 0.9
     assert [v for _, v, _ in sorted(got[0])] == [v for _, v in want[0]]  # ties go to the smaller ids
@@ -323,5 +489,5 @@ def test_neighbours_of_one_tight_cluster(spark):
     rows = [(i, (centre + rng.normal(size=16) * 1e-3).tolist()) if i % 20 == 0 else (i, v) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     want = brute_neighbours(rows)
-    got = gathered(neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0"), config=neighbours.AnnConfig(sample=1000, cells=32, rerank=40)))
+    got = gathered(neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0"), config=neighbours.AnnConfig(sample=1000, most_cells=32, rerank=40)))
     assert set(got) == set(want) and recall_of(got, want) >= 0.95
