@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.operators.categorical import SESSION_KEY
 from sessionscope.operators.ordering import with_global_index
+from sessionscope.operators.staging import stage
 
 # Fixed value: texts of a label that mean an anomaly.
 TRUE_WORDS = ("1", "true", "yes", "anomaly", "abnormal")
@@ -68,6 +69,27 @@ def pr_auc(scored: DataFrame, tie_order: list[Column], score_col: str = "score")
     return r["s"] / r["p"] if r["p"] else None
 
 
+def rank_areas(scored: DataFrame, by: str, tie_order: list[Column], score_col: str = "score") -> DataFrame:
+    """(by, roc_auc, pr_auc) of every value of ``by``, as ``roc_auc`` and ``pr_auc`` give them one by one; one global order for all."""
+    rows = scored.withColumns({"_hit": F.col("label").cast("long"), "_miss": (~F.col("label")).cast("long")})
+    rows = stage(rows.select(F.col(by).alias("_by"), F.col(score_col).alias("_score"), "label", "_hit", "_miss", *[c.alias(f"_tie{i}") for i, c in enumerate(tie_order)]), "ranked")
+    sums = [F.sum("_hit").alias("hits"), F.sum("_miss").alias("misses"), F.count("*").alias("n")]
+    totals = rows.groupBy("_by").agg(*sums)
+    ahead = Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)  # a row a value of ``by``
+    totals = stage(totals.select("*", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in ("hits", "misses", "n")]), "ranked-totals")
+
+    levels = rows.groupBy("_by", "_score").agg(F.sum("_hit").alias("pos"), F.sum("_miss").alias("neg"))
+    placed = with_global_index(levels, [F.col("_by"), F.col("_score")], "_idx", {"neg": "_below"}).join(totals, "_by")
+    below = F.col("_below") - F.col("misses_ahead") - F.col("neg") + F.col("neg") / 2
+    roc = placed.groupBy("_by").agg(F.try_divide(F.sum(F.col("pos") * below), F.first("hits") * F.first("misses")).alias("roc_auc"))
+
+    order = [F.col("_by"), F.col("_score").desc(), *[F.col(f"_tie{i}") for i in range(len(tie_order))]]
+    placed = with_global_index(rows, order, "_idx", {"_hit": "_hits"}).join(totals, "_by")
+    precision = (F.col("_hits") - F.col("hits_ahead")) / (F.col("_idx") - F.col("n_ahead") + 1)
+    pr = placed.groupBy("_by").agg(F.try_divide(F.sum(F.when(F.col("label"), precision)), F.first("hits")).alias("pr_auc"))
+    return roc.join(pr, "_by").withColumnRenamed("_by", by)
+
+
 def request_units(events: DataFrame, sessions: DataFrame, keys: tuple[str, ...] = SESSION_KEY) -> DataFrame:
     """A unit per request: its own label with its session's score and decision. ``events`` has a boolean label."""
     return events.select(*keys, "event_seq", "label").join(sessions.select(*keys, "score", "decision"), list(keys))
