@@ -6,41 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.routes import stripped
-from sessionscope.operators.sessions import number_sessions
+from sessionscope.operators.sessions import Heat, by_heat, number_sessions, number_sessions_sliced
+
+
+def clean_path(path: Column) -> Column:
+    """A path up to the query, without blanks around it or slashes behind it; '/' if nothing is left."""
+    bare = F.regexp_replace(stripped(F.regexp_replace(stripped(path), r"(?s)\?.*\z", "")), r"/+\z", "")
+    return F.when(bare == "", "/").otherwise(bare)
 
 
 def route_path(df: DataFrame) -> Column:
-    """normalized_uri (else uri) up to the query, without trailing slashes; '/' if nothing is left."""
+    """The clean path of normalized_uri, else of uri."""
     names = [F.nullif(F.col(n), F.lit("")) for n in ("normalized_uri", "uri") if n in df.columns]
-    path = F.regexp_replace(stripped(F.regexp_replace(stripped(F.coalesce(*names, F.lit(""))), r"(?s)\?.*\z", "")), r"/+\z", "")
-    return F.when(path == "", "/").otherwise(path)
+    return clean_path(F.coalesce(*names, F.lit("")))
 
 
 def _route_name(df: DataFrame) -> Column:
     return stripped(F.coalesce(F.col("route_name"), F.lit(""))) if "route_name" in df.columns else F.lit("")
 
 
-def _paths(rows: DataFrame, col: str) -> Column:
-    path = F.regexp_replace(F.regexp_replace(stripped(F.col(col)), r"(?s)\?.*\z", ""), r"/+\z", "")
-    return F.when(path == "", "/").otherwise(path)
+def _listed_names(names: DataFrame, mark: str) -> DataFrame:
+    return names.select(stripped(F.col("route_name")).alias("_n")).where("_n <> ''").distinct().withColumn(mark, F.lit(True))
 
 
-def exclude_routes(events: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows whose path and route name are in neither list. ``paths`` has a column path, ``names`` a column route_name."""
-    bad_paths = paths.where(stripped(F.col("path")) != "").select(_paths(paths, "path").alias("_p")).distinct()
-    bad_names = names.select(stripped(F.col("route_name")).alias("_n")).where("_n <> ''").distinct()
+def flag_excluded(events: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:
+    """Add excluded: whether the path or the route name is in a list. ``paths`` has a column path, ``names`` a column route_name;
+    blank entries list nothing."""
+    bad_paths = paths.where(stripped(F.col("path")) != "").select(clean_path(F.col("path")).alias("_p")).distinct().withColumn("_bad_path", F.lit(True))
     keyed = events.withColumns({"_path": route_path(events), "_name": _route_name(events)})
-    kept = keyed.join(bad_paths, F.col("_path") == F.col("_p"), "left_anti").join(bad_names, F.col("_name") == F.col("_n"), "left_anti")
-    return kept.drop("_path", "_name")
+    joined = keyed.join(bad_paths, F.col("_path") == F.col("_p"), "left").join(_listed_names(names, "_bad_name"), F.col("_name") == F.col("_n"), "left")
+    flag = F.coalesce("_bad_path", "_bad_name", F.lit(False))
+    return joined.withColumn("excluded", flag).drop("_path", "_name", "_p", "_n", "_bad_path", "_bad_name")
+
+
+def exclude_routes(events: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows whose path and route name are in neither list."""
+    return flag_excluded(events, paths, names).where("not excluded").drop("excluded")
 
 
 def allowlist_flag(events: DataFrame, inventory: DataFrame, names: DataFrame) -> DataFrame:
     """Add by_path and by_name: whether (any method or this one, path), or the exact route name, is in the inventory."""
-    pairs = inventory.select(F.upper(stripped(F.col("method"))).alias("_m"), F.regexp_replace(stripped(F.col("path")), r"/+\z", "").alias("_p"))
-    pairs = pairs.withColumn("_p", F.when(F.col("_p") == "", "/").otherwise(F.col("_p"))).groupBy("_p").agg(F.collect_set("_m").alias("_methods"))
-    listed = names.select(stripped(F.col("route_name")).alias("_n")).where("_n <> ''").distinct().withColumn("_listed", F.lit(True))
+    pairs = inventory.select(F.upper(stripped(F.col("method"))).alias("_m"), clean_path(F.col("path")).alias("_p"))
+    pairs = pairs.groupBy("_p").agg(F.collect_set("_m").alias("_methods"))
     keyed = events.withColumns({"_path": route_path(events), "_name": _route_name(events), "_verb": F.upper(stripped(F.coalesce(F.col("method"), F.lit(""))))})
-    joined = keyed.join(pairs, F.col("_path") == F.col("_p"), "left").join(listed, F.col("_name") == F.col("_n"), "left")
+    joined = keyed.join(pairs, F.col("_path") == F.col("_p"), "left").join(_listed_names(names, "_listed"), F.col("_name") == F.col("_n"), "left")
     by_path = F.coalesce(F.array_contains("_methods", F.lit("*")) | F.array_contains("_methods", F.col("_verb")), F.lit(False))
     return joined.withColumns({"by_path": by_path, "by_name": F.coalesce("_listed", F.lit(False))}).drop("_path", "_name", "_verb", "_p", "_methods", "_n", "_listed")
 
@@ -57,11 +66,22 @@ def curate(events: DataFrame, inventory: DataFrame, names: DataFrame, *, enabled
     return flagged.withColumns({"classification": label, "reason": reason}).drop("by_path", "by_name")
 
 
-def session_control(curated: DataFrame, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
-    """A client's whole inactivity session goes to review with any of its requests; rows without a time keep their own class."""
-    numbered = number_sessions(curated.where("ts is not null"), timeout_seconds, ip_col)
-    any_review = F.bool_or(F.col("classification") == "review").over(Window.partitionBy("session_ip", "session_no"))
-    marked = numbered.withColumn("_tainted", any_review).withColumns(
+def session_control(curated: DataFrame, timeout_seconds: int, ip_col: str = "ip", heat: Heat = Heat()) -> DataFrame:  # noqa: B008
+    """A client's whole inactivity session goes to review with any of its requests; rows without a time keep their own class.
+
+    Clients that send more than ``heat.rows`` requests are numbered in time slices, and their sessions' verdicts joined back.
+    """
+    review = F.bool_or(F.col("classification") == "review")
+    key = ["session_ip", "session_no"]
+
+    def plain(keyed: DataFrame) -> DataFrame:
+        return number_sessions(keyed, timeout_seconds, ip_col).withColumn("_tainted", review.over(Window.partitionBy(*key)))
+
+    def sliced(keyed: DataFrame) -> DataFrame:
+        numbered = number_sessions_sliced(keyed, timeout_seconds, heat.slice_seconds, ip_col)
+        return numbered.join(numbered.groupBy(*key).agg(review.alias("_tainted")), key)
+
+    marked = by_heat(curated.where("ts is not null"), ip_col, heat, plain, sliced).withColumns(
         {"classification": F.when(F.col("_tainted"), "review").otherwise(F.col("classification")), "reason": F.when(F.col("_tainted"), "session_contains_unallowlisted_route").otherwise(F.col("reason"))}
     )
     return marked.select(*curated.columns).unionByName(curated.where("ts is null"))

@@ -100,3 +100,41 @@ def test_catalog_conflicts(spark):
     assert curate.state_catalog(good, good.where("state_id = 't'")).count() == 1
     with pytest.raises(ValueError):
         curate.check_catalog(curate.state_catalog(good.union(spark.createDataFrame([("s", "x")], "a string, b string"))))
+
+
+def test_hot_clients_give_the_same_sessions(spark):
+    """One client with half of all requests, worked on in slices shorter and longer than its sessions."""
+    import random
+
+    from sessionscope.operators import curate
+
+    rng = random.Random(17)
+    rows, clock = [], 0
+    for i in range(3000):
+        clock += rng.choice([0, 1, 3, 8, 30, 61, 200])
+        rows.append((i, None if i % 2 else f"c{i % 9}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=clock), "review" if rng.random() < 0.05 else "normal", "r"))
+    df = spark.createDataFrame(rows, "event_seq bigint, ip string, ts timestamp, classification string, reason string")
+    key = ["event_seq", "session_ip", "session_no", "pos", "n_events", "session_start"]
+    plain = sorted(sessions.ip_sessions(df, 60, 2).select(key).collect())
+    tainted = sorted(curate.session_control(df, 60).select("event_seq", "classification", "reason").collect())
+    for seconds in (7, 100, 5000):
+        heat = sessions.Heat(rows=1000, slice_seconds=seconds)
+        assert sorted(sessions.ip_sessions(df, 60, 2, heat=heat).select(key).collect()) == plain
+        assert sorted(curate.session_control(df, 60, heat=heat).select("event_seq", "classification", "reason").collect()) == tainted
+        assert sorted(sessions.number_sessions_sliced(df, 60, seconds).select("event_seq", "session_no").collect()) == sorted(sessions.number_sessions(df, 60).select("event_seq", "session_no").collect())
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    import types
+
+    from sessionscope.operators import staging
+
+    def session(master, folder=None):
+        conf = types.SimpleNamespace(get=lambda k, d=None: folder or d)
+        return types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert staging.shared_dir(session("spark://x:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    assert staging.shared_dir(session("local[4]"))
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            staging.shared_dir(session(master))
