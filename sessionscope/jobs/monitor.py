@@ -1,20 +1,62 @@
-"""The live monitor as a job: two streams over one log folder, session scores with alert changes, and the quarantine."""
+"""The live monitor as a job: streams over one log folder for session scores, the alert table and the quarantine."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sessionscope.operators.categorical import score_requests
+from sessionscope.operators.categorical import UNSEEN, score_requests
+from sessionscope.operators.markov import MarkovModel
 from sessionscope.sources.models import Detector
 from sessionscope.streaming import live
 
 
-def arrivals(events: DataFrame) -> DataFrame:
-    """Parsed requests with an order inside a trigger: their time, then a hash of the line, for log times are whole seconds."""
-    tie = F.pmod(F.xxhash64("source_file", "raw_line"), F.lit(1_000_000))
-    return events.withColumn("event_seq", F.unix_seconds("ts") * 1_000_000 + tie)
+def markov_costs(model: MarkovModel, most_cells: int = 1_000_000) -> live.Costs:
+    """The chain as a table for streams: counted cells and starts, and each row's default. Its size is checked: more than
+    ``most_cells`` counted cells are an error, for a table of them goes to every task."""
+    if model.steps.count() + model.k > most_cells:
+        raise ValueError(f"a monitor can't hold a chain of more than {most_cells} counted cells")
+    bits = lambda p: -F.log2(p)
+    cells: dict[tuple[str | None, str], float] = {(r["from_state"], r["to_state"]): r["b"] for r in model.transitions().select("from_state", "to_state", bits("p").alias("b")).collect()}
+    cells |= {(None, r["state"]): r["b"] for r in model.initial().select("state", bits("p_initial").alias("b")).collect()}
+    default = F.lit(model.smoothing) / (F.col("n_from") + model.smoothing * model.k)
+    rows: dict[str | None, float] = {r["state"]: r["b"] for r in model.states.select("state", bits(default).alias("b")).collect()}
+    return live.Costs(cells, rows | {None: cells[None, UNSEEN]})
+
+
+def alert_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The last version of the alert table under ``path`` (of those before micro-batch ``before``); empty where there is none.
+
+    Every micro-batch writes a whole version, for alerts are few beside requests; older versions may be deleted at any time.
+    """
+    schema = live.ALERTS.format(seq="string")
+    try:
+        rows = spark.read.schema(f"{schema}, epoch bigint").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rows = rows if before is None else rows.where(F.col("epoch") < before)
+    last = rows.agg(F.max("epoch")).first()[0]
+    return rows.where(F.lit(False) if last is None else F.col("epoch") == last).drop("epoch")
+
+
+def store_changes(out: str) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does: its rows go to ``live``, its alert changes into the next version of ``alerts``. A batch that runs
+    again writes the same places."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        place = f"{out}/live/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(place)
+        changes = spark.read.schema(batch.schema).parquet(place)
+        live.merge_alerts(alert_table(spark, f"{out}/alerts", epoch), changes).write.mode("overwrite").parquet(f"{out}/alerts/epoch={epoch}")
+
+    return each
 
 
 def start_monitor(
@@ -26,20 +68,27 @@ def start_monitor(
     names: DataFrame,
     timeout_seconds: int | None = None,
     once: bool = False,
+    glob: str | None = None,
+    state_ttl: str = "1 day",
 ) -> list[StreamingQuery]:
-    """Start both streams; tables ``live`` and ``quarantine`` and their checkpoints lie under ``out``.
+    """Start both streams: session scores with the alert table that they change, and the quarantine. Tables ``live``, ``alerts``,
+    ``quarantine`` and the checkpoints lie under ``out``.
 
     The monitor's timeout must be the model's. ``once`` handles what is there and stops.
     """
     c = detector.config
     if timeout_seconds not in (None, c.timeout_seconds):
         raise ValueError("the monitor's session timeout differs from the model's")
-    kept, quarantine = live.stream_parse(live.stream_log_lines(spark, folder), paths, names)
-    scored = score_requests(arrivals(kept), detector.model, c.mode)
-    sessions = live.live_sessions(scored, detector.reference, detector.aep_threshold, c.timeout_seconds, state_ttl=None if once else "1 day")
+    kept, quarantine = live.stream_parse(live.stream_log_lines(spark, folder, glob=glob), paths, names, c.state_fields)
+    costs = markov_costs(detector.model) if isinstance(detector.model, MarkovModel) else None
+    scored = kept if costs else score_requests(kept, detector.model, c.mode)
+    sessions = live.live_sessions(scored, detector.reference, detector.aep_threshold, c.timeout_seconds, None if once else state_ttl, costs)
 
-    def start(df: DataFrame, name: str) -> StreamingQuery:
-        writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/checkpoints/{name}")
-        return (writer.trigger(availableNow=True) if once else writer).start(f"{out}/{name}")
+    def start(writer: DataStreamWriter, name: str) -> StreamingQuery:
+        writer = writer.outputMode("append").option("checkpointLocation", f"{out}/checkpoints/{name}")
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
-    return [start(sessions, "live"), start(quarantine, "quarantine")]
+    return [
+        start(sessions.writeStream.foreachBatch(store_changes(out)), "live"),
+        start(quarantine.writeStream.format("parquet").option("path", f"{out}/quarantine"), "quarantine"),
+    ]

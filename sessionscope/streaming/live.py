@@ -7,101 +7,148 @@ on plain windows, which gives the same rows for the same arrivals.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionscope.functions.parse import parse_log_lines
-from sessionscope.functions.routes import stripped
-from sessionscope.operators.curate import exclude_routes, route_path
+from sessionscope.operators.categorical import UNSEEN
+from sessionscope.operators.curate import flag_excluded
 from sessionscope.operators.prepare import event_time, with_states
 from sessionscope.operators.sessions import client
 from sessionscope.sources.logs import log_glob
 
-LIVE = "session_ip string, session_no int, event_seq bigint, ts timestamp, n_events int, information_score double, anomalous boolean, alert_change string"
-STATE = "last_ts timestamp, session_no int, n_events int, bits double, alert_open boolean"
 
+def live_schema(seq: str = "bigint") -> str:
+    """Columns of the live table; ``seq`` is the type of event_seq. (session_ip, session_start, first_seq) names a session for good:
+    session_no begins again when a client's state has gone."""
+    return (
+        f"session_ip string, session_start timestamp, first_seq {seq}, session_no int, event_seq {seq}, ts timestamp, "
+        "n_events int, information_score double, anomalous boolean, alert_change string"
+    )
+
+
+LIVE = live_schema()
+SESSION = ("session_ip", "session_start", "first_seq")
+
+
+def _state_schema(seq: str) -> str:
+    return f"last_ts timestamp, last_seq {seq}, session_start timestamp, first_seq {seq}, session_no int, n_events int, bits double, alert_open boolean, last_state string"
+
+
+def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100, glob: str | None = None) -> DataFrame:
+    """Request lines of new files: raw_line, source_file, event_seq. Whole files as they appear: roll files, or put a queue in front;
+    appends aren't seen.
+
+    event_seq is text that sorts by file name, block start and place in the block, the order in which lines came. Places are
+    counted while a task reads its split; nothing is moved.
+    """
+    stream = spark.readStream.option("pathGlobFilter", glob or log_glob("routes")).option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    lines = stream.select(F.col("value").alias("raw_line"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            names, blocks = b.column(1).to_pylist(), b.column(2).to_pylist()
+            seq = [f"{n.lower()}:{k:015d}:{i:012d}" for i, (n, k) in enumerate(zip(names, blocks, strict=True), at)]
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seq, pa.string())], names=["raw_line", "source_file", "event_seq"])
 
-def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """Request lines of new files (raw_line, source_file). Whole files as they appear: roll files, or put a queue in front; appends aren't seen."""
-    stream = spark.readStream.option("pathGlobFilter", log_glob("routes")).option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return stream.select(F.col("value").alias("raw_line"), F.col("_metadata.file_name").alias("source_file"))
+    return lines.mapInArrow(number, "raw_line string, source_file string, event_seq string")
 
 
-def stream_parse(lines: DataFrame, paths: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+def stream_parse(lines: DataFrame, paths: DataFrame, names: DataFrame, fields: tuple[str, ...] = ("url_group", "status_category")) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of a stream or a batch of lines: the batch functions, line by line.
 
     The quarantine keeps the raw line with its file and reason: parse status, invalid_timestamp, or excluded_route.
     """
     parsed = parse_log_lines(lines, "routes").withColumn("ts", event_time(F.col("timestamp")))
-    stated = with_states(parsed)
+    stated = with_states(parsed, fields)
     reason = F.when(F.col("parse_status") != "ok", F.col("parse_status")).when(F.col("ts").isNull(), "invalid_timestamp")
-    marked = stated.withColumn("reason", reason)
-    good = marked.where("reason is null")
-    kept = exclude_routes(good, paths, names).drop("reason")
-    excluded = _excluded(good, paths, names)
-    bad = marked.where("reason is not null").select("source_file", "raw_line", "reason")
-    return kept, bad.unionByName(excluded)
+    marked = flag_excluded(stated.withColumn("reason", reason), paths, names)
+    reason = F.coalesce("reason", F.when(F.col("excluded"), "excluded_route"))  # one flag decides for both sides
+    marked = marked.withColumn("reason", reason).drop("excluded")
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("source_file", "raw_line", "reason")
 
 
-def _excluded(good: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:
-    listed_paths = paths.select(F.col("path").alias("_p")).distinct().withColumn("_bp", F.lit(True))
-    listed_names = names.select(F.col("route_name").alias("_n")).distinct().withColumn("_bn", F.lit(True))
-    keyed = good.withColumns({"_path": route_path(good), "_name": stripped(F.coalesce(F.col("route_name"), F.lit("")))})
-    hit = keyed.join(listed_paths, F.col("_path") == F.col("_p"), "left").join(listed_names, F.col("_name") == F.col("_n"), "left")
-    return hit.where(F.col("_bp") | F.col("_bn")).select("source_file", "raw_line", F.lit("excluded_route").alias("reason"))
+@dataclass(frozen=True)
+class Costs:
+    """Bits of a Markov step, for streams: a bounded table of counted cells, and what every other cell of a row or of the start costs."""
 
+    cells: dict[tuple[str | None, str], float]
+    rows: dict[str | None, float]
 
-def _advance(reference: float, threshold: float, timeout_seconds: float) -> Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]]:
-    """One client's arrivals (event_seq, ts, bits) against its state; gives the new state and a row an arrival, and a row for every alert resolved."""
+    def bits(self, before: str | None, state: str) -> float:
+        return self.cells.get((before, state), self.rows[before])
+
+
+def _advance(reference: float, threshold: float, timeout_seconds: float, costs: Costs | None = None) -> Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]]:
+    """One client's arrivals (event_seq, ts, bits or state) against its state; gives the new state and a row an arrival, and a row for every alert resolved."""
 
     def run(state: tuple, arrivals: list[tuple]) -> tuple[tuple, list[tuple]]:
-        last, no, n, bits, alert = state
+        last, last_seq, start, first, no, n, bits, alert, previous = state
         out = []
         for seq, ts, cost in arrivals:
             if last is not None and (ts - last).total_seconds() > timeout_seconds:
                 if alert:
-                    out.append((no, seq, ts, n, None, None, "resolved"))
-                no, n, bits, alert = no + 1, 0, 0.0, False
-            n, bits, last = n + 1, bits + cost, ts
+                    out.append((start, first, no, seq, ts, n, None, None, "resolved"))
+                no, n, bits, alert, previous = no + 1, 0, 0.0, False, None
+            if n == 0:
+                start, first = ts, seq
+            if costs is not None:
+                known = cost if cost in costs.rows else UNSEEN
+                previous, cost = known, costs.bits(previous, known)
+            n, bits, last, last_seq = n + 1, bits + cost, ts, seq
             score = bits / n
             bad = abs(score - reference) > threshold
-            out.append((no, seq, ts, n, score, bad, ("updated" if alert else "inserted") if bad else None))
+            out.append((start, first, no, seq, ts, n, score, bad, ("updated" if alert else "inserted") if bad else None))
             alert = alert or bad
-        return (last, no, n, bits, alert), out
+        return (last, last_seq, start, first, no, n, bits, alert, previous), out
 
     return run
 
 
-def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float, state_ttl: str | None = "1 day") -> DataFrame:
+def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float, state_ttl: str | None = "1 day", costs: Costs | None = None) -> DataFrame:
     """A stream of scored requests (url_bits, status_bits) as a stream of session scores and alert changes, in order of arrival.
 
     A session ends when its client's next request comes over ``timeout_seconds`` after the last one seen; late requests never
-    split. Idle clients' state goes after ``state_ttl``; give None for a run over what is there now (availableNow), which would
-    otherwise wait for the clock.
+    split. Idle clients' state goes after ``state_ttl``, and an alert still open is resolved then; give None for a run over what is
+    there now (availableNow), which would otherwise wait for the clock. With ``costs`` the requests are Markov steps instead: they
+    have a state_id, and what they cost follows from the client's state before.
     """
-    step = _advance(reference, threshold, timeout_seconds)
+    seq = scored.schema["event_seq"].dataType.simpleString()
+    step = _advance(reference, threshold, timeout_seconds, costs)
     ttl_ms = int(pd.Timedelta(state_ttl).total_seconds() * 1000) if state_ttl else None
+    names = ["session_start", "first_seq", "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change"]
+
+    def made(key: tuple, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=names)
+        frame.insert(0, "session_ip", key[0])
+        return frame
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            last, last_seq, start, first, no, n, _, alert, _ = state.get
             state.remove()
+            if alert:
+                yield made(key, [(start, first, no, last_seq, last, n, None, None, "resolved")])
             return
-        rows = pd.concat(list(batches)).sort_values("event_seq")  # a client's rows of one trigger
-        before = state.get if state.exists else (None, 1, 0, 0.0, False)
-        now, out = step(tuple(before), list(zip(rows["event_seq"].tolist(), rows["ts"].tolist(), rows["bits"].tolist(), strict=True)))
+        rows = pd.concat(list(batches)).sort_values("event_seq")  # a client's rows of one trigger, bounded by maxFilesPerTrigger
+        before = tuple(state.get) if state.exists else (None, None, None, None, 1, 0, 0.0, False, None)
+        now, out = step(before, list(zip(rows["event_seq"].tolist(), rows["ts"].tolist(), rows["cost"].tolist(), strict=True)))
         state.update(now)
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        made = pd.DataFrame(out, columns=["session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change"])
-        made.insert(0, "session_ip", key[0])
-        yield made
+        yield made(key, out)
 
-    keyed = scored.select(client(scored).alias("session_ip"), F.col("event_seq").cast("long"), "ts", (F.col("url_bits") + F.col("status_bits")).alias("bits"))
+    cost = F.col("url_bits") + F.col("status_bits") if costs is None else F.col("state_id")
+    keyed = scored.select(client(scored).alias("session_ip"), "event_seq", "ts", cost.alias("cost"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if state_ttl else GroupStateTimeout.NoTimeout
-    return keyed.groupBy("session_ip").applyInPandasWithState(run, LIVE, STATE, "append", timeout)
+    return keyed.groupBy("session_ip").applyInPandasWithState(run, live_schema(seq), _state_schema(seq), "append", timeout)
 
 
 def live_sessions_batch(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float) -> DataFrame:
@@ -114,10 +161,11 @@ def live_sessions_batch(scored: DataFrame, reference: float, threshold: float, t
     rows = rows.withColumn("session_no", F.sum("_new").over(arrival.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     running = Window.partitionBy("session_ip", "session_no").orderBy("event_seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"n_events": F.count("*").over(running).cast("int"), "information_score": F.sum("bits").over(running) / F.count("*").over(running)})
+    rows = rows.withColumns({"session_start": F.first("ts").over(running), "first_seq": F.first("event_seq").over(running)})
     rows = rows.withColumn("anomalous", F.abs(F.col("information_score") - F.lit(reference)) > F.lit(threshold))
     nth = F.count_if("anomalous").over(running)
     change = F.when(F.col("anomalous"), F.when(nth == 1, "inserted").otherwise("updated"))
-    return rows.withColumn("alert_change", change).select("session_ip", "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change")
+    return rows.withColumn("alert_change", change).select(*SESSION, "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change")
 
 
 def alert_lifecycle(live: DataFrame) -> DataFrame:
@@ -136,10 +184,44 @@ def alert_lifecycle(live: DataFrame) -> DataFrame:
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The last alert change of each session in a micro-batch: what ``foreachBatch`` merges into the alert table."""
+    """The last alert change of each session in a micro-batch: what ``merge_alerts`` brings into the alert table."""
     done = changes.where("alert_change is not null")
-    last = F.max_by(F.struct("alert_change", "event_seq", "ts", "n_events", "information_score"), F.struct("event_seq", F.col("alert_change") != "resolved"))
-    return done.groupBy("session_ip", "session_no").agg(last.alias("c")).select("session_ip", "session_no", "c.*")
+    last = F.max_by(F.struct("session_no", "alert_change", "event_seq", "ts", "n_events", "information_score"), F.struct(F.col("alert_change") == "resolved", "event_seq"))
+    score = F.max_by("information_score", F.when(F.col("information_score").isNotNull(), F.col("event_seq")))  # a resolution has none
+    first = F.min(F.when(F.col("alert_change") != "resolved", F.col("ts")))
+    return done.groupBy(*SESSION).agg(last.alias("c"), score.alias("last_score"), first.alias("first_ts")).select(*SESSION, "c.*", "last_score", "first_ts")
+
+
+ALERTS = (
+    "session_ip string, session_start timestamp, first_seq {seq}, alert_id string, session_no int, created_at timestamp, updated_at timestamp, n_events int, "
+    "information_score double, resolved boolean, acknowledged boolean"
+)
+
+
+def merge_alerts(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """The alert table after a micro-batch: new sessions are inserted, open ones updated, closed ones resolved (and so acknowledged).
+
+    A row a session, named by (session_ip, session_start, first_seq). An update makes an alert unacknowledged again; the creation
+    time stays. Both sides are small beside the requests: sessions with alerts only.
+    """
+    new = latest_changes(changes).select(*[F.col(c).alias(f"_{c}") if c in SESSION else c for c in (*SESSION, "session_no", "alert_change", "ts", "n_events", "last_score", "first_ts")])
+    old = alerts.select(*SESSION, *[F.col(c).alias(f"o_{c}") for c in alerts.columns if c not in SESSION])
+    both = old.join(new, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SESSION], "full")
+    changed, closes = F.col("alert_change").isNotNull(), F.coalesce(F.col("alert_change") == "resolved", F.lit(False))
+    key = {c: F.coalesce(c, F.col(f"_{c}")) for c in SESSION}
+    named = both.select(*[v.alias(c) for c, v in key.items()], *[c for c in both.columns if c not in SESSION and c not in {f"_{x}" for x in SESSION}])
+    pick = lambda mine, c: F.when(changed, F.coalesce(F.col(mine), F.col(f"o_{c}"))).otherwise(F.col(f"o_{c}"))
+    return named.select(
+        *SESSION,
+        F.coalesce("o_alert_id", F.sha2(F.to_json(F.struct(*SESSION)), 256)).alias("alert_id"),
+        pick("session_no", "session_no").alias("session_no"),
+        F.coalesce("o_created_at", "first_ts", "ts").alias("created_at"),
+        F.when(changed & ~closes, F.col("ts")).otherwise(F.coalesce("o_updated_at", "first_ts", "ts")).alias("updated_at"),
+        pick("n_events", "n_events").alias("n_events"),
+        pick("last_score", "information_score").alias("information_score"),
+        (closes | F.coalesce("o_resolved", F.lit(False))).alias("resolved"),
+        F.when(closes, True).when(changed, False).otherwise(F.coalesce("o_acknowledged", F.lit(False))).alias("acknowledged"),
+    )
 
 
 def scan_counters(parsed: DataFrame, excluded_reason: str = "excluded_route") -> DataFrame:

@@ -70,7 +70,7 @@ def test_monitor_from_files(spark, tmp_path):
 def test_monitor_job(spark, tmp_path):
     from sessionscope.config import SessionConfig
     from sessionscope.jobs import detector as jobs
-    from sessionscope.jobs.monitor import start_monitor
+    from sessionscope.jobs.monitor import alert_table, start_monitor
 
     rng = random.Random(4)
     rows = [(i, f"c{i % 6}", T0 + dt.timedelta(seconds=20 * i), rng.choice(["a.x", "a.x", "a.y", "b.z"]), rng.choice(["success", "success", "not_found"])) for i in range(600)]
@@ -85,11 +85,125 @@ def test_monitor_job(spark, tmp_path):
     paths, names = spark.createDataFrame([("/health",)], "path string"), spark.createDataFrame([("gone",)], "route_name string")
     for q in start_monitor(spark, str(tmp_path / "logs"), model, str(tmp_path / "out"), paths, names, once=True):
         q.awaitTermination()
-    got = spark.read.schema(live.LIVE).parquet(str(tmp_path / "out/live")).orderBy("event_seq").collect()
+    got = spark.read.schema(live.live_schema("string")).parquet(str(tmp_path / "out/live")).orderBy("event_seq").collect()
     assert [r.n_events for r in got] == [1, 2, 3, 4, 5] and [r.alert_change for r in got] == ["inserted"] + ["updated"] * 4
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "out/quarantine")).collect()] == ["malformed_line"]
+    alerts = alert_table(spark, str(tmp_path / "out/alerts")).collect()
+    assert [(r.session_ip, r.n_events, r.resolved, r.acknowledged) for r in alerts] == [("9.9.9.9", 5, False, False)]
     try:
         start_monitor(spark, str(tmp_path), model, str(tmp_path), paths, names, timeout_seconds=60)
         raise AssertionError("a differing timeout must be refused")
     except ValueError:
         pass
+
+
+LINE = '[2026-10-07 10:{:02d}:{:02d}] local.INFO: Route request completed. {{"method":"GET","route_name":"{}","uri":"{}","status":{},"ip":"{}"}}'
+
+
+def test_excluded_lines_are_quarantined_and_no_others(spark):
+    """Listed routes are read alike by both sides: blanks, queries, slashes and blank names."""
+    lines = [LINE.format(0, 1, "", "/health", 200, "a"), LINE.format(0, 2, "", "/x/?k=1", 200, "a"), LINE.format(0, 3, " gone ", "/y", 200, "a"), LINE.format(0, 4, "", "/y", 200, "a")]
+    df = spark.createDataFrame([("routes-1.log", x) for x in lines], "source_file string, raw_line string")
+    paths, names = spark.createDataFrame([("/health/",), (" /x?y",), ("",)], "path string"), spark.createDataFrame([("gone",), ("",), (" ",)], "route_name string")
+    kept, quarantine = live.stream_parse(df, paths, names)
+    assert [r.raw_line for r in kept.collect()] == [lines[3]]
+    assert sorted((r.raw_line, r.reason) for r in quarantine.collect()) == sorted((x, "excluded_route") for x in lines[:3])
+
+
+def test_lines_keep_file_and_line_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, part in (("routes-2.log", "b"), ("routes-1.log", "a"), ("Routes-3.log", "c")):
+        (tmp_path / "in" / name).write_text("".join(f"{part}{i}\n" for i in range(300)) + "same\nsame\n")
+    stream = live.stream_log_lines(spark, str(tmp_path / "in"), glob="*outes-*.log")
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("event_seq").collect()
+    assert [r.raw_line for r in rows] == [x for p in "abc" for x in [*(f"{p}{i}" for i in range(300)), "same", "same"]]
+    assert len({r.event_seq for r in rows}) == len(rows)
+
+
+def test_arrival_order_and_sessions_after_a_timeout_of_state():
+    """A late line doesn't split; a client whose state went starts a session of another name; an open alert is resolved then."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    step = live._advance(1.0, 0.5, 60)
+    fresh = (None, None, None, None, 1, 0, 0.0, False, None)
+    state, out = step(fresh, [("f:1", at(100), 3.0), ("f:2", at(30), 3.0), ("f:3", at(85), 1.0)])
+    assert [(r[0], r[1], r[2], r[5], r[8]) for r in out] == [(at(100), "f:1", 1, 1, "inserted"), (at(100), "f:1", 1, 2, "updated"), (at(100), "f:1", 1, 3, "updated")]
+    _, again = step(fresh, [("g:1", at(9000), 3.0)])
+    assert again[0][:2] == (at(9000), "g:1") and again[0][2] == 1
+    _, after = step(state, [("f:4", at(200), 1.0)])
+    assert [(r[1], r[8]) for r in after] == [("f:1", "resolved"), ("f:4", None)]
+
+
+def test_state_that_times_out_resolves_its_alert(spark, tmp_path):
+    """A client goes away with an open alert; its next session, after the state's time, has another name and the first one is closed."""
+    import time
+
+    schema = "event_seq string, ip string, ts timestamp, url_bits double, status_bits double"
+    spark.createDataFrame([("f:1", "a", T0, 5.0, 0.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    df = live.live_sessions(stream, 1.0, 0.5, 60, state_ttl="1 second")
+    job = df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(processingTime="1 second").start(str(tmp_path / "out"))
+
+    def wait(first_seq, change):
+        until = time.time() + 40
+        while time.time() < until:
+            time.sleep(1)
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                rows = spark.read.schema(live.live_schema("string")).parquet(str(tmp_path / "out")).collect()
+                if any((r.first_seq, r.alert_change) == (first_seq, change) for r in rows):
+                    return
+
+    wait("f:1", "resolved")
+    spark.createDataFrame([("f:2", "a", T0 + dt.timedelta(hours=9), 5.0, 0.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    wait("f:2", "inserted")
+    job.stop()
+    changes = spark.read.schema(live.live_schema("string")).parquet(str(tmp_path / "out"))
+    assert {(r.first_seq, r.session_no, r.alert_change) for r in changes.collect()} >= {("f:1", 1, "inserted"), ("f:1", 1, "resolved"), ("f:2", 1, "inserted")}
+    alerts = live.merge_alerts(spark.createDataFrame([], live.ALERTS.format(seq="string")), changes.where("first_seq = 'f:1' or alert_change = 'inserted'")).collect()
+    assert {(r.first_seq, r.resolved) for r in alerts} == {("f:1", True), ("f:2", False)}
+
+
+def test_alert_table_keeps_creation_and_acknowledgement(spark):
+    def change(seq, kind, ts, n, score=None):
+        return ("a", T0, "s", 1, seq, T0 + dt.timedelta(seconds=ts), n, score, score is not None, kind)
+
+    batch = lambda *rows: spark.createDataFrame(list(rows), live.live_schema("string"))
+    none = spark.createDataFrame([], live.ALERTS.format(seq="string"))
+    one = live.merge_alerts(none, batch(change("1", "inserted", 1, 1, 4.0), change("2", "updated", 2, 2, 5.0), change("3", None, 3, 3, 1.0)))
+    r = one.first()
+    assert (r.created_at, r.updated_at, r.n_events, r.information_score, r.resolved, r.acknowledged) == (T0 + dt.timedelta(seconds=1), T0 + dt.timedelta(seconds=2), 2, 5.0, False, False)
+    seen = one.withColumn("acknowledged", F.lit(True))
+    assert live.merge_alerts(seen, batch(change("4", None, 4, 4, 1.0))).first().acknowledged
+    again = live.merge_alerts(seen, batch(change("5", "updated", 5, 5, 6.0))).first()
+    assert not again.acknowledged and again.created_at == r.created_at and again.alert_id == r.alert_id
+    done = live.merge_alerts(one, batch(change("9", "resolved", 9, 5)))
+    assert (done.first().resolved, done.first().acknowledged, done.first().information_score, done.first().updated_at) == (True, True, 5.0, r.updated_at) and done.count() == 1
+
+
+def test_markov_monitor_equals_batch(spark, tmp_path):
+    """The chain as a table in the stream's state gives the scores of the batch functions."""
+    from sessionscope.config import SessionConfig
+    from sessionscope.jobs import detector as jobs
+    from sessionscope.jobs.monitor import start_monitor
+    from sessionscope.operators.prepare import preprocess_events
+    from sessionscope.functions.parse import parse_log_lines
+    from sessionscope.sources.logs import read_log_lines
+
+    rng = random.Random(11)
+    uris = ["/a/x", "/a/y", "/b/z", "/new/one"]
+    lines = [LINE.format(i // 60, i % 60, "", rng.choice(uris[:3] if i < 200 else uris), rng.choice([200, 404]), f"c{i % 5}") for i in range(300)]
+    for name, part in (("train", lines[:140]), ("check", lines[140:200]), ("live", lines[200:])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "routes-1.log").write_text("\n".join(part) + "\n")
+    events = {n: preprocess_events(parse_log_lines(read_log_lines(spark, str(tmp_path / n), "routes"), "routes")) for n in ("train", "check", "live")}
+    model = jobs.build(events["train"], events["check"], SessionConfig(timeout_seconds=20, min_events=1, model="markov"))
+    none = spark.createDataFrame([], "path string"), spark.createDataFrame([], "route_name string")
+    for q in start_monitor(spark, str(tmp_path / "live"), model, str(tmp_path / "out"), *none, once=True):
+        q.awaitTermination()
+    got = spark.read.schema(live.live_schema("string")).parquet(str(tmp_path / "out/live")).where("information_score is not null")
+    last = got.groupBy("session_ip", "session_start").agg(F.max("n_events").alias("n"), F.max_by("information_score", "n_events").alias("s")).collect()
+    want = jobs.detect(events["live"], model).where("mode = 'aep'").collect()
+    assert sorted((r.session_ip, r.n, round(r.s, 9)) for r in last) == sorted((r.session_ip, r.n_events, round(r.information_score, 9)) for r in want)
+    found = jobs.analyze_log(events["live"], model).collect()
+    assert found and all(len(r.transition_probabilities) == r.n_events - 1 and len(r.least_probable_transitions) <= 5 for r in found)
+    assert any(r.unknown_events for r in found)
