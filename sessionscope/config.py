@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 CATEGORICAL_MODES = ("independent", "joint", "status_given_url")
 STATE_FIELDS = ("method", "url_group", "status_category")
+MODELS = ("categorical", "markov")
 
 
 @dataclass(frozen=True)
@@ -15,7 +16,8 @@ class SessionConfig:
     timeout_seconds: int = 60
     min_events: int = 3
     smoothing: float = 0.5
-    mode: str = "status_given_url"
+    model: str = "categorical"
+    mode: str = "status_given_url"  # of the categorical model
     state_fields: tuple[str, ...] = ("url_group", "status_category")
     aep_quantile: float = 0.9
     density_quantile: float = 0.9
@@ -29,6 +31,7 @@ class SessionConfig:
     testing_ratio: float = 0.20
     session_control: bool = True
     apply_allowlist_to_validation: bool = True
+    counting_unit: str = "session"
 
     def __post_init__(self) -> None:
         if self.timeout_seconds <= 0 or self.min_events < 1:
@@ -37,6 +40,8 @@ class SessionConfig:
             raise ValueError("smoothing must be positive")
         if self.mode not in CATEGORICAL_MODES:
             raise ValueError(f"mode must be one of {CATEGORICAL_MODES}")
+        if self.model not in MODELS or self.counting_unit not in ("session", "request"):
+            raise ValueError(f"model must be one of {MODELS}, counting_unit session or request")
         fields = self.state_fields
         if not fields or len(set(fields)) != len(fields) or set(fields) - set(STATE_FIELDS):
             raise ValueError(f"state_fields must be a non-empty unique subset of {STATE_FIELDS}")

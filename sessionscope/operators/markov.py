@@ -54,7 +54,7 @@ def fit_markov(sequences: DataFrame, smoothing: float, keys: tuple[str, ...] = (
     return MarkovModel(states, pairs, smoothing, r["k"], r["n"])
 
 
-def stationary(model: MarkovModel, dense_limit: int = 2000, tolerance: float = 1e-12, most_rounds: int = 10_000) -> DataFrame:
+def stationary(model: MarkovModel, dense_limit: int = 500, tolerance: float = 1e-12, most_rounds: int = 10_000) -> DataFrame:
     """(state, pi) with pi P = pi. Up to ``dense_limit`` states solved on the driver, beyond by sparse power iteration on Spark."""
     spark, a, k = model.states.sparkSession, model.smoothing, model.k
     if k <= dense_limit:
@@ -119,8 +119,10 @@ def score_steps(sequences: DataFrame, model: MarkovModel, keys: tuple[str, ...]
 
 
 def score_sequences(steps: DataFrame, keys: tuple[str, ...] = ("session_ip", "session_no"), pos_col: str = "pos") -> DataFrame:
-    """A row a sequence: log_probability, information_score, p_initial, number of unseen states."""
+    """A row a sequence: log_probability, information_score, p_initial, number of unseen states; first and last time where there is one."""
+    times = [F.min("ts").alias("start_time"), F.max("ts").alias("end_time")] if "ts" in steps.columns else []
     return steps.groupBy(*keys).agg(
+        *times,
         F.count("*").cast("int").alias("n_events"),
         F.sum(F.log2("p")).alias("log_probability"),
         (-F.avg(F.log2("p"))).alias("information_score"),

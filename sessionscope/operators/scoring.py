@@ -54,8 +54,26 @@ def novelty_counts(scored_requests: DataFrame) -> DataFrame:
     )
 
 
-def session_costs(scored_requests: DataFrame) -> DataFrame:
-    """Ordered cost arrays of each session. For sessions that are reported: collect after the filter."""
-    item = F.struct("pos", "url_bits", "status_bits")
-    ordered = F.array_sort(F.collect_list(item))
-    return scored_requests.groupBy(*SESSION_KEY).agg(F.transform(ordered, lambda x: x["url_bits"]).alias("url_bits"), F.transform(ordered, lambda x: x["status_bits"]).alias("status_bits"))
+def session_details(scored: DataFrame, least: int = 5) -> DataFrame:
+    """What the record of a reported session adds to its scores, from its scored requests; for sessions that are reported, so
+    collect after the filter.
+
+    ``unknown_events`` (pos, state_description or what was unseen). Categorical: url_bits and status_bits in order. Markov:
+    probabilities of the steps in order and the ``least`` least probable transitions.
+    """
+    in_order = lambda *cols: F.array_sort(F.collect_list(F.struct("pos", *cols)))
+    take = lambda items, c: F.transform(items, lambda x: x[c])
+    if "p" in scored.columns:
+        known_as = F.struct("pos", F.col("state_id").alias("state"))
+        step = F.struct("p", "pos", F.col("previous_state").alias("from_state"), F.col("scored_state").alias("to_state"))
+        return scored.groupBy(*SESSION_KEY).agg(
+            F.array_sort(F.collect_list(F.when(F.col("unknown_state"), known_as))).alias("unknown_events"),
+            take(F.filter(in_order("p", "previous_state"), lambda x: x["previous_state"].isNotNull()), "p").alias("transition_probabilities"),
+            F.slice(F.array_sort(F.collect_list(F.when(F.col("previous_state").isNotNull(), step))), 1, least).alias("least_probable_transitions"),
+        )
+    unseen = F.struct("pos", "url_group", "status_category", "unknown_url", "unknown_status")
+    return scored.groupBy(*SESSION_KEY).agg(
+        F.array_sort(F.collect_list(F.when(F.col("unknown_url") | F.col("unknown_status"), unseen))).alias("unknown_events"),
+        take(in_order("url_bits", "status_bits"), "url_bits").alias("url_bits"),
+        take(in_order("url_bits", "status_bits"), "status_bits").alias("status_bits"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from sessionscope.functions import routes
 from sessionscope.functions.parse import parse_log_lines, parse_summary
 from sessionscope.jobs import detector as jobs
+from sessionscope.jobs import workflow
 from sessionscope.operators import categorical, curate, density, evaluate, markov, prepare, reports, scoring, sessions, thresholds
+from sessionscope.operators.ordering import with_global_index
 from sessionscope.operators.staging import shared_dir, stage
 from sessionscope.queries import tables as t
 from sessionscope.sources import logs, models
@@ -133,12 +136,18 @@ def preprocess_events(spark, sf_dir):
     return prepare.preprocess_events(parse_log_lines(t.log_lines(spark, sf_dir), "routes")).select("event_seq", "method", "uri", "status", "ip", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+#: some lines' months are 13, some addresses are blank
+_SPOILT_LINE = "case when event_id % 23 = 0 then regexp_replace(raw_line, '-[0-9][0-9]-', '-13-') when event_id % 29 = 0 then regexp_replace(raw_line, '\"ip\":\"[^\"]*\"', '\"ip\":\" \"') else raw_line end"
+
+
 @query(
-    f"""with {t.PARSED} select count(*) as input_rows, count(*) filter (parse_status = 'ok') as processed_rows, count(*) filter (parse_status <> 'ok') as skipped_rows,
-    count(*) filter (parse_status <> 'ok') as skipped_parse_status, 0 as skipped_invalid_timestamp, 0 as rows_without_ip from parsed"""
+    f"""with {t.PARSED}, x as (select *, parse_status = 'ok' as ok, event_seq % 23 = 0 as late, event_seq % 29 = 0 as blank from parsed)
+    select count(*) as input_rows, count(*) filter (ok and not late) as processed_rows, count(*) filter (not ok or late) as skipped_rows,
+    count(*) filter (not ok) as skipped_parse_status, count(*) filter (ok and late) as skipped_invalid_timestamp, count(*) filter (ok and not late and blank) as rows_without_ip from x"""
 )
 def preprocess_summary(spark, sf_dir):
-    return prepare.preprocess_summary(parse_log_lines(t.log_lines(spark, sf_dir), "routes"))
+    lines = t.log_lines(spark, sf_dir).withColumn("event_id", F.col("event_seq")).withColumn("raw_line", F.expr(_SPOILT_LINE)).drop("event_id")
+    return prepare.preprocess_summary(parse_log_lines(lines, "routes"))
 
 
 @query(
@@ -194,20 +203,31 @@ def session_control(spark, sf_dir):
     return curate.session_control(_curated(spark, sf_dir), 600).select("event_seq", "classification", "reason")
 
 
+@query(
+    f"""with {t.PREP}, hotp as (select * replace (case when event_seq % 2 = 1 then '' else ip end as ip) from prep), {t.curated_sql("hotp")},{t.sessions_sql("curated", "cs", timeout=20, min_events=1)}
+    select event_seq, case when bool_or(classification = 'review') over w then 'review' else classification end as classification, case when bool_or(classification = 'review') over w then 'session_contains_unallowlisted_route' else reason end as reason from cs window w as (partition by session_ip, session_no)"""
+)
+def session_control_hot(spark, sf_dir):
+    curated = curate.curate(_hot(spark, sf_dir), t.inventory(spark, sf_dir), t.listed_names(spark, sf_dir))
+    return curate.session_control(curated, 20, heat=_HEAT).select("event_seq", "classification", "reason")
+
+
 @query(f"with {_CONTROLLED} select classification, reason, count(*) as n_requests from ctl group by 1, 2")
 def curation_summary(spark, sf_dir):
     return curate.curation_summary(curate.session_control(_curated(spark, sf_dir), 600))
 
 
 @query(
-    f"""with {_CONTROLLED} select 'train' as part, count(*) as n, sum(event_seq) as total from ctl where classification = 'normal' union all select 'upload', count(*), sum(event_seq) from kept
-    union all select 'test', count(*), sum(event_seq) from prep"""
+    f"""with {_CONTROLLED} select part, count(*) as n, sum(event_seq) as total from ctl cross join (values ('train'), ('validate')) p(part) where classification = 'normal' group by 1 union all select part, count(*), sum(event_seq) from kept cross join (values ('upload'), ('validate_loose')) p(part) group by 1
+    union all select part, count(*), sum(event_seq) from prep cross join (values ('test'), ('detect')) p(part) group by 1"""
 )
 def partition_policy(spark, sf_dir):
     p = t.prepared(spark, sf_dir)
     args = {"paths": t.excluded_paths(spark, sf_dir), "route_names": t.excluded_names(spark, sf_dir), "inventory": t.inventory(spark, sf_dir), "names": t.listed_names(spark, sf_dir), "timeout_seconds": 600}
-    parts = [curate.partition_policy(p, part, **args).agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.sum("event_seq").alias("total")) for part in ("train", "upload", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = {part: curate.partition_policy(p, part, **args) for part in ("train", "validate", "upload", "test", "detect")}
+    parts["validate_loose"] = curate.partition_policy(p, "validate", **args, allowlist_in_validation=False)
+    sums = [rows.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.sum("event_seq").alias("total")) for part, rows in parts.items()]
+    return reduce(DataFrame.unionByName, sums)
 
 
 @query(f"with {t.PREP} select concat('state-v5:', sha256({_STATE})) as state_id, any_value({_STATE}) as state_description, 1 as descriptions from prep group by 1")
@@ -232,6 +252,23 @@ def sliced_sessions(spark, sf_dir):
     return sessions.number_sessions_sliced(t.requests(spark, sf_dir), 21_600, 7 * 86_400).select("event_seq", "session_ip", "session_no")
 
 
+#: half of all requests from one client: those of odd numbers have no address
+_HOT_REQ = "hot as (select * replace (case when event_seq % 2 = 1 then '' else ip end as ip) from prep)"
+
+
+def _hot(spark, sf_dir):
+    return t.prepared(spark, sf_dir).withColumn("ip", F.when(F.col("event_seq") % 2 == 1, "").otherwise(F.col("ip")))
+
+
+_HEAT = sessions.Heat(rows=500, slice_seconds=6 * 3600)
+
+
+@query(f"with {t.PREP},{_HOT_REQ},{t.sessions_sql('hot', 'sess', timeout=600, min_events=2)} select event_seq, session_ip, session_no, pos, n_events, cast(epoch_us(session_start) as bigint) as start_us from sess")
+def ip_sessions_hot(spark, sf_dir):
+    rows = sessions.ip_sessions(_hot(spark, sf_dir), 600, 2, heat=_HEAT)
+    return rows.select("event_seq", "session_ip", "session_no", "pos", "n_events", F.unix_micros("session_start").alias("start_us"))
+
+
 _ORDERS = "select o_orderkey as event_seq, o_orderdate as ts, cast(o_custkey as {t}) as ip from orders"
 
 
@@ -349,13 +386,12 @@ def score_sessions(spark, sf_dir):
 
 # ---- Markov model: roles of conversations
 
-_CONV = """conv as (select conv_id, turn, role, conv_id % 5 = 0 as test from conversations),
-trn as (select * from conv where not test), nxt as (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as nx, row_number() over (partition by conv_id order by turn) as rn from trn),
+_CONV = """nxt as (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as nx, row_number() over (partition by conv_id order by turn) as rn from conversations),
 st as (select role as state, count(*) filter (rn = 1) as n_first, count(nx) as n_from from nxt group by 1 union all select '__UNK__', 0, 0),
 step as (select role as f, nx as t, count(*) as n from nxt where nx is not null group by 1, 2),
 k as (select count(*)::double as k, sum(n_first)::double as ns from st)"""
 _CONV_SCORED = f"""{_CONV},
-tst as (select conv_id, turn, coalesce(st.state, '__UNK__') as state, st.state is null as unknown from (select conv_id, turn, case when turn % 7 = 6 then 'tool' else role end as role from conv where test) x left join st on st.state = x.role),
+tst as (select conv_id, turn, coalesce(st.state, '__UNK__') as state, st.state is null as unknown from (select conv_id, turn, case when turn % 7 = 6 then 'tool' else role end as role from conversations) x left join st on st.state = x.role),
 prv as (select *, lag(state) over (partition by conv_id order by turn) as prev from tst),
 sc as (select p.*, case when prev is null then (a.n_first + 0.5) / (ns + 0.5 * k) else (coalesce(step.n, 0) + 0.5) / (b.n_from + 0.5 * k) end as p from prv p cross join k join st a on a.state = p.state left join st b on b.state = p.prev left join step on step.f = p.prev and step.t = p.state)"""
 
@@ -510,6 +546,38 @@ def write_scores(spark, sf_dir):
     return spark.read.schema("session_ip string, session_no int, mode string, mode_score double").json(path)
 
 
+def _markov_detector(spark, sf_dir):
+    train, check, test = _parts(spark, sf_dir)
+    return jobs.build(train, check, t.MARKOV_CONFIG), test
+
+
+@query(f"with {t.DETECT_MARKOV} select round(reference, 6) as reference, round(aep_threshold, 6) as aep_threshold, round(density_threshold, 6) as density_threshold, round(warning, 6) as warning, round(critical, 6) as critical from ref, aep, dlim, cuts")
+def markov_threshold(spark, sf_dir):
+    d, _ = _markov_detector(spark, sf_dir)
+    return _row(spark, reference=d.reference, aep_threshold=d.aep_threshold, density_threshold=d.density_threshold, warning=d.fusion.warning, critical=d.fusion.critical)
+
+
+_MARKOV_REPORT = f"with {t.DETECT_MARKOV} select session_ip, session_no, mode, round(mode_score, 6) as mode_score, anomalous, severity, n_unknown_states, n_events from report"
+
+
+def _markov_rows(report):
+    return report.select(*KEY, "mode", *_r("mode_score"), "anomalous", "severity", "n_unknown_states", "n_events")
+
+
+@query(_MARKOV_REPORT)
+def markov_score_report(spark, sf_dir):
+    d, test = _markov_detector(spark, sf_dir)
+    return _markov_rows(jobs.detect(test, d))
+
+
+@query(_MARKOV_REPORT)
+def markov_save_load(spark, sf_dir):
+    d, test = _markov_detector(spark, sf_dir)
+    path = _folder(spark, "detector")
+    models.save_model(d, path)
+    return _markov_rows(jobs.detect(test, models.load_model(spark, path)))
+
+
 @query(f"with {t.MODEL} select session_ip, session_no, pos, event_seq, url_group, status_category, unknown_url, unknown_status from bits where split = 'testing' and (unknown_url or unknown_status)")
 def novelty_report(spark, sf_dir):
     model, test = _model(spark, sf_dir)
@@ -562,6 +630,19 @@ _COUNTS = "count(*) as units, count(*) filter (label and decision) as tp, count(
 _RATIO_COLUMNS = ("precision", "recall", "f1", "false_positive_rate", "false_negative_rate", "final_score")
 
 
+_AREAS = """lv as (select mode, mode_score, count(*) filter (label) as p, count(*) filter (not label) as n from lab group by 1, 2), cu as (select *, sum(n) over (partition by mode order by mode_score) - n as below from lv),
+roc as (select mode, sum(p * (below + n / 2)) / (sum(p) * sum(n)) as roc_auc from cu group by 1),
+rk as (select mode, label, row_number() over w as i, sum(cast(label as integer)) over w as hits from lab window w as (partition by mode order by mode_score desc, start_time, session_ip, session_no rows unbounded preceding)),
+pr as (select mode, sum(hits / i) filter (label) / count(*) filter (label) as pr_auc from rk group by 1)"""
+
+
+@query(f"with {_LABELLED}, {_AREAS} select mode, round(roc_auc, 6) as roc_auc, round(pr_auc, 6) as pr_auc from roc join pr using (mode)")
+def rank_areas(spark, sf_dir):
+    d, test = _detector(spark, sf_dir)
+    _, metrics = jobs.evaluate_events(test, _probed(test), d)
+    return metrics.select("mode", *_r("roc_auc", "pr_auc"))
+
+
 @query(f"with {_LABELLED}, c as (select mode, {_COUNTS} from (select *, anomalous as decision from lab) group by 1) select mode, units, tp, tn, fp, fn, {_RATIOS} from c")
 def binary_metrics(spark, sf_dir):
     d, test = _detector(spark, sf_dir)
@@ -588,6 +669,48 @@ def request_units(spark, sf_dir):
     return metrics.select("units", "tp", "tn", "fp", "fn", *_r(*_RATIO_COLUMNS))
 
 
+# ---- folder jobs
+
+
+def _log_folders(spark, sf_dir):
+    lines = stage(t.request_lines(spark, sf_dir), "request-lines")
+    folders = {}
+    for part in ("training", "validation", "testing"):
+        folders[part] = _folder(spark, f"logs-{part}")
+        t.write_lines(lines.where(F.col("split") == part), folders[part], ["ts", "event_seq"])
+    lists = workflow.RouteLists(t.excluded_paths(spark, sf_dir), t.excluded_names(spark, sf_dir), t.inventory(spark, sf_dir), t.listed_names(spark, sf_dir))
+    return folders, lists
+
+
+def _trained(spark, sf_dir):
+    folders, lists = _log_folders(spark, sf_dir)
+    model_dir, history = _folder(spark, "detector"), _folder(spark, "history")
+    d = workflow.train_from_logs(spark, folders["training"], folders["validation"], model_dir, t.WORKFLOW_CONFIG, lists, history=history, glob="*.txt")
+    return d, folders, lists, model_dir, history
+
+
+@query(f"with {t.WORKFLOW} select round(reference, 6) as reference, round(aep_threshold, 6) as aep_threshold, round(density_threshold, 6) as density_threshold, round(warning, 6) as warning, round(critical, 6) as critical, cast((select n_events from tot) as bigint) as n_events from ref, aep, dlim, cuts")
+def train_from_logs(spark, sf_dir):
+    d, *_ = _trained(spark, sf_dir)
+    row = _row(spark, reference=d.reference, aep_threshold=d.aep_threshold, density_threshold=d.density_threshold, warning=d.fusion.warning, critical=d.fusion.critical)
+    return row.withColumn("n_events", F.lit(d.model.n_events))
+
+
+_OUTSIDE = "outside as (select session_ip, session_no, bool_or(not (by_path or by_name)) as label, count(*) filter (not (by_path or by_name)) as n_outside from sess where split = 'testing' group by 1, 2), lab as (select r.*, label, n_outside from report r join outside using (session_ip, session_no))"
+
+
+@query(
+    f"""with {t.WORKFLOW}, {_OUTSIDE}, {_AREAS}, c as (select mode, {_COUNTS}, cast(sum(n_outside) as bigint) as requests_outside from (select *, anomalous as decision from lab) group by 1)
+    select mode, units, tp, tn, fp, fn, requests_outside, round(roc_auc, 6) as roc_auc, round(pr_auc, 6) as pr_auc, 'build,evaluation' as records from c join roc using (mode) join pr using (mode)"""
+)
+def evaluate_logs(spark, sf_dir):
+    _, folders, lists, model_dir, history = _trained(spark, sf_dir)
+    comparison, metrics = workflow.evaluate_logs(spark, folders["testing"], model_dir, lists, history=history, glob="*.txt")
+    records = logs.read_history(spark, history).agg(F.array_join(F.array_sort(F.collect_list("type")), ",").alias("records"))  # two rows
+    found = metrics.join(comparison.select("mode", "requests_outside"), "mode").crossJoin(records)
+    return found.select("mode", "units", "tp", "tn", "fp", "fn", "requests_outside", *_r("roc_auc", "pr_auc"), "records")
+
+
 _DOC_SCORES = "ds as (select d.doc_id, cast(d.n_chars % 97 as double) as score, l.toxic = 1 as label from documents d join labels l using (doc_id))"
 
 
@@ -735,6 +858,54 @@ def _monitored(spark, sf_dir):
     return live.stream_parse(lines, t.excluded_paths(spark, sf_dir), t.excluded_names(spark, sf_dir))
 
 
+def _streamed(spark, df):
+    """The rows that a stream over what is there now gives."""
+    out, check = _folder(spark, "stream-out"), _folder(spark, "stream-check")
+    df.writeStream.format("parquet").option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def _line_stream(spark, sf_dir):
+    path = _folder(spark, "live-lines")
+    t.write_lines(t.log_lines(spark, sf_dir), path, ["event_seq"])
+    return live.stream_log_lines(spark, path, glob="*.txt")
+
+
+@query(f"with {t.LINES} select raw_line, row_number() over (order by event_seq) - 1 as line_no from lines")
+def stream_log_lines(spark, sf_dir):
+    found = with_global_index(_streamed(spark, _line_stream(spark, sf_dir)), [F.col("event_seq")], "line_no")
+    return found.select("raw_line", "line_no")
+
+
+@query(f"with {t.PARSED} select raw_line, case when parse_status <> 'ok' then parse_status when {_EXCLUDED_LINE} then 'excluded_route' else 'kept' end as outcome, case when parse_status = 'ok' and not {_EXCLUDED_LINE} then status end as status from parsed")
+def stream_parse(spark, sf_dir):
+    kept, quarantine = live.stream_parse(_line_stream(spark, sf_dir), t.excluded_paths(spark, sf_dir), t.excluded_names(spark, sf_dir))
+    kept = _streamed(spark, kept.select("raw_line", F.lit("kept").alias("outcome"), "status"))
+    return kept.unionByName(_streamed(spark, quarantine.select("raw_line", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("status"))))
+
+
+#: three micro-batches merged one after the other give the alerts that all changes at once do
+@query(f"with {_LIVE}, a as ({_ALERTS}) select created_seq as first_alert, session_ip, n_alerted, resolved, resolved as acknowledged from (select a.*, (select n_events from liv where liv.event_seq = a.updated_seq) as n_alerted from a)")
+def merge_alerts(spark, sf_dir):
+    rows, reference = _scored_arrivals(spark, sf_dir)
+    changes = live.live_sessions_batch(rows, reference, 1.0, 21_600)
+    ends = changes.select(*live.SESSION, "session_no").distinct()
+    nxt = ends.select(F.col("session_ip").alias("i"), (F.col("session_no") - 1).alias("before"), F.col("first_seq").alias("seq"))
+    closed = ends.join(nxt, (F.col("session_ip") == F.col("i")) & (F.col("session_no") == F.col("before")))
+    raised = changes.where("alert_change is not null")
+    closed = closed.join(raised.select(*live.SESSION).distinct(), list(live.SESSION), "left_semi")
+    end = closed.select(*live.SESSION, "session_no", F.col("seq").alias("event_seq"), F.lit("resolved").alias("alert_change"))
+    all_changes = stage(changes.unionByName(end, allowMissingColumns=True), "changes")
+    # event_seq follows time here, so thirds of it are batches in order of arrival
+    low, high = all_changes.agg(F.min("event_seq"), F.max("event_seq")).first()
+    third = F.floor((F.col("event_seq") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    alerts = spark.createDataFrame([], live.ALERTS.format(seq="bigint"))
+    for part in range(3):
+        alerts = stage(live.merge_alerts(alerts, all_changes.where(third == part)), "alerts")
+    created = raised.groupBy(*live.SESSION).agg(F.min("event_seq").alias("first_alert"))
+    return alerts.join(created, list(live.SESSION)).select("first_alert", "session_ip", F.col("n_events").alias("n_alerted"), "resolved", "acknowledged")
+
+
 @query(f"with {t.PARSED} select raw_line, case when parse_status <> 'ok' then parse_status else 'excluded_route' end as reason from parsed where parse_status <> 'ok' or {_EXCLUDED_LINE}")
 def quarantine_lines(spark, sf_dir):
     return _monitored(spark, sf_dir)[1].select("raw_line", "reason")

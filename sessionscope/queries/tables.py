@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from sessionscope.operators.prepare import with_states
 from sessionscope.operators.sessions import split_by_position
 
 CONFIG = SessionConfig(timeout_seconds=21_600, min_events=3, smoothing=0.5)
+MARKOV_CONFIG = replace(CONFIG, model="markov")
 
 _STATUS = "case event_id % 10 when 0 then '200' when 1 then '201' when 2 then '302' when 3 then '401' when 4 then '404' when 5 then '429' when 6 then '422' when 7 then '500' when 8 then '99' else '200' end"
 _METHOD = "case event_id % 3 when 0 then 'GET' when 1 then 'POST' else 'DELETE' end"
@@ -86,7 +89,9 @@ SESSIONS = f"{PREP},{sessions_sql('prep', 'sess')}"
 #: sessions of each part, numbered inside it
 PARTS = f"{SPLIT},{sessions_sql('parts', 'sess', by='split')}"
 
-MODEL = f"""{PARTS},
+def model_sql(parts: str) -> str:
+    """Counts, probabilities and scores of the categorical model over sessions (sess, with split)."""
+    return f"""{parts},
 train as (select * from sess where split = 'training'),
 pairs as (select url_group as u, status_category as s, count(*) as n from train group by 1, 2),
 tot as (select sum(n)::double as n_events, (count(distinct u) + 1)::double as n_u, (count(distinct s) + 1)::double as n_s from pairs),
@@ -107,7 +112,13 @@ scores as (select split, session_ip, session_no, min(ts) as start_time, max(ts)
    arg_min(url_bits + status_bits, pos) as first_bits, cast(count(*) filter (unknown_url) as integer) as n_unknown_urls, cast(count(*) filter (unknown_status) as integer) as n_unknown_statuses
    from bits group by 1, 2, 3)"""
 
-DETECT = f"""{MODEL},
+
+MODEL = model_sql(PARTS)
+
+
+def detect_sql(model: str) -> str:
+    """Thresholds, components, fusion and report over the scores of a model."""
+    return f"""{model},
 aep as (select quantile_cont(abs(information_score - reference), 0.9) as aep_threshold from scores, ref where split = 'validation'),
 kde as (select stddev_samp(information_score) * power(count(*), -0.2) as h, count(*)::double as n from scores where split = 'training'),
 points as (select information_score as v from scores where split = 'training'),
@@ -124,6 +135,27 @@ report as (select *, case mode when 'aep' then aep_anomalous when 'density' then
    case mode when 'aep' then aep_deviation when 'density' then density_score else hybrid_score end as mode_score from modes)"""
 
 
+DETECT = detect_sql(MODEL)
+#: a first-order chain over state descriptions, whose stationary distribution comes from squaring its (half lazy) matrix
+MARKOV = f"""{PARTS},
+mst as (select *, concat('{{"status_category":"', status_category, '","url_group":"', url_group, '"}}') as state from sess),
+mnx as (select session_ip, session_no, pos, state, lead(state) over (partition by session_ip, session_no order by pos) as nx from mst where split = 'training'),
+mstate as (select state, count(*) filter (pos = 0) as n_first, count(nx) as n_from from mnx group by 1 union all select '__UNK__', 0, 0),
+mstep as (select state as f, nx as t, count(*) as n from mnx where nx is not null group by 1, 2),
+mk as (select count(*)::double as k, sum(n_first)::double as ns from mstate),
+mcell as materialized (select a.i as f, b.i as t, (coalesce(s.n, 0) + 0.5) / (a.n_from + 0.5 * k) as p from (select *, row_number() over (order by state) as i from mstate) a cross join (select *, row_number() over (order by state) as i from mstate) b cross join mk
+   left join mstep s on s.f = a.state and s.t = b.state),
+{"".join(f"mp{i + 1} as materialized (select a.f, b.t, sum(a.p * b.p) as p from {f'mp{i}' if i else "(select f, t, 0.5 * p + case when f = t then 0.5 else 0 end as p from mcell)"} a join {f'mp{i}' if i else "(select f, t, 0.5 * p + case when f = t then 0.5 else 0 end as p from mcell)"} b on a.t = b.f group by 1, 2), " for i in range(6))}
+mpi as (select t as i, avg(p) as pi from mp6 group by 1),
+ref as (select sum(pi * -p * log2(p)) as reference from mpi join mcell on mcell.f = mpi.i),
+mknown as (select x.split, x.session_ip, x.session_no, x.pos, x.ts, coalesce(a.state, '__UNK__') as state, a.state is null as unknown from mst x left join mstate a on a.state = x.state),
+mprev as (select *, lag(state) over (partition by split, session_ip, session_no order by pos) as prev from mknown),
+msc as (select p.*, case when prev is null then (a.n_first + 0.5) / (ns + 0.5 * k) else (coalesce(s.n, 0) + 0.5) / (b.n_from + 0.5 * k) end as p from mprev p cross join mk join mstate a on a.state = p.state left join mstate b on b.state = p.prev left join mstep s on s.f = p.prev and s.t = p.state),
+scores as (select split, session_ip, session_no, min(ts) as start_time, max(ts) as end_time, cast(count(*) as integer) as n_events, sum(log2(p)) as log_probability, -avg(log2(p)) as information_score, cast(count(*) filter (unknown) as integer) as n_unknown_states from msc group by 1, 2, 3)"""
+DETECT_MARKOV = detect_sql(MARKOV)
+
+
+
 # ---- log lines
 
 BROKEN = "event_id % 17 = 0"
@@ -168,6 +200,25 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id as event_seq", f"{line} as raw_line")
 
 
+# ---- log folders: the requests as lines in time order, with whole seconds
+
+
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_seq, ts, split, raw_line) of all requests, split by position."""
+    rows = requests(spark, sf_dir).withColumn("ts", F.date_trunc("second", "ts"))
+    payload = F.to_json(F.struct("method", F.nullif(F.col("route_name"), F.lit("")).alias("route_name"), "uri", F.col("status").cast("int").alias("status"), "ip"), {"ignoreNullFields": "false"})
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] local.INFO: Route request completed. "), payload)
+    return split_by_position(rows.withColumn("raw_line", line), [F.col("ts"), F.col("event_seq")]).select("event_seq", "ts", "split", "raw_line")
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Text files whose names and lines follow the order."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("raw_line").write.text(path)
+
+
+WORKFLOW_CONFIG = SessionConfig(timeout_seconds=600, min_events=1, smoothing=0.5)
+
+
 # ---- inventories
 
 INVENTORY = """inv as (select distinct '*' as method, concat('/api/v2/', event_type, '/:id') as path from events
@@ -215,6 +266,15 @@ curated as (select *, case when by_name or by_path then 'normal' else 'review' e
   case when by_name then 'allowlisted_route_name' when by_path then 'allowlisted_method_path' else 'endpoint_not_in_application_allowlist' end as reason from flagged)"""
 
 
+#: what the folder jobs keep: in training and validation what is listed, session by session; in testing everything
+WORKFLOW_PARTS = f"""{SPLIT.replace("select event_id as event_seq, ts,", "select event_id as event_seq, date_trunc('second', ts) as ts,")},
+left_in as (select * from parts where split = 'testing' or not (regexp_replace(normalized_uri, '/+$', '') = (select concat('/', max(event_type), '/list') from events) or route_name = (select concat(max(event_type), '.show') from events))),
+{curated_sql("left_in")},{sessions_sql("curated", "cs", timeout=600, min_events=1, by="split")},
+own as (select * exclude (session_ip, session_no, pos, n_events, session_start) from cs qualify split = 'testing' or not bool_or(classification = 'review') over (partition by split, session_ip, session_no)),
+{sessions_sql("own", "sess", timeout=600, min_events=1, by="split").strip()}"""
+WORKFLOW = detect_sql(model_sql(WORKFLOW_PARTS))
+
+
 # ---- experiment history from orders
 
 _HISTORY = [

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from sessionscope.config import SessionConfig
 from sessionscope.operators.categorical import CategoricalModel
-from sessionscope.operators.density import DensityModel
+from sessionscope.operators.density import ORDER, DensityModel
+from sessionscope.operators.markov import MarkovModel
 from sessionscope.operators.thresholds import FusionCalibration
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 ENCODING_VERSION = 5
 
 
@@ -23,26 +24,36 @@ class Detector:
     """Everything that scoring a session needs."""
 
     config: SessionConfig
-    model: CategoricalModel
+    model: CategoricalModel | MarkovModel
     reference: float
     aep_threshold: float
     density: DensityModel
     density_threshold: float
     fusion: FusionCalibration
+    created_at: str = ""
 
 
 def save_model(detector: Detector, path: str) -> None:
-    """Write ``pairs``, ``density`` and ``meta`` under ``path``."""
+    """Write the model's count tables, ``density`` and ``meta`` under ``path``."""
     m, d = detector.model, detector.density
-    spark = m.pairs.sparkSession
-    m.pairs.write.mode("overwrite").parquet(f"{path}/pairs")
-    points = list(zip(d.values.tolist(), d.weights.tolist(), strict=True))  # bounded by the density's max_points
-    spark.createDataFrame(points, "value double, weight double").write.mode("overwrite").parquet(f"{path}/density")
+    if isinstance(m, MarkovModel):
+        tables = {"states": m.states, "steps": m.steps}
+        scalars = {"smoothing": m.smoothing, "k": m.k, "n_sequences": m.n_sequences}
+    else:
+        tables = {"pairs": m.pairs}
+        scalars = {"smoothing": m.smoothing, "n_events": m.n_events, "n_urls": m.n_urls, "n_statuses": m.n_statuses}
+    spark = next(iter(tables.values())).sparkSession
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = list(zip(d.cells.tolist(), d.moments.tolist(), strict=True))  # occupied cells of the density
+    spark.createDataFrame(rows, "cell bigint, moments array<double>").write.mode("overwrite").parquet(f"{path}/density")
     meta = {
         "schema_version": SCHEMA_VERSION,
         "encoding_version": ENCODING_VERSION,
+        "created_at": detector.created_at,
         "config": asdict(detector.config),
-        "scalars": {"smoothing": m.smoothing, "n_events": m.n_events, "n_urls": m.n_urls, "n_statuses": m.n_statuses, "reference": detector.reference, "aep_threshold": detector.aep_threshold, "bandwidth": d.bandwidth, "epsilon": d.epsilon, "density_threshold": detector.density_threshold},
+        "model": scalars,
+        "scalars": {"reference": detector.reference, "aep_threshold": detector.aep_threshold, "n_scores": d.n, "bandwidth": d.bandwidth, "epsilon": d.epsilon, "density_threshold": detector.density_threshold},
         "fusion": asdict(detector.fusion),
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
@@ -54,16 +65,30 @@ def load_model(spark: SparkSession, path: str) -> Detector:
     if (meta["schema_version"], meta["encoding_version"]) != (SCHEMA_VERSION, ENCODING_VERSION):
         raise ValueError("the model was saved with another schema or state encoding")
     config = SessionConfig(**meta["config"] | {"state_fields": tuple(meta["config"]["state_fields"])})
-    s = meta["scalars"]
-    model = CategoricalModel(spark.read.parquet(f"{path}/pairs"), s["smoothing"], s["n_events"], s["n_urls"], s["n_statuses"])
-    check_probabilities(model.marginal("url_group"), "p")
-    check_probabilities(model.marginal("status_category"), "p")
-    check_probabilities(model.cells(), "p_joint")
-    points = spark.read.parquet(f"{path}/density").orderBy("value").toPandas()
-    density = DensityModel(points["value"].to_numpy(float), points["weight"].to_numpy(float), s["bandwidth"], s["epsilon"])
-    if not (np.isfinite(density.values).all() and density.bandwidth > 0):
+    s, m = meta["scalars"], meta["model"]
+    model: CategoricalModel | MarkovModel
+    if config.model == "markov":
+        model = MarkovModel(spark.read.parquet(f"{path}/states"), spark.read.parquet(f"{path}/steps"), m["smoothing"], m["k"], m["n_sequences"])
+        check_probabilities(model.initial(), "p_initial")
+        check_rows(model)
+    else:
+        model = CategoricalModel(spark.read.parquet(f"{path}/pairs"), m["smoothing"], m["n_events"], m["n_urls"], m["n_statuses"])
+        check_probabilities(model.marginal("url_group"), "p")
+        check_probabilities(model.marginal("status_category"), "p")
+        check_probabilities(model.cells(), "p_joint")
+    table = spark.read.parquet(f"{path}/density").orderBy("cell").toPandas()
+    density = DensityModel(table["cell"].to_numpy(np.int64), np.array(table["moments"].to_list(), float).reshape(len(table), -1), s["n_scores"], s["bandwidth"], s["epsilon"])
+    if density.moments.shape[1:] != (ORDER,) or not (np.isfinite(density.moments).all() and density.bandwidth > 0):
         raise ValueError("the saved density is not valid")
-    return Detector(config, model, s["reference"], s["aep_threshold"], density, s["density_threshold"], FusionCalibration(**meta["fusion"]))
+    return Detector(config, model, s["reference"], s["aep_threshold"], density, s["density_threshold"], FusionCalibration(**meta["fusion"]), meta["created_at"])
+
+
+def check_rows(model: MarkovModel) -> None:
+    """Every counted row's probabilities, with those of its other cells, sum to one."""
+    rows = model.transitions().groupBy("from_state").agg(F.sum("p").alias("s"), F.min("p").alias("lo"), F.first("p_default").alias("d"), F.count("*").alias("cells"))
+    total = F.col("s") + (model.k - F.col("cells")) * F.col("d")
+    if not rows.where((F.abs(total - 1) > 1e-6) | ~(F.col("lo") > 0) | total.isNull()).isEmpty():
+        raise ValueError("saved probabilities must be finite, positive and sum to 1")
 
 
 def check_probabilities(table: DataFrame, p: str) -> None:

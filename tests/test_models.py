@@ -92,6 +92,10 @@ def test_aep_threshold(spark):
     got = thresholds.aep_decision(scores(spark, 2.5, 4, 3), 2.0, 1.0).orderBy("information_score").collect()
     assert [r.aep_anomalous for r in got] == [False, False, True]
     assert thresholds.aep_threshold(scores(spark, 0, 1, 2, 3, 4), 0.0, 0.5) == 2.0  # a whole position
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=999), 2)
+    got = thresholds.quantiles(scores(spark, *x).repartition(5), {"a": (F.col("information_score"), (0.0, 0.1, 0.5, 0.99, 1.0)), "b": (-F.col("information_score"), (0.25,))})
+    assert got["a"] == pytest.approx(np.quantile(x, [0.0, 0.1, 0.5, 0.99, 1.0]).tolist()) and got["b"] == pytest.approx([np.quantile(-x, 0.25)])
     for bad in ([float("inf")], [float("nan")], []):
         with pytest.raises(ValueError):
             thresholds.aep_threshold(scores(spark, *bad), 0.0, 0.5)
@@ -107,10 +111,13 @@ def test_density(spark):
     assert got[0].density == pytest.approx(want(0)) and got[1].density == pytest.approx(want(5))
     assert got[1].density_score > got[0].density_score
     assert density.bandwidth_factor("silverman", 6) == pytest.approx(4.5 ** (-0.2)) and density.bandwidth_factor(2, 6) == 2.0
-    binned = density.kde_fit(scores(spark, *np.linspace(0, 1, 400)), max_points=100)
-    exact = density.kde_fit(scores(spark, *np.linspace(0, 1, 400)))
-    x = np.linspace(-0.5, 1.5, 50)
-    assert len(binned.values) <= 101 and np.abs(binned.density(x) - exact.density(x)).max() < 1e-3
+    rng = np.random.default_rng(3)  # more scores than any table of points should hold, and one far away
+    many = np.append(rng.gamma(3.0, size=150_000), 400.0)
+    m = density.kde_fit(spark.createDataFrame(many.tolist(), "double").toDF("information_score"))
+    h = len(many) ** (-0.2) * many.std(ddof=1)
+    x = np.array([-1.0, 0.0, 0.3, 2.0, 9.5, 31.0, 399.0, 400.0, 500.0])
+    plain = np.array([np.exp(-0.5 * ((v - many) / h) ** 2).sum() for v in x]) / (len(many) * h * math.sqrt(2 * math.pi))
+    assert np.abs(m.density(x) - plain).max() < 1e-13 and len(m.cells) < 1000
     for bad in ([1.0], [1.0, 1.0]):
         with pytest.raises(ValueError):
             density.kde_fit(scores(spark, *bad))
