@@ -186,10 +186,12 @@ def alert_lifecycle(live: DataFrame) -> DataFrame:
 def latest_changes(changes: DataFrame) -> DataFrame:
     """The last alert change of each session in a micro-batch: what ``merge_alerts`` brings into the alert table."""
     done = changes.where("alert_change is not null")
-    last = F.max_by(F.struct("session_no", "alert_change", "event_seq", "ts", "n_events", "information_score"), F.struct(F.col("alert_change") == "resolved", "event_seq"))
-    score = F.max_by("information_score", F.when(F.col("information_score").isNotNull(), F.col("event_seq")))  # a resolution has none
+    last = F.max_by(F.struct("session_no", "alert_change", "event_seq", "ts"), F.struct(F.col("alert_change") == "resolved", "event_seq"))
+    # a resolution has no score of its own and leaves an alert's as they are
+    scored = F.when(F.col("information_score").isNotNull(), F.col("event_seq"))
+    kept = [F.max_by("information_score", scored).alias("last_score"), F.max_by("n_events", scored).alias("n_events")]
     first = F.min(F.when(F.col("alert_change") != "resolved", F.col("ts")))
-    return done.groupBy(*SESSION).agg(last.alias("c"), score.alias("last_score"), first.alias("first_ts")).select(*SESSION, "c.*", "last_score", "first_ts")
+    return done.groupBy(*SESSION).agg(last.alias("c"), *kept, first.alias("first_ts")).select(*SESSION, "c.*", "last_score", "n_events", "first_ts")
 
 
 ALERTS = (
