@@ -8,10 +8,11 @@ import time
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sessionscope.llm import licenses, mixing, pii, queries, sharding
+from sessionscope.llm import licenses, mixing, oracles, pii, queries, sharding
 from tests.llm.data import SCHEMA, awkward, awkward_rows, empty
 
 
@@ -338,3 +339,18 @@ def test_licenses_wrapped_notices(spark):
             assert label in got[f"{i} {n}"].labels.split(","), (label, n)
             assert got[f"{i} {n}"].score == 1.0
     assert (got["far"].labels, got["far"].score) == ("", 0.0)
+
+
+def test_licenses_wrapped_notices_by_sql(spark):
+    """The operator and its SQL on wrapped notices, each with whole, cut and scattered ones beside it."""
+    texts = ["filler\n" * n + text[: len(text) - cut] + "\nmore filler" * 50 for _, text in WRAPPED for n in (0, 20, 33) for cut in (0, 25, 60)]
+    texts += ["\nfar off and away\n".join("Released under the MIT License".split()), "", None, "Released\nunder the\n\nMIT  License, cc by"]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r.asDict().items()) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    cursor = con.execute(oracles.licenses_sql())
+    names = [d[0] for d in cursor.description]
+    assert got == sorted(tuple(zip(names, r, strict=True)) for r in cursor.fetchall())
+    assert len({dict(r)["labels"] for r in got}) > len(WRAPPED)
