@@ -58,4 +58,49 @@ select b.doc_id, n_words, cast(len(places) as bigint) as n_base, cast(list_min(p
 from base b left join best using (doc_id)"""
 
 
-ORACLES = {"op8_hash_mix": MIX, "op9_licenses": licenses_sql()}
+COPIES = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, row_number() over (same order by doc_id desc nulls last) = 1 as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+SEARCH = f"""
+with docs as (select row_number() over () as d, doc_id, {_WORDS} as ws from documents),
+held as (select d, doc_id, len(ws) as n, ws from docs where len(ws) > 0),
+c as (select count(*) as docs, cast(sum(n) as bigint) as terms from held),
+postings as (select d, term, count(*) as tf from (select d, unnest(ws) as term from held) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as w from (select term, count(*) as df from postings group by 1), c),
+lengths as (select d, doc_id, 25 + (75 * n * docs) // terms as m from held, c),
+items as (select row_number() over () as i, item_id, {_WORDS} as ws from benchmark),
+asked as (select i, term, count(*) as r from (select i, unnest(ws) as term from items) group by all),
+scores as (select i, d, cast(sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from asked join weights using (term) join postings using (term) join lengths using (d) group by all),
+ranked as (select i, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls first) as rank from scores join lengths using (d) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked join items using (i) where rank <= 10"""
+
+_TURN = "sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))"
+
+# crc32 of the decimal digits: a byte is eight steps
+_DIGITS = "list_transform(range(1, len(cast(conv_id as varchar)) + 1), lambda i: cast(ascii(cast(conv_id as varchar)[i]) as bigint))"
+_STEP = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+_CRC = f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {_DIGITS}), lambda acc, b: {_STEP}), 4294967295)"
+
+TRIE = f"""
+with turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, {_TURN}) - 1 as pos, {_TURN} as turn, strlen(coalesce(text, '')) as bytes from conversations where conv_id is not null),
+convs as (select distinct conv_id, conv_id - conv_id % 5 as base, {_CRC} % 9 as h from conversations where conv_id is not null),
+heads as (select c.conv_id, pos, turn, bytes from convs c join turns t on t.conv_id = c.base where pos < h),
+n_heads as (select conv_id, count(*) as n from heads group by 1),
+rebuilt as (select conv_id, pos + 1 as depth, turn, bytes from heads union all
+    select t.conv_id, pos - h + coalesce(n, 0) + 1, turn, bytes from turns t join convs using (conv_id) left join n_heads using (conv_id) where pos >= h),
+lists as (select conv_id, list(turn order by depth) as turns, list(bytes order by depth) as sizes from rebuilt group by 1),
+whole as (select c.conv_id, coalesce(turns, []) as turns, coalesce(sizes, []) as sizes from convs c left join lists using (conv_id)),
+steps as (select conv_id, d, list_slice(turns, 1, d) as prefix, len(turns) = d as ends, case when d > 0 then sizes[d] else 0 end as bytes from (select *, unnest(range(0, len(turns) + 1)) as d from whole)),
+nodes as (select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '')) as ends_sha256 from steps group by d, prefix),
+childs as (select p.d, p.conv_id, count(*) as n from nodes p join nodes c on c.d = p.d + 1 and list_slice(c.prefix, 1, p.d) = p.prefix group by 1, 2),
+above as (select s.conv_id, s.d, n.d as top_d, n.conv_id as top from nodes s join steps t on t.conv_id = s.conv_id and t.d <= s.d join nodes n on n.d = t.d and n.prefix = t.prefix),
+below as (select top_d, top, cast(sum((n.n_convs - 1) * n.bytes) as bigint) as saved, count(*) filter (where c.n is null) as leaves
+    from above a join nodes n on n.d = a.d and n.conv_id = a.conv_id left join childs c on c.d = a.d and c.conv_id = a.conv_id group by 1, 2)
+select n.conv_id, cast(n.d as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children, leaves as n_leaves, saved as saved_tokens, n.ends_sha256
+from nodes n left join nodes p on p.d = n.d - 1 and p.prefix = list_slice(n.prefix, 1, n.d - 1) left join childs c on c.d = n.d and c.conv_id = n.conv_id join below b on b.top_d = n.d and b.top = n.conv_id"""
+
+ORACLES = {"op8_hash_mix": MIX, "op9_licenses": licenses_sql(), "op11_extendible_hash": COPIES, "op12_wavelet_search": SEARCH, "op13_prefix_trie": TRIE}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.llm import bpe, fingerprints, licenses, mixing, near_dups, neighbours, pii, sharding, toxicity, url_filters
+from sessionscope.llm import bpe, exact_dups, fingerprints, lexical, licenses, mixing, near_dups, neighbours, pii, prefix_trie, sharding, toxicity, url_filters
 from sessionscope.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -70,7 +70,24 @@ def op10_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return exact_dups.mark_copies(docs, exact_dups.build_index(docs))
+
+
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(_read(spark, sf_dir, "documents"))
+    return lexical.search(index, _read(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.with_end_digests(prefix_trie.build_trie(prefix_trie.rebuild(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_kd_shards, op2_pii, op3_odd_sketch_dups, op4_toxicity, op5_fingerprints, op6_bpe, op7_url_templates, op8_hash_mix, op9_licenses, op10_ivf_pq)
-}
+    for f in (
+        op1_kd_shards, op2_pii, op3_odd_sketch_dups, op4_toxicity, op5_fingerprints, op6_bpe, op7_url_templates, op8_hash_mix, op9_licenses, op10_ivf_pq, op11_extendible_hash,
+        op12_wavelet_search, op13_prefix_trie,
+    )
+}
