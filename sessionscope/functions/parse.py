@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sessionscope.schemas import LOG_TYPES
 
+# The form of a time stamp and of what stands before a line's message.
 STAMP = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
+_MARK = "\x00"
 PREFIX = rf"\A\[({STAMP})\]\s+\S+\.([A-Z]+):\s*([^\n]*)\n?\z"
 
 
@@ -24,8 +26,12 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
     """
     messages, keys = LOG_TYPES[log_type]
     line = F.coalesce(F.col(line_col), F.lit(""))
-    good_prefix = line.rlike(PREFIX)
-    message = F.trim(F.regexp_extract(line, PREFIX, 3))
+    # one match a line: its three parts, each behind a mark; a line that fits begins with a bracket and then doesn't
+    marked = F.regexp_replace(line, PREFIX, f"{_MARK}$1{_MARK}$2{_MARK}$3")
+    parts = F.when(F.startswith(line, F.lit("[")) & F.startswith(marked, F.lit(_MARK)), F.split(marked, _MARK, 4))
+    lines = lines.withColumn("_parts", parts).withColumn("_message", F.trim(F.get("_parts", F.lit(3))))
+    good_prefix = F.col("_parts").isNotNull()
+    message = F.coalesce("_message", F.lit(""))
     brace = F.instr(message, "{")
     before = F.trim(F.substring_index(message, "{", 1))
     payload = F.substr(message, brace)
@@ -43,15 +49,15 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
         .when(~has_all, "missing_fields")
         .otherwise("ok")
     )
-    stamp = F.when(good_prefix, F.regexp_extract(line, PREFIX, 1)).otherwise(fallback_timestamp(line))
-    level = F.when(good_prefix, F.regexp_extract(line, PREFIX, 2)).otherwise("")
+    stamp = F.when(good_prefix, F.get("_parts", F.lit(1))).otherwise(fallback_timestamp(line))
+    level = F.when(good_prefix, F.get("_parts", F.lit(2))).otherwise("")
     out = parsed.withColumn("parse_status", status)
 
     def value(key: str) -> Column:
         entries = F.filter(F.map_entries("_fields"), lambda e: e["key"] == key)
         return F.when(F.col("parse_status") == "ok", F.coalesce(F.try_element_at(entries, F.lit(-1))["value"], F.lit(""))).otherwise("")
 
-    return out.withColumns({"timestamp": stamp, "log_level": level, **{k: value(k) for k in keys}}).drop("_fields", "_payload")
+    return out.withColumns({"timestamp": stamp, "log_level": level, **{k: value(k) for k in keys}}).drop("_fields", "_payload", "_parts", "_message")
 
 
 def parse_summary(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:

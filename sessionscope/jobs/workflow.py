@@ -28,7 +28,7 @@ class RouteLists:
 
 def prepare_logs(spark: SparkSession, folder: str, config: SessionConfig, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(prepared events, summary) of a folder's request logs; lines keep their place in file and folder as event_seq."""
-    lines = logs.read_log_lines(spark, folder, "routes", glob)
+    lines = logs.read_log_lines(spark, folder, "routes", glob, line_numbers=False)
     parsed = stage(parse_log_lines(lines, "routes"), "parsed-lines")
     return prepare.preprocess_events(parsed, config.state_fields), prepare.preprocess_summary(parsed)
 

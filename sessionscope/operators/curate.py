@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.routes import stripped
-from sessionscope.operators.sessions import Heat, by_heat, number_sessions, number_sessions_sliced
+from sessionscope.operators.sessions import tainted_sessions
 
 
 def clean_path(path: Column) -> Column:
@@ -66,22 +66,10 @@ def curate(events: DataFrame, inventory: DataFrame, names: DataFrame, *, enabled
     return flagged.withColumns({"classification": label, "reason": reason}).drop("by_path", "by_name")
 
 
-def session_control(curated: DataFrame, timeout_seconds: int, ip_col: str = "ip", heat: Heat = Heat()) -> DataFrame:  # noqa: B008
-    """A client's whole inactivity session goes to review with any of its requests; rows without a time keep their own class.
-
-    Clients that send more than ``heat.rows`` requests are numbered in time slices, and their sessions' verdicts joined back.
-    """
-    review = F.bool_or(F.col("classification") == "review")
-    key = ["session_ip", "session_no"]
-
-    def plain(keyed: DataFrame) -> DataFrame:
-        return number_sessions(keyed, timeout_seconds, ip_col).withColumn("_tainted", review.over(Window.partitionBy(*key)))
-
-    def sliced(keyed: DataFrame) -> DataFrame:
-        numbered = number_sessions_sliced(keyed, timeout_seconds, heat.slice_seconds, ip_col)
-        return numbered.join(numbered.groupBy(*key).agg(review.alias("_tainted")), key)
-
-    marked = by_heat(curated.where("ts is not null"), ip_col, heat, plain, sliced).withColumns(
+def session_control(curated: DataFrame, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
+    """A client's whole inactivity session goes to review with any of its requests; rows without a time keep their own class."""
+    flagged = tainted_sessions(curated.withColumn("_review", F.col("classification") == "review"), "_review", timeout_seconds, ip_col)
+    marked = flagged.withColumns(
         {"classification": F.when(F.col("_tainted"), "review").otherwise(F.col("classification")), "reason": F.when(F.col("_tainted"), "session_contains_unallowlisted_route").otherwise(F.col("reason"))}
     )
     return marked.select(*curated.columns).unionByName(curated.where("ts is null"))

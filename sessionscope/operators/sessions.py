@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.operators.ordering import with_global_index
-from sessionscope.operators.staging import stage
+from sessionscope.operators.segments import scan_sessions, with_row_ids
 
 MISSING_IP = "missing_ip"
 
@@ -20,94 +17,30 @@ def client(df: DataFrame, ip_col: str = "ip") -> Column:
     return F.coalesce(*found, F.lit(MISSING_IP)) if found else F.lit(MISSING_IP)
 
 
-def _gap_over(before: Column, now: Column, timeout_seconds: float) -> Column:
-    return F.unix_micros(now) - F.unix_micros(before) > F.lit(int(timeout_seconds * 1_000_000))
-
-
-@dataclass(frozen=True)
-class Heat:
-    """From how many requests on a client is worked on in time slices, and how long a slice is."""
-
-    rows: int = 1_000_000
-    slice_seconds: int = 3600
-
-
-def by_heat(events: DataFrame, ip_col: str, heat: Heat, plain: Callable[[DataFrame], DataFrame], sliced: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``plain`` of the requests of most clients, ``sliced`` of those with more than ``heat.rows`` requests; both give the same columns."""
-    keyed = events.withColumn("session_ip", client(events, ip_col))
-    hot = keyed.groupBy("session_ip").agg(F.count("*").alias("_n")).where(F.col("_n") > heat.rows).select("session_ip")
-    if hot.isEmpty():
-        return plain(events)
-    hot = stage(hot, "hot-clients").withColumnRenamed("session_ip", "_hot")
-    at = F.col("session_ip") == F.col("_hot")
-    cold_rows, hot_rows = keyed.join(hot, at, "left_anti").select(*events.columns), keyed.join(hot, at, "left_semi").select(*events.columns)
-    return plain(cold_rows).unionByName(sliced(hot_rows))
+def _numbered(events: DataFrame, timeout_seconds: int, ip_col: str, flags: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(the requests that have a time, written once with a _row; what the scan tells of each _row)."""
+    held = with_row_ids(events.where("ts is not null").withColumn("session_ip", client(events, ip_col)), "requests")
+    return held, scan_sessions(held, ["ts", "event_seq"], timeout_seconds, flags=flags)
 
 
 def number_sessions(events: DataFrame, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
-    """Add session_ip and session_no: a client's gap strictly over the timeout starts its next session. One shuffle by client."""
-    keyed = events.withColumn("session_ip", client(events, ip_col))
-    order = Window.partitionBy("session_ip").orderBy("ts", "event_seq")
-    before = F.lag("ts").over(order)
-    fresh = keyed.withColumn("_new", F.when(before.isNull() | _gap_over(before, F.col("ts"), timeout_seconds), 1).otherwise(0))
-    return fresh.withColumn("session_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    """Add session_ip and session_no: a client's gap strictly over the timeout starts its next session. Requests without a time belong to
+    no session and are left out. A client may send any share of all requests; see ``segments``."""
+    held, numbers = _numbered(events, timeout_seconds, ip_col)
+    return held.join(numbers.select("_row", "session_no"), "_row").drop("_row")
 
 
-def _sliced(events: DataFrame, timeout_seconds: int, slice_seconds: int, ip_col: str) -> tuple[DataFrame, DataFrame]:
-    """(requests with _slice, _run and _place; runs with their session). A run is what one slice holds of a session.
+def ip_sessions(events: DataFrame, timeout_seconds: int, min_events: int = 1, ip_col: str = "ip") -> DataFrame:
+    """``number_sessions`` with pos (from 0), n_events and session_start; sessions under min_events are dropped."""
+    held, numbers = _numbered(events, timeout_seconds, ip_col)
+    kept = numbers.where(F.col("n_events") >= min_events).select("_row", "session_no", "pos", "n_events", "session_start")
+    return held.join(kept, "_row").drop("_row")
 
-    Breaks are found inside slices. A row a slice then carries each slice's last time to the next one and adds the breaks up,
-    so that every run gets its session's number, and a row a run tells what of the session lies before it.
-    """
-    keyed = events.withColumn("session_ip", client(events, ip_col)).withColumn("_slice", F.floor(F.unix_micros("ts") / (slice_seconds * 1_000_000)))
-    inside = Window.partitionBy("session_ip", "_slice").orderBy("ts", "event_seq")
-    before = F.lag("ts").over(inside)
-    marked = keyed.withColumn("_new", F.when(before.isNotNull() & _gap_over(before, F.col("ts"), timeout_seconds), 1).otherwise(0))
-    marked = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    marked = marked.withColumn("_place", F.row_number().over(Window.partitionBy("session_ip", "_slice", "_run").orderBy("ts", "event_seq")) - 1)
-    runs = stage(marked.groupBy("session_ip", "_slice", "_run").agg(F.count("*").alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last")), "session-runs")
-    slices = runs.groupBy("session_ip", "_slice").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_run").alias("_breaks"))
-    by_client = Window.partitionBy("session_ip").orderBy("_slice")  # a row a slice
-    last = F.lag("_last").over(by_client)
-    opens = F.when(last.isNull() | _gap_over(last, F.col("_first"), timeout_seconds), 1).otherwise(0)
-    slices = slices.withColumn("_opens", opens)
-    upto = F.sum(F.col("_opens") + F.col("_breaks")).over(by_client.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks")
-    runs = runs.join(slices.select("session_ip", "_slice", upto.alias("_offset")), ["session_ip", "_slice"])
-    runs = runs.withColumn("session_no", (F.col("_offset") + F.col("_run")).cast("int"))
-    session = Window.partitionBy("session_ip", "session_no")  # a row a slice that the session lies in
-    earlier = session.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return marked, runs.select(
-        "session_ip", "_slice", "_run", "session_no",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"), F.sum("_n").over(session).cast("int").alias("n_events"), F.min("_first").over(session).alias("session_start"),
-    )
-
-
-def number_sessions_sliced(events: DataFrame, timeout_seconds: int, slice_seconds: int, ip_col: str = "ip") -> DataFrame:
-    """``number_sessions`` for clients that send a large share of all requests: no task holds more than a client's time slice."""
-    marked, runs = _sliced(events, timeout_seconds, slice_seconds, ip_col)
-    numbers = runs.select("session_ip", "_slice", "_run", "session_no")
-    return marked.join(numbers, ["session_ip", "_slice", "_run"]).drop("_slice", "_run", "_place")
-
-
-def ip_sessions(events: DataFrame, timeout_seconds: int, min_events: int = 1, ip_col: str = "ip", heat: Heat = Heat()) -> DataFrame:  # noqa: B008
-    """``number_sessions`` with pos (from 0), n_events and session_start; sessions under min_events are dropped. Same shuffle.
-
-    Clients that send more than ``heat.rows`` requests, and all requests without an address are one client, are worked on in
-    time slices, with the same results.
-    """
-
-    def plain(rows: DataFrame) -> DataFrame:
-        session = Window.partitionBy("session_ip", "session_no")
-        return number_sessions(rows, timeout_seconds, ip_col).withColumns(
-            {"pos": F.row_number().over(session.orderBy("ts", "event_seq")) - 1, "n_events": F.count("*").over(session).cast("int"), "session_start": F.min("ts").over(session)}
-        )
 
-    def sliced(rows: DataFrame) -> DataFrame:
-        marked, runs = _sliced(rows, timeout_seconds, heat.slice_seconds, ip_col)
-        placed = marked.join(runs, ["session_ip", "_slice", "_run"]).withColumn("pos", (F.col("_earlier") + F.col("_place")).cast("int"))
-        return placed.drop("_slice", "_run", "_place", "_earlier")
-
-    return by_heat(events, ip_col, heat, plain, sliced).where(F.col("n_events") >= min_events)
+def tainted_sessions(events: DataFrame, flag: str, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
+    """Requests that have a time, with _tainted: whether the boolean column ``flag`` holds anywhere in their session."""
+    held, numbers = _numbered(events, timeout_seconds, ip_col, (flag,))
+    return held.join(numbers.select("_row", F.col(f"any_{flag}").alias("_tainted")), "_row").drop("_row")
 
 
 def fixed_count_windows(events: DataFrame, size: int, include_partial: bool = False) -> DataFrame:
@@ -153,7 +86,15 @@ def split_bounds(n: int, training: float, validation: float) -> tuple[int, int]:
 
 
 def split_by_position(df: DataFrame, order: list[Column], training: float = 0.65, validation: float = 0.15) -> DataFrame:
-    """Add split (training, validation, testing) by position in the given order. For windows and for events alike."""
-    indexed = with_global_index(df, order, "_idx")
-    first, second = split_bounds(indexed.count(), training, validation)
-    return indexed.withColumn("split", F.when(F.col("_idx") < first, "training").when(F.col("_idx") < second, "validation").otherwise("testing")).drop("_idx")
+    """Add split (training, validation, testing) by position in the given ascending order. For windows and for events alike.
+
+    Only the order's columns are sorted, to find the first key of validation and of test; rows are then told apart by key, where
+    they are. Rows of equal keys are in one part, so the order should be total.
+    """
+    keys = with_global_index(df.select(F.struct(*order).alias("_key")), [F.col("_key")], "_idx")
+    first, second = split_bounds(keys.count(), training, validation)
+    at = lambda i: F.max(F.when(F.col("_idx") == i, F.col("_key")))
+    edges = keys.where(F.col("_idx").isin(first, second)).agg(at(first).alias("_validation"), at(second).alias("_testing"))  # one row
+    key = F.struct(*order)
+    part = F.when(key < F.col("_validation"), "training").when(key < F.col("_testing"), "validation").otherwise("testing")
+    return df.crossJoin(F.broadcast(edges)).withColumn("split", part).drop("_validation", "_testing")

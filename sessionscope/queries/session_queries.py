@@ -6,18 +6,18 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions import routes
 from sessionscope.functions.parse import parse_log_lines, parse_summary
 from sessionscope.jobs import detector as jobs
-from sessionscope.jobs import workflow
+from sessionscope.jobs import monitor, workflow
 from sessionscope.operators import categorical, curate, density, evaluate, markov, prepare, reports, scoring, sessions, thresholds
 from sessionscope.operators.ordering import with_global_index
 from sessionscope.operators.staging import shared_dir, stage
 from sessionscope.queries import tables as t
-from sessionscope.sources import logs, models
+from sessionscope.sources import logs, models, tail
 from sessionscope.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,11 +52,12 @@ def _folder(spark: SparkSession, name: str) -> str:
 # ---- sources, parsing, preparation
 
 
-@query(f"with {t.LINES} select raw_line from lines")
+@query(f"with {t.LINES} select raw_line, row_number() over (partition by event_seq % 8 order by event_seq) as line_number from lines")
 def read_log_lines(spark, sf_dir):
     path = _folder(spark, "log-lines")
-    t.log_lines(spark, sf_dir).select("raw_line").write.text(path)
-    return logs.read_log_lines(spark, path, "routes", glob="*.txt").select("raw_line")
+    lines = t.log_lines(spark, sf_dir).withColumn("file", F.col("event_seq") % 8)  # a file each
+    lines.repartition("file").sortWithinPartitions("file", "event_seq").select("file", "raw_line").write.partitionBy("file").text(path)
+    return logs.read_log_lines(spark, path, "routes", glob="*.txt").select("raw_line", "line_number")
 
 
 @query("select event_id, user_id, event_type from events")
@@ -209,7 +210,7 @@ def session_control(spark, sf_dir):
 )
 def session_control_hot(spark, sf_dir):
     curated = curate.curate(_hot(spark, sf_dir), t.inventory(spark, sf_dir), t.listed_names(spark, sf_dir))
-    return curate.session_control(curated, 20, heat=_HEAT).select("event_seq", "classification", "reason")
+    return curate.session_control(curated, 20).select("event_seq", "classification", "reason")
 
 
 @query(f"with {_CONTROLLED} select classification, reason, count(*) as n_requests from ctl group by 1, 2")
@@ -249,7 +250,7 @@ def ip_sessions(spark, sf_dir):
 
 @query(f"with {t.REQ},{t.sessions_sql('req', 'sess', min_events=1)} select event_seq, session_ip, session_no from sess")
 def sliced_sessions(spark, sf_dir):
-    return sessions.number_sessions_sliced(t.requests(spark, sf_dir), 21_600, 7 * 86_400).select("event_seq", "session_ip", "session_no")
+    return sessions.number_sessions(t.requests(spark, sf_dir), 21_600).select("event_seq", "session_ip", "session_no")
 
 
 #: half of all requests from one client: those of odd numbers have no address
@@ -260,12 +261,9 @@ def _hot(spark, sf_dir):
     return t.prepared(spark, sf_dir).withColumn("ip", F.when(F.col("event_seq") % 2 == 1, "").otherwise(F.col("ip")))
 
 
-_HEAT = sessions.Heat(rows=500, slice_seconds=6 * 3600)
-
-
 @query(f"with {t.PREP},{_HOT_REQ},{t.sessions_sql('hot', 'sess', timeout=600, min_events=2)} select event_seq, session_ip, session_no, pos, n_events, cast(epoch_us(session_start) as bigint) as start_us from sess")
 def ip_sessions_hot(spark, sf_dir):
-    rows = sessions.ip_sessions(_hot(spark, sf_dir), 600, 2, heat=_HEAT)
+    rows = sessions.ip_sessions(_hot(spark, sf_dir), 600, 2)
     return rows.select("event_seq", "session_ip", "session_no", "pos", "n_events", F.unix_micros("session_start").alias("start_us"))
 
 
@@ -884,6 +882,49 @@ def stream_parse(spark, sf_dir):
     return kept.unionByName(_streamed(spark, quarantine.select("raw_line", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("status"))))
 
 
+# ---- files that grow: appended to, half-written and truncated between three rounds
+
+
+def _rounds(spark, sf_dir, start):
+    """Grow the files and run a stream over what is there, three times."""
+    folder = _folder(spark, "growing")
+    for r in range(3):
+        t.grow_files(t.log_lines(spark, sf_dir), folder, r)
+        start(folder).awaitTermination()
+
+
+@query(f"with {t.LINES},{t.GROWN} select concat('routes-', f, '.log') as source_file, byte_offset, raw_line, cast(seen as integer) as round from grown")
+def tail_log_lines(spark, sf_dir):
+    out, check = _folder(spark, "tailed"), _folder(spark, "tail-check")
+
+    def start(folder):
+        lines = tail.tail_log_lines(spark, folder, span_bytes=40_000)
+        return lines.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out)
+
+    _rounds(spark, sf_dir, start)
+    found = spark.read.parquet(out).withColumn("at", F.substring("event_seq", 1, 17))
+    rounds = found.select("at").distinct().withColumn("round", (F.row_number().over(Window.orderBy("at")) - 1).cast("int"))  # three rows
+    return found.join(rounds, "at").select("source_file", "byte_offset", "raw_line", "round")
+
+
+def _monitored_rounds(spark, sf_dir):
+    out = _folder(spark, "monitor")
+    lists = t.excluded_paths(spark, sf_dir), t.excluded_names(spark, sf_dir)
+    _rounds(spark, sf_dir, lambda folder: monitor.start_lines(spark, folder, out, *lists, t.CONFIG.state_fields, once=True))
+    return out
+
+
+@query(f"with {t.PARSED},{t.GROWN} select concat('routes-', f, '.log') as source_file, byte_offset, p.raw_line, case when parse_status <> 'ok' then parse_status else 'excluded_route' end as reason from parsed p join grown using (event_seq) where parse_status <> 'ok' or {_EXCLUDED_LINE}")
+def monitor_quarantine(spark, sf_dir):
+    return monitor.quarantine(spark, _monitored_rounds(spark, sf_dir))
+
+
+@query(f"with {t.PARSED},{t.GROWN} select cast(seen as integer) as round, count(*) as new_lines, count(*) filter (parse_status <> 'ok') as malformed_lines, count(*) filter (parse_status = 'ok' and {_EXCLUDED_LINE}) as excluded_lines, count(*) filter (parse_status = 'ok' and not {_EXCLUDED_LINE}) as scored_requests from parsed p join grown using (event_seq) group by 1")
+def monitor_counters(spark, sf_dir):
+    found = monitor.counters(spark, _monitored_rounds(spark, sf_dir))
+    return found.withColumn("round", (F.row_number().over(Window.orderBy("round")) - 1).cast("int"))  # a row a round
+
+
 #: three micro-batches merged one after the other give the alerts that all changes at once do
 @query(f"with {_LIVE}, a as ({_ALERTS}) select created_seq as first_alert, session_ip, n_alerted, resolved, resolved as acknowledged from (select a.*, (select n_events from liv where liv.event_seq = a.updated_seq) as n_alerted from a)")
 def merge_alerts(spark, sf_dir):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionscope.config import SessionConfig
 from sessionscope.operators.prepare import with_states
 from sessionscope.operators.sessions import split_by_position
+from sessionscope.sources.tail import opened
 
 CONFIG = SessionConfig(timeout_seconds=21_600, min_events=3, smoothing=0.5)
 MARKOV_CONFIG = replace(CONFIG, model="markov")
@@ -216,6 +219,34 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("raw_line").write.text(path)
 
 
+#: where the lines stand in eight files that grow in three rounds. A file's last line of a round lacks its line feed until the next
+#: round, but for the eighth file; that one is written anew in the third round, and is shorter then.
+GROWN = """placed as (select event_seq, raw_line, event_seq % 3 as r, (event_seq // 3) % 8 as f from lines),
+ends as (select *, row_number() over (partition by f, r order by event_seq desc) = 1 as last_one, f = 7 and r = 2 as fresh from placed),
+grown as (select event_seq, raw_line, f, cast(coalesce(sum(strlen(raw_line) + 1) over (partition by f, fresh order by r, event_seq rows between unbounded preceding and 1 preceding), 0) as bigint) as byte_offset,
+  case when last_one and f < 7 and r < 2 then r + 1 else r end as seen from ends)"""
+
+
+def grow_files(lines: DataFrame, folder: str, r: int) -> None:
+    """What round r adds to the files of ``GROWN``."""
+    rows = lines.where(F.col("event_seq") % 3 == r).withColumn("file", F.floor(F.col("event_seq") / 3) % 8)
+    in_file = Window.partitionBy("file")
+    begin = F.when((F.row_number().over(in_file.orderBy("event_seq")) == 1) & (F.lit(r) > 0) & (F.col("file") < 7), "\n").otherwise("")
+    end = F.when((F.row_number().over(in_file.orderBy(F.desc("event_seq"))) == 1) & (F.lit(r) < 2) & (F.col("file") < 7), "").otherwise("\n")
+    rows = rows.select("file", "event_seq", F.concat(begin, "raw_line", end).alias("data"))
+
+    def write(part: Iterator[Row]) -> None:
+        store, path = opened(folder)
+        store.create_dir(path)
+        for file, own in groupby(part, key=lambda x: x["file"]):
+            name = f"{path}/routes-{file}.log"
+            with store.open_output_stream(name) if (file, r) == (7, 2) or r == 0 else store.open_append_stream(name) as f:
+                for x in own:
+                    f.write(x["data"].encode())
+
+    rows.repartition("file").sortWithinPartitions("file", "event_seq").foreachPartition(write)
+
+
 WORKFLOW_CONFIG = SessionConfig(timeout_seconds=600, min_events=1, smoothing=0.5)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +15,24 @@ def log_glob(log_type: str) -> str:
     return f"{log_type}-*.log"
 
 
-def read_log_lines(spark: SparkSession, folder: str, log_type: str, glob: str | None = None) -> DataFrame:
-    """All lines of one type in a folder: raw_line, source_file, event_seq (file name, block, place in the scan), log_type.
+def read_log_lines(spark: SparkSession, folder: str, log_type: str, glob: str | None = None, line_numbers: bool = True) -> DataFrame:
+    """All lines of one type in a folder: raw_line (bytes that are no UTF-8 replaced), source_file, line_number (from 1, blank lines
+    count), event_seq (file name, block, place in the scan), log_type.
 
-    Order inside a file is (block start, row id), taken right at the scan; later stages carry it along.
+    Order inside a file is (block start, row id), taken right at the scan; later stages carry it along. Line numbers come from a
+    second scan that only counts the lines of each block, a row a block, and sums the blocks before it up.
     """
     lines = spark.read.option("pathGlobFilter", glob or log_glob(log_type)).text(folder)
     seq = F.struct(F.lower("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return lines.select(F.col("value").alias("raw_line"), F.col("_metadata.file_name").alias("source_file"), seq.alias("event_seq"), F.lit(log_type).alias("log_type"))
+    found = lines.select(F.make_valid_utf8("value").alias("raw_line"), F.col("_metadata.file_name").alias("source_file"), seq.alias("event_seq"), F.lit(log_type).alias("log_type"), F.col("_metadata.file_path").alias("_path"))
+    if not line_numbers:
+        return found.drop("_path")
+    block = [F.col("_path").alias("_file"), F.col("event_seq.block").alias("_block")]
+    blocks = found.groupBy(*block).agg(F.min("event_seq.row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    numbered = found.join(blocks, (F.col("_path") == F.col("_file")) & (F.col("event_seq.block") == F.col("_block")))
+    return numbered.select("raw_line", "source_file", (F.col("event_seq.row") + F.col("_shift")).alias("line_number"), "event_seq", "log_type")
 
 
 def list_log_files(spark: SparkSession, folder: str, log_type: str) -> DataFrame:

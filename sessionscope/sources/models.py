@@ -1,11 +1,18 @@
-"""Saved detectors: small Parquet tables and one row of scalars."""
+"""Saved detectors: small Parquet tables and one row of scalars, in versions that count once they are committed.
+
+A version is a folder of its own, written first; a row in ``commits`` makes it the model. So a reader never sees a mixture, and a
+model can be saved where it was loaded from.
+"""
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +40,25 @@ class Detector:
     created_at: str = ""
 
 
-def save_model(detector: Detector, path: str) -> None:
-    """Write the model's count tables, ``density`` and ``meta`` under ``path``."""
+def committed_version(spark: SparkSession, path: str) -> str | None:
+    """The last committed version of the model under ``path``, if there is one."""
+    try:
+        return spark.read.schema("version string").parquet(f"{path}/commits").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def save_model(detector: Detector, path: str) -> str:
+    """Write the model's count tables, ``density`` and ``meta`` as a new version under ``path`` and commit it; gives its name."""
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    spark = _write_version(detector, f"{path}/versions/{version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return version
+
+
+def _write_version(detector: Detector, path: str) -> SparkSession:
     m, d = detector.model, detector.density
     if isinstance(m, MarkovModel):
         tables = {"states": m.states, "steps": m.steps}
@@ -44,9 +68,9 @@ def save_model(detector: Detector, path: str) -> None:
         scalars = {"smoothing": m.smoothing, "n_events": m.n_events, "n_urls": m.n_urls, "n_statuses": m.n_statuses}
     spark = next(iter(tables.values())).sparkSession
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        table.write.parquet(f"{path}/{name}")
     rows = list(zip(d.cells.tolist(), d.moments.tolist(), strict=True))  # occupied cells of the density
-    spark.createDataFrame(rows, "cell bigint, moments array<double>").write.mode("overwrite").parquet(f"{path}/density")
+    spark.createDataFrame(rows, "cell bigint, moments array<double>").write.parquet(f"{path}/density")
     meta = {
         "schema_version": SCHEMA_VERSION,
         "encoding_version": ENCODING_VERSION,
@@ -56,11 +80,17 @@ def save_model(detector: Detector, path: str) -> None:
         "scalars": {"reference": detector.reference, "aep_threshold": detector.aep_threshold, "n_scores": d.n, "bandwidth": d.bandwidth, "epsilon": d.epsilon, "density_threshold": detector.density_threshold},
         "fusion": asdict(detector.fusion),
     }
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.parquet(f"{path}/meta")
+    return spark
 
 
-def load_model(spark: SparkSession, path: str) -> Detector:
-    """Read a detector back; refuses other versions, and tables whose probabilities aren't finite, positive and summing to one."""
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> Detector:
+    """Read a detector back, the last committed version or a given one; refuses other schemas, and tables whose probabilities aren't
+    finite, positive and summing to one."""
+    version = version or committed_version(spark, path)
+    if version is None:
+        raise ValueError(f"no model has been committed under {path}")
+    path = f"{path}/versions/{version}"
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     if (meta["schema_version"], meta["encoding_version"]) != (SCHEMA_VERSION, ENCODING_VERSION):
         raise ValueError("the model was saved with another schema or state encoding")

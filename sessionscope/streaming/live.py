@@ -1,25 +1,29 @@
-"""The live monitor: follow a folder, parse, keep sessions per client, raise and resolve alerts, quarantine bad lines.
+"""The live monitor's streams: parse lines, keep sessions per client, raise and resolve alerts, quarantine bad lines.
 
-Costs add up, so a session's state is a handful of numbers, however long it runs. Every stateful function has a batch twin
-on plain windows, which gives the same rows for the same arrivals.
+Costs add up, so a session's state is a handful of numbers, however long it runs; it lies in the RocksDB state store. Every stateful
+function has a batch twin, which gives the same rows for the same arrivals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sessionscope.functions.parse import parse_log_lines
 from sessionscope.operators.categorical import UNSEEN
 from sessionscope.operators.curate import flag_excluded
+from sessionscope.operators.markov import MarkovModel
 from sessionscope.operators.prepare import event_time, with_states
+from sessionscope.operators.segments import scan_sessions, with_row_ids
 from sessionscope.operators.sessions import client
+from sessionscope.operators.staging import stage
 from sessionscope.sources.logs import log_glob
 
 
@@ -36,13 +40,11 @@ LIVE = live_schema()
 SESSION = ("session_ip", "session_start", "first_seq")
 
 
-def _state_schema(seq: str) -> str:
-    return f"last_ts timestamp, last_seq {seq}, session_start timestamp, first_seq {seq}, session_no int, n_events int, bits double, alert_open boolean, last_state string"
+STATE = "last_us bigint, last_seq {seq}, start_us bigint, first_seq {seq}, session_no int, n_events int, bits double, alert_open boolean"
 
 
 def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100, glob: str | None = None) -> DataFrame:
-    """Request lines of new files: raw_line, source_file, event_seq. Whole files as they appear: roll files, or put a queue in front;
-    appends aren't seen.
+    """Request lines of new files: raw_line, source_file, event_seq. Whole files as they appear; ``sources.tail`` follows files that grow.
 
     event_seq is text that sorts by file name, block start and place in the block, the order in which lines came. Places are
     counted while a task reads its split; nothing is moved.
@@ -61,111 +63,209 @@ def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int =
     return lines.mapInArrow(number, "raw_line string, source_file string, event_seq string")
 
 
-def stream_parse(lines: DataFrame, paths: DataFrame, names: DataFrame, fields: tuple[str, ...] = ("url_group", "status_category")) -> tuple[DataFrame, DataFrame]:
-    """(events, quarantine) of a stream or a batch of lines: the batch functions, line by line.
-
-    The quarantine keeps the raw line with its file and reason: parse status, invalid_timestamp, or excluded_route.
-    """
+def judge_lines(lines: DataFrame, paths: DataFrame, names: DataFrame, fields: tuple[str, ...] = ("url_group", "status_category")) -> DataFrame:
+    """Every line of a stream or a batch, parsed, with ``reason``: null where it is kept, else the parse status, invalid_timestamp, or
+    excluded_route. The batch functions, line by line."""
     parsed = parse_log_lines(lines, "routes").withColumn("ts", event_time(F.col("timestamp")))
     stated = with_states(parsed, fields)
     reason = F.when(F.col("parse_status") != "ok", F.col("parse_status")).when(F.col("ts").isNull(), "invalid_timestamp")
     marked = flag_excluded(stated.withColumn("reason", reason), paths, names)
-    reason = F.coalesce("reason", F.when(F.col("excluded"), "excluded_route"))  # one flag decides for both sides
-    marked = marked.withColumn("reason", reason).drop("excluded")
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("source_file", "raw_line", "reason")
+    return marked.withColumn("reason", F.coalesce("reason", F.when(F.col("excluded"), "excluded_route"))).drop("excluded")
+
+
+QUARANTINE = ("source_file", "line_number", "byte_offset", "raw_line", "reason")
+
+
+def stream_parse(lines: DataFrame, paths: DataFrame, names: DataFrame, fields: tuple[str, ...] = ("url_group", "status_category")) -> tuple[DataFrame, DataFrame]:
+    """(events, quarantine) of a stream or a batch of lines. The quarantine keeps the raw line with its file, its place there (what of
+    line_number and byte_offset the lines have) and the reason; one reason decides for both sides."""
+    marked = judge_lines(lines, paths, names, fields)
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select(*[c for c in QUARANTINE if c in marked.columns])
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """transformWithState needs the RocksDB state store; streams that are started from now on use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+CHUNK = 8192  # rows of a client that are worked on, and given out, at a time
+
 
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
+    """A client's arrivals of one trigger by event_seq, a chunk at a time. They are held packed, a few dozen bytes each, for the
+    shuffle brings them in any order."""
+    tables = [pa.Table.from_pandas(f[columns], preserve_index=False) for f in frames]
+    held = pa.concat_tables(tables)
+    order = pc.sort_indices(held["event_seq"])
+    for at in range(0, held.num_rows, CHUNK):
+        part = held.take(order.slice(at, CHUNK))
+        yield list(zip(*[part[c].to_pylist() for c in columns], strict=True))
 
-@dataclass(frozen=True)
-class Costs:
-    """Bits of a Markov step, for streams: a bounded table of counted cells, and what every other cell of a row or of the start costs."""
 
-    cells: dict[tuple[str | None, str], float]
-    rows: dict[str | None, float]
+class _PerClient(StatefulProcessor):
+    """A client's state as one value, forgotten ``ttl_ms`` after its last arrival by a processing-time timer."""
 
-    def bits(self, before: str | None, state: str) -> float:
-        return self.cells.get((before, state), self.rows[before])
+    state_schema: str
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-def _advance(reference: float, threshold: float, timeout_seconds: float, costs: Costs | None = None) -> Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]]:
-    """One client's arrivals (event_seq, ts, bits or state) against its state; gives the new state and a row an arrival, and a row for every alert resolved."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("client", self.state_schema)
+
+    def _keep(self, state: tuple, now_ms: int) -> None:
+        self.value.update(state)
+        if self.ttl_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now_ms + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def advance(reference: float, threshold: float, timeout_us: int) -> Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]]:
+    """One client's arrivals (event_seq, microseconds, bits) against its state; gives the new state and a row an arrival, and a row for every
+    alert resolved."""
 
     def run(state: tuple, arrivals: list[tuple]) -> tuple[tuple, list[tuple]]:
-        last, last_seq, start, first, no, n, bits, alert, previous = state
+        last, last_seq, start, first, no, n, bits, alert = state
         out = []
-        for seq, ts, cost in arrivals:
-            if last is not None and (ts - last).total_seconds() > timeout_seconds:
+        for seq, us, cost in arrivals:
+            if last is not None and us - last > timeout_us:
                 if alert:
-                    out.append((start, first, no, seq, ts, n, None, None, "resolved"))
-                no, n, bits, alert, previous = no + 1, 0, 0.0, False, None
+                    out.append((start, first, no, seq, us, n, None, None, "resolved"))
+                no, n, bits, alert = no + 1, 0, 0.0, False
             if n == 0:
-                start, first = ts, seq
-            if costs is not None:
-                known = cost if cost in costs.rows else UNSEEN
-                previous, cost = known, costs.bits(previous, known)
-            n, bits, last, last_seq = n + 1, bits + cost, ts, seq
+                start, first = us, seq
+            n, bits, last, last_seq = n + 1, bits + cost, us, seq
             score = bits / n
             bad = abs(score - reference) > threshold
-            out.append((start, first, no, seq, ts, n, score, bad, ("updated" if alert else "inserted") if bad else None))
+            out.append((start, first, no, seq, us, n, score, bad, ("updated" if alert else "inserted") if bad else None))
             alert = alert or bad
-        return (last, last_seq, start, first, no, n, bits, alert, previous), out
+        return (last, last_seq, start, first, no, n, bits, alert), out
 
     return run
 
 
-def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float, state_ttl: str | None = "1 day", costs: Costs | None = None) -> DataFrame:
-    """A stream of scored requests (url_bits, status_bits) as a stream of session scores and alert changes, in order of arrival.
+FRESH = (None, None, None, None, 1, 0, 0.0, False)
+_OUT = ["session_start", "first_seq", "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change"]
+
+
+def _frame(key: tuple, out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=_OUT)
+    for c in ("session_start", "ts"):
+        frame[c] = pd.to_datetime(frame[c].astype("int64"), unit="us")
+    frame.insert(0, "session_ip", key[0])
+    return frame
+
+
+class LiveScores(_PerClient):
+    """Session scores and alert changes; an alert that is open when the client is forgotten is resolved then."""
+
+    def __init__(self, step, seq: str, ttl_ms: int | None):
+        super().__init__(ttl_ms)
+        self.step, self.state_schema = step, STATE.format(seq=seq)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.value.get()) if self.value.exists() else FRESH
+        for chunk in _in_order(rows, ["event_seq", "us", "cost"]):
+            state, out = self.step(state, chunk)
+            yield _frame(key, out)
+        self._keep(state, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.value.exists():
+            last, last_seq, start, first, no, n, _, alert = self.value.get()
+            self.value.clear()
+            if alert:
+                yield _frame(key, [(start, first, no, last_seq, last, n, None, None, "resolved")])
+
+
+class StepsBefore(_PerClient):
+    """Every arrival with the state before it in its session (null for the first)."""
+
+    state_schema = "last_us bigint, state string"
+
+    def __init__(self, timeout_us: int, ttl_ms: int | None):
+        super().__init__(ttl_ms)
+        self.timeout_us = timeout_us
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, state = tuple(self.value.get()) if self.value.exists() else (None, None)
+        for chunk in _in_order(rows, ["event_seq", "us", "state"]):
+            before = []
+            for _, us, now in chunk:
+                before.append(None if last is None or us - last > self.timeout_us else state)
+                last, state = us, now
+            seq, times, states = zip(*chunk, strict=True)
+            yield pd.DataFrame({"session_ip": key[0], "event_seq": seq, "us": np.array(times, np.int64), "state": states, "before": pd.Series(before, dtype=object)})
+        self._keep((last, state), timerValues.getCurrentProcessingTimeInMs())
+
+
+def _ttl_ms(ttl: str | None) -> int | None:
+    return int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+
+
+def _stateful(keyed: DataFrame, processor: StatefulProcessor, schema: str, ttl: str | None) -> DataFrame:
+    use_rocksdb(keyed.sparkSession)
+    return keyed.groupBy("session_ip").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if ttl else "None")
+
+
+def markov_costs(scored: DataFrame, model: MarkovModel, timeout_seconds: float, state_ttl: str | None) -> DataFrame:
+    """A stream of requests with a state_id as a stream (ip, event_seq, ts, cost): what each Markov step costs, for a chain of any size.
+
+    A first stateful operator tells the state before each request. The counted cell and the row's default come from joins with the
+    chain's tables, so no task holds the chain.
+    """
+    seq = scored.schema["event_seq"].dataType.simpleString()
+    bits = lambda p: -F.log2(p)
+    known = model.states.select(F.col("state").alias("_known"))
+    keyed = scored.select(client(scored).alias("session_ip"), "event_seq", F.unix_micros("ts").alias("us"), "state_id").join(known, F.col("state_id") == F.col("_known"), "left")
+    keyed = keyed.select("session_ip", "event_seq", "us", F.coalesce("_known", F.lit(UNSEEN)).alias("state"))
+    steps = _stateful(keyed, StepsBefore(int(timeout_seconds * 1_000_000), _ttl_ms(state_ttl)), f"session_ip string, event_seq {seq}, us bigint, state string, before string", state_ttl)
+    # the start is a row like any other, named by a state that can't be
+    start = "\x00start"
+    cells = model.transitions().select(F.col("from_state").alias("_from"), F.col("to_state").alias("_to"), bits(F.col("p")).alias("_cell"))
+    cells = cells.unionByName(model.initial().select(F.lit(start).alias("_from"), F.col("state").alias("_to"), bits(F.col("p_initial")).alias("_cell")))
+    default = F.lit(model.smoothing) / (F.col("n_from") + model.smoothing * model.k)
+    rows = model.states.select(F.col("state").alias("_row"), bits(default).alias("_default"))
+    cells, rows = stage(cells, "live-cells"), stage(rows, "live-rows")
+    at = F.coalesce("before", F.lit(start))
+    priced = steps.join(cells, (at == F.col("_from")) & (F.col("state") == F.col("_to")), "left").join(rows, at == F.col("_row"), "left")
+    return priced.select(F.col("session_ip").alias("ip"), "event_seq", F.timestamp_micros("us").alias("ts"), F.coalesce("_cell", "_default").alias("cost"))
+
+
+def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float, state_ttl: str | None = "1 day") -> DataFrame:
+    """A stream of scored requests (url_bits and status_bits, or cost) as a stream of session scores and alert changes, in order of arrival.
 
     A session ends when its client's next request comes over ``timeout_seconds`` after the last one seen; late requests never
     split. Idle clients' state goes after ``state_ttl``, and an alert still open is resolved then; give None for a run over what is
-    there now (availableNow), which would otherwise wait for the clock. With ``costs`` the requests are Markov steps instead: they
-    have a state_id, and what they cost follows from the client's state before.
+    there now (availableNow), which would otherwise wait for the clock.
     """
     seq = scored.schema["event_seq"].dataType.simpleString()
-    step = _advance(reference, threshold, timeout_seconds, costs)
-    ttl_ms = int(pd.Timedelta(state_ttl).total_seconds() * 1000) if state_ttl else None
-    names = ["session_start", "first_seq", "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change"]
-
-    def made(key: tuple, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=names)
-        frame.insert(0, "session_ip", key[0])
-        return frame
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, last_seq, start, first, no, n, _, alert, _ = state.get
-            state.remove()
-            if alert:
-                yield made(key, [(start, first, no, last_seq, last, n, None, None, "resolved")])
-            return
-        rows = pd.concat(list(batches)).sort_values("event_seq")  # a client's rows of one trigger, bounded by maxFilesPerTrigger
-        before = tuple(state.get) if state.exists else (None, None, None, None, 1, 0, 0.0, False, None)
-        now, out = step(before, list(zip(rows["event_seq"].tolist(), rows["ts"].tolist(), rows["cost"].tolist(), strict=True)))
-        state.update(now)
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield made(key, out)
-
-    cost = F.col("url_bits") + F.col("status_bits") if costs is None else F.col("state_id")
-    keyed = scored.select(client(scored).alias("session_ip"), "event_seq", "ts", cost.alias("cost"))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if state_ttl else GroupStateTimeout.NoTimeout
-    return keyed.groupBy("session_ip").applyInPandasWithState(run, live_schema(seq), _state_schema(seq), "append", timeout)
+    step = advance(reference, threshold, int(timeout_seconds * 1_000_000))
+    cost = F.col("cost") if "cost" in scored.columns else F.col("url_bits") + F.col("status_bits")
+    keyed = scored.select(client(scored).alias("session_ip"), "event_seq", F.unix_micros("ts").alias("us"), cost.alias("cost"))
+    return _stateful(keyed, LiveScores(step, seq, _ttl_ms(state_ttl)), live_schema(seq), state_ttl)
 
 
 def live_sessions_batch(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float) -> DataFrame:
     """Batch twin of ``live_sessions``' score rows: running numbers of each session, with what every arrival does to the alert."""
-    rows = scored.select(client(scored).alias("session_ip"), "event_seq", "ts", (F.col("url_bits") + F.col("status_bits")).alias("bits"))
-    arrival = Window.partitionBy("session_ip").orderBy("event_seq")
-    before = F.lag("ts").over(arrival)
-    gap = F.unix_micros("ts") - F.unix_micros(before) > F.lit(int(timeout_seconds * 1_000_000))
-    rows = rows.withColumn("_new", F.when(before.isNull() | gap, 1).otherwise(0))
-    rows = rows.withColumn("session_no", F.sum("_new").over(arrival.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    running = Window.partitionBy("session_ip", "session_no").orderBy("event_seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"n_events": F.count("*").over(running).cast("int"), "information_score": F.sum("bits").over(running) / F.count("*").over(running)})
-    rows = rows.withColumns({"session_start": F.first("ts").over(running), "first_seq": F.first("event_seq").over(running)})
-    rows = rows.withColumn("anomalous", F.abs(F.col("information_score") - F.lit(reference)) > F.lit(threshold))
-    nth = F.count_if("anomalous").over(running)
-    change = F.when(F.col("anomalous"), F.when(nth == 1, "inserted").otherwise("updated"))
-    return rows.withColumn("alert_change", change).select(*SESSION, "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change")
+    bits = F.col("url_bits") + F.col("status_bits")
+    held = with_row_ids(scored.select(client(scored).alias("session_ip"), "event_seq", "ts", bits.alias("bits")), "arrivals")
+    rows = held.select("_row", "event_seq", "ts").join(scan_sessions(held, ["event_seq"], timeout_seconds, sums=("bits",)), "_row")
+    score = F.col("upto_bits") / (F.col("pos") + 1)
+    rows = rows.withColumns({"n_events": F.col("pos") + 1, "information_score": score, "anomalous": F.abs(score - F.lit(reference)) > F.lit(threshold)})
+    first = rows.where("anomalous").groupBy("session_ip", "session_no").agg(F.min("event_seq").alias("_inserted"))
+    both = rows.join(first, ["session_ip", "session_no"], "left")
+    change = F.when(F.col("anomalous"), F.when(F.col("event_seq") == F.col("_inserted"), "inserted").otherwise("updated"))
+    return both.withColumn("alert_change", change).select(*SESSION, "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change")
 
 
 def alert_lifecycle(live: DataFrame) -> DataFrame:
@@ -236,6 +336,16 @@ def scan_counters(parsed: DataFrame, excluded_reason: str = "excluded_route") ->
     )
 
 
+def round_counters(lines: DataFrame) -> DataFrame:
+    """``scan_counters`` of every round of judged lines (round, reason), a row a round."""
+    return lines.groupBy("round").agg(
+        F.count("*").alias("new_lines"),
+        F.count_if(F.col("reason").isNotNull() & (F.col("reason") != "excluded_route")).alias("malformed_lines"),
+        F.count_if(F.col("reason") == "excluded_route").alias("excluded_lines"),
+        F.count_if(F.col("reason").isNull()).alias("scored_requests"),
+    )
+
+
 def pending_requests(live: DataFrame) -> DataFrame:
     """Requests held in each client's open session, the last one."""
     return live.groupBy("session_ip").agg(F.max_by("n_events", F.struct("session_no", "n_events")).alias("pending"))
@@ -250,14 +360,3 @@ def final_sessions(scored: DataFrame, timeout_seconds: int, lateness: str) -> Da
     window = F.session_window("ts", f"{timeout_seconds} seconds")
     closed = watched.groupBy("session_ip", window).agg(F.count("*").alias("n_events"), F.sum(F.col("url_bits") + F.col("status_bits")).alias("bits"))
     return closed.select("session_ip", F.col("session_window.start").alias("start_time"), "n_events", (F.col("bits") / F.col("n_events")).alias("information_score"))
-
-
-def run_monitor(lines: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, DataFrame], None], paths: DataFrame, names: DataFrame, checkpoint: str, once: bool = False):
-    """Start the monitor: each micro-batch is parsed and scored; ``sink(scored, quarantine)`` stores both."""
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        events, quarantine = stream_parse(batch, paths, names)
-        sink(score(events), quarantine)
-
-    writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()

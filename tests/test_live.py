@@ -51,26 +51,10 @@ def test_final_sessions_close_by_event_time(spark, tmp_path):
     assert got == [("a", 1), ("a", 2)]  # b may still grow
 
 
-def test_monitor_from_files(spark, tmp_path):
-    good = '[2026-10-07 10:00:0{}] local.INFO: Route request completed. {{"method":"GET","route_name":"{}","uri":"{}","status":200,"ip":"1.1.1.1"}}'
-    (tmp_path / "logs").mkdir()
-    (tmp_path / "logs/routes-1.log").write_text("\n".join([good.format(1, "", "/a"), good.format(2, "gone", "/a"), good.format(3, "", "/health/"), "broken", "[2026-99-99 10:00:00] l.INFO: Route request completed. " + good.format(3, "", "/a").split("completed. ")[1]]) + "\n")
-    (tmp_path / "logs/services-1.log").write_text("other\n")
-    seen = []
-
-    def sink(scored, quarantine):
-        seen.append(([r.normalized_uri for r in scored.collect()], sorted(r.reason for r in quarantine.collect())))
-
-    paths, names = spark.createDataFrame([("/health",)], "path string"), spark.createDataFrame([("gone",)], "route_name string")
-    job = live.run_monitor(live.stream_log_lines(spark, str(tmp_path / "logs")), lambda e: e, sink, paths, names, str(tmp_path / "check"), once=True)
-    job.awaitTermination()
-    assert seen == [(["/a"], ["excluded_route", "excluded_route", "invalid_timestamp", "malformed_line"])]
-
-
 def test_monitor_job(spark, tmp_path):
     from sessionscope.config import SessionConfig
     from sessionscope.jobs import detector as jobs
-    from sessionscope.jobs.monitor import alert_table, start_monitor
+    from sessionscope.jobs.monitor import alert_table, counters, quarantine, start_monitor
 
     rng = random.Random(4)
     rows = [(i, f"c{i % 6}", T0 + dt.timedelta(seconds=20 * i), rng.choice(["a.x", "a.x", "a.y", "b.z"]), rng.choice(["success", "success", "not_found"])) for i in range(600)]
@@ -87,7 +71,8 @@ def test_monitor_job(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.schema(live.live_schema("string")).parquet(str(tmp_path / "out/live")).orderBy("event_seq").collect()
     assert [r.n_events for r in got] == [1, 2, 3, 4, 5] and [r.alert_change for r in got] == ["inserted"] + ["updated"] * 4
-    assert [r.reason for r in spark.read.parquet(str(tmp_path / "out/quarantine")).collect()] == ["malformed_line"]
+    assert [(r.source_file, r.raw_line, r.reason, r.byte_offset) for r in quarantine(spark, str(tmp_path / "out")).collect()] == [("routes-1.log", "broken", "malformed_line", sum(len(line.format(i, f"/probe/{i}", 500)) + 1 for i in range(5)))]
+    assert [tuple(r)[1:] for r in counters(spark, str(tmp_path / "out")).collect()] == [(6, 1, 0, 5)]
     alerts = alert_table(spark, str(tmp_path / "out/alerts")).collect()
     assert [(r.session_ip, r.n_events, r.resolved, r.acknowledged) for r in alerts] == [("9.9.9.9", 5, False, False)]
     try:
@@ -123,17 +108,27 @@ def test_lines_keep_file_and_line_order(spark, tmp_path):
 
 def test_arrival_order_and_sessions_after_a_timeout_of_state():
     """A late line doesn't split; a client whose state went starts a session of another name; an open alert is resolved then."""
-    at = lambda s: T0 + dt.timedelta(seconds=s)
-    step = live._advance(1.0, 0.5, 60)
-    fresh = (None, None, None, None, 1, 0, 0.0, False, None)
-    state, out = step(fresh, [("f:1", at(100), 3.0), ("f:2", at(30), 3.0), ("f:3", at(85), 1.0)])
-    assert [(r[0], r[1], r[2], r[5], r[8]) for r in out] == [(at(100), "f:1", 1, 1, "inserted"), (at(100), "f:1", 1, 2, "updated"), (at(100), "f:1", 1, 3, "updated")]
-    _, again = step(fresh, [("g:1", at(9000), 3.0)])
-    assert again[0][:2] == (at(9000), "g:1") and again[0][2] == 1
-    _, after = step(state, [("f:4", at(200), 1.0)])
+    step = live.advance(1.0, 0.5, 60)
+    state, out = step(live.FRESH, [("f:1", 100, 3.0), ("f:2", 30, 3.0), ("f:3", 85, 1.0)])
+    assert [(r[0], r[1], r[2], r[5], r[8]) for r in out] == [(100, "f:1", 1, 1, "inserted"), (100, "f:1", 1, 2, "updated"), (100, "f:1", 1, 3, "updated")]
+    _, again = step(live.FRESH, [("g:1", 9000, 3.0)])
+    assert again[0][:2] == (9000, "g:1") and again[0][2] == 1
+    _, after = step(state, [("f:4", 200, 1.0)])
     assert [(r[1], r[8]) for r in after] == [("f:1", "resolved"), ("f:4", None)]
 
 
+def test_a_client_of_many_rows_comes_out_in_chunks():
+    """A client's frames are put in order whole, but worked on and given out in pieces."""
+    import pandas as pd
+
+    n = 3 * live.CHUNK + 5
+    seq = list(range(n))
+    random.Random(1).shuffle(seq)
+    frames = [pd.DataFrame({"event_seq": seq[at : at + 1000], "us": seq[at : at + 1000], "cost": 1.0}) for at in range(0, n, 1000)]
+    chunks = list(live._in_order(iter(frames), ["event_seq", "us", "cost"]))
+    assert [len(c) for c in chunks] == [live.CHUNK] * 3 + [5] and [x[0] for c in chunks for x in c] == list(range(n))
+
+
 def test_state_that_times_out_resolves_its_alert(spark, tmp_path):
     """A client goes away with an open alert; its next session, after the state's time, has another name and the first one is closed."""
     import time
@@ -207,3 +202,161 @@ def test_markov_monitor_equals_batch(spark, tmp_path):
     found = jobs.analyze_log(events["live"], model).collect()
     assert found and all(len(r.transition_probabilities) == r.n_events - 1 and len(r.least_probable_transitions) <= 5 for r in found)
     assert any(r.unknown_events for r in found)
+
+
+# ---- files that grow
+
+
+def tailed(spark, folder, work, glob="*.log", span_bytes=64):
+    from sessionscope.sources.tail import tail_log_lines
+
+    stream = tail_log_lines(spark, str(folder), glob=glob, span_bytes=span_bytes)
+    stream.writeStream.format("parquet").option("checkpointLocation", str(work / "check")).trigger(availableNow=True).start(str(work / "out")).awaitTermination()
+    return [(r.source_file, r.byte_offset, r.raw_line) for r in spark.read.parquet(str(work / "out")).orderBy("event_seq").collect()]
+
+
+def test_tail_follows_appends_halves_and_truncation(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.log").write_bytes(b"one\r\n\ntwo\xff\nhal")
+    (logs / "B.log").write_bytes("".join(f"line {i} \u00e9\n" for i in range(40)).encode())
+    (logs / "other.txt").write_bytes(b"no\n")
+    (logs / "c.log").write_bytes(b"no feed at all")
+    size = len("line 1 \u00e9\n".encode())
+    places = [0]
+    for i in range(39):
+        places.append(places[-1] + size + (i > 9))
+    want = [("a.log", 0, "one"), ("a.log", 5, ""), ("a.log", 6, "two\ufffd")] + [("B.log", p, f"line {i} \u00e9") for i, p in enumerate(places)]
+    assert tailed(spark, logs, tmp_path) == want
+    assert tailed(spark, logs, tmp_path) == want  # nothing new
+    with (logs / "a.log").open("ab") as f:
+        f.write(b"f\nlast\n")
+    (logs / "B.log").write_bytes(b"fresh\n")  # shorter than before
+    (logs / "c.log").write_bytes(b"no feed at all\n")
+    want += [("a.log", 11, "half"), ("a.log", 16, "last"), ("B.log", 0, "fresh"), ("c.log", 0, "no feed at all")]
+    assert tailed(spark, logs, tmp_path) == want
+    (logs / "B.log").write_bytes(b"other first line, and longer\n")  # another file under the name
+    (logs / "a.log").unlink()
+    assert tailed(spark, logs, tmp_path) == want + [("B.log", 0, "other first line, and longer")]
+
+
+def test_tail_spans_cover_every_line_once(tmp_path):
+    """Whatever the ranges are, each line is read by one of them, lines longer than a range and than a block too."""
+    from sessionscope.sources import tail
+
+    rng = random.Random(2)
+    lines = [b"x" * rng.choice([0, 1, 5, 300]) for _ in range(200)] + [b"y" * (2 * tail.BLOCK + 7), b"", b"end"]
+    (tmp_path / "f.log").write_bytes(b"\n".join(lines) + b"\npartial")
+    for span in (1, 7, 100, 1 << 20, 1 << 24):
+        reader = tail.TailReader({"path": str(tmp_path), "glob": "*.log", "spanbytes": str(max(span, 4096 if span < 100 else span))})
+        end = reader.latestOffset()
+        spans = reader.partitions(reader.initialOffset(), end)
+        got = [x for s in spans for b in reader.read(s) for x in b.column(0).to_pylist()]
+        assert got == lines and end["files"]["f.log"][0] == sum(len(x) + 1 for x in lines)
+        assert reader.partitions(end, end) == []
+
+
+def test_positions_of_batch_lines(spark, tmp_path):
+    """Line numbers over split borders; blank lines count, CRLF ends lines, bytes that are no UTF-8 are replaced."""
+    from sessionscope.sources.logs import read_log_lines
+
+    lines = [b"" if i % 7 == 0 else b"l%d" % i for i in range(3000)]
+    (tmp_path / "routes-1.log").write_bytes(b"\n".join(lines) + b"\n")
+    (tmp_path / "routes-2.log").write_bytes(b"a\r\n\r\nb\xfe\xffc\nlast")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = read_log_lines(spark, str(tmp_path), "routes").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    got = {(r.source_file, r.line_number): r.raw_line for r in rows}
+    assert len(got) == len(rows) and {n: x for (f, n), x in got.items() if f == "routes-1.log"} == {i: x.decode() for i, x in enumerate(lines, 1)}
+    assert [got["routes-2.log", n] for n in (1, 2, 3, 4)] == ["a", "", "b\ufffd\ufffdc", "last"]
+
+
+def test_model_versions(spark, tmp_path):
+    """A version counts once it is committed; saving over the loaded path works; a monitor goes on with the next version."""
+    import threading
+    import time
+
+    import pytest
+
+    from sessionscope.config import SessionConfig
+    from sessionscope.jobs import detector as jobs
+    from sessionscope.jobs.monitor import keep_monitoring
+    from sessionscope.sources import models
+
+    rows = [(i, f"c{i % 5}", T0 + dt.timedelta(seconds=20 * i), ["a.x", "a.y", "b.z"][i % 3], ["success", "not_found"][i % 7 == 0]) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_seq bigint, ip string, ts timestamp, url_group string, status_category string")
+    model = jobs.build(events.where("event_seq < 200"), events.where("event_seq >= 200"), SessionConfig(timeout_seconds=1000, min_events=1))
+    path = str(tmp_path / "model")
+    with pytest.raises(ValueError, match="committed"):
+        models.load_model(spark, path)
+    models._write_version(model, f"{path}/versions/9")  # never committed
+    with pytest.raises(ValueError, match="committed"):
+        models.load_model(spark, path)
+    first = models.save_model(model, path)
+    loaded = models.load_model(spark, path)
+    model.aep_threshold = loaded.aep_threshold = 1e9  # nothing is anomalous to the second version
+    second = models.save_model(loaded, path)
+    assert models.committed_version(spark, path) == second > first
+    assert models.load_model(spark, path, first).aep_threshold < 1e9 == models.load_model(spark, path).aep_threshold
+    model.aep_threshold = -1.0  # everything is to the third
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    none = spark.createDataFrame([], "path string"), spark.createDataFrame([], "route_name string")
+    over = threading.Event()
+    watch = threading.Thread(target=keep_monitoring, args=(spark, str(logs), path, out, *none), kwargs={"poll_seconds": 0.5, "until": over.is_set})
+
+    def add(second_of, ip):
+        with (logs / "routes-1.log").open("a") as f:
+            f.write(LINE.format(0, second_of, "", "/a/x", 200, ip) + "\n")
+
+    def scores(n):
+        until = time.time() + 90
+        while time.time() < until:
+            try:
+                found = spark.read.schema(live.live_schema("string")).parquet(f"{out}/live").where("information_score is not null").orderBy("event_seq").collect()
+            except Exception:
+                found = []
+            if len(found) >= n:
+                return [(r.session_ip, r.n_events, r.anomalous) for r in found]
+            time.sleep(0.5)
+        raise AssertionError("the monitor gave no scores")
+
+    add(1, "a")
+    watch.start()
+    try:
+        assert scores(1) == [("a", 1, False)]
+        models.save_model(model, path)
+        time.sleep(6)
+        add(2, "a")
+        assert scores(2) == [("a", 1, False), ("a", 2, True)]  # the session goes on under the new model
+    finally:
+        over.set()
+        watch.join(60)
+    assert not watch.is_alive()
+
+
+def test_alerts_rewrite_only_buckets_with_changes(spark, tmp_path):
+    from sessionscope.jobs.monitor import alert_table, store_changes
+
+    def batch(ip, n):
+        return spark.createDataFrame([(ip, T0, f"{ip}1", 1, f"{ip}{n}", T0 + dt.timedelta(seconds=n), n, 5.0, True, "inserted" if n == 1 else "updated")], live.live_schema("string"))
+
+    out = str(tmp_path)
+    each = store_changes(out)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "alerts").rglob("*.parquet")}
+    each(batch("a", 1), 0)
+    first = files()
+    each(batch("b", 1), 1)
+    assert first.items() <= files().items() and len(files()) == 2
+    for _ in range(2):  # a batch that runs again changes nothing
+        each(batch("a", 2), 2)
+        assert sorted((r.session_ip, r.n_events, r.created_at, r.updated_at) for r in alert_table(spark, f"{out}/alerts").collect()) == [
+            ("a", 2, T0 + dt.timedelta(seconds=1), T0 + dt.timedelta(seconds=2)), ("b", 1, T0 + dt.timedelta(seconds=1), T0 + dt.timedelta(seconds=1)),
+        ]
+    each(spark.createDataFrame([("c", T0, "c1", 1, "c1", T0, 1, 0.1, False, None)], live.live_schema("string")), 3)
+    assert alert_table(spark, f"{out}/alerts").count() == 2

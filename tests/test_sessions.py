@@ -26,13 +26,65 @@ def test_gap_of_exactly_the_timeout_stays(spark):
     assert {r.event_seq for r in sessions.ip_sessions(df, 60, 2).collect()} == {0, 1, 3, 4, 5, 6}
 
 
-def test_sliced_sessions_equal_plain_ones(spark):
-    rng = random.Random(1)
-    rows = [("hot" if i % 3 else f"c{i % 7}", rng.randrange(50_000)) for i in range(3000)]
-    df = events(spark, rows)
-    plain = {r.event_seq: r.session_no for r in sessions.number_sessions(df, 30).collect()}
-    for width in (10, 100, 100_000):
-        assert {r.event_seq: r.session_no for r in sessions.number_sessions_sliced(df, 30, width).collect()} == plain
+def plain_sessions(rows, timeout):
+    """rows: (event_seq, ip, seconds) -> event_seq: (client, session_no, pos, n_events, first second)."""
+    by_client = {}
+    for seq, ip, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_client.setdefault((ip or "").strip() or sessions.MISSING_IP, []).append((at, seq))
+    out = {}
+    for ip, requests in by_client.items():
+        runs = []
+        for at, seq in requests:
+            if not runs or at - runs[-1][-1][0] > timeout:
+                runs.append([])
+            runs[-1].append((at, seq))
+        for no, run in enumerate(runs, 1):
+            out |= {seq: (ip, no, pos, len(run), run[0][0]) for pos, (_, seq) in enumerate(run)}
+    return out
+
+
+@pytest.fixture
+def partitions(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_sessions_over_any_borders(spark, partitions, parts):
+    """Half of all requests from one client, ties, sessions longer and shorter than a segment."""
+    rng = random.Random(parts)
+    rows, clock = [], 0
+    for i in range(600):
+        clock += rng.choice([0, 0, 1, 3, 8, 30, 61])
+        rows.append((i, None if i % 2 else f"c{i % 9}", clock))
+    df = spark.createDataFrame([(i, ip, T0 + dt.timedelta(seconds=s), 1) for i, ip, s in rows], EVENT + ", _n int").repartition(3)
+    partitions(parts)
+    want = plain_sessions(rows, 60)
+    got = {r.event_seq: (r.session_ip, r.session_no, r.pos, r.n_events, int((r.session_start - T0).total_seconds())) for r in sessions.ip_sessions(df, 60).collect()}
+    assert got == want
+    assert {r.event_seq for r in sessions.ip_sessions(df, 60, 5).collect()} == {i for i, w in want.items() if w[3] >= 5}
+
+
+def test_a_hot_client_in_one_hour_is_dealt_evenly(spark, partitions):
+    """Half of all rows from one client inside an hour: no segment holds more than twice the mean."""
+    from sessionscope.operators import segments
+
+    df = spark.range(20_000).selectExpr("id as event_seq", "case when id % 2 = 0 then 'hot' else concat('c', id % 501) end as ip", "timestamp_seconds(1767225600 + cast(id * 0.18 as bigint)) as ts")
+    partitions(16)
+    held = segments.with_row_ids(df.withColumn("session_ip", F.col("ip")), "held")
+    placed = held.repartitionByRange("session_ip", "ts", "event_seq", "_row").groupBy(F.spark_partition_id()).count().collect()
+    assert len(placed) == 16 and max(r["count"] for r in placed) < 2 * 20_000 / 16
+    numbers = sessions.ip_sessions(df, 60)
+    assert numbers.where("session_ip = 'hot'").agg(F.max("session_no"), F.max("pos"), F.count("*")).first()[:] == (1, 9_999, 10_000)
+
+
+def test_requests_without_a_time_and_empty_tables(spark):
+    df = events(spark, [("a", 0), ("a", 10)]).union(spark.createDataFrame([(9, "a", None)], EVENT))
+    assert {r.event_seq for r in sessions.ip_sessions(df, 60).collect()} == {0, 1}
+    assert sessions.ip_sessions(df.limit(0), 60).collect() == [] and sessions.number_sessions(df.limit(0), 60).collect() == []
 
 
 def test_global_index_and_prefix_sums(spark):
@@ -102,26 +154,15 @@ def test_catalog_conflicts(spark):
         curate.check_catalog(curate.state_catalog(good.union(spark.createDataFrame([("s", "x")], "a string, b string"))))
 
 
-def test_hot_clients_give_the_same_sessions(spark):
-    """One client with half of all requests, worked on in slices shorter and longer than its sessions."""
-    import random
-
-    from sessionscope.operators import curate
-
+def test_control_reaches_over_borders(spark, partitions):
     rng = random.Random(17)
-    rows, clock = [], 0
-    for i in range(3000):
-        clock += rng.choice([0, 1, 3, 8, 30, 61, 200])
-        rows.append((i, None if i % 2 else f"c{i % 9}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=clock), "review" if rng.random() < 0.05 else "normal", "r"))
-    df = spark.createDataFrame(rows, "event_seq bigint, ip string, ts timestamp, classification string, reason string")
-    key = ["event_seq", "session_ip", "session_no", "pos", "n_events", "session_start"]
-    plain = sorted(sessions.ip_sessions(df, 60, 2).select(key).collect())
-    tainted = sorted(curate.session_control(df, 60).select("event_seq", "classification", "reason").collect())
-    for seconds in (7, 100, 5000):
-        heat = sessions.Heat(rows=1000, slice_seconds=seconds)
-        assert sorted(sessions.ip_sessions(df, 60, 2, heat=heat).select(key).collect()) == plain
-        assert sorted(curate.session_control(df, 60, heat=heat).select("event_seq", "classification", "reason").collect()) == tainted
-        assert sorted(sessions.number_sessions_sliced(df, 60, seconds).select("event_seq", "session_no").collect()) == sorted(sessions.number_sessions(df, 60).select("event_seq", "session_no").collect())
+    rows = [(i, None if i % 2 else f"c{i % 9}", 7 * i if i < 250 else 90 * i, rng.random() < 0.05) for i in range(500)]
+    df = spark.createDataFrame([(i, ip, T0 + dt.timedelta(seconds=s), "review" if bad else "normal", "r") for i, ip, s, bad in rows], EVENT + ", classification string, reason string")
+    numbers = plain_sessions([r[:3] for r in rows], 60)
+    tainted = {numbers[i][:2] for i, *_, bad in rows if bad}
+    partitions(11)
+    got = {r.event_seq: (r.classification, r.reason) for r in curate.session_control(df, 60).collect()}
+    assert got == {i: ("review", "session_contains_unallowlisted_route") if numbers[i][:2] in tainted else ("normal", "r") for i, *_ in rows}
 
 
 def test_staging_needs_a_shared_folder_on_a_cluster():
