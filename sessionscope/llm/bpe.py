@@ -212,15 +212,15 @@ class Encoder:
     def entries(self, texts: list[str]) -> list[list]:
         """Of each text what is kept of its words, in order."""
         cut = [self._words(t) for t in texts]
-        known = self.memo
-        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in known]
+        have = {w: self.memo.find(w) for w in dict.fromkeys(chain.from_iterable(cut))}
+        new = [w for w, made in have.items() if made is None]
         fresh = {w: self.make(np.array([w], np.int32)) for w in new if isinstance(w, int)}
         fresh.update((w, self.make(ids)) for w, ids in self._merged([w for w in new if isinstance(w, str)]))
-        out = [[known[w] if w in known else fresh[w] for w in ws] for ws in cut]
         for w, made in fresh.items():
             if isinstance(w, int) or len(w) < 64:
-                known.keep(w, made, 400)
-        return out
+                self.memo.keep(w, made)
+        have |= fresh
+        return [list(map(have.__getitem__, ws)) for ws in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, where words keep the bytes of their ids."""

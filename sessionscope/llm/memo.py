@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from sys import getsizeof
 from typing import Any
 
-ENTRY = 160  # bytes that an entry takes beside its text: a slot of the table and two object headers
+SLOT = 100  # bytes that an entry takes in the table itself, spare room included
+
+
+def weight(x: Any) -> int:
+    """Bytes of a value and of what it holds."""
+    own = getsizeof(x)
+    return own + sum(map(getsizeof, x)) if isinstance(x, (tuple, list, set, frozenset)) else own
 
 
 class Memo(dict):
-    """A dict that forgets everything once what it holds passes ``limit`` bytes. ``keep`` tells what an entry weighs."""
+    """Two generations of at most about ``limit`` bytes each: a full young one takes the old one's place, and what is found in the
+    old one moves up. So what is asked for often stays. Values are never None."""
 
-    def __init__(self, limit: int = 16 << 20):
+    def __init__(self, limit: int = 20 << 20):
         super().__init__()
         self.limit, self.held = limit, 0
+        self.old: dict = {}
+
+    def find(self, key: Any) -> Any:
+        found = self.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.keep(key, found)
+        return found
 
-    def keep(self, key: Any, value: Any, size: int) -> None:
+    def keep(self, key: Any, value: Any) -> None:
         if self.held > self.limit:
+            self.old = dict(self)
             self.clear()
             self.held = 0
-        self.held += size + ENTRY
+        self.held += getsizeof(key) + weight(value) + SLOT
         self[key] = value

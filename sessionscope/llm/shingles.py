@@ -21,9 +21,11 @@ class WordHashes(Memo):
     """64-bit hashes of words, remembered up to a fixed number of bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+        h = self.old.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:
-            self.keep(word, h, len(word))
+            self.keep(word, h)
         return h
 
 

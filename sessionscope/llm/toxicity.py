@@ -152,11 +152,11 @@ class Restorer:
         low = text.lower()
         found = set(self.spaced_words(low))
         for token in set(low.split()):
-            ws = self.memo.get(token)
+            ws = self.memo.find(token)
             if ws is None:
                 ws = self.token_words(token)
                 if len(token) < 64:
-                    self.memo.keep(token, ws, 4 * len(token) + 100 * len(ws))
+                    self.memo.keep(token, ws)
             found.update(ws)
         return found
 
@@ -289,11 +289,11 @@ class Scorer:
         hits = dict(self._weighted(self.restorer.spaced_words(low)))
         memo = self.memo
         for token in set(low.split()):
-            found = memo.get(token)
+            found = memo.find(token)
             if found is None:
                 found = self._weighted(self.restorer.token_words(token))
                 if len(token) < 64:
-                    memo.keep(token, found, 2 * len(token) + 200 * len(found))
+                    memo.keep(token, found)
             if found:
                 hits.update(found)
         return self.model.score(min(sum(sorted(hits.values())), MOST_EVIDENCE))
