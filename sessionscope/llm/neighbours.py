@@ -123,13 +123,16 @@ def _element(vectors: DataFrame, vector_col: str) -> str:
     return vectors.schema[vector_col].dataType.elementType.simpleString()
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
-    """Rows (id, v) of the vectors that take part, their number and their length. They aren't null, have no null or non-finite
-    part, aren't all zero, and have the commonest length."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows (id, v) of the vectors that may take part: not null, without a null or non-finite part, not all zero."""
     v = F.col(vector_col) if _element(vectors, vector_col) in ("float", "double") else F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = rows.where(F.coalesce(fine, F.lit(False)))
+    return rows.where(F.coalesce(fine, F.lit(False)))
+
+
+def _of_one_length(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of the commonest length, their number and that length."""
     sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
     dims, n = (sizes[0]["dims"], sizes[0]["n"]) if sizes else (0, 0)
     return rows.where(F.size("v") == dims), n, dims
@@ -170,11 +173,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, id_col: str =
     """Each query's ``k`` best candidates: query_id, rank from 1, vec_id, score (inner product in double precision).
 
     Candidates are all usable rows of ``vectors`` but those with the query's own id; ties go to the smaller id.
-    ``queries`` has the same two columns. Unusable vectors are neither queries nor candidates. With fewer candidates
+    ``queries`` has the same two columns. Vectors take part in the commonest length of ``vectors``. Unusable vectors are neither queries nor candidates. With fewer candidates
     all are returned; empty tables give empty results.
     """
     spark = vectors.sparkSession
-    rows, n, dims = usable(vectors, id_col, vector_col)
+    rows, n, dims = _of_one_length(usable(vectors, id_col, vector_col))
     kind = vectors.schema[id_col].dataType.simpleString()
     if not n:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
@@ -214,9 +217,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, *, id_col: str =
                     names=["qid", "block", "q"],
                 )
 
-    own, _, own_dims = usable(queries, id_col, vector_col)
-    if own_dims != dims:
-        own = own.where("false")
+    own = usable(queries, id_col, vector_col).where(F.size("v") == dims)  # the table's length, whatever is common among the queries
     asked = stage(map_batches(own, send, f"qid {kind}, block int, q binary"), "ann-queries")
     demand = stage(asked.groupBy("block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("qparts")), "ann-demand")
     asked = asked.join(demand, "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("qparts")).cast("int"))
