@@ -14,14 +14,14 @@ All counting runs on one row per host and path skeleton, not per page. Everythin
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.llm.licenses import LOWER, UPPER
-from sessionscope.operators.staging import stage
+from sessionscope.operators.staging import shared_dir, stage
 
 
 @dataclass(frozen=True)
@@ -77,17 +77,35 @@ def skeleton(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).when(s.rlike(r"\A[*~\\]"), F.concat(F.lit("\\"), s)).otherwise(s))
 
 
+def _steps(segments: Column) -> Column:
+    """Template text of segments that have no siblings."""
+    return F.array_join(F.transform(segments, lambda s: F.when(s == "*", "/*").otherwise("/~")), "")
+
+
 def grow_templates(skeletons: DataFrame, config: TemplateConfig) -> DataFrame:
-    """(host, segments, good, bad, n) -> the same with ``template``, level by level down to the longest path.
+    """(host, segments, good, bad, n) -> the same with ``template``, from branching to branching.
 
-    A path takes part up to the level behind its last segment, where it is a child of its own (''), and is set aside then.
+    In a round, every branch (host, template) first goes on by what all its paths have in common there, which has no siblings and so
+    nothing to decide; the least and the greatest path tell how far. One that has a single path left ends. The others
+    branch: their next segments are told apart or merged. A path that is at its end there is a child of its own ('') and is set
+    aside. So the rounds follow the branchings, not the segments, and what has ended stands in one table.
     """
-    state = skeletons.withColumn("template", F.lit(""))
-    levels = skeletons.agg(F.max(F.size("segments"))).first()[0] or 0
-    ended = []
-    for level in range(levels):
-        segment = F.when(F.size("segments") > level, F.get("segments", F.lit(level))).otherwise(F.lit(""))
-        now = state.withColumn("segment", segment)
+    if config.fan_out < 2:
+        raise ValueError("a single child is no fan")
+    spark, folder, rounds = skeletons.sparkSession, f"{shared_dir(skeletons.sparkSession)}/url-templates-{uuid.uuid4().hex}", 0
+    state = skeletons.withColumns({"rest": F.col("segments"), "template": F.lit("")})
+    schema = None
+    while True:
+        ends = state.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(F.min("rest").alias("least"), F.max("rest").alias("most"))
+        differ = F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        common = F.when(differ > 0, differ - 1).otherwise(F.size("least")).cast("int")  # one path: to its end
+        ends = ends.select("h", "t", common.alias("common"), (differ == 0).alias("single"))
+        gone = state.join(ends, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")))
+        after = F.when(F.col("common") < F.size("rest"), F.slice("rest", F.col("common") + 1, F.size("rest"))).otherwise(F.array().cast("array<string>"))
+        now = gone.withColumns({"template": F.concat("template", _steps(F.slice("rest", 1, F.col("common")))), "rest": after})
+        now = stage(now.select("host", "segments", "n", "good", "bad", "rest", "template", "single"), "url-branches")
+        done = now.where("single").withColumn("ended", F.lit(True)).drop("single")
+        now = now.where("not single").drop("single").withColumn("segment", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
         children = now.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("pn"), F.sum("good").alias("pgood"), F.sum("bad").alias("pbad"))
         both = children.join(parents, ["host", "template"])
@@ -101,10 +119,14 @@ def grow_templates(skeletons: DataFrame, config: TemplateConfig) -> DataFrame:
         to = F.when(F.col("segment") == "", "").when(F.col("segment") == "*", "/*").when(variable, "/*").when(alone, F.concat(F.lit("/"), F.col("segment"))).otherwise("/~")
         moves = both.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s"), to.alias("step"))
         joined = now.join(moves, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("segment") == F.col("s")))
-        state = stage(joined.select("host", "segments", "n", "good", "bad", F.concat("template", "step").alias("template")), "url-templates")
-        ended.append(state.where(F.size("segments") <= level))
-        state = state.where(F.size("segments") > level)
-    return reduce(DataFrame.unionByName, ended, state.select("host", "segments", "n", "good", "bad", "template"))
+        grown = joined.select("host", "segments", "n", "good", "bad", F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), F.concat("template", "step").alias("template"), (F.size("rest") == 0).alias("ended"))
+        both_kinds = grown.unionByName(done)
+        both_kinds.write.parquet(f"{folder}/round={rounds}")
+        schema = schema or both_kinds.schema
+        state = spark.read.schema(schema).parquet(f"{folder}/round={rounds}").where("not ended").drop("ended")
+        rounds += 1
+        if state.isEmpty():
+            return spark.read.schema(schema).parquet(folder).where("ended").select("host", "segments", "n", "good", "bad", "template")
 
 
 def judge_urls(
