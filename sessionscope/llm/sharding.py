@@ -8,13 +8,14 @@ to take their size and are never shuffled.
 A cut is found without sorting: bytes are summed into ``bins`` equal ranges of the composite key
 (coordinate, hash of the row), and only the range that holds the quantile is summed again, finer. The
 hash part splits rows that share a coordinate, so a value that holds a third of all rows is cut like
-any other. It begins with a hash of the text, so copies with the same metadata lie side by side and stay in one shard
-unless a cut falls among them, which only the size of their group can make likely.
+any other. Equal texts have one place: the least metadata of their group and a hash of the text, and cuts fall on borders
+between texts. Only a group that holds more than ``slack`` of a shard may be cut.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from sessionscope.operators.staging import literal_rows, stage
 
 AXIS = 1 << 30  # positions along a dimension
-FINE = 1 << 32  # positions of the hash below a coordinate: half its bits tell the text, half the row
+FINE = 1 << 32  # positions of the hash below a coordinate
+ROWS = 1 << 10  # so many of them, the last bits, tell rows of one text apart
 
 
 @dataclass(frozen=True)
@@ -67,12 +69,15 @@ def _at_nodes(rows: DataFrame, levels: list[list[tuple]]) -> DataFrame:
     return rows
 
 
-def _weighted_cuts(rows: DataFrame, jobs: list[dict], bins: int, enough: float) -> None:
-    """Give each job (a node with dim, lo, hi, goal) its ``cut``: keys below it hold about ``goal`` bytes."""
+def _weighted_cuts(rows: DataFrame, jobs: list[dict], bins: int, enough: float, slack: float) -> None:
+    """Give each job (a node with dim, lo, hi, goal) its ``cut``: keys below it hold about ``goal`` bytes. A cut lies between texts
+    unless those at the goal hold more than ``slack`` bytes."""
     todo = jobs
     while todo:
         for j in todo:
             j["width"] = -(-(j["hi"] - j["lo"] + 1) // bins)
+            if j["hi"] - j["lo"] + 1 > ROWS:
+                j["width"] = -(-j["width"] // ROWS) * ROWS
         table = literal_rows(
             rows.sparkSession,
             [(j["node"], j["dim"], j["lo"], j["hi"], j["width"], float(j["goal"]), j["below"]) for j in todo],
@@ -98,7 +103,7 @@ def _weighted_cuts(rows: DataFrame, jobs: list[dict], bins: int, enough: float)
             r = found[j["node"]]
             j["lo"], j["below"] = j["lo"] + r["bin"] * j["width"], r["upto"] - r["bytes"]
             j["hi"] = min(j["hi"], j["lo"] + j["width"] - 1)
-            if j["width"] > 1 and r["bytes"] > enough:
+            if j["width"] > ROWS and r["bytes"] > enough or 1 < j["width"] <= ROWS and r["bytes"] > (slack if j["width"] == ROWS else enough):
                 left.append(j)
             else:
                 nearer_below = j["goal"] - j["below"] < r["upto"] - j["goal"]
@@ -116,22 +121,23 @@ def kd_tree_shards(
     dimensions: tuple[Dimension, ...] = DOCUMENT_DIMENSIONS,
     bins: int = 4096,
     tolerance: float = 1e-3,
+    slack: float = 0.02,
     slot_parts: int = 64,
 ) -> DataFrame:
     """Put every row into a shard of about ``target_bytes`` (or into ``shards`` of them).
 
     Returns id, ``size`` (UTF-8 bytes + 8), ``text_crc32`` (of the UTF-8 text, unsigned; null text as
     empty), ``shard`` from 0, and ``slot``, gapless from 0 within a shard. Each cut misses its share by at
-    most ``tolerance`` of a shard or one row. A null in a dimension lies at its own place (numbers: at 0).
-    Rows are told apart by id, text and dimensions; rows equal in all of these fall on one side of every
-    cut. Copies (equal texts, equal dimensions) share a shard but where a cut falls among them. An empty table gives an empty result. Other columns of ``docs`` play no part.
+    most ``tolerance`` of a shard, half its ``slack`` or one row. A null in a dimension lies at its own place (numbers: at 0).
+    Copies (rows of equal length, CRC and 64-bit hash of the text) lie at the least of each of their dimensions and share a
+    shard; only a group of more bytes than ``slack`` of a shard may be cut, by ids. An empty table gives an empty result. Other columns of ``docs`` play no part.
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give either shards or target_bytes")
     spark = docs.sparkSession
     dims = [F.col(d.column).cast("double" if d.kind == "number" else "string").alias(f"d{i}") for i, d in enumerate(dimensions)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    meta = stage(docs.select(F.col(id_col).alias("id"), text_size(F.col(text_col)).alias("size"), F.crc32(text).alias("crc"), *dims), "kd-meta")
+    meta = stage(docs.select(F.col(id_col).alias("id"), text_size(F.col(text_col)).alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("x"), *dims), "kd-meta")
     numbers = [i for i, d in enumerate(dimensions) if d.kind == "number"]
     finite = lambda i: F.when(~F.isnan(f"d{i}") & (F.abs(F.col(f"d{i}")) < 1e300), F.col(f"d{i}"))
     meta = meta.withColumns({f"d{i}": finite(i) for i in numbers}) if numbers else meta
@@ -139,11 +145,18 @@ def kd_tree_shards(
     total = root["bytes"] or 0
     shards = shards or max(1, round(total / target_bytes))
     coords = F.array(*[_coordinate(i, d, root[f"lo{i}"] if i in numbers else None, root[f"hi{i}"] if i in numbers else None) for i, d in enumerate(dimensions)])
-    half = 1 << 16
-    of_text = F.pmod(F.xxhash64("crc", "size"), F.lit(half))
-    of_row = F.pmod(F.xxhash64("id", "crc", "size", *[f"d{i}" for i in range(len(dims))]), F.lit(FINE // half))
-    fine = (of_text * (FINE // half) + of_row).cast("long")
-    rows = meta.select("id", "size", "crc", coords.alias("coords"), fine.alias("fine"), F.lit(0).alias("node"))
+    at_all = [f"d{i}" for i in range(len(dims))]
+    of_row = F.pmod(F.xxhash64("id", *at_all), F.lit(ROWS))
+    fine = (F.pmod(F.xxhash64("x", "crc", "size"), F.lit(FINE // ROWS)) * ROWS + of_row).cast("long")
+    # copies take the least of each dimension; counted before they move, and looked up only where they differ
+    known = [x for d in at_all for x in (F.min(d).alias(f"least_{d}"), F.max(d).alias(f"most_{d}"), F.count(d).alias(f"n_{d}"))]
+    groups = meta.groupBy("crc", "size", "x").agg(F.count("*").alias("copies"), *known)
+    unlike = [(F.col(f"least_{d}") != F.col(f"most_{d}")) | (F.col(f"n_{d}") > 0) & (F.col(f"n_{d}") < F.col("copies")) for d in at_all]
+    groups = groups.where(reduce(lambda a, b: a | b, [F.coalesce(u, F.lit(False)) for u in unlike]))
+    groups = groups.select(F.col("crc").alias("_c"), F.col("size").alias("_s"), F.col("x").alias("_x"), *[f"least_{d}" for d in at_all], F.lit(True).alias("_unlike"))
+    met = meta.withColumn("fine", fine).join(groups, (F.col("crc") == F.col("_c")) & (F.col("size") == F.col("_s")) & (F.col("x") == F.col("_x")), "left")
+    met = met.withColumns({d: F.when(F.col("_unlike"), F.col(f"least_{d}")).otherwise(F.col(d)) for d in at_all})
+    rows = stage(met.select("id", "size", "crc", coords.alias("coords"), "fine"), "kd-rows").withColumn("node", F.lit(0))
 
     nodes = {0: (0, shards)}  # node: first shard, number of shards
     levels: list[list[tuple]] = []
@@ -166,7 +179,7 @@ def kd_tree_shards(
                 r, (_, k) = stats[n], nodes[n]
                 dim = max(at, key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / extent[i], -i))
                 jobs.append({"node": n, "dim": dim, "lo": r[f"lo{dim}"] * FINE, "hi": r[f"hi{dim}"] * FINE + FINE - 1, "goal": r["bytes"] * (k // 2) / k, "below": 0})
-        _weighted_cuts(here, jobs, bins, tolerance * total / shards)
+        _weighted_cuts(here, jobs, bins, tolerance * total / shards, slack * total / shards)
         cuts, next_open = [], []
         for j in jobs:
             first, k = nodes[j["node"]]

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionscope.llm import licenses, mixing, oracles, pii, queries, sharding
@@ -80,20 +81,44 @@ def test_shards_are_the_plain_tree(spark, sf_dir):
     """The cuts found by ever finer ranges are those of sorting, but for rows within the tolerance of a cut."""
     docs = documents(spark, sf_dir)
     lo, hi = docs.agg(F.min("n_chars"), F.max("n_chars")).first()
-    at = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32("text").alias("crc"), F.col("source").alias("d0"), F.col("lang").alias("d1"), F.col("n_chars").cast("double").alias("d2"))
+    at = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32("text").alias("crc"), F.xxhash64("text").alias("x"), F.col("source").alias("d0"), F.col("lang").alias("d1"), F.col("n_chars").cast("double").alias("d2"))
     coords = F.array(*[sharding._coordinate(i, d, float(lo), float(hi)) for i, d in enumerate(sharding.DOCUMENT_DIMENSIONS)])
-    fine = F.pmod(F.xxhash64("crc", "size"), F.lit(1 << 16)) * 65536 + F.pmod(F.xxhash64("doc_id", "crc", "size", "d0", "d1", "d2"), F.lit(1 << 16))
-    rows = {r.doc_id: (r.size, r.coords, r.fine) for r in at.select("doc_id", "size", coords.alias("coords"), fine.alias("fine")).collect()}
+    # copies lie where the least of each dimension is; what tells them apart is their own metadata
+    fine = F.pmod(F.xxhash64("x", "crc", "size"), F.lit(sharding.FINE // sharding.ROWS)) * sharding.ROWS + F.pmod(F.xxhash64("doc_id", "d0", "d1", "d2"), F.lit(sharding.ROWS))
+    at = at.withColumn("fine", fine)
+    at = at.withColumns({d: F.min(d).over(Window.partitionBy("x", "crc", "size")) for d in ("d0", "d1", "d2")})
+    rows = {r.doc_id: (r.size, r.coords, r.fine) for r in at.select("doc_id", "size", coords.alias("coords"), "fine").collect()}
     want = plain_tree(rows, 24)
-    got = {r.doc_id: r.shard for r in sharding.kd_tree_shards(docs, shards=24, tolerance=0.0).collect()}
+    got = {r.doc_id: r.shard for r in sharding.kd_tree_shards(docs, shards=24, tolerance=0.0, slack=0.0).collect()}
     assert got == want
 
 
 def test_shards_keep_copies_together(spark):
     rows = [(i, f"text number {i // 5} " * 5, "en", "a", 80) for i in range(4000)]
     found = {r.doc_id: r.shard for r in sharding.kd_tree_shards(spark.createDataFrame(rows, SCHEMA), shards=8).collect()}
-    split = sum(len({found[5 * g + i] for i in range(5)}) > 1 for g in range(800))
-    assert split <= 7  # a group a cut
+    assert all(len({found[5 * g + i] for i in range(5)}) == 1 for g in range(800))
+
+
+def test_shards_keep_copies_of_unlike_metadata_together(spark):
+    """Copies under other sources, languages and lengths, and without; one group is larger than a shard and is cut."""
+    rows = [(i, f"text number {i // 5} " * 5, ["en", "de", None][i % 3], f"s{i % 7}" if i % 11 else None, i % 13 or None) for i in range(3000)]
+    rows += [(10_000 + i, "hot " * 25, f"l{i % 3}", f"s{i % 5}", i) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = sharding.kd_tree_shards(df, shards=6).collect()
+    check_shards(found, rows, 6, 0.03)
+    shard = {r.doc_id: r.shard for r in found}
+    assert all(len({shard[5 * g + i] for i in range(5)}) == 1 for g in range(600))
+    assert 2 <= len({shard[10_000 + i] for i in range(1500)}) <= 4
+
+
+def test_shards_of_documents_keep_copies(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in documents(spark, sf_dir).select("doc_id", "text").collect()}
+    groups, slack = defaultdict(set), 0.02 * sum(len(t.encode()) + 8 for t in texts.values()) / 24
+    size = defaultdict(int)
+    for r in queries.op1_kd_shards(spark, sf_dir).collect():
+        groups[texts[r.doc_id]].add(r.shard)
+        size[texts[r.doc_id]] += r.size
+    assert any(len(t) for t in groups) and all(len(s) == 1 for t, s in groups.items() if size[t] <= slack)
 
 
 def test_shards_are_written(spark, tmp_path):
@@ -318,6 +343,13 @@ def test_licenses_awkward(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_of_repeated_ids(spark):
+    """Rows of one id with unlike texts have each its own labels; equal rows have equal ones."""
+    texts = ["Released under the MIT License", "nothing here at all", "nothing here at all", None]
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, t) for t in texts] + [(None, t) for t in texts], "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.labels) for r in rows) == sorted((i, n, x) for i in ("1", "None") for n, x in ((5, "mit"), (4, ""), (4, ""), (0, "")))
+
+
 WRAPPED = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software"),
     ("bsd", " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:"),
