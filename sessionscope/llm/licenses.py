@@ -175,11 +175,12 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc
     """One row for every row of ``docs``: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``.
 
     Null texts count as empty: no words, no labels, score 0. The score is the best containment of a template,
-    1 where a base phrase stands. Rows of one id share the labels that templates give any of them; a null id
-    is an id of its own.
+    1 where a base phrase stands. Rows are told apart by id and text (its length and two hashes of it), so rows of one
+    id with unlike texts have each its own labels; a null id is an id like any other.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("__key"), plain_words(text).alias("plain"))
+    key = F.struct(F.col(id_col).alias("id"), F.octet_length(text).alias("n"), F.xxhash64(text).alias("x"), F.crc32(text.cast("binary")).alias("c"))
+    base = docs.select(key.alias("__key"), plain_words(text).alias("plain"))
     base = base.withColumn("n_words", _n_words(F.col("plain"))).withColumn("padded", F.concat(F.lit(" "), F.col("plain"), F.lit(" ")))
     hits = [f"h{i}" for i in range(len(PHRASES))]
     base = base.select("__key", "n_words", *[_phrase(F.col("padded"), F.col("n_words"), p).alias(h) for h, (p, _) in zip(hits, PHRASES, strict=True)])
@@ -192,13 +193,13 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc
         F.greatest(*[F.col(f"{h}.last") for h in hits]).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(own)).alias("own"),
     )
-    keyed = docs.select(F.col(id_col).alias("__key"), F.col(text_col))
+    keyed = docs.select(key.alias("__key"), F.col(text_col))
     met = license_matches(keyed, text_col=text_col, config=config)
     by_doc = met.groupBy(F.col("__key").alias("k")).agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))  # a label each at most
     joined = base.join(by_doc, F.col("__key").eqNullSafe(F.col("k")), "left")
     labels = F.array_sort(F.array_union("own", F.coalesce("met", F.array().cast("array<string>"))))
     return joined.select(
-        F.col("__key").alias(id_col),
+        F.col("__key.id").alias(id_col),
         "n_words",
         "n_base",
         "first_word",

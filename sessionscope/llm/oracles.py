@@ -42,20 +42,20 @@ def licenses_sql(config: LicenseConfig = LicenseConfig()) -> str:  # noqa: B008
     at = [f"p{i}" for i in range(len(PHRASES))]
     own = "list_filter([" + ", ".join(f"case when len({p}) > 0 then '{label}' end" for p, (_, label) in zip(at, PHRASES, strict=True)) + "], lambda x: x is not null)"
     return f"""
-with w as (select doc_id, {words("coalesce(text, '')")} as ws from documents),
-b as (select doc_id, len(ws) as n, {', '.join(f'{x} as {p}' for x, p in zip(places, at, strict=True))} from w),
-base as (select doc_id, cast(n as bigint) as n_words, flatten([{', '.join(at)}]) as places, list_sort(list_distinct({own})) as own from b),
+with w as (select doc_id, md5(coalesce(text, '')) as k5, {words("coalesce(text, '')")} as ws from documents),
+b as (select doc_id, k5, len(ws) as n, {', '.join(f'{x} as {p}' for x, p in zip(places, at, strict=True))} from w),
+base as (select doc_id, k5, cast(n as bigint) as n_words, flatten([{', '.join(at)}]) as places, list_sort(list_distinct({own})) as own from b),
 tpl as (select id, label, len(aw) as k, list_distinct(aw) as tw, ceil({config.theta} * len(list_distinct(aw)) - 1e-9) as need from (select id, label, {words('text')} as aw from (values {templates}) t(id, label, text))),
-lines as (select doc_id, {words('line')} as ws from (select doc_id, unnest(string_split_regex(coalesce(text, ''), '[\\n\\r]+')) as line from documents)),
-blocks as (select doc_id, list_distinct(list_slice(ws, s, s + {config.window - 1})) as bw from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {step}, 1) + 1, {step})) as s from lines where len(ws) > 0)),
-met as (select doc_id, label, len(list_intersect(bw, tw)) / len(tw) as share from blocks cross join tpl where len(list_intersect(bw, tw)) >= need),
-held as (select doc_id, label, ws, tw, k, need from w cross join tpl where len(list_intersect(list_distinct(ws), tw)) >= need),
-windows as (select doc_id, label, tw, need, list_distinct(list_slice(ws, s, s + 2 * k - 1)) as bw from (select *, unnest(range(1, greatest(len(ws) - k, 1) + 1, k)) as s from held)),
-wrapped as (select doc_id, label, len(list_intersect(bw, tw)) / len(tw) as share from windows where len(list_intersect(bw, tw)) >= need),
-best as (select doc_id, list_distinct(list(label)) as met, max(share) as share from (from met union all from wrapped) group by 1)
+lines as (select doc_id, k5, {words('line')} as ws from (select doc_id, md5(coalesce(text, '')) as k5, unnest(string_split_regex(coalesce(text, ''), '[\\n\\r]+')) as line from documents)),
+blocks as (select doc_id, k5, list_distinct(list_slice(ws, s, s + {config.window - 1})) as bw from (select doc_id, k5, ws, unnest(range(1, greatest(len(ws) - {step}, 1) + 1, {step})) as s from lines where len(ws) > 0)),
+met as (select doc_id, k5, label, len(list_intersect(bw, tw)) / len(tw) as share from blocks cross join tpl where len(list_intersect(bw, tw)) >= need),
+held as (select doc_id, k5, label, ws, tw, k, need from w cross join tpl where len(list_intersect(list_distinct(ws), tw)) >= need),
+windows as (select doc_id, k5, label, tw, need, list_distinct(list_slice(ws, s, s + 2 * k - 1)) as bw from (select *, unnest(range(1, greatest(len(ws) - k, 1) + 1, k)) as s from held)),
+wrapped as (select doc_id, k5, label, len(list_intersect(bw, tw)) / len(tw) as share from windows where len(list_intersect(bw, tw)) >= need),
+best as (select doc_id, k5, list_distinct(list(label)) as met, max(share) as share from (from met union all from wrapped) group by 1, 2)
 select b.doc_id, n_words, cast(len(places) as bigint) as n_base, cast(list_min(places) - 1 as bigint) as first_word, cast(list_max(places) - 1 as bigint) as last_word,
   array_to_string(own, ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(own, coalesce(met, [])))), ',') as labels, case when len(own) > 0 then 1.0::double else coalesce(share, 0.0)::double end as score
-from base b left join best using (doc_id)"""
+from base b left join best m on b.doc_id is not distinct from m.doc_id and b.k5 = m.k5"""
 
 
 COPIES = """

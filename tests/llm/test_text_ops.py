@@ -424,6 +424,20 @@ def test_urls_tell_names_from_wildcards(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
 
 
+def test_urls_of_long_paths(spark):
+    """Rounds follow branchings: paths of thousands of segments, alone, in pairs and of slashes only."""
+    deep = "/s" * 5000
+    urls = [f"http://h.com{deep}", f"http://h.com{deep}/end/7", "http://h.com/s/other", "http://g.com" + "/" * 5000, "http://g.com", "http://k.com/1" + "/a/2" * 2500]
+    pages = list(enumerate(urls * 2))
+    began = time.time()
+    got = queries_judged(spark, pages, [(0, 1), (1, 0)])
+    assert time.time() - began < 60
+    templates = {r.page_id: r.template for r in got}
+    # of two branches with a label on one side only, and none to tell apart, all is merged
+    assert templates[0] == "/~" * 5000 and templates[1] == "/~" * 5000 + "/~/*" and templates[2] == "/~/~"
+    assert templates[3] == templates[4] == "" and templates[5] == "/*" + "/~/*" * 2500
+
+
 # ---- neighbours
 
 
@@ -481,6 +495,16 @@ def test_neighbours_blocks_ties_and_bad_vectors(spark):
     assert neighbours.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_mixed_lengths(spark):
+    """The table's commonest length holds, whatever is common among the queries."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4 if i % 20 == 0 and i > 100 else 8).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = brute_neighbours([r for r in rows if len(r[1]) == 8])
+    got = gathered(neighbours.nearest_neighbours(df, df.where("vec_id % 20 = 0")))
+    assert set(got) == set(want) == {0, 20, 40, 60, 80, 100} and recall_of(got, want) >= 0.9
+
+
 def test_neighbours_of_one_tight_cluster(spark):
     """Vectors that the codes can't tell apart are all reranked."""
     rng = np.random.default_rng(9)
