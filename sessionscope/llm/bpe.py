@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -72,9 +72,9 @@ class Vocabulary:
         return b"".join([self.token_bytes[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
-def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
-    """Token ids of non-empty words, by rounds over all of them at once."""
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+def merge_words(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
+    """Token ids (as bytes of int32) of non-empty words, by rounds over all of them at once."""
+    ended: list[tuple[np.ndarray, np.ndarray]] = []  # words that have left, with their symbols
     symbols = vocab.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
     word = np.repeat(np.arange(len(words)), [len(w) for w in words])
     while len(symbols):
@@ -87,8 +87,7 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
         lowest = np.repeat(np.minimum.reduceat(rank, starts), lengths)
         done = lowest == NO_RANK
         if done.any():
-            for s, n in zip(starts[done[starts]].tolist(), lengths[done[starts]].tolist(), strict=True):
-                out[word[s]] = symbols[s : s + n].astype(np.int32)
+            ended.append((word[done], symbols[done].astype(np.int32)))
         hit = (rank == lowest) & ~done
         # equal symbols in a row: of overlapping pairs every second one counts, from the left
         first = hit & ~np.append(False, hit[:-1] & (word[1:] == word[:-1]))
@@ -99,7 +98,12 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
         keep = ~done
         keep[left + 1] = False
         symbols, word = symbols[keep], word[keep]
-    return out
+    if not ended:
+        return []
+    places, ids = (np.concatenate(x) for x in zip(*ended, strict=True))
+    flat = ids[np.argsort(places, kind="stable")].tobytes()
+    cuts = (4 * np.cumsum(np.bincount(places, minlength=len(words)))).tolist()
+    return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 class _Queue:
@@ -172,14 +176,13 @@ LONG_WORD = 1024  # bytes from which a word is merged by itself
 
 
 class Encoder:
-    """Encodes texts; remembers short words up to a fixed number of bytes: ``make`` gives what is kept of a word's ids."""
+    """Encodes texts; remembers the ids of short words up to a fixed number of bytes."""
 
-    def __init__(self, vocab: Vocabulary, make: Callable[[np.ndarray], bytes | tuple[str, bytes]] = np.ndarray.tobytes):
+    def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.make = make
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocab.specials, key=len, reverse=True)))) if vocab.specials else None
-        self.memo = Memo()
+        self.memo = Memo(40 << 20)
 
     def _words(self, text: str) -> list[str | int]:
         """Words, and ids of special strings in their places."""
@@ -192,14 +195,14 @@ class Encoder:
             end = m.end()
         return out + self.find(text[end:])
 
-    def _merged(self, words: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-        """Words with their ids, a bounded number of bytes at a time."""
+    def _merged(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words with the bytes of their ids, a bounded number of them at a time."""
         short: list[tuple[str, bytes]] = []
         held = 0
         for w in words:
             raw = w.encode()
             if len(raw) >= LONG_WORD:
-                yield w, merge_long_word(raw, self.vocab)
+                yield w, merge_long_word(raw, self.vocab).tobytes()
                 continue
             short.append((w, raw))
             held += len(raw)
@@ -209,22 +212,17 @@ class Encoder:
         if short:
             yield from zip([w for w, _ in short], merge_words([r for _, r in short], self.vocab), strict=True)
 
-    def entries(self, texts: list[str]) -> list[list]:
-        """Of each text what is kept of its words, in order."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         cut = [self._words(t) for t in texts]
-        have = {w: self.memo.find(w) for w in dict.fromkeys(chain.from_iterable(cut))}
-        new = [w for w, made in have.items() if made is None]
-        fresh = {w: self.make(np.array([w], np.int32)) for w in new if isinstance(w, int)}
-        fresh.update((w, self.make(ids)) for w, ids in self._merged([w for w in new if isinstance(w, str)]))
-        for w, made in fresh.items():
-            if isinstance(w, int) or len(w) < 64:
-                self.memo.keep(w, made)
+        have = self.memo.find_all(dict.fromkeys(chain.from_iterable(cut)))
+        new = [w for w, ids in have.items() if ids is None]
+        fresh = {w: w.to_bytes(4, "little") for w in new if isinstance(w, int)}
+        fresh.update(self._merged([w for w in new if isinstance(w, str)]))
         have |= fresh
-        return [list(map(have.__getitem__, ws)) for ws in cut]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, where words keep the bytes of their ids."""
-        return [np.frombuffer(b"".join(es), np.int32) for es in self.entries(texts)]
+        short = {w: ids for w, ids in fresh.items() if isinstance(w, int) or len(w) < 64}
+        self.memo.keep_all(short)
+        return [np.frombuffer(b"".join(map(have.__getitem__, ws)), np.int32) for ws in cut]
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -284,19 +282,14 @@ def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", te
     vocab = _shared(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_bytes = vocab.value.token_bytes
-
-        def make(ids: np.ndarray) -> tuple[str, bytes]:
-            """The ids comma-joined, and the bytes that they decode to."""
-            own = ids.tolist()
-            return ",".join(map(str, own)), b"".join([token_bytes[i] for i in own])
-
-        encoder = Encoder(vocab.value, make)
+        number = list(map(str, range(len(vocab.value.token_bytes)))).__getitem__
+        bytes_of = vocab.value.token_bytes.__getitem__
+        encoder = Encoder(vocab.value)
         for b in _pieces(batches):
-            found = encoder.entries(_texts(b.column(1)))
-            lists = [",".join([e[0] for e in es]) for es in found]
-            texts = [b"".join([e[1] for e in es]).decode("utf-8", errors="replace") for es in found]
-            numbers = [x.count(",") + 1 if x else 0 for x in lists]
+            found = [ids.tolist() for ids in encoder.encode(_texts(b.column(1)))]
+            lists = [",".join(map(number, ids)) for ids in found]
+            texts = [b"".join(map(bytes_of, ids)).decode("utf-8", errors="replace") for ids in found]
+            numbers = list(map(len, found))
             digests = [[hashlib.sha256(x.encode()).hexdigest() for x in xs] for xs in (lists, texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(numbers, pa.int64()), *[pa.array(x, pa.string()) for x in digests]],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
 from sys import getsizeof
 from typing import Any
 
@@ -23,6 +25,12 @@ class Memo(dict):
         self.limit, self.held = limit, 0
         self.old: dict = {}
 
+    def _make_room(self) -> None:
+        if self.held > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+
     def find(self, key: Any) -> Any:
         found = self.get(key)
         if found is None:
@@ -32,9 +40,23 @@ class Memo(dict):
         return found
 
     def keep(self, key: Any, value: Any) -> None:
-        if self.held > self.limit:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
+        self._make_room()
         self.held += getsizeof(key) + weight(value) + SLOT
         self[key] = value
+
+    def find_all(self, keys: Iterable[Any]) -> dict:
+        """What is known of each key, None of the others."""
+        out = {k: self.get(k) for k in keys}
+        if self.old:
+            older = {k: v for k, x in out.items() if x is None and (v := self.old.get(k)) is not None}
+            self.keep_all(older)
+            out |= older
+        return out
+
+    def keep_all(self, found: dict) -> None:
+        """Several entries, whose values hold nothing but themselves; so few at once that the limit holds."""
+        items, step = iter(found.items()), max(1, self.limit >> 12)
+        while part := dict(islice(items, step)):
+            self._make_room()
+            self.held += sum(map(getsizeof, part)) + sum(map(getsizeof, part.values())) + SLOT * len(part)
+            self.update(part)
