@@ -107,9 +107,18 @@ def evaluate_requests(events: DataFrame, inventory: DataFrame, names: DataFrame,
     return comparison, metrics_of(units)
 
 
+ACTIVITY = ("source_file", "line_number", "event_seq", "ts", "ip", "method", "uri", "normalized_uri", "status", "status_class", "url_group", "status_category", "state_id", "raw_line")
+
+
 def analyze_log(events: DataFrame, detector: Detector, paths: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
-    """The anomalous sessions of one new log: the modes that say so, their reasons, what of them was never seen, and each request's
-    costs in order; for the Markov model its steps' probabilities and the least probable transitions.
+    """``analyze_requests`` without the activities."""
+    return analyze_requests(events, detector, paths, names)[0]
+
+
+def analyze_requests(events: DataFrame, detector: Detector, paths: DataFrame | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(anomalous sessions, their activities). The anomalous sessions of one new log: the modes that say so, their reasons, what of them was never seen, and each request's
+    costs in order; for the Markov model its steps' probabilities and the least probable transitions. Activities are the requests of
+    these sessions, a row each with its place (pos) and what of ``ACTIVITY`` the events have.
 
     Routes in ``paths`` and ``names`` are left out first. Requests are collected per session only here, after the filter.
     """
@@ -123,8 +132,9 @@ def analyze_log(events: DataFrame, detector: Detector, paths: DataFrame | None =
         F.first("n_events").alias("n_events"),
     )
     found = stage(found, "anomalies")
-    flagged = score_parts(sessions.join(found.select(*KEY), KEY, "left_semi"), detector.model, c.mode)
-    return found.join(scoring.session_details(flagged), KEY)
+    theirs = sessions.join(found.select(*KEY), KEY, "left_semi")
+    flagged = score_parts(theirs, detector.model, c.mode)
+    return found.join(scoring.session_details(flagged), KEY), theirs.select(*KEY, "pos", *[n for n in ACTIVITY if n in theirs.columns])
 
 
 def _without(events: DataFrame, paths: DataFrame | None, names: DataFrame | None) -> DataFrame:

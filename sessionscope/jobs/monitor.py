@@ -58,7 +58,7 @@ def alert_table(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, live.ALERTS.format(seq="string") + ", bucket int", path).drop("bucket")
 
 
-def store_changes(out: str) -> Callable[[DataFrame, int], None]:
+def store_changes(out: str, reference: float | None = None) -> Callable[[DataFrame, int], None]:
     """What a micro-batch does: its rows go to ``live``, its alert changes into ``alerts``, of which only the buckets of clients with
     changes are written. A batch that runs again writes the same places, and merging the same changes again changes nothing."""
 
@@ -72,7 +72,7 @@ def store_changes(out: str) -> Callable[[DataFrame, int], None]:
         if not touched:
             return
         held = _read(spark, live.ALERTS.format(seq="string") + ", bucket int", f"{out}/alerts").where(F.col("bucket").isin(touched)).drop("bucket")
-        merged = stage(live.merge_alerts(held, changes.drop("bucket")).withColumn("bucket", bucket), "alerts")  # for it is read from where it goes
+        merged = stage(live.merge_alerts(held, changes.drop("bucket"), reference).withColumn("bucket", bucket), "alerts")  # for it is read from where it goes
         merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{out}/alerts")
 
     return each
@@ -98,7 +98,7 @@ def start_sessions(spark: SparkSession, detector: Detector, out: str, once: bool
     else:
         scored = score_requests(kept, detector.model, c.mode)
     sessions = live.live_sessions(scored, detector.reference, detector.aep_threshold, c.timeout_seconds, ttl)
-    writer = sessions.writeStream.foreachBatch(store_changes(out)).outputMode("append").option("checkpointLocation", f"{out}/checkpoints/live")
+    writer = sessions.writeStream.foreachBatch(store_changes(out, detector.reference)).outputMode("append").option("checkpointLocation", f"{out}/checkpoints/live")
     return _start(writer, once)
 
 

@@ -7,9 +7,10 @@ from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionscope.config import SessionConfig
-from sessionscope.functions.parse import parse_log_lines
+from sessionscope.functions.parse import parse_log_lines, parse_summary
 from sessionscope.jobs import detector as jobs
 from sessionscope.operators import curate, prepare
 from sessionscope.operators.staging import stage
@@ -33,6 +34,36 @@ def prepare_logs(spark: SparkSession, folder: str, config: SessionConfig, glob:
     return prepare.preprocess_events(parsed, config.state_fields), prepare.preprocess_summary(parsed)
 
 
+@dataclass
+class Analysis:
+    """``parse``: files, ok and bad lines. ``preprocessing``: one row of input, processed and skipped rows by reason, rows without address.
+    ``comparison``: per mode sessions, anomalous ones and metrics where labels are given. ``anomalies``: anomalous sessions with
+    modes, reasons and details. ``activities``: their requests, each with its file and line."""
+
+    parse: DataFrame
+    preprocessing: DataFrame
+    comparison: DataFrame
+    anomalies: DataFrame
+    activities: DataFrame
+
+
+def analyze_folder(spark: SparkSession, folder: str, model_dir: str, lists: RouteLists, glob: str | None = None) -> Analysis:
+    """What a saved detector finds in the request logs of a folder (or in one file), from raw lines to the requests of anomalous sessions."""
+    found = models.load_model(spark, model_dir)
+    parsed = stage(parse_log_lines(logs.read_log_lines(spark, folder, "routes", glob), "routes"), "parsed-lines")
+    flagged = stage(curate.flag_excluded(prepare.preprocess_events(parsed, found.config.state_fields), lists.paths, lists.route_names), "prepared-lines")
+    events = flagged.where("not excluded").drop("excluded")
+    blank = F.trim(F.coalesce(F.col("ip"), F.lit(""))) == ""
+    left_out = flagged.agg(F.count_if("excluded").alias("skipped_excluded_route"), F.count_if(F.col("excluded") & blank).alias("_excluded_blank"))  # one row
+    summary = prepare.preprocess_summary(parsed).crossJoin(left_out)
+    summary = summary.withColumns(
+        {"processed_rows": F.col("processed_rows") - F.col("skipped_excluded_route"), "skipped_rows": F.col("skipped_rows") + F.col("skipped_excluded_route"), "rows_without_ip": F.col("rows_without_ip") - F.col("_excluded_blank")}
+    ).drop("_excluded_blank")
+    anomalies, activities = jobs.analyze_requests(events, found)
+    parse = parse_summary(parsed, logs.list_log_files(spark, folder, "routes", glob))
+    return Analysis(parse, summary, jobs.labelled_metrics(events, found), anomalies, activities)
+
+
 def part_of(events: DataFrame, part: str, config: SessionConfig, lists: RouteLists) -> DataFrame:
     return curate.partition_policy(
         events, part, paths=lists.paths, route_names=lists.route_names, inventory=lists.inventory, names=lists.names,

@@ -54,8 +54,8 @@ def fit_markov(sequences: DataFrame, smoothing: float, keys: tuple[str, ...] = (
     return MarkovModel(states, pairs, smoothing, r["k"], r["n"])
 
 
-def stationary(model: MarkovModel, dense_limit: int = 500, tolerance: float = 1e-12, most_rounds: int = 10_000) -> DataFrame:
-    """(state, pi) with pi P = pi. Up to ``dense_limit`` states solved on the driver, beyond by sparse power iteration on Spark."""
+def stationary(model: MarkovModel, dense_limit: int = 500, tolerance: float = 1e-10, most_rounds: int = 600) -> DataFrame:
+    """(state, pi) with pi P = pi. Up to ``dense_limit`` states solved on the driver, beyond on Spark by ``stationary_sparse``."""
     spark, a, k = model.states.sparkSession, model.smoothing, model.k
     if k <= dense_limit:
         rows = sorted((r["state"], r["n_from"]) for r in model.states.collect())
@@ -66,20 +66,61 @@ def stationary(model: MarkovModel, dense_limit: int = 500, tolerance: float = 1e
             p[i, j] = (r["n"] + a) / (rows[i][1] + a * k)
         pi = solve_stationary(p)
         return spark.createDataFrame([(s, float(x)) for (s, _), x in zip(rows, pi, strict=True)], "state string, pi double")
-    now = model.states.select("state", (F.col("n_from") + a * k).alias("row"), F.lit(1.0 / k).alias("pi"))
-    now = stage(now, "markov-pi")
-    for _ in range(most_rounds):
-        # pi P = sum over counted cells of pi n / row, plus the same share of smoothing for everybody; half of pi stays, so that periodic chains settle
-        spread = now.agg(F.sum(F.col("pi") * a / F.col("row"))).first()[0]
-        flow = model.steps.join(now, F.col("from_state") == F.col("state")).groupBy("to_state").agg(F.sum(F.col("pi") * F.col("n") / F.col("row")).alias("flow"))
-        new = now.join(flow, F.col("state") == F.col("to_state"), "left").withColumn("new", 0.5 * F.col("pi") + 0.5 * (F.coalesce("flow", F.lit(0.0)) + spread))
-        new = stage(new.select("state", "row", F.col("new").alias("pi"), F.abs(F.col("new") - F.col("pi")).alias("moved")), "markov-pi")
-        now = new.drop("moved")
-        if new.agg(F.max("moved")).first()[0] < tolerance:
-            break
-    else:
-        raise ArithmeticError("the stationary distribution did not settle")
-    return now.select("state", "pi")
+    return stationary_sparse(model, tolerance, most_rounds)
+
+
+def _flow(model: MarkovModel, table: DataFrame, column: str) -> DataFrame:
+    """(to_state, flow): what the counted cells carry of a column of ``table`` (state, row, ...)."""
+    held = table.select("state", "row", F.col(column).alias("_x"))
+    return model.steps.join(held, F.col("from_state") == F.col("state")).groupBy("to_state").agg(F.sum(F.col("_x") * F.col("n") / F.col("row")).alias("_flow"))
+
+
+def stationary_sparse(model: MarkovModel, tolerance: float = 1e-10, most_rounds: int = 600, basis: int = 24) -> DataFrame:
+    """(state, pi) of a chain of any size by GMRES over Spark tables; the driver sees a few numbers a round.
+
+    Smoothing gives every state the same amount, so it stays out of the matrix: with Q the counted cells alone, pi is y (I - Q) = 1
+    brought to the sum 1. A Krylov space takes in single slow directions, as of nearly periodic chains, one by one, where rounds
+    of the chain itself would wait for them to fade. The space is thrown away after ``basis`` rounds and built again from the best y.
+    """
+    a, k, rounds = model.smoothing, model.k, 0
+    table = stage(model.states.select("state", (F.col("n_from") + a * k).alias("row"), F.lit(1.0 / k).alias("y")), "markov-y")
+    dot = lambda x, z: F.sum(x * z)
+    while True:
+        moved = table.join(_flow(model, table, "y"), F.col("state") == F.col("to_state"), "left")
+        moved = stage(moved.select("state", "row", "y", F.coalesce("_flow", F.lit(0.0)).alias("flow")), "markov-moved")
+        # pi P - pi, largest part, with what smoothing gives kept apart
+        mass = moved.agg(F.sum("y").alias("y"), F.sum(F.col("y") * a / F.col("row")).alias("given")).first()
+        left = moved.agg(F.max(F.abs((F.col("flow") + mass["given"] - F.col("y")) / mass["y"]))).first()[0]
+        if left < tolerance:
+            return moved.select("state", (F.col("y") / mass["y"]).alias("pi"))
+        if rounds >= most_rounds or not np.isfinite(left):
+            raise ArithmeticError("the stationary distribution did not settle")
+        rest = F.lit(1.0 / k) - F.col("y") + F.col("flow")
+        size = float(np.sqrt(moved.agg(dot(rest, rest)).first()[0]))
+        if size == 0:
+            raise ArithmeticError("the stationary distribution did not settle")
+        table = stage(moved.select("state", "row", "y", (rest / size).alias("v0")), "markov-basis")
+        h, names = np.zeros((basis + 1, basis)), ["v0"]
+        for j in range(basis):
+            rounds += 1
+            v = [F.col(c) for c in names]
+            joined = table.join(_flow(model, table, names[-1]), F.col("state") == F.col("to_state"), "left")
+            grown = stage(joined.select("state", "row", "y", *names, (v[-1] - F.coalesce("_flow", F.lit(0.0))).alias("w")), "markov-basis")
+            first = [x or 0.0 for x in grown.agg(*[dot(F.col("w"), c) for c in v]).first()]
+            w = F.col("w") - sum((F.lit(x) * c for x, c in zip(first, v, strict=True)), F.lit(0.0))
+            *second, square = grown.agg(*[dot(w, c) for c in v], dot(w, w)).first()  # once more, against rounding
+            w = w - sum((F.lit(x) * c for x, c in zip(second, v, strict=True)), F.lit(0.0))
+            length = float(np.sqrt(max(square - sum(x * x for x in second), 0.0)))
+            h[: j + 1, j], h[j + 1, j] = np.add(first, second), length
+            target = np.append(size, np.zeros(j + 1))
+            weights, *_ = np.linalg.lstsq(h[: j + 2, : j + 1], target, rcond=None)
+            small = np.linalg.norm(h[: j + 2, : j + 1] @ weights - target) < 0.1 * tolerance
+            if length < 1e-14 or small or rounds >= most_rounds or j == basis - 1:
+                break
+            names.append(f"v{j + 1}")
+            table = grown.select("state", "row", "y", *names[:-1], (w / length).alias(names[-1]))
+        best = F.col("y") + sum((F.lit(float(x)) * F.col(c) for x, c in zip(weights, names, strict=False)), F.lit(0.0))
+        table = stage(grown.select("state", "row", best.alias("y")), "markov-y")
 
 
 def solve_stationary(p: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from sessionscope.operators.ordering import with_global_index
 from sessionscope.operators.staging import shared_dir, stage
 from sessionscope.queries import tables as t
 from sessionscope.sources import logs, models, tail
-from sessionscope.streaming import live
+from sessionscope.streaming import closing, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -426,6 +426,11 @@ def stationary_distribution(spark, sf_dir):
     return markov.stationary(_markov(spark, sf_dir)[0]).select("state", *_r("pi"))
 
 
+@query(f"with {_STATIONARY} select state, round(pi, 6) as pi from pi")
+def stationary_sparse(spark, sf_dir):
+    return markov.stationary_sparse(_markov(spark, sf_dir)[0]).select("state", *_r("pi"))
+
+
 @query(f"with {_STATIONARY} select round(sum(pi * -p * log2(p)), 6) as entropy_rate from pi join cell on cell.f = pi.state")
 def entropy_rate(spark, sf_dir):
     model, _ = _markov(spark, sf_dir)
@@ -709,6 +714,28 @@ def evaluate_logs(spark, sf_dir):
     return found.select("mode", "units", "tp", "tn", "fp", "fn", "requests_outside", *_r("roc_auc", "pr_auc"), "records")
 
 
+_FOUND = "fnd as (select session_ip, session_no, string_agg(mode, ',' order by mode) as modes, any_value(n_events) as n_events from report where anomalous group by 1, 2)"
+
+
+@query(f"with {t.ANALYSIS}, {_FOUND} select session_ip, session_no, modes, f.n_events, pos, normalized_uri, status_class from fnd f join (select * exclude (n_events) from sess where split = 'testing') x using (session_ip, session_no)")
+def analyze_folder(spark, sf_dir):
+    _, folders, lists, model_dir, _ = _trained(spark, sf_dir)
+    found = workflow.analyze_folder(spark, folders["testing"], model_dir, lists, glob="*.txt")
+    sessions_found = found.anomalies.select(*KEY, F.array_join("modes", ",").alias("modes"), "n_events")
+    return sessions_found.join(found.activities, list(KEY)).select(*KEY, "modes", "n_events", "pos", "normalized_uri", "status_class")
+
+
+@query(
+    f"""with {t.ANALYSIS}, w as (select count(*) as n from parts where split = 'testing'), kept as (select count(*) as k, count(*) filter (trim(coalesce(ip, '')) = '') as blank from left_in where split = 'testing'), m as (select mode, count(*) as sessions, count(*) filter (anomalous) as anomalous_sessions from report group by 1)
+    select mode, sessions, anomalous_sessions, n as ok_rows, 0 as bad_rows, n as input_rows, k as processed_rows, n - k as skipped_rows, n - k as skipped_excluded_route, blank as rows_without_ip from m, w, kept"""
+)
+def analyze_folder_counts(spark, sf_dir):
+    _, folders, lists, model_dir, _ = _trained(spark, sf_dir)
+    found = workflow.analyze_folder(spark, folders["testing"], model_dir, lists, glob="*.txt")
+    counts = found.comparison.select("mode", "sessions", "anomalous_sessions").crossJoin(F.broadcast(found.parse.select("ok_rows", "bad_rows"))).crossJoin(F.broadcast(found.preprocessing))  # one row each
+    return counts.select("mode", "sessions", "anomalous_sessions", "ok_rows", "bad_rows", "input_rows", "processed_rows", "skipped_rows", "skipped_excluded_route", "rows_without_ip")
+
+
 _DOC_SCORES = "ds as (select d.doc_id, cast(d.n_chars % 97 as double) as score, l.toxic = 1 as label from documents d join labels l using (doc_id))"
 
 
@@ -966,6 +993,33 @@ def final_sessions(spark, sf_dir):
     return closed.select("session_ip", "n_events", *_r("information_score"))
 
 
+#: batches that mix old and new: every third request, so most of the second and third batch is late
+_LATE = """b as (select *, event_seq % 3 as part from bits where split = 'testing'), seen as (select part, max(ts) as latest from b group by 1),
+judged as (select b.*, (select max(latest) from seen where seen.part < b.part) - interval 1 hour as passed from b)"""
+
+
+def _closing(spark, sf_dir):
+    rows, _ = _scored_arrivals(spark, sf_dir)
+    out = _folder(spark, "closing")
+    each = closing.close_sessions(out, 21_600, 3600)
+    for part in range(3):
+        each(rows.where(F.col("event_seq") % 3 == part), part)
+    return out
+
+
+@query(f"with {t.MODEL}, {_LATE} select session_ip, event_seq, round((epoch_us(passed) - epoch_us(ts)) / 1e6, 6) as late_by_seconds from judged where ts + interval 6 hour <= passed")
+def late_requests(spark, sf_dir):
+    return closing.late_requests(spark, _closing(spark, sf_dir)).select("session_ip", "event_seq", *_r("late_by_seconds"))
+
+
+@query(f"with {t.MODEL}, {_LATE} select cast(count(*) as bigint) as requests, count(*) filter (ts + interval 6 hour <= passed) as late, count(*) filter (passed is null or ts + interval 6 hour > passed) as in_sessions from judged")
+def closing_totals(spark, sf_dir):
+    out = _closing(spark, sf_dir)
+    held = closing.closed_sessions(spark, out).unionByName(closing.open_sessions(spark, out)).agg(F.sum("n_events").alias("in_sessions"))
+    late = closing.late_requests(spark, out).agg(F.count("*").alias("late"))
+    return held.crossJoin(F.broadcast(late)).select((F.col("in_sessions") + F.col("late")).alias("requests"), "late", "in_sessions")  # one row each
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to flagged sessions: split, sessions, model, scores, threshold, decision."""
     d, test = _detector(spark, sf_dir)

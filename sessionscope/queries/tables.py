@@ -304,6 +304,8 @@ left_in as (select * from parts where split = 'testing' or not (regexp_replace(n
 own as (select * exclude (session_ip, session_no, pos, n_events, session_start) from cs qualify split = 'testing' or not bool_or(classification = 'review') over (partition by split, session_ip, session_no)),
 {sessions_sql("own", "sess", timeout=600, min_events=1, by="split").strip()}"""
 WORKFLOW = detect_sql(model_sql(WORKFLOW_PARTS))
+#: the same, with the excluded routes left out of the third folder too
+ANALYSIS = WORKFLOW.replace("where split = 'testing' or not (regexp_replace", "where not (regexp_replace", 1)
 
 
 # ---- experiment history from orders

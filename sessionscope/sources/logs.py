@@ -35,9 +35,9 @@ def read_log_lines(spark: SparkSession, folder: str, log_type: str, glob: str |
     return numbered.select("raw_line", "source_file", (F.col("event_seq.row") + F.col("_shift")).alias("line_number"), "event_seq", "log_type")
 
 
-def list_log_files(spark: SparkSession, folder: str, log_type: str) -> DataFrame:
-    """(log_type, file_name), empty files too: the listing that the reader keeps anyway; contents aren't read."""
-    files = spark.read.option("pathGlobFilter", log_glob(log_type)).text(folder).inputFiles()
+def list_log_files(spark: SparkSession, folder: str, log_type: str, glob: str | None = None) -> DataFrame:
+    """(log_type, file_name), empty files too, which no reader of Spark gives a row: the listing that a reader keeps anyway."""
+    files = spark.read.option("pathGlobFilter", glob or log_glob(log_type)).text(folder).inputFiles()
     return spark.createDataFrame([(log_type, f.rsplit("/", 1)[-1]) for f in files], "log_type string, file_name string")
 
 

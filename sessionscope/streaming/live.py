@@ -7,12 +7,13 @@ function has a batch twin, which gives the same rows for the same arrivals.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +22,7 @@ from sessionscope.operators.categorical import UNSEEN
 from sessionscope.operators.curate import flag_excluded
 from sessionscope.operators.markov import MarkovModel
 from sessionscope.operators.prepare import event_time, with_states
+from sessionscope.operators.scoring import REASON_AEP
 from sessionscope.operators.segments import scan_sessions, with_row_ids
 from sessionscope.operators.sessions import client
 from sessionscope.operators.staging import stage
@@ -32,7 +34,7 @@ def live_schema(seq: str = "bigint") -> str:
     session_no begins again when a client's state has gone."""
     return (
         f"session_ip string, session_start timestamp, first_seq {seq}, session_no int, event_seq {seq}, ts timestamp, "
-        "n_events int, information_score double, anomalous boolean, alert_change string"
+        "n_events int, information_score double, anomalous boolean, alert_change string, n_unseen int"
     )
 
 
@@ -40,7 +42,7 @@ LIVE = live_schema()
 SESSION = ("session_ip", "session_start", "first_seq")
 
 
-STATE = "last_us bigint, last_seq {seq}, start_us bigint, first_seq {seq}, session_no int, n_events int, bits double, alert_open boolean"
+STATE = "last_us bigint, last_seq {seq}, start_us bigint, first_seq {seq}, session_no int, n_events int, bits double, alert_open boolean, n_unseen int"
 
 
 def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100, glob: str | None = None) -> DataFrame:
@@ -130,31 +132,31 @@ class _PerClient(StatefulProcessor):
 
 
 def advance(reference: float, threshold: float, timeout_us: int) -> Callable[[tuple, list[tuple]], tuple[tuple, list[tuple]]]:
-    """One client's arrivals (event_seq, microseconds, bits) against its state; gives the new state and a row an arrival, and a row for every
-    alert resolved."""
+    """One client's arrivals (event_seq, microseconds, bits, 1 if something of it was never seen in training else 0) against its state; gives
+    the new state and a row an arrival, and a row for every alert resolved."""
 
     def run(state: tuple, arrivals: list[tuple]) -> tuple[tuple, list[tuple]]:
-        last, last_seq, start, first, no, n, bits, alert = state
+        last, last_seq, start, first, no, n, bits, alert, unseen = state
         out = []
-        for seq, us, cost in arrivals:
+        for seq, us, cost, new in arrivals:
             if last is not None and us - last > timeout_us:
                 if alert:
-                    out.append((start, first, no, seq, us, n, None, None, "resolved"))
-                no, n, bits, alert = no + 1, 0, 0.0, False
+                    out.append((start, first, no, seq, us, n, None, None, "resolved", unseen))
+                no, n, bits, alert, unseen = no + 1, 0, 0.0, False, 0
             if n == 0:
                 start, first = us, seq
-            n, bits, last, last_seq = n + 1, bits + cost, us, seq
+            n, bits, unseen, last, last_seq = n + 1, bits + cost, unseen + new, us, seq
             score = bits / n
             bad = abs(score - reference) > threshold
-            out.append((start, first, no, seq, us, n, score, bad, ("updated" if alert else "inserted") if bad else None))
+            out.append((start, first, no, seq, us, n, score, bad, ("updated" if alert else "inserted") if bad else None, unseen))
             alert = alert or bad
-        return (last, last_seq, start, first, no, n, bits, alert), out
+        return (last, last_seq, start, first, no, n, bits, alert, unseen), out
 
     return run
 
 
-FRESH = (None, None, None, None, 1, 0, 0.0, False)
-_OUT = ["session_start", "first_seq", "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change"]
+FRESH = (None, None, None, None, 1, 0, 0.0, False, 0)
+_OUT = ["session_start", "first_seq", "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change", "n_unseen"]
 
 
 def _frame(key: tuple, out: list[tuple]) -> pd.DataFrame:
@@ -174,17 +176,17 @@ class LiveScores(_PerClient):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.value.get()) if self.value.exists() else FRESH
-        for chunk in _in_order(rows, ["event_seq", "us", "cost"]):
+        for chunk in _in_order(rows, ["event_seq", "us", "cost", "unseen"]):
             state, out = self.step(state, chunk)
             yield _frame(key, out)
         self._keep(state, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.value.exists():
-            last, last_seq, start, first, no, n, _, alert = self.value.get()
+            last, last_seq, start, first, no, n, _, alert, unseen = self.value.get()
             self.value.clear()
             if alert:
-                yield _frame(key, [(start, first, no, last_seq, last, n, None, None, "resolved")])
+                yield _frame(key, [(start, first, no, last_seq, last, n, None, None, "resolved", unseen)])
 
 
 class StepsBefore(_PerClient):
@@ -218,7 +220,7 @@ def _stateful(keyed: DataFrame, processor: StatefulProcessor, schema: str, ttl:
 
 
 def markov_costs(scored: DataFrame, model: MarkovModel, timeout_seconds: float, state_ttl: str | None) -> DataFrame:
-    """A stream of requests with a state_id as a stream (ip, event_seq, ts, cost): what each Markov step costs, for a chain of any size.
+    """A stream of requests with a state_id as a stream (ip, event_seq, ts, cost, unseen): what each Markov step costs, for a chain of any size.
 
     A first stateful operator tells the state before each request. The counted cell and the row's default come from joins with the
     chain's tables, so no task holds the chain.
@@ -238,7 +240,14 @@ def markov_costs(scored: DataFrame, model: MarkovModel, timeout_seconds: float,
     cells, rows = stage(cells, "live-cells"), stage(rows, "live-rows")
     at = F.coalesce("before", F.lit(start))
     priced = steps.join(cells, (at == F.col("_from")) & (F.col("state") == F.col("_to")), "left").join(rows, at == F.col("_row"), "left")
-    return priced.select(F.col("session_ip").alias("ip"), "event_seq", F.timestamp_micros("us").alias("ts"), F.coalesce("_cell", "_default").alias("cost"))
+    unseen = F.col("state") == UNSEEN
+    return priced.select(F.col("session_ip").alias("ip"), "event_seq", F.timestamp_micros("us").alias("ts"), F.coalesce("_cell", "_default").alias("cost"), unseen.alias("unseen"))
+
+
+def _unseen(scored: DataFrame) -> Column:
+    """Whether something of a request was never seen in training, as far as its columns tell."""
+    flags = [F.col(c) for c in ("unseen", "unknown_url", "unknown_status") if c in scored.columns]
+    return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags], F.lit(False))
 
 
 def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float, state_ttl: str | None = "1 day") -> DataFrame:
@@ -251,21 +260,22 @@ def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout
     seq = scored.schema["event_seq"].dataType.simpleString()
     step = advance(reference, threshold, int(timeout_seconds * 1_000_000))
     cost = F.col("cost") if "cost" in scored.columns else F.col("url_bits") + F.col("status_bits")
-    keyed = scored.select(client(scored).alias("session_ip"), "event_seq", F.unix_micros("ts").alias("us"), cost.alias("cost"))
+    keyed = scored.select(client(scored).alias("session_ip"), "event_seq", F.unix_micros("ts").alias("us"), cost.alias("cost"), _unseen(scored).cast("int").alias("unseen"))
     return _stateful(keyed, LiveScores(step, seq, _ttl_ms(state_ttl)), live_schema(seq), state_ttl)
 
 
 def live_sessions_batch(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float) -> DataFrame:
     """Batch twin of ``live_sessions``' score rows: running numbers of each session, with what every arrival does to the alert."""
     bits = F.col("url_bits") + F.col("status_bits")
-    held = with_row_ids(scored.select(client(scored).alias("session_ip"), "event_seq", "ts", bits.alias("bits")), "arrivals")
-    rows = held.select("_row", "event_seq", "ts").join(scan_sessions(held, ["event_seq"], timeout_seconds, sums=("bits",)), "_row")
+    held = with_row_ids(scored.select(client(scored).alias("session_ip"), "event_seq", "ts", bits.alias("bits"), _unseen(scored).cast("int").alias("unseen")), "arrivals")
+    rows = held.select("_row", "event_seq", "ts").join(scan_sessions(held, ["event_seq"], timeout_seconds, sums=("bits", "unseen")), "_row")
     score = F.col("upto_bits") / (F.col("pos") + 1)
     rows = rows.withColumns({"n_events": F.col("pos") + 1, "information_score": score, "anomalous": F.abs(score - F.lit(reference)) > F.lit(threshold)})
     first = rows.where("anomalous").groupBy("session_ip", "session_no").agg(F.min("event_seq").alias("_inserted"))
     both = rows.join(first, ["session_ip", "session_no"], "left")
     change = F.when(F.col("anomalous"), F.when(F.col("event_seq") == F.col("_inserted"), "inserted").otherwise("updated"))
-    return both.withColumn("alert_change", change).select(*SESSION, "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change")
+    both = both.withColumns({"alert_change": change, "n_unseen": F.col("upto_unseen").cast("int")})
+    return both.select(*SESSION, "session_no", "event_seq", "ts", "n_events", "information_score", "anomalous", "alert_change", "n_unseen")
 
 
 def alert_lifecycle(live: DataFrame) -> DataFrame:
@@ -289,31 +299,33 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("session_no", "alert_change", "event_seq", "ts"), F.struct(F.col("alert_change") == "resolved", "event_seq"))
     # a resolution has no score of its own and leaves an alert's as they are
     scored = F.when(F.col("information_score").isNotNull(), F.col("event_seq"))
-    kept = [F.max_by("information_score", scored).alias("last_score"), F.max_by("n_events", scored).alias("n_events")]
+    kept = [F.max_by("information_score", scored).alias("last_score"), F.max_by("n_events", scored).alias("n_events"), F.max_by("n_unseen", scored).alias("n_unseen")]
     first = F.min(F.when(F.col("alert_change") != "resolved", F.col("ts")))
-    return done.groupBy(*SESSION).agg(last.alias("c"), *kept, first.alias("first_ts")).select(*SESSION, "c.*", "last_score", "n_events", "first_ts")
+    return done.groupBy(*SESSION).agg(last.alias("c"), *kept, first.alias("first_ts")).select(*SESSION, "c.*", "last_score", "n_events", "n_unseen", "first_ts")
 
 
 ALERTS = (
     "session_ip string, session_start timestamp, first_seq {seq}, alert_id string, session_no int, created_at timestamp, updated_at timestamp, n_events int, "
-    "information_score double, resolved boolean, acknowledged boolean"
+    "information_score double, resolved boolean, acknowledged boolean, n_unseen int, aep_deviation double, reasons array<string>"
 )
 
 
-def merge_alerts(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+def merge_alerts(alerts: DataFrame, changes: DataFrame, reference: float | None = None) -> DataFrame:
     """The alert table after a micro-batch: new sessions are inserted, open ones updated, closed ones resolved (and so acknowledged).
 
     A row a session, named by (session_ip, session_start, first_seq). An update makes an alert unacknowledged again; the creation
-    time stays. Both sides are small beside the requests: sessions with alerts only.
+    time stays. The record has the requests with something unseen, the reasons, and how far the score lies from ``reference``, where that
+    is given. Both sides are small beside the requests: sessions with alerts only.
     """
-    new = latest_changes(changes).select(*[F.col(c).alias(f"_{c}") if c in SESSION else c for c in (*SESSION, "session_no", "alert_change", "ts", "n_events", "last_score", "first_ts")])
+    new = latest_changes(changes).select(*[F.col(c).alias(f"_{c}") if c in SESSION else c for c in (*SESSION, "session_no", "alert_change", "ts", "n_events", "n_unseen", "last_score", "first_ts")])
     old = alerts.select(*SESSION, *[F.col(c).alias(f"o_{c}") for c in alerts.columns if c not in SESSION])
     both = old.join(new, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SESSION], "full")
     changed, closes = F.col("alert_change").isNotNull(), F.coalesce(F.col("alert_change") == "resolved", F.lit(False))
     key = {c: F.coalesce(c, F.col(f"_{c}")) for c in SESSION}
     named = both.select(*[v.alias(c) for c, v in key.items()], *[c for c in both.columns if c not in SESSION and c not in {f"_{x}" for x in SESSION}])
     pick = lambda mine, c: F.when(changed, F.coalesce(F.col(mine), F.col(f"o_{c}"))).otherwise(F.col(f"o_{c}"))
-    return named.select(
+    deviation = F.lit(None).cast("double") if reference is None else F.abs(F.col("last_score") - F.lit(reference))
+    return named.withColumn("deviation", deviation).select(
         *SESSION,
         F.coalesce("o_alert_id", F.sha2(F.to_json(F.struct(*SESSION)), 256)).alias("alert_id"),
         pick("session_no", "session_no").alias("session_no"),
@@ -323,6 +335,9 @@ def merge_alerts(alerts: DataFrame, changes: DataFrame) -> DataFrame:
         pick("last_score", "information_score").alias("information_score"),
         (closes | F.coalesce("o_resolved", F.lit(False))).alias("resolved"),
         F.when(closes, True).when(changed, False).otherwise(F.coalesce("o_acknowledged", F.lit(False))).alias("acknowledged"),
+        pick("n_unseen", "n_unseen").alias("n_unseen"),
+        pick("deviation", "aep_deviation").alias("aep_deviation"),
+        F.array(F.lit(REASON_AEP)).alias("reasons"),  # the score's distance is what raises live alerts
     )
 
 

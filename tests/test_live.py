@@ -74,7 +74,8 @@ def test_monitor_job(spark, tmp_path):
     assert [(r.source_file, r.raw_line, r.reason, r.byte_offset) for r in quarantine(spark, str(tmp_path / "out")).collect()] == [("routes-1.log", "broken", "malformed_line", sum(len(line.format(i, f"/probe/{i}", 500)) + 1 for i in range(5)))]
     assert [tuple(r)[1:] for r in counters(spark, str(tmp_path / "out")).collect()] == [(6, 1, 0, 5)]
     alerts = alert_table(spark, str(tmp_path / "out/alerts")).collect()
-    assert [(r.session_ip, r.n_events, r.resolved, r.acknowledged) for r in alerts] == [("9.9.9.9", 5, False, False)]
+    assert [(r.session_ip, r.n_events, r.resolved, r.acknowledged, r.n_unseen, len(r.reasons)) for r in alerts] == [("9.9.9.9", 5, False, False, 5, 1)]
+    assert abs(alerts[0].aep_deviation - abs(alerts[0].information_score - model.reference)) < 1e-12
     try:
         start_monitor(spark, str(tmp_path), model, str(tmp_path), paths, names, timeout_seconds=60)
         raise AssertionError("a differing timeout must be refused")
@@ -109,12 +110,12 @@ def test_lines_keep_file_and_line_order(spark, tmp_path):
 def test_arrival_order_and_sessions_after_a_timeout_of_state():
     """A late line doesn't split; a client whose state went starts a session of another name; an open alert is resolved then."""
     step = live.advance(1.0, 0.5, 60)
-    state, out = step(live.FRESH, [("f:1", 100, 3.0), ("f:2", 30, 3.0), ("f:3", 85, 1.0)])
+    state, out = step(live.FRESH, [("f:1", 100, 3.0, 1), ("f:2", 30, 3.0, 0), ("f:3", 85, 1.0, 1)])
     assert [(r[0], r[1], r[2], r[5], r[8]) for r in out] == [(100, "f:1", 1, 1, "inserted"), (100, "f:1", 1, 2, "updated"), (100, "f:1", 1, 3, "updated")]
-    _, again = step(live.FRESH, [("g:1", 9000, 3.0)])
+    _, again = step(live.FRESH, [("g:1", 9000, 3.0, 0)])
     assert again[0][:2] == (9000, "g:1") and again[0][2] == 1
-    _, after = step(state, [("f:4", 200, 1.0)])
-    assert [(r[1], r[8]) for r in after] == [("f:1", "resolved"), ("f:4", None)]
+    _, after = step(state, [("f:4", 200, 1.0, 0)])
+    assert [(r[1], r[8], r[9]) for r in after] == [("f:1", "resolved", 2), ("f:4", None, 0)]
 
 
 def test_a_client_of_many_rows_comes_out_in_chunks():
@@ -160,7 +161,7 @@ def test_state_that_times_out_resolves_its_alert(spark, tmp_path):
 
 def test_alert_table_keeps_creation_and_acknowledgement(spark):
     def change(seq, kind, ts, n, score=None):
-        return ("a", T0, "s", 1, seq, T0 + dt.timedelta(seconds=ts), n, score, score is not None, kind)
+        return ("a", T0, "s", 1, seq, T0 + dt.timedelta(seconds=ts), n, score, score is not None, kind, n // 2)
 
     batch = lambda *rows: spark.createDataFrame(list(rows), live.live_schema("string"))
     none = spark.createDataFrame([], live.ALERTS.format(seq="string"))
@@ -344,7 +345,7 @@ def test_alerts_rewrite_only_buckets_with_changes(spark, tmp_path):
     from sessionscope.jobs.monitor import alert_table, store_changes
 
     def batch(ip, n):
-        return spark.createDataFrame([(ip, T0, f"{ip}1", 1, f"{ip}{n}", T0 + dt.timedelta(seconds=n), n, 5.0, True, "inserted" if n == 1 else "updated")], live.live_schema("string"))
+        return spark.createDataFrame([(ip, T0, f"{ip}1", 1, f"{ip}{n}", T0 + dt.timedelta(seconds=n), n, 5.0, True, "inserted" if n == 1 else "updated", 0)], live.live_schema("string"))
 
     out = str(tmp_path)
     each = store_changes(out)
@@ -358,5 +359,70 @@ def test_alerts_rewrite_only_buckets_with_changes(spark, tmp_path):
         assert sorted((r.session_ip, r.n_events, r.created_at, r.updated_at) for r in alert_table(spark, f"{out}/alerts").collect()) == [
             ("a", 2, T0 + dt.timedelta(seconds=1), T0 + dt.timedelta(seconds=2)), ("b", 1, T0 + dt.timedelta(seconds=1), T0 + dt.timedelta(seconds=1)),
         ]
-    each(spark.createDataFrame([("c", T0, "c1", 1, "c1", T0, 1, 0.1, False, None)], live.live_schema("string")), 3)
+    each(spark.createDataFrame([("c", T0, "c1", 1, "c1", T0, 1, 0.1, False, None, 0)], live.live_schema("string")), 3)
     assert alert_table(spark, f"{out}/alerts").count() == 2
+
+
+# ---- closed, open and late
+
+
+def plain_closing(batches, timeout, lateness):
+    """Batches of (seq, ip, seconds) -> (closed, open, late), a batch after the other."""
+    latest, still, closed, late = None, [], [], []
+    for batch in batches:
+        passed = None if latest is None else latest - lateness
+        good = [r for r in batch if passed is None or r[2] + timeout > passed]
+        late += [(r[0], passed - r[2]) for r in batch if r not in good]
+        parts = sorted([*still, *((ip, at, at, 1) for _, ip, at in good)])
+        still = []
+        for ip, a, b, n in parts:
+            if still and still[-1][0] == ip and a - still[-1][2] <= timeout:
+                _, x, y, m = still[-1]
+                still[-1] = (ip, x, max(y, b), m + n)
+            else:
+                still.append((ip, a, b, n))
+        if batch:
+            latest = max([r[2] for r in batch] + ([] if latest is None else [latest]))
+        if latest is not None:
+            closed += [s for s in still if s[2] + timeout <= latest - lateness]
+            still = [s for s in still if s[2] + timeout > latest - lateness]
+    return sorted(closed), sorted(still), sorted(late)
+
+
+def test_closed_open_and_late_add_up(spark, tmp_path):
+    from sessionscope.streaming import closing
+
+    rng = random.Random(12)
+    batches, clock, seq = [], 0, 0
+    for size in (60, 40, 0, 80, 60):
+        rows = []
+        for _ in range(size):
+            clock += rng.randrange(12)
+            rows.append((seq, rng.choice("abc"), clock - (rng.randrange(400) if rng.random() < 0.2 else 0)))
+            seq += 1
+        batches.append(rows)
+    out = str(tmp_path / "out")
+    each = closing.close_sessions(out, 30, 60)
+    frames = [spark.createDataFrame([(s, ip, T0 + dt.timedelta(seconds=at), 1.0, 0.5) for s, ip, at in rows], "event_seq bigint, ip string, ts timestamp, url_bits double, status_bits double") for rows in batches]
+    for epoch, df in enumerate(frames):
+        each(df, epoch)
+    each(frames[-1], len(frames) - 1)  # the last one again, as after a crash
+    closed, still, late = plain_closing(batches, 30, 60)
+    second = lambda x: int((x - T0).total_seconds())
+    rows = lambda df: sorted((r.session_ip, second(r.start_time), second(r.end_time), r.n_events) for r in df.collect())
+    assert rows(closing.closed_sessions(spark, out)) == closed and rows(closing.open_sessions(spark, out)) == still
+    assert sorted((r.event_seq, r.late_by_seconds) for r in closing.late_requests(spark, out).collect()) == late and len(late) > 5
+    assert sum(s[3] for s in closed + still) + len(late) == seq
+    assert {round(r.information_score, 9) for r in closing.closed_sessions(spark, out).collect()} == {1.5}
+
+
+def test_closing_as_a_stream(spark, tmp_path):
+    from sessionscope.streaming import closing
+
+    df = arrivals(spark, 200)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream.writeStream.foreachBatch(closing.close_sessions(out, 60, 10)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    held = closing.closed_sessions(spark, out).unionByName(closing.open_sessions(spark, out))
+    assert held.agg(F.sum("n_events")).first()[0] == 200 and closing.late_requests(spark, out).count() == 0

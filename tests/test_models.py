@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,3 +209,56 @@ def test_markov_queries_take_every_conversation(spark, sf_dir):
         assert (got[c].n_events, got[c].n_unknown_states) == (len(raw), states.count("__UNK__"))
         assert got[c].log_probability == pytest.approx(bits, abs=1e-5)
         assert least[c] == min(5, len(raw) - 1)
+
+
+def test_stationary_of_a_large_nearly_periodic_chain(spark):
+    """5,000 states in three classes that follow each other: within 60 rounds, by what the driver sees of it."""
+    import numpy as np
+
+    k, rng = 5000, np.random.default_rng(3)
+    to = {}
+    for i in range(k):
+        for j in rng.integers(0, k // 3, 4).tolist():
+            cell = (i, (i + 1) % 3 + 3 * j) if (i + 1) % 3 + 3 * j < k else (i, (i + 1) % 3)
+            to[cell] = to.get(cell, 0) + int(rng.integers(1, 9))
+    n_from = np.zeros(k)
+    for (i, _), n in to.items():
+        n_from[i] += n
+    states = spark.createDataFrame([(f"s{i:04d}", 0, int(n)) for i, n in enumerate(n_from)], "state string, n_first bigint, n_from bigint")
+    steps = spark.createDataFrame([(f"s{i:04d}", f"s{j:04d}", n) for (i, j), n in to.items()], "from_state string, to_state string, n bigint")
+    a = 1e-6
+    model = markov.MarkovModel(states, steps, a, k, 1)
+    pi = np.array([r.pi for r in markov.stationary(model, tolerance=1e-12, most_rounds=60).orderBy("state").collect()])
+    row = n_from + a * k
+    moved = np.full(k, (pi * a / row).sum())
+    for (i, j), n in to.items():
+        moved[j] += pi[i] * n / row[i]
+    assert len(pi) == k and abs(pi.sum() - 1) < 1e-9 and (pi > 0).all() and np.abs(moved - pi).max() < 1e-9
+
+
+def test_analysis_of_a_folder(spark, tmp_path):
+    """From raw lines to the requests of anomalous sessions, with what was left out and why."""
+    from sessionscope.jobs import workflow
+
+    line = '[2026-10-07 10:{:02d}:{:02d}] local.INFO: Route request completed. {{"method":"GET","route_name":"","uri":"{}","status":{},"ip":"{}"}}'
+    rng = random.Random(5)
+    good = [line.format(i // 60, i % 60, rng.choice(["/a/x", "/a/y", "/b/z"]), rng.choice([200, 200, 404]), f"c{i % 4}") for i in range(400)]
+    odd = [line.format(i, i, f"/never/seen{i}/q", 500, "bad") for i in range(3)]
+    upload = [*good[:50], "broken", "", line.format(61, 0, "/a/x", 200, "c1"), line.format(1, 1, "/health", 200, ""), line.format(1, 2, "/a/x", 200, ""), *odd]
+    for name, part in (("train", good[:300]), ("check", good[300:]), ("live", upload)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "routes-1.log").write_text("\n".join(part) + "\n")
+    (tmp_path / "live" / "routes-empty.log").write_text("")
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    lists = workflow.RouteLists(frame([("/health",)], "path string"), frame([], "route_name string"), frame([("*", "/a/x"), ("*", "/a/y"), ("*", "/b/z")], "method string, path string"), frame([], "route_name string"))
+    config = SessionConfig(timeout_seconds=100, min_events=1)
+    workflow.train_from_logs(spark, str(tmp_path / "train"), str(tmp_path / "check"), str(tmp_path / "model"), config, lists)
+    found = workflow.analyze_folder(spark, str(tmp_path / "live"), str(tmp_path / "model"), lists)
+    assert found.parse.select("files", "ok_rows", "bad_rows").first()[:] == (2, 56, 2)
+    s = found.preprocessing.first()
+    assert (s.input_rows, s.processed_rows, s.skipped_rows, s.skipped_parse_status, s.skipped_invalid_timestamp, s.skipped_excluded_route, s.rows_without_ip) == (58, 54, 4, 2, 1, 1, 1)
+    bad = found.activities.where("session_ip = 'bad'").orderBy("pos").collect()
+    assert [(r.source_file, r.line_number, r.raw_line, r.normalized_uri) for r in bad] == [("routes-1.log", 56 + i, x, f"/never/seen{i}/q") for i, x in enumerate(odd)]
+    keys = {(r.session_ip, r.session_no) for r in found.anomalies.collect()}
+    assert ("bad", 1) in keys and {(r.session_ip, r.session_no) for r in found.activities.collect()} == keys
+    assert {r.mode for r in found.comparison.collect()} == {"aep", "density", "hybrid"}
