@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.routes import stripped
 from sessionscope.operators.sessions import tainted_sessions
+from sessionscope.operators.staging import stage
 
 
 def clean_path(path: Column) -> Column:
@@ -68,6 +69,7 @@ def curate(events: DataFrame, inventory: DataFrame, names: DataFrame, *, enabled
 
 def session_control(curated: DataFrame, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
     """A client's whole inactivity session goes to review with any of its requests; rows without a time keep their own class."""
+    curated = stage(curated, "curated")  # read several times below
     flagged = tainted_sessions(curated.withColumn("_review", F.col("classification") == "review"), "_review", timeout_seconds, ip_col)
     marked = flagged.withColumns(
         {"classification": F.when(F.col("_tainted"), "review").otherwise(F.col("classification")), "reason": F.when(F.col("_tainted"), "session_contains_unallowlisted_route").otherwise(F.col("reason"))}

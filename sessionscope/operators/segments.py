@@ -1,9 +1,12 @@
-"""A segmented scan: sessions and running sums of keyed rows in order, in tasks of equal size whatever a key's share is.
+"""A segmented scan: sessions and running sums of keyed rows in order, whatever share of the rows a client sends.
 
-Rows are dealt by range of (client, order), so a segment holds as many rows as any other and a client may lie in many. Inside a segment,
-breaks between sessions are numbered as if the segment were all there is. A run is what one segment holds of a session. Runs are
-summed up to a row each, segments of a client to a row each; what lies before a segment (its client's last time, the number of
-breaks, what of the session has gone before) is carried over the borders by windows over those rows alone.
+A client's rows are cut into segments that follow each other in order; a segment and client is what one task holds together. Inside
+a segment, breaks between sessions are numbered as if the segment were all there is. A run is what one segment holds of a session.
+Runs are summed up to a row each, segments of a client to a row each; what lies before a segment (its client's last time, the
+number of breaks, what of the session has gone before) is carried over the borders by windows over those rows alone.
+
+Segments by time (``by_time``) follow from an expression, so nothing but the rows themselves is moved, once, and columns that nobody asks
+for are never computed. Segments by range (``by_range``) serve any order, for a written copy of the rows.
 """
 
 from __future__ import annotations
@@ -13,44 +16,72 @@ from pyspark.sql import functions as F
 
 from sessionscope.operators.staging import stage
 
+MOST_NAMED = 1000  # clients that are cut at most; a client beyond them has under a thousandth of all rows
+FEW = 64  # bounds that are looked at together
+
 
 def gap_over(before: Column, now: Column, timeout_seconds: float) -> Column:
     """Whether the time from one request to the next is strictly over the timeout."""
     return F.unix_micros(now) - F.unix_micros(before) > F.lit(int(timeout_seconds * 1_000_000))
 
 
-def with_row_ids(df: DataFrame, name: str) -> DataFrame:
-    """df written once, with a number _row that names each row."""
-    return stage(df.withColumn("_row", F.monotonically_increasing_id()), name)
+def by_range(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows (session_ip, the columns of ``order``) with _segment, dealt by range of (session_ip, order) and written once."""
+    dealt = rows.repartitionByRange("session_ip", *order)
+    return stage(dealt.withColumn("_segment", F.spark_partition_id()), "segments")
+
+
+def _place(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are at most the value; in two steps, so that few are looked at."""
+    if not bounds:
+        return F.lit(0)
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
+    parts = [bounds[i : i + FEW] for i in range(0, len(bounds), FEW)]
+    coarse = F.greatest(upto(F.array(*[F.lit(p[0]) for p in parts])) - 1, F.lit(0))
+    fine = F.element_at(F.array(*[F.array(*[F.lit(x) for x in p]) for p in parts]), coarse + 1)
+    return coarse * FEW + upto(fine)
+
+
+def by_time(rows: DataFrame) -> DataFrame:
+    """Rows (session_ip, ts) with _segment: clients with more rows than a task should have are cut where the times of all rows reach
+    the next part of them, as many parts as there are shuffle partitions. Others stay whole. A pass over both columns, summed up to
+    a few thousand numbers, tells the bounds and the clients; they decide about work, not about results."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts < 2:
+        return rows.withColumn("_segment", F.lit(0))
+    second = F.unix_seconds("ts")
+    cuts = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.count("*").alias("n"), F.percentile_approx(second, cuts, 4 * parts).alias("at"), F.expr(f"approx_top_k(session_ip, {MOST_NAMED}, {10 * MOST_NAMED})").alias("top")).first()
+    hot = [x["item"] for x in found["top"] or [] if x["item"] is not None and x["count"] > found["n"] / parts]
+    if not hot:
+        return rows.withColumn("_segment", F.lit(0))
+    return rows.withColumn("_segment", F.when(F.col("session_ip").isin(hot), _place(sorted(set(found["at"])), second)).otherwise(0))
 
 
-def scan_sessions(rows: DataFrame, order: list[str], timeout_seconds: float, *, sums: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
-    """A row a row of ``rows`` (_row, session_ip, ts, the columns of ``order``, sums and flags): _row, session_ip, session_no from 1, pos
-    from 0, n_events, session_start (the first one's ts), first_seq (the first one's last column of ``order``), upto_<c> for each
-    sum (up to this row, in its session) and any_<f> for each flag (in its whole session).
+def scan_sessions(placed: DataFrame, order: list[str], timeout_seconds: float, *, sums: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (session_ip, ts, _segment, the columns of ``order``, sums and flags) with session_no from 1, pos from 0, n_events, session_start
+    (the first one's ts), first_seq (the first one's last column of ``order``), upto_<c> for each sum (up to this row, in its
+    session) and any_<f> for each flag (in its whole session); without _segment.
 
-    A session ends where the next row, in order, comes over the timeout after; _row decides between equal ones.
+    A session ends where the next row, in order, comes over the timeout after. ``order`` should be total.
     """
-    needed = dict.fromkeys(["_row", "session_ip", "ts", *order, *sums, *flags])
-    keys = [F.col(c) for c in ("session_ip", *order, "_row")]
-    placed = stage(rows.select(*needed).repartitionByRange(*keys).withColumn("_segment", F.spark_partition_id()), "segments")
-    at = F.struct(*order, "_row")
-    inside = Window.partitionBy("session_ip", "_segment").orderBy(*order, "_row")
+    at = F.struct(*order)
+    inside = Window.partitionBy("session_ip", "_segment").orderBy(*order)
     breaks = F.coalesce(gap_over(F.lag("ts").over(inside), F.col("ts"), timeout_seconds), F.lit(False))
     marked = placed.withColumn("_new", breaks.cast("int"))
     marked = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("session_ip", "_segment", "_run").orderBy(*order, "_row")
+    run = Window.partitionBy("session_ip", "_segment", "_run").orderBy(*order)
     marked = marked.withColumns({"_place": F.row_number().over(run) - 1, **{f"_s_{c}": F.sum(c).over(run.rowsBetween(Window.unboundedPreceding, 0)) for c in sums}})
 
     runs = marked.groupBy("session_ip", "_segment", "_run").agg(
-        F.count("*").alias("_n"), F.min_by("ts", at).alias("_first"), F.max_by("ts", at).alias("_last"), F.min(F.struct(*order)).alias("_at"),
+        F.count("*").alias("_n"), F.min_by("ts", at).alias("_first"), F.max_by("ts", at).alias("_last"), F.min(at).alias("_at"),
         *[F.sum(c).alias(f"_t_{c}") for c in sums], *[F.bool_or(c).alias(f"_any_{c}") for c in flags],
     )
     segments = runs.groupBy("session_ip", "_segment").agg(F.min_by("_first", "_run").alias("_first"), F.max_by("_last", "_run").alias("_last"), F.max("_run").alias("_breaks"))
-    client = Window.partitionBy("session_ip").orderBy("_segment")  # a row a segment that the client lies in
-    carried = F.coalesce(gap_over(F.lag("_last").over(client), F.col("_first"), timeout_seconds), F.lit(False)) | F.lag("_segment").over(client).isNull()
+    own = Window.partitionBy("session_ip").orderBy("_segment")  # a row a segment that the client lies in
+    carried = F.coalesce(gap_over(F.lag("_last").over(own), F.col("_first"), timeout_seconds), F.lit(False)) | F.lag("_segment").over(own).isNull()
     segments = segments.withColumn("_opens", carried.cast("int"))
-    upto = F.sum(F.col("_opens") + F.col("_breaks")).over(client.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks")
+    upto = F.sum(F.col("_opens") + F.col("_breaks")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks")
     runs = runs.join(segments.select("session_ip", "_segment", upto.alias("_offset")), ["session_ip", "_segment"])
     runs = runs.withColumn("session_no", (F.col("_offset") + F.col("_run")).cast("int"))
     session = Window.partitionBy("session_ip", "session_no")  # a row a segment that the session lies in
@@ -61,7 +92,8 @@ def scan_sessions(rows: DataFrame, order: list[str], timeout_seconds: float, *,
         begin.alias("_begin"), *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_e_{c}") for c in sums], *[F.bool_or(f"_any_{c}").over(session).alias(f"any_{c}") for c in flags],
     )
     joined = marked.join(runs, ["session_ip", "_segment", "_run"])
+    kept = [c for c in placed.columns if c != "_segment"]
     return joined.select(
-        "_row", "session_ip", "session_no", (F.col("_earlier") + F.col("_place")).cast("int").alias("pos"), "n_events", F.col("_begin._first").alias("session_start"),
+        *kept, "session_no", (F.col("_earlier") + F.col("_place")).cast("int").alias("pos"), "n_events", F.col("_begin._first").alias("session_start"),
         F.col("_begin._at")[order[-1]].alias("first_seq"), *[(F.col(f"_e_{c}") + F.col(f"_s_{c}")).alias(f"upto_{c}") for c in sums], *[f"any_{c}" for c in flags],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.operators.ordering import with_global_index
-from sessionscope.operators.segments import scan_sessions, with_row_ids
+from sessionscope.operators.segments import by_time, scan_sessions
 
 MISSING_IP = "missing_ip"
 
@@ -17,30 +17,30 @@ def client(df: DataFrame, ip_col: str = "ip") -> Column:
     return F.coalesce(*found, F.lit(MISSING_IP)) if found else F.lit(MISSING_IP)
 
 
-def _numbered(events: DataFrame, timeout_seconds: int, ip_col: str, flags: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(the requests that have a time, written once with a _row; what the scan tells of each _row)."""
-    held = with_row_ids(events.where("ts is not null").withColumn("session_ip", client(events, ip_col)), "requests")
-    return held, scan_sessions(held, ["ts", "event_seq"], timeout_seconds, flags=flags)
+ADDED = ("session_ip", "session_no", "pos", "n_events", "session_start")
+
+
+def _numbered(events: DataFrame, timeout_seconds: int, ip_col: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """The requests that have a time, with what the scan tells of each."""
+    timed = events.where("ts is not null").withColumn("session_ip", client(events, ip_col)).drop(*ADDED[1:])
+    return scan_sessions(by_time(timed), ["ts", "event_seq"], timeout_seconds, flags=flags)
 
 
 def number_sessions(events: DataFrame, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
     """Add session_ip and session_no: a client's gap strictly over the timeout starts its next session. Requests without a time belong to
     no session and are left out. A client may send any share of all requests; see ``segments``."""
-    held, numbers = _numbered(events, timeout_seconds, ip_col)
-    return held.join(numbers.select("_row", "session_no"), "_row").drop("_row")
+    return _numbered(events, timeout_seconds, ip_col).drop("pos", "n_events", "session_start", "first_seq")
 
 
 def ip_sessions(events: DataFrame, timeout_seconds: int, min_events: int = 1, ip_col: str = "ip") -> DataFrame:
     """``number_sessions`` with pos (from 0), n_events and session_start; sessions under min_events are dropped."""
-    held, numbers = _numbered(events, timeout_seconds, ip_col)
-    kept = numbers.where(F.col("n_events") >= min_events).select("_row", "session_no", "pos", "n_events", "session_start")
-    return held.join(kept, "_row").drop("_row")
+    return _numbered(events, timeout_seconds, ip_col).where(F.col("n_events") >= min_events).drop("first_seq")
 
 
 def tainted_sessions(events: DataFrame, flag: str, timeout_seconds: int, ip_col: str = "ip") -> DataFrame:
     """Requests that have a time, with _tainted: whether the boolean column ``flag`` holds anywhere in their session."""
-    held, numbers = _numbered(events, timeout_seconds, ip_col, (flag,))
-    return held.join(numbers.select("_row", F.col(f"any_{flag}").alias("_tainted")), "_row").drop("_row")
+    numbered = _numbered(events, timeout_seconds, ip_col, (flag,))
+    return numbered.withColumnRenamed(f"any_{flag}", "_tainted").drop("pos", "n_events", "session_start", "first_seq", "session_no")
 
 
 def fixed_count_windows(events: DataFrame, size: int, include_partial: bool = False) -> DataFrame:

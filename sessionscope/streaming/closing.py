@@ -17,8 +17,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionscope.operators.segments import gap_over, scan_sessions, with_row_ids
+from sessionscope.operators.segments import by_time, gap_over, scan_sessions
 from sessionscope.operators.sessions import client
+from sessionscope.operators.staging import stage
 
 SESSIONS = "session_ip string, start_time timestamp, end_time timestamp, n_events bigint, bits double"
 MARKS = "latest_us bigint, epoch bigint"
@@ -34,8 +35,7 @@ def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
 
 
 def _batch_sessions(held: DataFrame, timeout_seconds: int) -> DataFrame:
-    numbers = scan_sessions(held, ["ts", "event_seq"], timeout_seconds).select("_row", "session_no")
-    each = held.join(numbers, "_row").groupBy("session_ip", "session_no")
+    each = scan_sessions(by_time(held), ["ts", "event_seq"], timeout_seconds).groupBy("session_ip", "session_no")
     return each.agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("n_events"), F.sum("bits").alias("bits")).drop("session_no")
 
 
@@ -57,7 +57,7 @@ def close_sessions(out: str, timeout_seconds: int, lateness_seconds: int) -> Cal
         spark = batch.sparkSession
         last = _read(spark, MARKS, f"{out}/marks").where(F.col("epoch") < epoch).orderBy(F.desc("epoch")).first()  # a row a micro-batch
         rows = batch.select(client(batch).alias("session_ip"), "event_seq", "ts", (F.col("url_bits") + F.col("status_bits")).alias("bits"))
-        held = with_row_ids(rows.where("ts is not null"), "closing")
+        held = stage(rows.where("ts is not null"), "closing")
         passed = None if last is None else last["latest_us"] - lateness_us
         is_late = F.lit(False) if passed is None else F.unix_micros("ts") + timeout_us <= passed
         late = held.where(is_late).select("session_ip", "event_seq", "ts", "bits", ((F.lit(passed) - F.unix_micros("ts")) / 1e6).alias("late_by_seconds"))

@@ -23,7 +23,7 @@ from sessionscope.operators.curate import flag_excluded
 from sessionscope.operators.markov import MarkovModel
 from sessionscope.operators.prepare import event_time, with_states
 from sessionscope.operators.scoring import REASON_AEP
-from sessionscope.operators.segments import scan_sessions, with_row_ids
+from sessionscope.operators.segments import by_range, scan_sessions
 from sessionscope.operators.sessions import client
 from sessionscope.operators.staging import stage
 from sessionscope.sources.logs import log_glob
@@ -267,8 +267,8 @@ def live_sessions(scored: DataFrame, reference: float, threshold: float, timeout
 def live_sessions_batch(scored: DataFrame, reference: float, threshold: float, timeout_seconds: float) -> DataFrame:
     """Batch twin of ``live_sessions``' score rows: running numbers of each session, with what every arrival does to the alert."""
     bits = F.col("url_bits") + F.col("status_bits")
-    held = with_row_ids(scored.select(client(scored).alias("session_ip"), "event_seq", "ts", bits.alias("bits"), _unseen(scored).cast("int").alias("unseen")), "arrivals")
-    rows = held.select("_row", "event_seq", "ts").join(scan_sessions(held, ["event_seq"], timeout_seconds, sums=("bits", "unseen")), "_row")
+    held = scored.select(client(scored).alias("session_ip"), "event_seq", "ts", bits.alias("bits"), _unseen(scored).cast("int").alias("unseen"))
+    rows = scan_sessions(by_range(held, ["event_seq"]), ["event_seq"], timeout_seconds, sums=("bits", "unseen"))
     score = F.col("upto_bits") / (F.col("pos") + 1)
     rows = rows.withColumns({"n_events": F.col("pos") + 1, "information_score": score, "anomalous": F.abs(score - F.lit(reference)) > F.lit(threshold)})
     first = rows.where("anomalous").groupBy("session_ip", "session_no").agg(F.min("event_seq").alias("_inserted"))

@@ -74,9 +74,11 @@ def test_a_hot_client_in_one_hour_is_dealt_evenly(spark, partitions):
 
     df = spark.range(20_000).selectExpr("id as event_seq", "case when id % 2 = 0 then 'hot' else concat('c', id % 501) end as ip", "timestamp_seconds(1767225600 + cast(id * 0.18 as bigint)) as ts")
     partitions(16)
-    held = segments.with_row_ids(df.withColumn("session_ip", F.col("ip")), "held")
-    placed = held.repartitionByRange("session_ip", "ts", "event_seq", "_row").groupBy(F.spark_partition_id()).count().collect()
-    assert len(placed) == 16 and max(r["count"] for r in placed) < 2 * 20_000 / 16
+    placed = segments.by_time(df.withColumn("session_ip", F.col("ip"))).groupBy("session_ip", "_segment").count().collect()
+    hot = [r["count"] for r in placed if r["session_ip"] == "hot"]
+    assert len(hot) == 16 and max(hot) < 2 * 20_000 / 16 and all(r["_segment"] == 0 for r in placed if r["session_ip"] != "hot")
+    ranged = segments.by_range(df.withColumn("session_ip", F.col("ip")), ["event_seq"]).groupBy("_segment").count().collect()
+    assert len(ranged) == 16 and max(r["count"] for r in ranged) < 2 * 20_000 / 16
     numbers = sessions.ip_sessions(df, 60)
     assert numbers.where("session_ip = 'hot'").agg(F.max("session_no"), F.max("pos"), F.count("*")).first()[:] == (1, 9_999, 10_000)
 
