@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,12 @@ PATTERNS = {
     # Forms of issued keys, and the head line of a private key
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]{1,12} ){0,2}PRIVATE KEY-----",
 }
-#: A text without this can't hold a match.
-GATES = {"email": "@", "phone": "+"}
-GATE_PATTERNS = {
-    "secret": r"(?i)token|secret|passw|pwd|bearer|credential|key",
-    "key": r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|eyJ|PRIVATE KEY",
-    "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+# What a text must hold, as is or in lower case, to have a match of the kind; most texts hold none of it.
+GATES = {"email": ("@",), "phone": ("+",), "key": ("AKIA", "ASIA", "xox", "eyJ", "PRIVATE KEY")}
+LOWER_GATES = {"secret": ("token", "secret", "passw", "pwd", "bearer", "credential", "key")}
+GATE_PATTERNS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+#: Kinds whose matches all hold a digit: one look for digits serves them together.
+WITH_DIGITS = ("ip", "card", "phone", "iban", "ssn", "secret")
 
 
 @dataclass(frozen=True)
@@ -147,10 +148,22 @@ def _confirmed(kind: str, value: Column, config: PiiConfig) -> Column:
     return ~value.rlike(r"\A(?:000|666|9[0-9]{2})") & ~value.rlike("-00-") & ~value.rlike(r"0000\z")
 
 
-def pii_spans(text: Column, kind: str, config: PiiConfig) -> Column:
+def _gate(text: Column, kind: str) -> Column:
+    """Whether the text may hold a match, by byte searches where they tell."""
+    holds = lambda t, words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+    if kind in LOWER_GATES:
+        return _bound(F.lower(text), lambda t: holds(t, LOWER_GATES[kind]))
+    if kind in GATE_PATTERNS:
+        return text.rlike(GATE_PATTERNS[kind])
+    gate = holds(text, GATES[kind])
+    return gate | (F.contains(text, F.lit("_")) & text.rlike("gh[pousr]_")) if kind == "key" else gate
+
+
+def pii_spans(text: Column, kind: str, config: PiiConfig, digits: Column | None = None) -> Column:
     """Confirmed spans of one kind: (start, end, rank, kind, score); added kinds must also reach the threshold.
 
-    The text is cut at its matches once. Starts by code point are running sums of the pieces' lengths, and the text around a
+    ``digits``: whether the text holds an ASCII digit, if that is known already. The text is cut at its matches once, and
+    only if one of them is confirmed. Starts by code point are running sums of the pieces' lengths, and the text around a
     match comes from the pieces beside it, so the work is near linear in the number of matches.
     """
     pattern = PATTERNS[kind]
@@ -178,9 +191,16 @@ def pii_spans(text: Column, kind: str, config: PiiConfig) -> Column:
         end = m["start"] + F.char_length(m["value"])
         return F.struct(m["start"].alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), score.alias("score"))
 
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    gate = F.contains(text, F.lit(GATES[kind])) if kind in GATES else text.rlike(GATE_PATTERNS[kind])
-    spans = F.when(gate, _bound(found, cut)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,score:double>>"))
+    none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,score:double>>")
+
+    def spans_of(found: Column) -> Column:
+        some = F.exists(found, lambda m: _confirmed(kind, m, config))
+        return F.when(some, _bound(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), cut)).otherwise(none)
+
+    gate = _gate(text, kind)
+    if kind in WITH_DIGITS:
+        gate = (text.rlike("[0-9]") if digits is None else digits) & gate
+    spans = F.when(gate, _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans_of)).otherwise(none)
     return spans if kind in BASE_KINDS else F.filter(spans, lambda x: x["score"] >= config.threshold)
 
 
@@ -192,9 +212,9 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", out_col: str = "pii", c
     """
     tmp = {k: f"__pii_{k}" for k in KINDS}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumn("__pii_text", text)
-    found = found.withColumns({tmp[k]: pii_spans(F.col("__pii_text"), k, config) for k in KINDS})
-    return found.withColumn(out_col, F.array_sort(F.concat(*[F.col(tmp[k]) for k in KINDS]))).drop("__pii_text", *tmp.values())
+    found = docs.withColumn("__pii_text", text).withColumn("__pii_digits", F.col("__pii_text").rlike("[0-9]"))
+    found = found.withColumns({tmp[k]: pii_spans(F.col("__pii_text"), k, config, F.col("__pii_digits")) for k in KINDS})
+    return found.withColumn(out_col, F.array_sort(F.concat(*[F.col(tmp[k]) for k in KINDS]))).drop("__pii_text", "__pii_digits", *tmp.values())
 
 
 def span_list(spans: Column) -> Column:
