@@ -10,6 +10,10 @@
    component makes no pairs, so a large group of near copies costs its size and not its square, and no link that
    could join two components is left out. A large bucket is cut by set size (sets that may link are in the same or
    neighbouring steps of the length window) and then into tiles of at most ``tile`` by ``tile`` nodes, so no task holds a bucket.
+   A bucket that would make more pairs than its sets' items are worth, as one of texts with much in common and too little to
+   be linked, is dealt anew by rare items: of two sets that reach the threshold, both hold a common item among their rarest
+   ``n - ceil(n x percent / 100) + 1`` ones, rarest in one order for all. So pairs follow what texts share beside the
+   boilerplate, and none that may link is lost.
 4. A second parity bitmap is folded from the full set. Its XOR count never exceeds the number of shingles that two
    sets don't share, so turning down pairs by it loses nothing; it is sharp for short texts, where few samples
    differ by chance, and the sample sketch for long ones.
@@ -48,6 +52,7 @@ class NearDupConfig:
     slack: float = 0.22
     pivot_rounds: int = 3
     tile: int = 4096  # nodes of a bucket that one task compares with as many others
+    item_cost: int = 16  # pairs of sketches compared that cost as much as one item of a set dealt by rarity
     seed: int = 7
 
     @property
@@ -244,6 +249,35 @@ def _tiled(placed: DataFrame, config: NearDupConfig) -> tuple[DataFrame, DataFra
     return dealt(outsiders, "down", "across", lambda mine, o: mine * F.col("across") + o), dealt(marked, "across", "down", lambda mine, o: o * F.col("across") + mine)
 
 
+def _rare_item_buckets(sets: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(key, node): buckets of the given nodes by items, in which every two of them that reach the threshold meet.
+
+    Items are ordered by the number of ``nodes`` that hold them, then by value; an item that one node holds makes no bucket, though it
+    has its place among the node's rarest.
+    """
+    items = sets.join(nodes, "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
+    held = items.groupBy("item").agg(F.count("*").alias("held"))
+    ranked = items.join(held, "item").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("ranked"))
+    count = F.col("n") - F.ceil(F.lit(config.percent) * F.col("n") / 100).cast("int") + 1
+    return ranked.select("node", F.explode(F.slice("ranked", F.lit(1), count)).alias("r")).where("r.held > 1").select(F.col("r.item").alias("key"), "node")
+
+
+def _last_buckets(buckets: DataFrame, label: DataFrame, sets: DataFrame, sizes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """(key, node, comp, main) of the open buckets of the last round; costly ones are dealt anew by rare items. ``sizes``: (node, n)."""
+    pivot_comp = label.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
+    opened = stage(_open_buckets(buckets, label, config.pivot_rounds).join(pivot_comp, "pivot").drop("pivot").join(sizes, "node"), "dup-opened")
+    cost = opened.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("comp") != F.col("main")).alias("out"), F.sum("n").alias("items"))
+    # in double precision, for counts multiply
+    costly = stage(cost.where(F.col("size").cast("double") * F.col("out") > F.lit(config.item_cost) * F.col("items")).select("key"), "dup-costly")
+    opened = opened.drop("n")
+    if costly.isEmpty():
+        return opened
+    nodes = stage(opened.join(costly, "key", "left_semi").select("node").distinct(), "dup-dealt")
+    dealt = stage(_rare_item_buckets(sets, nodes, config), "dup-rare")
+    again = _open_buckets(dealt, label, config.pivot_rounds).join(pivot_comp, "pivot").select("key", "node", "comp", "main")
+    return opened.join(costly, "key", "left_anti").select("key", "node", "comp", "main").union(again)
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfig) -> DataFrame:
     """(id, digest, n, rep) of every row; ``rep`` (none, id, digest) is the least row of its component, null where the set is empty."""
     sig = stage(signatures(docs, id_col, text_col, config), "dup-signatures")
@@ -267,8 +301,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, config: NearDupConfig)
         near = stars.alias("p").join(sketches.alias("a"), F.col("p.u") == F.col("a.node")).join(sketches.alias("b"), (F.col("p.v") == F.col("b.node")) & _may_link("a", "b", config))
         label = _joined(label, near.select("p.u", "p.v"), sets, config)
 
-    pivot_comp = label.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
-    placed = _open_buckets(buckets, label, config.pivot_rounds).join(pivot_comp, "pivot").join(sketches, "node").drop("pivot")
+    placed = _last_buckets(buckets, label, sets, nodes.select("node", "n"), config).join(sketches, "node")
     outsiders, everyone = _tiled(stage(placed, "dup-placed"), config)
     open_pair = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.cell") == F.col("b.cell"))

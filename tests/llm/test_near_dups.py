@@ -78,6 +78,33 @@ def test_boilerplate_buckets_are_tiled(spark):
     want = brute(rows, 2)
     assert len({c for _, _, c in want}) < 1200
     assert got(near_dups.near_duplicates(df, config=NearDupConfig(shingle=2, tile=40, pivot_rounds=1))) == want
+    # every open bucket dealt anew by rare items, whole and in tiles
+    assert got(near_dups.near_duplicates(df, config=NearDupConfig(shingle=2, tile=40, pivot_rounds=1, item_cost=0))) == want
+
+
+def test_rare_items_bring_linked_sets_together_and_few_others(spark):
+    rng = random.Random(21)
+    common = list(range(70))
+    sets = [common + [1000 * (i + 1) + j for j in range(30)] for i in range(1500)]  # 0.54 alike, all of them
+    for i in range(0, 60, 2):  # linked ones, some just at the threshold
+        drop = rng.choice((1, 5, 11))
+        sets.append(sets[i][: 100 - drop] + [10_000_000 + 100 * i + j for j in range(drop)])
+    sets += [[5], [5], [5, 6], [0, 1, 2, 3, 4], [0, 1, 2, 3]]  # sets of a few items, at the threshold too
+    rows = spark.createDataFrame(list(enumerate(sets)), "node bigint, items array<bigint>")
+    dealt = near_dups._rare_item_buckets(rows, rows.select("node"), NearDupConfig())
+    keys = {}
+    for r in dealt.collect():
+        keys.setdefault(r.key, []).append(r.node)
+    met = {(u, v) for nodes in keys.values() for u in nodes for v in nodes if u < v}
+    full = [set(x) for x in sets]
+    linked = set()
+    for v in range(len(full)):
+        for u in range(v):
+            c = len(full[u] & full[v])
+            if 100 * c >= 80 * (len(full[u]) + len(full[v]) - c):
+                linked.add((u, v))
+    assert len(linked) >= 30 and linked <= met
+    assert len(met) < len(sets) * 2  # of more than a million pairs
 
 
 def test_one_id_with_several_texts(spark):
