@@ -18,6 +18,12 @@ def fallback_timestamp(line: Column) -> Column:
     return F.regexp_extract(line, rf"\[({STAMP})\]", 1)
 
 
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row. As plain columns they would be put in wherever later columns and filters name
+    them, and a match or a payload be read dozens of times a line; no filter is moved below a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line") -> DataFrame:
     """Add timestamp, log_level, the type's payload fields and parse_status; values that don't apply are ''.
 
@@ -28,36 +34,34 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
     line = F.coalesce(F.col(line_col), F.lit(""))
     # one match a line: its three parts, each behind a mark; a line that fits begins with a bracket and then doesn't
     marked = F.regexp_replace(line, PREFIX, f"{_MARK}$1{_MARK}$2{_MARK}$3")
-    parts = F.when(F.startswith(line, F.lit("[")) & F.startswith(marked, F.lit(_MARK)), F.split(marked, _MARK, 4))
-    lines = lines.withColumn("_parts", parts).withColumn("_message", F.trim(F.get("_parts", F.lit(3))))
-    good_prefix = F.col("_parts").isNotNull()
-    message = F.coalesce("_message", F.lit(""))
-    brace = F.instr(message, "{")
-    before = F.trim(F.substring_index(message, "{", 1))
-    payload = F.substr(message, brace)
-    fields = F.from_json(F.when(brace > 0, payload), "map<string,string>", {"allowSingleQuotes": "false"})
-    parsed = lines.withColumn("_fields", fields).withColumn("_payload", payload)
+    split = _step(lines, _parts=F.split(marked, _MARK, 4), _open=F.startswith(line, F.lit("[")))
+    good_prefix = F.col("_open") & (F.size("_parts") == 4) & (F.get("_parts", F.lit(0)) == "")
+    told = _step(split, _good=good_prefix, _message=F.when(good_prefix, F.trim(F.get("_parts", F.lit(3)))).otherwise(""))
+    brace = F.instr("_message", "{")
+    payload = F.substr("_message", brace)
+    read = _step(told, _brace=brace, _payload=payload, _fields=F.from_json(F.when(brace > 0, payload), "map<string,string>", {"allowSingleQuotes": "false"}))
 
+    before = F.trim(F.substring_index("_message", "{", 1))
     whole = F.col("_payload").rlike(r"\}\s*\z")
     has_all = F.lit(True)
     for k in keys:
         has_all = has_all & F.array_contains(F.map_keys("_fields"), k)
     status = (
-        F.when(~good_prefix | (brace <= 0), "malformed_line")
+        F.when(~F.col("_good") | (F.col("_brace") <= 0), "malformed_line")
         .when(~before.isin(*messages), "unexpected_message")
         .when(F.col("_fields").isNull() | ~whole, "invalid_json")
         .when(~has_all, "missing_fields")
         .otherwise("ok")
     )
-    stamp = F.when(good_prefix, F.get("_parts", F.lit(1))).otherwise(fallback_timestamp(line))
-    level = F.when(good_prefix, F.get("_parts", F.lit(2))).otherwise("")
-    out = parsed.withColumn("parse_status", status)
+    stamp = F.when(F.col("_good"), F.get("_parts", F.lit(1))).otherwise(fallback_timestamp(line))
+    level = F.when(F.col("_good"), F.get("_parts", F.lit(2))).otherwise("")
+    out = _step(read, parse_status=status)
 
     def value(key: str) -> Column:
         entries = F.filter(F.map_entries("_fields"), lambda e: e["key"] == key)
         return F.when(F.col("parse_status") == "ok", F.coalesce(F.try_element_at(entries, F.lit(-1))["value"], F.lit(""))).otherwise("")
 
-    return out.withColumns({"timestamp": stamp, "log_level": level, **{k: value(k) for k in keys}}).drop("_fields", "_payload", "_parts", "_message")
+    return out.withColumns({"timestamp": stamp, "log_level": level, **{k: value(k) for k in keys}}).drop("_fields", "_payload", "_brace", "_parts", "_open", "_good", "_message")
 
 
 def parse_summary(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:

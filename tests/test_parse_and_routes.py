@@ -129,3 +129,11 @@ def test_upgrade_states(spark):
     df = spark.createDataFrame(rows, "state_description string, url_group string, status_category string, uri string, status string")
     got = [r.state_description for r in upgrade_states(df).collect()]
     assert got == ['{"status_category":"success","url_group":"a"}', '{"status_category":"unknown","url_group":"b"}', '{"status_category":"not_found","url_group":"x.y"}']
+
+
+def test_a_filter_on_parsed_lines_repeats_no_match(spark):
+    """Every match and payload is read once a line, whatever of the result a filter names."""
+    lines = spark.range(3).selectExpr("concat('[2026-01-02 03:04:05] local.INFO: x {', id) as raw_line")
+    for wanted in ("parse_status = 'malformed_line'", "uri = ''"):
+        plan = parse_log_lines(lines, "routes").where(wanted)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == 1 and plan.count("from_json(") == 1
