@@ -1,7 +1,7 @@
 """A streaming source that follows a folder of growing log files.
 
 An offset holds, per file, how many bytes of complete lines there were and a checksum of the first line. A round reads what lies between two
-offsets, cut into byte ranges, each line by the range that it begins in. A last line without its line feed waits for it. A file
+offsets, cut into byte ranges (at least ``span_bytes`` long, and no more of them than ``MOST_SPANS`` and one a file), each line by the range that it begins in. A last line without its line feed waits for it. A file
 that is shorter than before, or begins with another line, is a new one under the old name and is read from its start. All this
 follows from the two offsets alone, so a round that is repeated after a crash reads the same lines.
 
@@ -27,6 +27,7 @@ from sessionscope.sources.logs import log_glob
 SCHEMA = "raw_line binary, source_file string, byte_offset bigint, event_seq string"
 HEAD = 4096  # so many bytes of a first line tell it apart
 BLOCK = 1 << 20
+MOST_SPANS = 512  # ranges of a round: each is a task that starts a reader, so a round that has grown gets longer ranges; they are read by the block
 
 
 @dataclass
@@ -82,13 +83,12 @@ class TailReader(DataSourceStreamReader):
         return {"round": latest // 1000, "files": files}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        spans = []
+        news = []
         for name, (length, head) in sorted(end["files"].items(), key=lambda x: (x[0].lower(), x[0])):
             known, known_head = start["files"].get(name, (0, head))
-            begin = 0 if length < known or known and head != known_head else known
-            for low in range(begin, length, self.span_bytes):
-                spans.append(Span(name, begin, low, min(low + self.span_bytes, length), length, end["round"]))
-        return spans
+            news.append((name, 0 if length < known or known and head != known_head else known, length))
+        step = max(self.span_bytes, -(-sum(length - begin for _, begin, length in news) // MOST_SPANS))
+        return [Span(name, begin, low, min(low + step, length), length, end["round"]) for name, begin, length in news for low in range(begin, length, step)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         store, folder = opened(self.folder)

@@ -426,3 +426,19 @@ def test_closing_as_a_stream(spark, tmp_path):
     stream.writeStream.foreachBatch(closing.close_sessions(out, 60, 10)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     held = closing.closed_sessions(spark, out).unionByName(closing.open_sessions(spark, out))
     assert held.agg(F.sum("n_events")).first()[0] == 200 and closing.late_requests(spark, out).count() == 0
+
+
+def test_a_large_round_has_a_bounded_number_of_ranges(tmp_path):
+    """Each range is a task; together they cover every byte once."""
+    from sessionscope.sources import tail
+
+    for name, n in (("routes-1.log", 9_000), ("routes-2.log", 3)):
+        (tmp_path / name).write_bytes(b"".join(b"line %d\n" % i for i in range(n)))
+    reader = tail.TailReader({"path": str(tmp_path), "spanbytes": "16"})
+    spans = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(spans) <= tail.MOST_SPANS + 2
+    for name in ("routes-1.log", "routes-2.log"):
+        own = [s for s in spans if s.file == name]
+        assert [s.low for s in own] == [0] + [s.high for s in own[:-1]] and own[-1].high == (tmp_path / name).stat().st_size
+    rows = [x for s in spans for batch in reader.read(s) for x in zip(batch["source_file"].to_pylist(), batch["raw_line"].to_pylist(), strict=True)]
+    assert rows == [("routes-1.log", b"line %d" % i) for i in range(9_000)] + [("routes-2.log", b"line %d" % i) for i in range(3)]
