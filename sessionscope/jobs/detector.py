@@ -23,7 +23,6 @@ def fit_model(sessions: DataFrame, config: SessionConfig) -> tuple[Model, float]
         chain = markov.fit_markov(sessions, config.smoothing)
         return chain, markov.entropy_rate(chain, markov.stationary(chain))
     model = categorical.fit_categorical(sessions, config.smoothing)
-    model.pairs = stage(model.pairs, "model-pairs")
     return model, model.entropies()[config.mode]
 
 

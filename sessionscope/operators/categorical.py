@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.config import CATEGORICAL_MODES
 from sessionscope.functions.routes import UNKNOWN, status_category
+from sessionscope.operators.staging import stage
 
 UNSEEN = "__UNK__"
 SESSION_KEY = ("session_ip", "session_no")
@@ -64,8 +65,9 @@ class CategoricalModel:
 
 
 def fit_categorical(events: DataFrame, smoothing: float) -> CategoricalModel:
-    """Count groups and categories of training requests; the counts are a small aggregate with partial sums."""
-    pairs = with_features(events).groupBy("url_group", "status_category").agg(F.count("*").alias("n"))
+    """Count groups and categories of training requests; the counts are a small aggregate with partial sums, written once, for
+    the model reads them again and again and the requests are read but once."""
+    pairs = stage(with_features(events).groupBy("url_group", "status_category").agg(F.count("*").alias("n")), "model-pairs")
     r = pairs.agg(F.sum("n").alias("n"), F.countDistinct("url_group").alias("u"), F.countDistinct("status_category").alias("s")).first()
     if not r["n"]:
         raise ValueError("at least one training request is required")

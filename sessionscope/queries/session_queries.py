@@ -327,7 +327,6 @@ def _model(spark, sf_dir):
     """(model, test sessions scored by request)"""
     train, _, test = _parts(spark, sf_dir)
     model = categorical.fit_categorical(sessions.ip_sessions(train, t.CONFIG.timeout_seconds, t.CONFIG.min_events), t.CONFIG.smoothing)
-    model.pairs = stage(model.pairs, "pairs")
     return model, sessions.ip_sessions(test, t.CONFIG.timeout_seconds, t.CONFIG.min_events)
 
 

@@ -262,3 +262,9 @@ def test_analysis_of_a_folder(spark, tmp_path):
     keys = {(r.session_ip, r.session_no) for r in found.anomalies.collect()}
     assert ("bad", 1) in keys and {(r.session_ip, r.session_no) for r in found.activities.collect()} == keys
     assert {r.mode for r in found.comparison.collect()} == {"aep", "density", "hybrid"}
+
+
+def test_counts_of_a_model_are_written_once(spark):
+    """The model's tables follow from a written table, not from the requests, which are read once."""
+    model = categorical.fit_categorical(spark.createDataFrame([("a", "success"), ("a", "redirect")], "url_group string, status_category string"), 0.5)
+    assert model.pairs.inputFiles() and (model.n_events, model.n_urls, model.n_statuses) == (2, 2, 3)
