@@ -137,3 +137,11 @@ def test_a_filter_on_parsed_lines_repeats_no_match(spark):
     for wanted in ("parse_status = 'malformed_line'", "uri = ''"):
         plan = parse_log_lines(lines, "routes").where(wanted)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_replace(") == 1 and plan.count("from_json(") == 1
+
+
+def test_route_functions_repeat_no_match(spark):
+    """A path is matched a fixed few times, however many branches look at it."""
+    df = spark.range(3).selectExpr("concat('/a/', id) as uri", "cast(200 + id as string) as status")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(routes.normalize_uri(F.col("uri"))).count("regexp_replace(") <= 3
+    assert plan(routes.status_category(F.col("status"))).count("regexp_replace(") == 1
