@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.functions.routes import stripped
+from sessionscope.functions.routes import bound
 from sessionscope.operators.sessions import tainted_sessions
 from sessionscope.operators.staging import stage
 
+BLANKS = " \t\n\x0b\f\r"
+
+
+def stripped(c: Column) -> Column:
+    """What ``routes.stripped`` gives, without a match; lists are looked up for every request."""
+    return F.btrim(c, F.lit(BLANKS))
+
 
 def clean_path(path: Column) -> Column:
     """A path up to the query, without blanks around it or slashes behind it; '/' if nothing is left."""
-    bare = F.regexp_replace(stripped(F.regexp_replace(stripped(path), r"(?s)\?.*\z", "")), r"/+\z", "")
-    return F.when(bare == "", "/").otherwise(bare)
+    bare = F.rtrim(stripped(F.substring_index(stripped(path), "?", 1)), F.lit("/"))
+    return bound(bare, lambda b: F.when(b == "", "/").otherwise(b))
 
 
 def route_path(df: DataFrame) -> Column:

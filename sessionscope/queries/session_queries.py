@@ -201,7 +201,8 @@ def curate_events(spark, sf_dir):
 
 @query(f"with {_CONTROLLED} select * from ctl")
 def session_control(spark, sf_dir):
-    return curate.session_control(_curated(spark, sf_dir), 600).select("event_seq", "classification", "reason")
+    curated = _curated(spark, sf_dir).select("event_seq", "ts", "ip", "classification", "reason")  # written once, so without states
+    return curate.session_control(curated, 600).select("event_seq", "classification", "reason")
 
 
 @query(

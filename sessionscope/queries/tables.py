@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sessionscope.config import SessionConfig
 from sessionscope.operators.prepare import with_states
 from sessionscope.operators.sessions import split_by_position
+from sessionscope.operators.staging import stage
 from sessionscope.sources.tail import opened
 
 CONFIG = SessionConfig(timeout_seconds=21_600, min_events=3, smoothing=0.5)
@@ -250,7 +251,7 @@ def grow_files(lines: DataFrame, folder: str, r: int) -> None:
 WORKFLOW_CONFIG = SessionConfig(timeout_seconds=600, min_events=1, smoothing=0.5)
 
 
-# ---- inventories
+# ---- inventories: lists as large as the application, written once, so that their size is known and joins with them move no requests
 
 INVENTORY = """inv as (select distinct '*' as method, concat('/api/v2/', event_type, '/:id') as path from events
   union all select distinct 'get', concat('/', event_type, '/list/') from events union all select distinct 'POST', concat('/', upper(event_type), '/Items/:id') from events)"""
@@ -263,22 +264,22 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("get").alias("method"), F.concat(F.lit("/"), "event_type", F.lit("/list/")).alias("path")),
         F.struct(F.lit("POST").alias("method"), F.concat(F.lit("/"), F.upper("event_type"), F.lit("/Items/:id")).alias("path")),
     )
-    return types.select(F.inline(rows))
+    return stage(types.select(F.inline(rows)), "inventory")
 
 
 def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("event_type").alias("t"))
-    return first.select(F.concat("t", F.lit(".show")).alias("route_name"))
+    return stage(first.select(F.concat("t", F.lit(".show")).alias("route_name")), "listed-names")
 
 
 def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_type").alias("t"))
-    return last.select(F.concat(F.lit("/"), "t", F.lit("/list")).alias("path"))
+    return stage(last.select(F.concat(F.lit("/"), "t", F.lit("/list")).alias("path")), "excluded-paths")
 
 
 def excluded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_type").alias("t"))
-    return last.select(F.concat("t", F.lit(".show")).alias("route_name"))
+    return stage(last.select(F.concat("t", F.lit(".show")).alias("route_name")), "excluded-names")
 
 
 EXCLUDED = "kept as (select * from prep where not (regexp_replace(normalized_uri, '/+$', '') = (select concat('/', max(event_type), '/list') from events) or route_name = (select concat(max(event_type), '.show') from events)))"

@@ -148,6 +148,34 @@ def test_curation(spark):
         curate.partition_policy(df, "other", **args)
 
 
+def test_paths_are_cleaned_as_by_matches(spark):
+    """Trimming and cutting give what the matches gave, and a path is cleaned once a row."""
+    from sessionscope.functions import routes
+
+    odd = ["", " ", "/", "//", "/a", "/a/", "/a//?x=/y/", " /a \t", "\u00a0/a\u00a0", "?", "/?", "/a ?b", "/a/ ?b?c", "/a\n", "/a/\x0b\f\r", "/a/ ", "a?\n/b", "/\u00e9/?", "/ /", None]
+    df = spark.createDataFrame([(x,) for x in odd], "p string")
+    bare = F.regexp_replace(routes.stripped(F.regexp_replace(routes.stripped(F.col("p")), r"(?s)\?.*\z", "")), r"/+\z", "")
+    rows = df.select("p", curate.clean_path(F.col("p")).alias("got"), F.when(bare == "", "/").otherwise(bare).alias("want")).collect()
+    assert [(r.p, r.got) for r in rows] == [(r.p, r.want) for r in rows]
+    plan = df.select(curate.clean_path(F.col("p")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index(") == 1 and "regexp" not in plan
+
+
+def test_sessions_move_requests_once(spark, sf_dir, partitions):
+    """Without clients to be cut, the scan deals the rows once and joins nothing; with one, they still stand where the join needs them."""
+    from sessionscope.operators import segments
+    from sessionscope.queries import tables
+
+    partitions(4)
+    df = spark.range(1000).selectExpr("id as event_seq", "concat('c', id % 100) as session_ip", "timestamp_seconds(1767225600 + id) as ts", "0 as _segment")
+    plan = lambda d: segments.scan_sessions(d, ["ts", "event_seq"], 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan(df).count("Exchange") == 1 and "Join" not in plan(df)
+    cut = plan(df.withColumn("_segment", F.when(F.col("session_ip") == "c1", F.col("event_seq").cast("int") % 4 + 1).otherwise(0)))
+    assert "_run#" not in "".join(line for line in cut.splitlines() if "Exchange hashpartitioning" in line)
+    lists = [f(spark, sf_dir) for f in (tables.inventory, tables.listed_names, tables.excluded_paths, tables.excluded_names)]
+    assert not any("events.parquet" in f for x in lists for f in x.inputFiles())
+
+
 def test_catalog_conflicts(spark):
     good = spark.createDataFrame([("s", "d"), ("s", "d"), ("t", "e")], "state_id string, state_description string")
     assert curate.check_catalog(curate.state_catalog(good)).count() == 2
