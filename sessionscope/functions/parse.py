@@ -40,12 +40,13 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
     brace = F.instr("_message", "{")
     payload = F.substr("_message", brace)
     read = _step(told, _brace=brace, _payload=payload, _fields=F.from_json(F.when(brace > 0, payload), "map<string,string>", {"allowSingleQuotes": "false"}))
+    read = _step(read, _keys=F.reverse(F.map_keys("_fields")), _values=F.reverse(F.map_values("_fields")))  # a key's last value is its first here
 
     before = F.trim(F.substring_index("_message", "{", 1))
     whole = F.col("_payload").rlike(r"\}\s*\z")
     has_all = F.lit(True)
     for k in keys:
-        has_all = has_all & F.array_contains(F.map_keys("_fields"), k)
+        has_all = has_all & F.array_contains("_keys", k)
     status = (
         F.when(~F.col("_good") | (F.col("_brace") <= 0), "malformed_line")
         .when(~before.isin(*messages), "unexpected_message")
@@ -58,10 +59,10 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
     out = _step(read, parse_status=status)
 
     def value(key: str) -> Column:
-        entries = F.filter(F.map_entries("_fields"), lambda e: e["key"] == key)
-        return F.when(F.col("parse_status") == "ok", F.coalesce(F.try_element_at(entries, F.lit(-1))["value"], F.lit(""))).otherwise("")
+        last = F.get("_values", (F.array_position("_keys", key) - 1).cast("int"))
+        return F.when(F.col("parse_status") == "ok", F.coalesce(last, F.lit(""))).otherwise("")
 
-    return out.withColumns({"timestamp": stamp, "log_level": level, **{k: value(k) for k in keys}}).drop("_fields", "_payload", "_brace", "_parts", "_open", "_good", "_message")
+    return out.withColumns({"timestamp": stamp, "log_level": level, **{k: value(k) for k in keys}}).drop("_fields", "_keys", "_values", "_payload", "_brace", "_parts", "_open", "_good", "_message")
 
 
 def parse_summary(parsed: DataFrame, files: DataFrame | None = None) -> DataFrame:

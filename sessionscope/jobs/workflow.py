@@ -28,9 +28,9 @@ class RouteLists:
 
 
 def prepare_logs(spark: SparkSession, folder: str, config: SessionConfig, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(prepared events, summary) of a folder's request logs; lines keep their place in file and folder as event_seq."""
+    """(prepared events, summary) of a folder's request logs, without the lines' text; lines keep their place in file and folder as event_seq."""
     lines = logs.read_log_lines(spark, folder, "routes", glob, line_numbers=False)
-    parsed = stage(parse_log_lines(lines, "routes"), "parsed-lines")
+    parsed = stage(parse_log_lines(lines, "routes").drop("raw_line"), "parsed-lines")
     return prepare.preprocess_events(parsed, config.state_fields), prepare.preprocess_summary(parsed)
 
 
@@ -77,9 +77,20 @@ def _record(spark: SparkSession, history: str | None, kind: str, model_dir: str,
         logs.append_history(spark.createDataFrame([row], logs.HISTORY), history)
 
 
+# what curation and fitting read of a request; states are made out of the group and the category, for the Markov model alone
+ROUTE = ("method", "uri", "normalized_uri", "route_name")
+FITTED = ("event_seq", "ts", "ip", "status", "url_group", "status_category")
+
+
+def _fitted_part(spark: SparkSession, folder: str, part: str, config: SessionConfig, lists: RouteLists, glob: str | None) -> DataFrame:
+    state = ("state_id",) if config.model == "markov" else ()
+    events = prepare_logs(spark, folder, config, glob)[0].select(*ROUTE, *FITTED, *state)
+    return stage(part_of(events, part, config, lists).drop(*ROUTE), f"{part}-events")
+
+
 def train_from_logs(spark: SparkSession, train_dir: str, validate_dir: str, model_dir: str, config: SessionConfig, lists: RouteLists, *, history: str | None = None, glob: str | None = None) -> models.Detector:
     """Fit on one folder, calibrate on another, save the detector and note the build. Neither folder is split."""
-    parts = [stage(part_of(prepare_logs(spark, folder, config, glob)[0], part, config, lists), f"{part}-events") for folder, part in ((train_dir, "train"), (validate_dir, "validate"))]
+    parts = [_fitted_part(spark, folder, part, config, lists, glob) for folder, part in ((train_dir, "train"), (validate_dir, "validate"))]
     if any(p.isEmpty() for p in parts):
         raise ValueError("both folders must hold valid requests")
     detector = jobs.build(*parts, config)
