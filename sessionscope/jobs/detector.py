@@ -121,10 +121,20 @@ def analyze_requests(events: DataFrame, detector: Detector, paths: DataFrame | N
 
     Routes in ``paths`` and ``names`` are left out first. Requests are collected per session only here, after the filter.
     """
+    sessions, report = reported(_without(events, paths, names), detector)
+    return anomalies_of(sessions, report, detector)
+
+
+def reported(events: DataFrame, detector: Detector) -> tuple[DataFrame, DataFrame]:
+    """(requests with their sessions, score report), each written once for all that reads them."""
     c = detector.config
-    sessions = stage(ip_sessions(_without(events, paths, names), c.timeout_seconds, c.min_events), "analyzed")
-    report = report_sessions(sessions, detector).where("anomalous")
-    found = report.groupBy(*KEY).agg(
+    sessions = stage(ip_sessions(events, c.timeout_seconds, c.min_events), "analyzed")
+    return sessions, stage(report_sessions(sessions, detector), "report")
+
+
+def anomalies_of(sessions: DataFrame, report: DataFrame, detector: Detector) -> tuple[DataFrame, DataFrame]:
+    """``analyze_requests`` of what ``reported`` gives."""
+    found = report.where("anomalous").groupBy(*KEY).agg(
         F.array_sort(F.collect_list("mode")).alias("modes"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"),
         F.first("information_score").alias("information_score"),
@@ -132,7 +142,7 @@ def analyze_requests(events: DataFrame, detector: Detector, paths: DataFrame | N
     )
     found = stage(found, "anomalies")
     theirs = sessions.join(found.select(*KEY), KEY, "left_semi")
-    flagged = score_parts(theirs, detector.model, c.mode)
+    flagged = score_parts(theirs, detector.model, detector.config.mode)
     return found.join(scoring.session_details(flagged), KEY), theirs.select(*KEY, "pos", *[n for n in ACTIVITY if n in theirs.columns])
 
 
@@ -148,8 +158,11 @@ def labelled_metrics(events: DataFrame, detector: Detector, paths: DataFrame | N
     Labels stand in the columns is_anomaly, label or ground_truth; a session counts if all its requests have one. Without
     any, the metrics are null.
     """
-    c = detector.config
-    sessions = stage(ip_sessions(_without(events, paths, names), c.timeout_seconds, c.min_events), "analyzed")
-    report = stage(report_sessions(sessions, detector).join(evaluate.given_labels(sessions), KEY), "analysis")
+    return metrics_by_mode(*reported(_without(events, paths, names), detector))
+
+
+def metrics_by_mode(sessions: DataFrame, report: DataFrame) -> DataFrame:
+    """``labelled_metrics`` of what ``reported`` gives."""
+    report = stage(report.join(evaluate.given_labels(sessions), KEY), "analysis")
     counts = report.groupBy("mode").agg(F.count("*").alias("sessions"), F.count_if("anomalous").alias("anomalous_sessions"))
     return counts.join(metrics_of(report.where("label is not null")), "mode", "left")

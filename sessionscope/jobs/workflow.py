@@ -59,9 +59,10 @@ def analyze_folder(spark: SparkSession, folder: str, model_dir: str, lists: Rout
     summary = summary.withColumns(
         {"processed_rows": F.col("processed_rows") - F.col("skipped_excluded_route"), "skipped_rows": F.col("skipped_rows") + F.col("skipped_excluded_route"), "rows_without_ip": F.col("rows_without_ip") - F.col("_excluded_blank")}
     ).drop("_excluded_blank")
-    anomalies, activities = jobs.analyze_requests(events, found)
+    sessions, report = jobs.reported(events, found)
+    anomalies, activities = jobs.anomalies_of(sessions, report, found)
     parse = parse_summary(parsed, logs.list_log_files(spark, folder, "routes", glob))
-    return Analysis(parse, summary, jobs.labelled_metrics(events, found), anomalies, activities)
+    return Analysis(parse, summary, jobs.metrics_by_mode(sessions, report), anomalies, activities)
 
 
 def part_of(events: DataFrame, part: str, config: SessionConfig, lists: RouteLists) -> DataFrame:

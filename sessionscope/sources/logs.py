@@ -20,7 +20,8 @@ def read_log_lines(spark: SparkSession, folder: str, log_type: str, glob: str |
     count), event_seq (file name, block, place in the scan), log_type.
 
     Order inside a file is (block start, row id), taken right at the scan; later stages carry it along. Line numbers come from a
-    second scan that only counts the lines of each block, a row a block, and sums the blocks before it up.
+    second scan that only counts the lines of each block, a row a block, and sums the blocks before it up; these rows go to every task,
+    so that no line is moved.
     """
     lines = spark.read.option("pathGlobFilter", glob or log_glob(log_type)).text(folder)
     seq = F.struct(F.lower("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
@@ -31,7 +32,7 @@ def read_log_lines(spark: SparkSession, folder: str, log_type: str, glob: str |
     blocks = found.groupBy(*block).agg(F.min("event_seq.row").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    numbered = found.join(blocks, (F.col("_path") == F.col("_file")) & (F.col("event_seq.block") == F.col("_block")))
+    numbered = found.join(F.broadcast(blocks), (F.col("_path") == F.col("_file")) & (F.col("event_seq.block") == F.col("_block")))
     return numbered.select("raw_line", "source_file", (F.col("event_seq.row") + F.col("_shift")).alias("line_number"), "event_seq", "log_type")
 
 

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionscope.config import SessionConfig
-from sessionscope.operators import categorical, density, evaluate, markov, reports, scoring, thresholds
+from sessionscope.operators import categorical, curate, density, evaluate, markov, reports, scoring, thresholds
+from sessionscope.operators.staging import stage
 from sessionscope.queries.session_queries import QUERIES
 
 
@@ -264,6 +265,59 @@ def test_analysis_of_a_folder(spark, tmp_path):
     assert {r.mode for r in found.comparison.collect()} == {"aep", "density", "hybrid"}
 
 
+def test_folder_jobs_write_once_what_they_read(spark, tmp_path, monkeypatch):
+    """Training writes no column that it doesn't read; an analysis builds and scores its sessions once."""
+    from sessionscope.jobs import detector as jobs
+    from sessionscope.jobs import workflow
+
+    line = '[2026-10-07 10:{:02d}:{:02d}] local.INFO: Route request completed. {{"method":"GET","route_name":"","uri":"{}","status":{},"ip":"{}"}}'
+    good = [line.format(i // 60, i % 60, ("/a/x", "/a/y")[i % 7 % 2], (200, 404)[i % 5 % 2], f"c{i % 4}") for i in range(200)]
+    for name, part in (("train", good[:120]), ("check", good[120:]), ("live", good[:50])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "routes-1.log").write_text("\n".join(part) + "\n")
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    lists = workflow.RouteLists(frame([], "path string"), frame([], "route_name string"), frame([("*", "/a/x"), ("*", "/a/y")], "method string, path string"), frame([], "route_name string"))
+    written = []
+
+    def noting(df, name):
+        written.append((name, set(df.columns)))
+        return stage(df, name)
+
+    for module in (workflow, jobs, curate):
+        monkeypatch.setattr(module, "stage", noting)
+    workflow.train_from_logs(spark, str(tmp_path / "train"), str(tmp_path / "check"), str(tmp_path / "model"), SessionConfig(timeout_seconds=10, min_events=1), lists)
+    assert written and not any(columns & {"raw_line", "state_id", "state_description"} for _, columns in written)
+    written.clear()
+    workflow.analyze_folder(spark, str(tmp_path / "live"), str(tmp_path / "model"), lists)
+    assert sum({"pos", "n_events", "method"} <= columns for _, columns in written) == 1 and sum("reasons" in columns and "mode_score" in columns and "label" not in columns for _, columns in written) == 1
+
+
+def test_lines_are_numbered_where_they_are(spark, tmp_path):
+    """The counts of the blocks go to the lines, whatever size is guessed for them."""
+    from sessionscope.sources import logs
+
+    (tmp_path / "routes-1.log").write_text("a\nb\n")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = logs.read_log_lines(spark, str(tmp_path), "routes")
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.line_number, r.raw_line) for r in df.collect()) == [(1, "a"), (2, "b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_equal_scores_count_once(monkeypatch):
+    """A density at equal places is summed up once, and is the same at each."""
+    model = density.DensityModel(np.array([-2, 0, 3]), np.ones((3, density.ORDER)), 3, 0.7, 1e-12)
+    places = np.array([0.3, -1.0, 0.3, 2.5] * 500)
+    rows, exp = [], np.exp
+    monkeypatch.setattr(density.np, "exp", lambda x: rows.append(len(x)) or exp(x))
+    got = model.density(places)
+    assert sum(rows) == 3 and (got.reshape(500, 4) == got[:4]).all() and got[0] == got[2] != got[1]
+    assert len(model.density(np.array([]))) == 0
+
+
 def test_counts_of_a_model_are_written_once(spark):
     """The model's tables follow from a written table, not from the requests, which are read once."""
     model = categorical.fit_categorical(spark.createDataFrame([("a", "success"), ("a", "redirect")], "url_group string, status_category string"), 0.5)
