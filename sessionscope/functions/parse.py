@@ -18,7 +18,7 @@ def fallback_timestamp(line: Column) -> Column:
     return F.regexp_extract(line, rf"\[({STAMP})\]", 1)
 
 
-def _step(df: DataFrame, **columns: Column) -> DataFrame:
+def step(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once a row. As plain columns they would be put in wherever later columns and filters name
     them, and a match or a payload be read dozens of times a line; no filter is moved below a generator."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
@@ -34,13 +34,13 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
     line = F.coalesce(F.col(line_col), F.lit(""))
     # one match a line: its three parts, each behind a mark; a line that fits begins with a bracket and then doesn't
     marked = F.regexp_replace(line, PREFIX, f"{_MARK}$1{_MARK}$2{_MARK}$3")
-    split = _step(lines, _parts=F.split(marked, _MARK, 4), _open=F.startswith(line, F.lit("[")))
+    split = step(lines, _parts=F.split(marked, _MARK, 4), _open=F.startswith(line, F.lit("[")))
     good_prefix = F.col("_open") & (F.size("_parts") == 4) & (F.get("_parts", F.lit(0)) == "")
-    told = _step(split, _good=good_prefix, _message=F.when(good_prefix, F.trim(F.get("_parts", F.lit(3)))).otherwise(""))
+    told = step(split, _good=good_prefix, _message=F.when(good_prefix, F.trim(F.get("_parts", F.lit(3)))).otherwise(""))
     brace = F.instr("_message", "{")
     payload = F.substr("_message", brace)
-    read = _step(told, _brace=brace, _payload=payload, _fields=F.from_json(F.when(brace > 0, payload), "map<string,string>", {"allowSingleQuotes": "false"}))
-    read = _step(read, _keys=F.reverse(F.map_keys("_fields")), _values=F.reverse(F.map_values("_fields")))  # a key's last value is its first here
+    read = step(told, _brace=brace, _payload=payload, _fields=F.from_json(F.when(brace > 0, payload), "map<string,string>", {"allowSingleQuotes": "false"}))
+    read = step(read, _keys=F.reverse(F.map_keys("_fields")), _values=F.reverse(F.map_values("_fields")))  # a key's last value is its first here
 
     before = F.trim(F.substring_index("_message", "{", 1))
     whole = F.col("_payload").rlike(r"\}\s*\z")
@@ -56,7 +56,7 @@ def parse_log_lines(lines: DataFrame, log_type: str, line_col: str = "raw_line")
     )
     stamp = F.when(F.col("_good"), F.get("_parts", F.lit(1))).otherwise(fallback_timestamp(line))
     level = F.when(F.col("_good"), F.get("_parts", F.lit(2))).otherwise("")
-    out = _step(read, parse_status=status)
+    out = step(read, parse_status=status)
 
     def value(key: str) -> Column:
         last = F.get("_values", (F.array_position("_keys", key) - 1).cast("int"))

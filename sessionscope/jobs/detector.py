@@ -163,6 +163,9 @@ def labelled_metrics(events: DataFrame, detector: Detector, paths: DataFrame | N
 
 def metrics_by_mode(sessions: DataFrame, report: DataFrame) -> DataFrame:
     """``labelled_metrics`` of what ``reported`` gives."""
-    report = stage(report.join(evaluate.given_labels(sessions), KEY), "analysis")
+    if any(n in sessions.columns for n in evaluate.LABELS):
+        report = stage(report.join(evaluate.given_labels(sessions), KEY), "analysis")
+    else:  # no request says anything, so none is asked
+        report = report.withColumn("label", F.lit(None).cast("boolean"))
     counts = report.groupBy("mode").agg(F.count("*").alias("sessions"), F.count_if("anomalous").alias("anomalous_sessions"))
     return counts.join(metrics_of(report.where("label is not null")), "mode", "left")

@@ -11,6 +11,8 @@ from sessionscope.operators.staging import stage
 
 # Fixed value: texts of a label that mean an anomaly.
 TRUE_WORDS = ("1", "true", "yes", "anomaly", "abnormal")
+# Fixed value: columns in which a log says what is an anomaly.
+LABELS = ("is_anomaly", "label", "ground_truth")
 
 
 def allowlist_labels(flagged: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def allowlist_labels(flagged: DataFrame) -> DataFrame:
 
 def request_label(df: DataFrame) -> Column:
     """From the first non-empty of is_anomaly, label, ground_truth; null if all are empty."""
-    names = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in ("is_anomaly", "label", "ground_truth") if n in df.columns]
+    names = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in LABELS if n in df.columns]
     raw = F.coalesce(*names, F.lit(None).cast("string"))
     return F.when(raw.isNotNull(), F.lower(F.trim(raw)).isin(*TRUE_WORDS))
 

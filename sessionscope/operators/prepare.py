@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions import routes
+from sessionscope.functions.parse import step
 from sessionscope.schemas import require_columns
 
 
@@ -27,9 +28,8 @@ def with_states(events: DataFrame, fields: tuple[str, ...] = ("url_group", "stat
 def _skip_reason(parsed: DataFrame) -> DataFrame:
     require_columns(parsed, "timestamp", "method", "uri", "status", "parse_status")
     bad_status = F.coalesce(F.col("parse_status"), F.lit("")) != "ok"
-    return parsed.withColumn("ts", event_time(F.col("timestamp"))).withColumn(
-        "skip_reason", F.when(bad_status, "parse_status").when(F.col("ts").isNull(), "invalid_timestamp")
-    )
+    timed = step(parsed.drop("ts"), ts=event_time(F.col("timestamp")))
+    return timed.withColumn("skip_reason", F.when(bad_status, "parse_status").when(F.col("ts").isNull(), "invalid_timestamp"))
 
 
 def preprocess_events(parsed: DataFrame, fields: tuple[str, ...] = ("url_group", "status_category")) -> DataFrame:

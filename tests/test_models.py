@@ -292,6 +292,21 @@ def test_folder_jobs_write_once_what_they_read(spark, tmp_path, monkeypatch):
     assert sum({"pos", "n_events", "method"} <= columns for _, columns in written) == 1 and sum("reasons" in columns and "mode_score" in columns and "label" not in columns for _, columns in written) == 1
 
 
+def test_without_labels_no_request_is_asked(spark, monkeypatch):
+    """A log without labels: the counts of the modes follow from the report alone, and a request's time is read once."""
+    from sessionscope.jobs import detector as jobs
+    from sessionscope.operators import prepare
+
+    sessions = spark.sql("select 'a' as session_ip, 1 as session_no")
+    report = spark.sql("select 'a' as session_ip, 1 as session_no, 'aep' as mode, true as anomalous, 0.5d as mode_score, timestamp'2026-01-01 00:00:00' as start_time")
+    monkeypatch.setattr(jobs, "stage", lambda *_: pytest.fail("requests were asked"))
+    rows = jobs.metrics_by_mode(sessions, report).collect()
+    assert [(r["mode"], r.sessions, r.anomalous_sessions, r.f1, r.roc_auc) for r in rows] == [("aep", 1, 1, None, None)]
+    parsed = spark.range(2).selectExpr("concat('2026-01-01 00:00:0', id) as timestamp", "'GET' as method", "'/a' as uri", "'200' as status", "'ok' as parse_status")
+    plan = prepare.preprocess_events(parsed).select("ts")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lower().count("[+-][0-9]{2}") for line in plan.splitlines()) == 1
+
+
 def test_lines_are_numbered_where_they_are(spark, tmp_path):
     """The counts of the blocks go to the lines, whatever size is guessed for them."""
     from sessionscope.sources import logs
